@@ -122,3 +122,15 @@ def hash_words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.n
 def as_bytes(column) -> list[bytes]:
     """UTF-8 of a text column of an Arrow or pandas batch; null counts as empty."""
     return [b"" if t is None else t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") for t in column]
+
+
+def chunks(texts: list[bytes], limit: int = 1 << 20):
+    """Slices of consecutive texts of about ``limit`` bytes; one longer text makes a slice of its own."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > limit:
+            yield slice(at, i)
+            at, size = i, 0
+        size += len(t) + 1
+    if at < len(texts):
+        yield slice(at, len(texts))

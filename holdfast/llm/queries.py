@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from .common import read
 from .exact_dedup import exact_dedup
+from .minhash import near_duplicates
 
 
 def op1_exact_dedup(spark, sf_dir):
     return exact_dedup(read(spark, sf_dir, "documents")).drop("n_blocks")
 
 
+def op2_minhash(spark, sf_dir):
+    return near_duplicates(read(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_minhash": op2_minhash,
 }
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
