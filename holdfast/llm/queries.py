@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .common import read
 from .exact_dedup import exact_dedup
 from .minhash import near_duplicates
+from .secret_scan import generated_findings, scan_secrets, train
+from .url_filter import HOST_RULES, METHOD_RULES, filter_urls
 
 
 def op1_exact_dedup(spark, sf_dir):
@@ -15,16 +19,41 @@ def op2_minhash(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op4_secret_scan(spark, sf_dir):
+    return scan_secrets(read(spark, sf_dir, "documents"), train(generated_findings(), recall=0.98))
+
+
+def op5_url_filter(spark, sf_dir):
+    judged = filter_urls(read(spark, sf_dir, "pages"), HOST_RULES + METHOD_RULES)
+    contract = F.col("tier") == 0  # only host rules are named; the method's show in the verdict
+    return judged.select("page_id", "host", "path", F.when(contract, F.col("rule")).alias("rule"), "verdict")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_minhash": op2_minhash,
+    "op4_secret_scan": op4_secret_scan,
+    "op5_url_filter": op5_url_filter,
 }
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
+_HOST_SQL = " ".join(
+    f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{h}/{p}'"
+    for h, _, p in (r.name.partition("/") for r in sorted(HOST_RULES, key=lambda r: -len(r.name)))
+)
+_RULE_VERDICT_SQL = " ".join(f"WHEN rule = '{r.name}' THEN '{r.verdict}'" for r in HOST_RULES)
+_METHOD_SQL = " OR ".join(f"regexp_matches(host || path, '{r.pattern}')" for r in METHOD_RULES)
+
 ORACLES = {
     "op1_exact_dedup": f"""
         SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
         FROM (SELECT doc_id, {_NORM} AS norm FROM documents)""",
+    "op5_url_filter": f"""
+        WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                          regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+             r AS (SELECT *, CASE {_HOST_SQL} END AS rule FROM u)
+        SELECT page_id, host, path, rule,
+               CASE {_RULE_VERDICT_SQL} WHEN {_METHOD_SQL} THEN 'block' ELSE 'allow' END AS verdict FROM r""",
 }
