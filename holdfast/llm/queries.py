@@ -8,6 +8,7 @@ from .common import read
 from .exact_dedup import exact_dedup
 from .minhash import near_duplicates
 from .secret_scan import generated_findings, scan_secrets, train
+from .toxicity import toxicity
 from .url_filter import HOST_RULES, METHOD_RULES, filter_urls
 
 
@@ -29,11 +30,16 @@ def op5_url_filter(spark, sf_dir):
     return judged.select("page_id", "host", "path", F.when(contract, F.col("rule")).alias("rule"), "verdict")
 
 
+def op6_toxicity(spark, sf_dir):
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_minhash": op2_minhash,
     "op4_secret_scan": op4_secret_scan,
     "op5_url_filter": op5_url_filter,
+    "op6_toxicity": op6_toxicity,
 }
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
