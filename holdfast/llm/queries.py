@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .common import read
+from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .minhash import near_duplicates
 from .secret_scan import generated_findings, scan_secrets, train
@@ -34,12 +35,17 @@ def op6_toxicity(spark, sf_dir):
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_decontaminate(spark, sf_dir):
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_minhash": op2_minhash,
     "op4_secret_scan": op4_secret_scan,
     "op5_url_filter": op5_url_filter,
     "op6_toxicity": op6_toxicity,
+    "op8_decontaminate": op8_decontaminate,
 }
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
