@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import Scratch, read
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .minhash import near_duplicates
 from .secret_scan import generated_findings, scan_secrets, train
+from .token_output import token_digests, write_tokens
 from .toxicity import toxicity
 from .url_filter import HOST_RULES, METHOD_RULES, filter_urls
 
@@ -39,6 +40,19 @@ def op8_decontaminate(spark, sf_dir):
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def encoded(spark, docs, tokenizer="word_bpe_49k.json"):
+    """Writes the texts' ids to a folder of their own in the shared root and reads the files back."""
+    import public_tokenizers
+
+    folder = Scratch(spark, "token-output").base
+    write_tokens(docs, folder, public_tokenizers.path(tokenizer))
+    return token_digests(spark, folder)
+
+
+def op10_token_output(spark, sf_dir):
+    return encoded(spark, read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_minhash": op2_minhash,
@@ -46,6 +60,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_toxicity": op6_toxicity,
     "op8_decontaminate": op8_decontaminate,
+    "op10_token_output": op10_token_output,
 }
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
