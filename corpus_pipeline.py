@@ -1,11 +1,82 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: toxicity, near duplicates, benchmark decontamination, mixing, token output.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns the columns of
+documents, but for the last one, which returns what it reads back from the files it wrote.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from holdfast.llm.common import Scratch, broadcast_if_small, read
+from holdfast.llm.decontaminate import contaminated
+from holdfast.llm.minhash import near_duplicates
+from holdfast.llm.mixing import mix
+from holdfast.llm.queries import encoded
+from holdfast.llm.toxicity import held_out, scored, train
+
+BROADCAST_IDS = 2_000_000  #: doc_ids (8 bytes each) that may be broadcast
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in ids; rows without doc_id stay."""
+    gone = broadcast_if_small(ids.select(F.col("doc_id").alias("_gone")), BROADCAST_IDS)
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that the classifier calls toxic go. Labels of held-out rows are not learned from."""
+    model = train(docs.filter(~held_out("doc_id")), read(spark, sf_dir, "labels"))
+    return scored(docs, model, docs.columns, "_score").filter("_score < 0.5").drop("_score")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component at five-word shingles and Jaccard 0.8, the row with the smallest doc_id stays."""
+    scratch = Scratch(spark, "stage-near")
+    judged = scratch.save(near_duplicates(docs, k=5, percent=80), "judged")
+    left = _without(docs, judged.filter("doc_id IS NOT NULL AND NOT kept"))
+    again = judged.filter("n_shingles > 0 AND kept").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    again = scratch.save(again, "again")
+    if again.isEmpty():
+        return left
+    # rows repeated under one doc_id: one stays
+    repeated = left.join(broadcast_if_small(again, BROADCAST_IDS), "doc_id", "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    one = repeated.withColumn("_n", first).filter("_n = 1").drop("_n")
+    return _without(left, again).unionByName(one)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that hold a passage of the benchmark go."""
+    scratch = Scratch(spark, "stage-benchmark")
+    return _without(docs, scratch.save(contaminated(docs, read(spark, sf_dir, "benchmark")), "found"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many tokens as came in, sources at the weights of the tempered mix; a text appears once for each use."""
+    return mix(docs, budget=1.0, entropy_share=0.9, max_repeats=4.0).select(*docs.columns)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of all rows in ascending doc_id order, written and read back."""
+    return encoded(spark, docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("mixing", mix_sources),
+    ("token_output", token_output),
+]
+
+#: No stage but the decontamination has an exact SQL form; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scratch = read(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,6 +8,7 @@ from .common import Scratch, read
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .minhash import near_duplicates
+from .mixing import mix
 from .secret_scan import generated_findings, scan_secrets, train
 from .token_output import token_digests, write_tokens
 from .toxicity import toxicity
@@ -22,6 +23,12 @@ def op2_minhash(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op3_mixing(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    used = mix(docs, budget=1.0, entropy_share=0.9, max_repeats=4.0)
+    return used.select("doc_id", "source", F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"))
+
+
 def op4_secret_scan(spark, sf_dir):
     return scan_secrets(read(spark, sf_dir, "documents"), train(generated_findings(), recall=0.98))
 
@@ -56,6 +63,7 @@ def op10_token_output(spark, sf_dir):
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_minhash": op2_minhash,
+    "op3_mixing": op3_mixing,
     "op4_secret_scan": op4_secret_scan,
     "op5_url_filter": op5_url_filter,
     "op6_toxicity": op6_toxicity,

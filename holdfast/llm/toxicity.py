@@ -179,16 +179,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(weights, bias, families, accuracies, together, discount)
 
 
-def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns named in keep, and score; reads text besides. Null and empty texts get the model's bias."""
+def scored(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns named in keep, and the score; reads text besides. Null and empty texts get the model's bias."""
     schema = docs.select(*keep).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = pa.array([model.score(t) for t in batch.column(len(keep)).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], score], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], score], names=[*keep, name])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema.add("score", "double"))
+    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema.add(name, "double"))
 
 
 def held_out(doc_id) -> F.Column:
