@@ -6,7 +6,8 @@ the coordinates of one shingle are neighbours in memory. Coordinates are banded;
 
 Documents with the same set are one class from the start, so copies never meet pair by pair. In a bucket, members
 are first held against one pivot (a star), then, in a second round, members still apart against a pivot picked
-anew per bucket, and at last all members of different components that a signature sketch doesn't rule out.
+anew per bucket, and at last all members of different components that a signature sketch doesn't rule out; a big
+component meets others block by block, so that no pairs of its members are listed.
 A link already implied by a component needs no test; no other candidate is left out. Every link is confirmed on
 the words of both whole texts. Components come from repeated contraction of the link table.
 """
@@ -16,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +26,11 @@ from .common import Scratch, as_bytes, broadcast_if_small, chunks, hash_words, m
 
 SLOT_BITS = 22
 BANDS, ROWS = 48, 6  #: a pair at Jaccard 0.8 shares no band with a chance of 5e-7
-SKETCH = 256  #: signature coordinates of which the sketch keeps one bit each
-#: Bits that may differ: 51 are expected at 0.6 and 25.6 at 0.8, where 52 is 5.5 standard deviations off.
-SKETCH_APART = 52
+SKETCH = 512  #: signature coordinates of which the sketch keeps one bit each
+#: Bits that may differ: 51 are expected at Jaccard 0.8, where 88 is 5.4 standard deviations off.
+SKETCH_APART = 88
+BIG = 64  #: classes of a component from which on it is compared block by block
+BLOCK, AGAINST = 128, 512  #: classes of a big component, and others, that meet in one group, about
 BROADCAST_IDS = 1_000_000  #: class ids (8 bytes each) that may be broadcast
 
 _U = np.uint64
@@ -74,7 +78,7 @@ class Signatures:
     """Band keys, sketches and set fingerprints of batches of texts."""
 
     def __init__(self, k: int):
-        self.k, self.size = k, BANDS * ROWS
+        self.k, self.size = k, max(BANDS * ROWS, SKETCH)
         slots = np.random.default_rng(7).permutation(1 << SLOT_BITS).astype(np.uint32)
         self.view = np.lib.stride_tricks.sliding_window_view(np.concatenate((slots, slots[: self.size])), self.size)
 
@@ -183,6 +187,64 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
     return labels
 
 
+def small_pairs(open_: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in an open bucket that neither sizes nor sketches rule out.
+
+    A pair comes from the first bucket that it shares only.
+    """
+    rows = open_.join(heads.select("node", "n", "sketch", "bands"), "node")
+    left, right = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "n", "sketch", "bands"))) for s in "ab")
+    differ = sum(F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH // 64))
+    near = (
+        (left.key == right.key) & (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b"))
+        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (differ <= SKETCH_APART)
+        & (F.array_intersect("bands_a", "bands_b")[0] == left.key)
+    )
+    return left.join(right, near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def _block_links(k: int, percent: int):
+    """Of each class on the left, the first link to one of the classes on the right: they are one component."""
+
+    def run(left, right):
+        held = [(n, word_set(t, k)) for n, t in zip(right["node"], right["text"], strict=True)]
+        a, b = [], []
+        for n, t in zip(left["node"], left["text"], strict=True):
+            own = word_set(t, k)
+            for m, other in held:
+                if 100 * min(len(own), len(other)) >= percent * max(len(own), len(other)):
+                    both = len(own & other)
+                    if 100 * both >= percent * (len(own) + len(other) - both):
+                        a.append(n)
+                        b.append(m)
+                        break
+        return pd.DataFrame({"a": a, "b": b}, dtype="int64")
+
+    return run
+
+
+def against_big(scratch: Scratch, open_: DataFrame, labels: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between a big component and classes of smaller ones that share an open bucket with it.
+
+    All classes of the big one are looked at, in blocks; a class meets a block once, not its members one by one.
+    """
+    big = open_.filter(F.col("size") > BIG).select("key", F.col("label").alias("big"), F.col("size").alias("big_size")).distinct()
+    smaller = (F.col("size") < F.col("big_size")) | ((F.col("size") == F.col("big_size")) & (F.col("label") < F.col("big")))
+    others = open_.join(big, "key").filter((F.col("label") != F.col("big")) & smaller).select("node", "big", "big_size").distinct()
+    others = scratch.save(others, "others")
+    parts = others.groupBy("big").agg(
+        F.ceil(F.first("big_size") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("node") / AGAINST).cast("int").alias("salts")
+    )
+    parts = scratch.save(parts, "big-parts")
+    dealt = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = others.join(parts, "big").select("node", "big", dealt(F.col("salts")).alias("salt"), upto("blocks").alias("block"))
+    right = labels.withColumnRenamed("label", "big").join(parts, "big").select("node", "big", dealt(F.col("blocks")).alias("block"), upto("salts").alias("salt"))
+    left = left.join(texts, "node").select("node", "text", "big", "block", "salt").toDF("node", "text", "x", "y", "z")
+    right = right.join(texts, "node").select("node", "text", "big", "block", "salt")
+    return left.groupBy("x", "y", "z").cogroup(right.groupBy("big", "block", "salt")).applyInPandas(_block_links(k, percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -206,7 +268,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     shared = scratch.save(shared.select("key", "pivot"), "shared")
     members = scratch.save(entries.join(shared, "key"), "members")
     met = scratch.save(members.select("node").distinct(), "met")
-    met_heads = heads.join(broadcast_if_small(met, BROADCAST_IDS), "node", "left_semi").drop("bands")
+    met_heads = heads.join(broadcast_if_small(met, BROADCAST_IDS), "node", "left_semi")
     met_heads = scratch.save(met_heads.dropDuplicates(["node"]), "met-heads")
     names = met_heads.select("node", "doc_id", "f1", "f2")
     whole = texts.join(broadcast_if_small(names, BROADCAST_IDS), "doc_id").select("node", "f1", "f2", "text")
@@ -234,19 +296,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         labels = components(scratch, links, "c2")
         tested = tested.union(pairs)
 
-        info = met_heads.select("node", "n", "sketch")
+        sizes = scratch.save(labels.groupBy("label").agg(F.count("node").alias("size")), "sizes")
         now = open_.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        now = scratch.save(now.join(info, "node"), "members-2")
+        now = scratch.save(now.join(sizes, "label", "left").fillna(1, ["size"]), "members-2")
         apart = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
         now = scratch.save(now.join(scratch.save(apart, "apart-2"), "key"), "open-2")
-        left, right = (now.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "n", "sketch"))) for s in "ab")
-        differ = sum(F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH // 64))
-        near = (
-            (left.key == right.key) & (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b"))
-            & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (differ <= SKETCH_APART)
-        )
-        pairs = left.join(right, near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+        pairs = small_pairs(now.filter(F.col("size") <= BIG), met_heads, percent)
         pairs = scratch.save(pairs.join(tested, ["a", "b"], "left_anti"), "pairs-3")
+        links = links.union(scratch.save(against_big(scratch, now, labels, whole, k, percent), "links-big"))
         links = links.union(scratch.save(confirm(pairs, whole, k, percent), "links-3"))
         labels = components(scratch, links, "c3")
 
