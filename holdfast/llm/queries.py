@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, read
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
+from .line_dedup import duplicate_lines
 from .minhash import near_duplicates
 from .mixing import mix
 from .secret_scan import generated_findings, scan_secrets, train
@@ -43,6 +44,10 @@ def op6_toxicity(spark, sf_dir):
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_line_dedup(spark, sf_dir):
+    return duplicate_lines(read(spark, sf_dir, "documents"), percent=80)
+
+
 def op8_decontaminate(spark, sf_dir):
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -67,6 +72,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_url_filter": op5_url_filter,
     "op6_toxicity": op6_toxicity,
+    "op7_line_dedup": op7_line_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op10_token_output": op10_token_output,
 }
