@@ -14,6 +14,7 @@ from .secret_scan import generated_findings, scan_secrets, train
 from .token_output import token_digests, write_tokens
 from .toxicity import toxicity
 from .url_filter import HOST_RULES, METHOD_RULES, filter_urls
+from .warc import derivatives, responses
 
 
 def op1_exact_dedup(spark, sf_dir):
@@ -65,6 +66,14 @@ def op10_token_output(spark, sf_dir):
     return encoded(spark, read(spark, sf_dir, "documents"))
 
 
+#: The pages table has no crawl date; a fixed one keeps record ids and digests the same for every run.
+CRAWL_DATE = "2024-01-01T00:00:00Z"
+
+
+def op9_warc(spark, sf_dir):
+    return derivatives(responses(read(spark, sf_dir, "pages"), CRAWL_DATE))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_minhash": op2_minhash,
@@ -74,6 +83,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontaminate": op8_decontaminate,
+    "op9_warc": op9_warc,
     "op10_token_output": op10_token_output,
 }
 
