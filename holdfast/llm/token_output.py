@@ -9,12 +9,15 @@ decoded alone, and its checkpoints decode side by side through one table of 2**L
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,32 +27,88 @@ LIMIT = 16  #: bits of the longest code
 CHECKPOINT = 256  #: tokens between bit offsets
 BLOCK_TOKENS = 1 << 18  #: tokens of a block, or one text
 SHARD_TOKENS = 1 << 23  #: tokens of a shard, about; one task writes a shard
-CACHE = 400_000  #: pieces of text whose ids a worker remembers
+PIECES, WORDS = 150_000, 300_000  #: pieces of text and words whose ids a worker remembers, about
 PART = 1 << 20  #: characters or tokens worked on at once
 
 
+#: A piece that is one run of Latin letters and then ASCII punctuation without an apostrophe: two words to a tokenizer
+#: that splits letters from punctuation. These letters are in composed form already.
+_LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """For str.translate: a Latin-1 character to the letters that stand for its UTF-8 bytes in byte-level vocabularies.
+
+    Printable bytes stand for themselves; the others, in order, for the characters from 256 on.
+    """
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    letter = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256)}
+
+
 class PieceEncoder:
     """Ids of whole texts by way of a memory of pieces between spaces and line feeds.
 
-    Exact for tokenizers that drop white space and never join text across it.
+    Exact for byte-level tokenizers that drop white space and never join text across it. If the tokenizer also
+    lower-cases and splits letters from the rest (checked on a sample at the start), the letters of a piece go to its
+    model directly. A full memory takes no more pieces; what it lacks is encoded each time.
     """
 
+    _workers: dict[tuple[int, int], PieceEncoder] = {}  # a Python worker runs many tasks
+
+    @classmethod
+    def of(cls, tokenizer_json: str, end_id: int) -> PieceEncoder:
+        key = (zlib.crc32(tokenizer_json.encode()), end_id)
+        if key not in cls._workers:
+            cls._workers.clear()
+            cls._workers[key] = cls(tokenizer_json, end_id)
+        return cls._workers[key]
+
     def __init__(self, tokenizer_json: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.known: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
+        self.letters = _byte_letters()
         self.end = np.array([end_id], np.uint32).tobytes()
+        sample = ["Straße,", "ÉTÉ!!", "señor.", "The&&&", "word", "Ünïcödé|"]
+        self.direct = all(self._split(_LETTERS.fullmatch(p)) == self._encode([p])[0] for p in sample)
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            ids = struct.pack(f"<{len(t)}I", *t) if (t := [x.id for x in self.tokenizer.model.tokenize(word.translate(self.letters))]) else b""
+            if len(self.words) < WORDS and len(word) < 64:
+                self.words[word] = ids
+        return ids
+
+    def _split(self, m: re.Match) -> bytes:
+        after = m[2]
+        if after and after not in self.pieces:
+            self.pieces[after] = self._encode([after])[0]
+        return self._word(m[1].lower()) + self.pieces[after]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE:
-            self.known = {"": b""}
-        known = self.known
-        new = list({p for pieces in split for p in pieces if p not in known})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, np.uint32).tobytes()
-        return [b"".join([known[p] for p in pieces]) + self.end for pieces in split]
+        known = self.pieces
+        new = {p for pieces in split for p in pieces if p not in known}
+        made: dict[str, bytes] = {}
+        if self.direct:
+            for p in new:
+                if m := _LETTERS.fullmatch(p):
+                    made[p] = self._split(m)
+        rest = [p for p in new if p not in made]
+        for at in range(0, len(rest), 1000):
+            made.update(zip(rest[at : at + 1000], self._encode(rest[at : at + 1000]), strict=True))
+        out = [b"".join([known[p] if p in known else made[p] for p in pieces]) + self.end for pieces in split]
+        if len(known) < PIECES:
+            known.update((p, ids) for p, ids in made.items() if len(p) < 64)
+        return out
 
 
 def _parts(sizes: list[int], limit: int = PART):
@@ -67,12 +126,11 @@ def tokenized(docs: DataFrame, tokenizer_json: str, end_id: int) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian, 32 bits each); the end id closes every text, an empty or null one too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = PieceEncoder(tokenizer_json, end_id)
+        encode = PieceEncoder.of(tokenizer_json, end_id)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for part in _parts([len(t) for t in texts]):
-                ids = encode(texts[part])
-                doc_ids = batch.column(0)[part.start : part.stop]
+            for part in _parts(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
+                rows = batch.slice(part.start, part.stop - part.start)
+                ids, doc_ids = encode([t or "" for t in rows.column(1).to_pylist()]), rows.column(0)
                 yield pa.RecordBatch.from_arrays([doc_ids, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -85,8 +143,8 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                n = np.bincount(np.frombuffer(ids, np.uint32))
+            for ids in batch.column(0):
+                n = np.bincount(np.frombuffer(ids.as_buffer(), np.uint32))
                 if len(n) > len(total):
                     total = np.concatenate((total, np.zeros(len(n) - len(total), np.int64)))
                 total[: len(n)] += n
@@ -191,16 +249,16 @@ def _coded(code: Code, cuts: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, every = batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            sizes = batch.column(1).to_numpy()
             shards = np.searchsorted(cuts, batch.column(0).fill_null(-(1 << 63)).to_numpy(), side="left")
             for part in _parts(sizes.tolist()):
                 n = sizes[part]
-                payload, starts, at = code.encode(np.frombuffer(b"".join(every[part]), np.uint32), n)
+                rows = batch.slice(part.start, part.stop - part.start)
+                payload, starts, at = code.encode(np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint32), n)
                 first = np.cumsum(n) - n
                 marks = [(at[f : f + s : CHECKPOINT] - starts[i] * 8).tolist() for i, (f, s) in enumerate(zip(first, n, strict=True))]
                 data = payload.tobytes()
                 texts = [data[starts[i] : starts[i + 1]] for i in range(len(n))]
-                rows = batch.slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays([pa.array(shards[part], pa.int32()), rows.column(0), rows.column(1), pa.array(marks, pa.list_(pa.int64())), pa.array(texts, pa.binary())], names=["shard", "doc_id", "n_tokens", "marks", "payload"])
 
     return run
