@@ -503,10 +503,10 @@ def spirit_cost_validate(d: Domain) -> DataFrame:
 # --- pricing ------------------------------------------------------------------------------------
 
 
-@query("SELECT printing_id, day::VARCHAR AS day, round(min(price), 4) AS low, round(median(price), 4) AS median, round(max(price), 4) AS high, round(avg(price), 4) AS mean, count(*) AS n, count(DISTINCT source_id) AS sources FROM observations GROUP BY printing_id, observations.day")
+@query("SELECT printing_id, day::VARCHAR AS day, min(price) AS low, round(median(price), 9) AS median, max(price) AS high, round(avg(price), 9) AS mean, count(*) AS n, count(DISTINCT source_id) AS sources FROM observations GROUP BY printing_id, observations.day")
 def price_daily(d: Domain) -> DataFrame:
     rows = P.daily(d.observations).withColumn("day", F.col("day").cast("string"))
-    return rows.withColumns({c: F.round(c, 4) for c in ("low", "median", "high", "mean")})
+    return rows.withColumns({c: F.round(c, 9) for c in ("median", "mean")})
 
 
 @query("""SELECT printing_id, count(*) AS n, round(median(price), 4) AS median FROM observations JOIN (SELECT printing_id, quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3 FROM observations GROUP BY printing_id) USING (printing_id)
@@ -537,17 +537,17 @@ def top_movers(d: Domain) -> DataFrame:
     return P.movers(P.daily(yearly), "1998-01-01", "1999-01-01", 3, 20).select("printing_id", F.round("move", 4).alias("move"))
 
 
-@query("SELECT printing_id, day::VARCHAR AS day, round(price * (1 + epoch(day) / 86400 % 7 / 10), 4) AS price FROM observations WHERE source_id % 2 = 0 UNION ALL SELECT printing_id, day::VARCHAR, NULL FROM observations WHERE source_id % 2 = 1")
+@query("SELECT printing_id, day::VARCHAR AS day, price * (1 + epoch(day) / 86400 % 7 / 10) AS price FROM observations WHERE source_id % 2 = 0 UNION ALL SELECT printing_id, day::VARCHAR, NULL FROM observations WHERE source_id % 2 = 1")
 def price_converted(d: Domain) -> DataFrame:
     seen = d.observations.withColumn("currency", F.when(F.col("source_id") % 2 == 0, "EUR").otherwise("JPY"))
     rates = d.observations.select("day").distinct().select("day", F.lit("EUR").alias("base"), F.lit("USD").alias("quote"), (1 + F.datediff("day", F.lit("1970-01-01").cast("date")) % 7 / 10).alias("rate"))
-    return P.converted(seen, rates, "USD").select("printing_id", F.col("day").cast("string").alias("day"), F.round("price", 4).alias("price"))
+    return P.converted(seen, rates, "USD").select("printing_id", F.col("day").cast("string").alias("day"), "price")
 
 
-@query("SELECT printing_id, source_id, round(min(price), 4) AS price FROM observations QUALIFY false GROUP BY ALL".replace(" QUALIFY false", ""))
+@query("SELECT printing_id, source_id, min(price) AS price FROM observations QUALIFY false GROUP BY ALL".replace(" QUALIFY false", ""))
 def observation_dedupe(d: Domain) -> DataFrame:
     rows = d.observations.select("source_id", F.col("printing_id").alias("external_id"), F.lit(0).alias("at"), "price")
-    return P.deduplicated(rows).select(F.col("external_id").alias("printing_id"), "source_id", F.round("price", 4).alias("price"))
+    return P.deduplicated(rows).select(F.col("external_id").alias("printing_id"), "source_id", "price")
 
 
 @query("SELECT l_orderkey AS order_id, max(l_returnflag) AS status FROM (SELECT *, rank() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC) AS r FROM lineitem) WHERE r = 1 GROUP BY l_orderkey")
