@@ -9,8 +9,6 @@ decoded alone, and its checkpoints decode side by side through one table of 2**L
 
 from __future__ import annotations
 
-import re
-import struct
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -27,13 +25,14 @@ LIMIT = 16  #: bits of the longest code
 CHECKPOINT = 256  #: tokens between bit offsets
 BLOCK_TOKENS = 1 << 18  #: tokens of a block, or one text
 SHARD_TOKENS = 1 << 23  #: tokens of a shard, about; one task writes a shard
-PIECES, WORDS = 150_000, 300_000  #: pieces of text and words whose ids a worker remembers, about
-PART = 1 << 20  #: characters or tokens worked on at once
+UNITS = 400_000  #: words and other units of text whose ids a worker remembers
+PART = 1 << 22  #: characters tokenised at once
+CODED = 1 << 20  #: tokens coded at once
 
 
-#: A piece that is one run of Latin letters and then ASCII punctuation without an apostrophe: two words to a tokenizer
+#: A piece that is one run of Latin letters and then ASCII punctuation without an apostrophe: two units to a tokenizer
 #: that splits letters from punctuation. These letters are in composed form already.
-_LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_LETTERS = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<after>[!-&(-/:-@\[-`{-~]*)$"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -47,12 +46,18 @@ def _byte_letters() -> dict[int, str]:
     return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256)}
 
 
+def _ragged(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places start[i], ..., start[i] + n[i] - 1 of all i, one after the other."""
+    ends = np.cumsum(n)
+    return np.repeat(start - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class PieceEncoder:
-    """Ids of whole texts by way of a memory of pieces between spaces and line feeds.
+    """Ids of whole texts by way of a memory of the units between spaces and line feeds.
 
     Exact for byte-level tokenizers that drop white space and never join text across it. If the tokenizer also
     lower-cases and splits letters from the rest (checked on a sample at the start), the letters of a piece go to its
-    model directly. A full memory takes no more pieces; what it lacks is encoded each time.
+    model directly. A full memory takes no more units; what it lacks is encoded each time.
     """
 
     _workers: dict[tuple[int, int], PieceEncoder] = {}  # a Python worker runs many tasks
@@ -69,49 +74,80 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.pieces: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
-        self.letters = _byte_letters()
-        self.end = np.array([end_id], np.uint32).tobytes()
+        self.letters, self.end_id = _byte_letters(), end_id
+        self.at: dict[str, int] = {}  # unit -> its number; unit i has ids[first[i] : first[i + 1]]
+        self.ids, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
         sample = ["Straße,", "ÉTÉ!!", "señor.", "The&&&", "word", "Ünïcödé|"]
-        self.direct = all(self._split(_LETTERS.fullmatch(p)) == self._encode([p])[0] for p in sample)
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = struct.pack(f"<{len(t)}I", *t) if (t := [x.id for x in self.tokenizer.model.tokenize(word.translate(self.letters))]) else b""
-            if len(self.words) < WORDS and len(word) < 64:
-                self.words[word] = ids
-        return ids
-
-    def _split(self, m: re.Match) -> bytes:
-        after = m[2]
-        if after and after not in self.pieces:
-            self.pieces[after] = self._encode([after])[0]
-        return self._word(m[1].lower()) + self.pieces[after]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.pieces
-        new = {p for pieces in split for p in pieces if p not in known}
-        made: dict[str, bytes] = {}
-        if self.direct:
-            for p in new:
-                if m := _LETTERS.fullmatch(p):
-                    made[p] = self._split(m)
-        rest = [p for p in new if p not in made]
+        plain = [self.tokenizer.encode(p, add_special_tokens=False).ids for p in sample]
+        self.direct = True
+        self.direct = [x.tolist()[:-1] for x in np.split(*self(pa.array(sample), cuts=True))] == plain
+        self.at, self.ids, self.first = {}, self.ids[:0], self.first[:1]
+
+    def _numbers(self, words: list[str], others: list[str]) -> np.ndarray:
+        """The units' numbers; new units are encoded, and those that find no room get numbers beyond the memory's."""
+        units = words + others
+        numbers = [self.at.get(u) for u in units]
+        new = [i for i, n in enumerate(numbers) if n is None]
+        flat: list[int] = []
+        sizes: list[int] = []
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        for i in (i for i in new if i < len(words)):
+            before = len(flat)
+            flat.extend([t.id for t in tokenize(units[i].translate(letters))])
+            sizes.append(len(flat) - before)
+        rest = [units[i] for i in new if i >= len(words)]
         for at in range(0, len(rest), 1000):
-            made.update(zip(rest[at : at + 1000], self._encode(rest[at : at + 1000]), strict=True))
-        out = [b"".join([known[p] if p in known else made[p] for p in pieces]) + self.end for pieces in split]
-        if len(known) < PIECES:
-            known.update((p, ids) for p, ids in made.items() if len(p) < 64)
-        return out
-
-
-def _parts(sizes: list[int], limit: int = PART):
+            for e in self.tokenizer.encode_batch_fast(rest[at : at + 1000], add_special_tokens=False):
+                flat.extend(e.ids)
+                sizes.append(len(e.ids))
+        self.ids = np.concatenate((self.ids, np.array(flat, np.uint32)))
+        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(np.array(sizes, np.int64))))
+        known = len(self.at)
+        for j, i in enumerate(new):
+            numbers[i] = known + j
+        for i in new[: max(0, UNITS - known)]:
+            self.at[units[i]] = numbers[i]
+        return np.array(numbers, np.int64)
+
+    def __call__(self, texts: pa.Array, cuts: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each text's end id included, and where each text ends (cuts: where all but the last end)."""
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        per_text = pc.list_value_length(split).to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        of, pieces = coded.indices.to_numpy(), coded.dictionary
+        if self.direct:
+            found = pc.extract_regex(pieces, _LETTERS)
+            plain = found.is_valid()
+            words = pc.utf8_lower(found.field(0).filter(plain)).dictionary_encode()
+            after = found.field(1).filter(plain).dictionary_encode()
+            others = pieces.filter(pc.invert(plain)).to_pylist()
+            listed = words.dictionary.to_pylist()
+            number = self._numbers(listed, after.dictionary.to_pylist() + others)
+            is_plain = plain.to_numpy(zero_copy_only=False)
+            units = np.zeros((len(pieces), 2), np.int64)
+            units[is_plain, 0] = number[words.indices.to_numpy()]
+            units[is_plain, 1] = number[len(listed) + after.indices.to_numpy()]
+            units[~is_plain, 0] = number[len(number) - len(others) :]
+            size = np.diff(self.first)
+            n = size[units]
+            n[~is_plain, 1] = 0
+        else:
+            units = self._numbers([], pieces.to_pylist())[:, None]
+            n = np.diff(self.first)[units]
+        of_piece = self.ids[_ragged(self.first[units].ravel(), n.ravel())]
+        n = n.sum(axis=1)
+        start = np.cumsum(n) - n
+        tokens = of_piece[_ragged(start[of], n[of])]
+        ends = np.concatenate(([0], np.cumsum(n[of])))[np.cumsum(per_text)]
+        tokens = np.insert(tokens, ends, np.uint32(self.end_id))
+        known = len(self.at)
+        self.first = self.first[: known + 1]
+        self.ids = self.ids[: self.first[-1]]
+        ends = ends + np.arange(1, len(ends) + 1)
+        return tokens, ends[:-1] if cuts else ends
+
+
+def _parts(sizes: list[int], limit: int):
     at, total = 0, 0
     for i, n in enumerate(sizes):
         if total and total + n > limit:
@@ -128,10 +164,12 @@ def tokenized(docs: DataFrame, tokenizer_json: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = PieceEncoder.of(tokenizer_json, end_id)
         for batch in batches:
-            for part in _parts(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
+            for part in _parts(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), PART):
                 rows = batch.slice(part.start, part.stop - part.start)
-                ids, doc_ids = encode([t or "" for t in rows.column(1).to_pylist()]), rows.column(0)
-                yield pa.RecordBatch.from_arrays([doc_ids, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+                ids, ends = encode(rows.column(1))
+                offsets = np.concatenate(([0], ends))
+                data = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets * 4), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(offsets)), data], names=["doc_id", "n_tokens", "ids"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
@@ -251,7 +289,7 @@ def _coded(code: Code, cuts: np.ndarray):
         for batch in batches:
             sizes = batch.column(1).to_numpy()
             shards = np.searchsorted(cuts, batch.column(0).fill_null(-(1 << 63)).to_numpy(), side="left")
-            for part in _parts(sizes.tolist()):
+            for part in _parts(sizes.tolist(), CODED):
                 n = sizes[part]
                 rows = batch.slice(part.start, part.stop - part.start)
                 payload, starts, at = code.encode(np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint32), n)
