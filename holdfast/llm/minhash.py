@@ -29,6 +29,7 @@ BANDS, ROWS = 48, 6  #: a pair at Jaccard 0.8 shares no band with a chance of 5e
 SKETCH = 512  #: signature coordinates of which the sketch keeps one bit each
 #: Bits that may differ: 51 are expected at Jaccard 0.8, where 88 is 5.4 standard deviations off.
 SKETCH_APART = 88
+SKETCH_SHINGLES = 8_000  #: in larger sets a slot serves several coordinates, so bits are no longer independent: no sketch
 BIG = 64  #: classes of a component from which on it is compared block by block
 BLOCK, AGAINST = 128, 512  #: classes of a big component, and others, that meet in one group, about
 BROADCAST_IDS = 1_000_000  #: class ids (8 bytes each) that may be broadcast
@@ -197,7 +198,7 @@ def small_pairs(open_: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     differ = sum(F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH // 64))
     near = (
         (left.key == right.key) & (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b"))
-        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (differ <= SKETCH_APART)
+        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((differ <= SKETCH_APART) | (F.greatest("n_a", "n_b") > SKETCH_SHINGLES))
         & (F.array_intersect("bands_a", "bands_b")[0] == left.key)
     )
     return left.join(right, near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
