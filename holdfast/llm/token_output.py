@@ -25,6 +25,7 @@ LIMIT = 16  #: bits of the longest code
 CHECKPOINT = 256  #: tokens between bit offsets
 BLOCK_TOKENS = 1 << 18  #: tokens of a block, or one text
 SHARD_TOKENS = 1 << 23  #: tokens of a shard, about; one task writes a shard
+SHARDS, PER_CUT = 8192, 200  #: shards at most, beyond which they grow; sampled doc_ids for each bound between two
 UNITS = 400_000  #: words and other units of text whose ids a worker remembers
 PART = 1 << 22  #: characters tokenised at once
 CODED = 1 << 20  #: tokens coded at once
@@ -349,8 +350,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         spark.createDataFrame([], BLOCKS).write.mode("overwrite").parquet(f"{folder}/blocks")
         return
     # shards are ranges of doc_ids with bounds from quantiles, so no row is tokenised twice to sample it
-    n = max(1, -(-int(counts.sum()) // shard_tokens))
-    cuts = tokens.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else []
+    n = min(SHARDS, max(1, -(-int(counts.sum()) // shard_tokens)))
+    every = max(1, int(counts[ids == end_id].sum()) // (n * PER_CUT))
+    sample = tokens.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)  # balance only: each row finds its shard by the bounds
+    cuts = sample.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else []
     cuts = sorted(set(cuts or []))
     coded = tokens.select("doc_id", "n_tokens", "ids").mapInArrow(_coded(Code(ids, lengths), np.array(cuts, np.int64)), "shard int, doc_id long, n_tokens long, marks array<long>, payload binary")
     dealt = coded.repartition("shard").sortWithinPartitions("shard", "doc_id", "n_tokens", "payload")
