@@ -12,6 +12,8 @@ a window). Texts are not shuffled by the search.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from .common import Scratch, broadcast_if_small
 
 WINDOW = 13  #: template words; a shorter item is one window of its own length
 MIN_WORDS = 4  #: words of a window that are no placeholders, and of an item to be looked for at all
+RUN = 4  #: words of a run; MIN_WORDS at most
 BROADCAST_WINDOWS = 200_000  #: windows (24 bytes each) that may be broadcast
 BROADCAST_MATCHES = 500_000  #: doc_ids of matches (8 bytes each) that may be broadcast
 
@@ -29,36 +32,53 @@ UNITS = ["%", "percent", "km", "m", "cm", "mm", "kg", "g", "mg", "lb", "lbs", "o
 _NUM, _NAME, _UNIT = "\u0001", "\u0002", "\u0003"
 
 
-def tokens_of(text: Column) -> Column:
-    """Tokens of the whole text; placeholders carry their type's mark before their value."""
+def _marked(text: Column) -> Column:
+    """The whole text as lower-case tokens between single spaces; placeholders carry their type's mark before their value."""
     units = "|".join(UNITS[1:])
     t = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), "[\\x00-\\x08]", " ")
     t = F.regexp_replace(t, r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}[\p{L}'-]*)", _NAME + "$1")
     t = F.regexp_replace(t, r"[$€£]?(?<![\p{L}\p{N}])(\p{N}+(?:[.,]\p{N}+)*)", f" {_NUM}$1 ")
     t = F.regexp_replace(t, rf"({_NUM}\S+) *(%|(?i:{units})\b)", f"$1 {_UNIT}$2 ")
-    t = F.lower(F.regexp_replace(t, rf"[^\p{{L}}\p{{N}}\p{{M}}{_NUM}{_NAME}{_UNIT}%.]+|(?<!\p{{N}})\.|\.(?!\p{{N}})", " "))
-    return F.filter(F.split(t, " +"), lambda w: w != "")
+    return F.trim(F.lower(F.regexp_replace(t, rf"[^\p{{L}}\p{{N}}\p{{M}}{_NUM}{_NAME}{_UNIT}%.]+|(?<!\p{{N}})\.|\.(?!\p{{N}})", " ")))
+
+
+def tokens_of(text: Column) -> Column:
+    """Tokens with the placeholders' values; an empty text has one empty token."""
+    return F.split(_marked(text), " +")
 
 
-def template_of(tokens: Column) -> Column:
+def template_of(text: Column) -> Column:
     """Tokens without the placeholders' values."""
-    return F.split(F.regexp_replace(F.array_join(tokens, " "), rf"([{_NUM}{_NAME}{_UNIT}])\S*", "$1"), " ")
+    return F.split(F.regexp_replace(_marked(text), rf"([{_NUM}{_NAME}{_UNIT}])\S*", "$1"), " +")
 
 
 def _is_slot(w: Column) -> Column:
     return w.isin(_NUM, _NAME, _UNIT)
 
 
-def _windows(df: DataFrame, length: int, hashes_only: bool) -> DataFrame:
-    """df: id, tokens, template. A row for each window: id, pos (from 1), h, and the window unless hashes_only."""
-    at = F.sequence(F.lit(1), F.size("template") - length + 1)
-    hashes = F.transform(at, lambda i: F.xxhash64(F.lit(length), F.slice("template", i, length)))
-    rows = df.filter(F.size("template") >= length)
-    if hashes_only:
-        return rows.select("id", F.posexplode(hashes).alias("pos", "h")).withColumn("pos", F.col("pos") + 1)
-    rows = rows.select("id", "tokens", "template", F.explode(at).alias("pos"))
-    rows = rows.withColumn("window", F.slice("template", "pos", length)).withColumn("values", F.slice("tokens", "pos", length))
-    return rows.select("id", "pos", F.xxhash64(F.lit(length), "window").alias("h"), "window", "values")
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value; the optimiser can't inline a lambda's variable, so value is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _hashes(template: Column, length: int) -> Column:
+    """A hash of each window of template words, from the hashes of the runs of RUN words that cover it; null if none."""
+    starts = [*range(0, length - RUN, RUN), length - RUN]
+
+    def runs(t: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(t) - RUN), lambda i: F.xxhash64(*(F.get(t, i + j) for j in range(RUN))))
+
+    def windows(r: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(r) + RUN - length)
+        return F.transform(places, lambda i: F.xxhash64(F.lit(length), *(F.get(r, i + j) for j in starts)))
+
+    return _let(template, lambda t: F.when(F.size(t) >= length, _let(runs(t), windows)))
+
+
+def _windows(rows: DataFrame, length: int) -> DataFrame:
+    """rows: id, tokens, template. A row for each window: id, pos (from 1), h, window, values."""
+    rows = rows.select("id", "tokens", "template", F.posexplode(_hashes(F.col("template"), length)).alias("at", "h")).withColumn("pos", F.col("at") + 1)
+    return rows.select("id", "pos", "h", F.slice("template", "pos", length).alias("window"), F.slice("tokens", "pos", length).alias("values"))
 
 
 def _literal(window: str) -> Column:
@@ -73,8 +93,8 @@ def consistent(left: str, right: str) -> Column:
 
 
 def _prepared(df: DataFrame, key: str) -> DataFrame:
-    rows = df.select(F.col(key).cast("long").alias("id"), tokens_of(F.col("text")).alias("tokens"))
-    return rows.withColumn("template", template_of(F.col("tokens")))
+    text = F.col("text")
+    return df.select(F.col(key).cast("long").alias("id"), tokens_of(text).alias("tokens"), template_of(text).alias("template"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -92,10 +112,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     found = None
     for length in lengths:
         own = items if length == window else items.filter(F.size("template") == length)
-        own = _windows(own, length, False).filter(_literal("window"))
+        own = _windows(own, length).filter(_literal("window"))
         own = scratch.save(own.select(F.col("id").alias("item_id"), "h", F.col("window").alias("item_window"), F.col("values").alias("item_values")), f"windows-{length}")
         keys = broadcast_if_small(own.select("h").distinct(), BROADCAST_WINDOWS)
-        hits = _windows(_prepared(docs, "doc_id"), length, True).join(keys, "h", "left_semi")
+        hashes = docs.select(F.col("doc_id").cast("long").alias("id"), F.posexplode(_hashes(template_of(F.col("text")), length)).alias("at", "h"))
+        hits = hashes.join(keys, "h", "left_semi").select("id", (F.col("at") + 1).alias("pos"), "h")
         hits = scratch.save(hits.distinct(), f"hits-{length}")
         # only texts with a hit are canonicalised again, to compare windows in full
         ids = broadcast_if_small(hits.select("id").distinct(), BROADCAST_MATCHES)
