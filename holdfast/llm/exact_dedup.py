@@ -26,7 +26,8 @@ BLOCK_CHARS = 4096
 
 def normalised(text: Column) -> Column:
     """Null counts as empty; every run of white space becomes one space."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), f"[{SPACE}]+", " ")
+    # a single space stays as it is, so only other runs are matched
+    return F.regexp_replace(F.coalesce(text, F.lit("")), rf"[\x09-\x0D][{SPACE}]*|\x20[{SPACE}]+", " ")
 
 
 def _numbered(distinct: DataFrame, order: list[str]) -> DataFrame:
