@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -85,29 +86,28 @@ class PieceEncoder:
         self.at, self.ids, self.first = {}, self.ids[:0], self.first[:1]
 
     def _numbers(self, words: list[str], others: list[str]) -> np.ndarray:
-        """The units' numbers; new units are encoded, and those that find no room get numbers beyond the memory's."""
-        units = words + others
-        numbers = [self.at.get(u) for u in units]
-        new = [i for i, n in enumerate(numbers) if n is None]
+        """The units' numbers; new units are encoded, and those that find no room get numbers beyond the memory's.
+
+        words hold a unit once; others may repeat one, such as the empty one.
+        """
+        known = len(self.at)
+        new_words, rest = [w for w in words if w not in self.at], list(dict.fromkeys(u for u in others if u not in self.at))
         flat: list[int] = []
         sizes: list[int] = []
         tokenize, letters = self.tokenizer.model.tokenize, self.letters
-        for i in (i for i in new if i < len(words)):
+        for word in new_words:
             before = len(flat)
-            flat.extend([t.id for t in tokenize(units[i].translate(letters))])
+            flat.extend([t.id for t in tokenize(word.translate(letters))])
             sizes.append(len(flat) - before)
-        rest = [units[i] for i in new if i >= len(words)]
         for at in range(0, len(rest), 1000):
             for e in self.tokenizer.encode_batch_fast(rest[at : at + 1000], add_special_tokens=False):
                 flat.extend(e.ids)
                 sizes.append(len(e.ids))
         self.ids = np.concatenate((self.ids, np.array(flat, np.uint32)))
         self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(np.array(sizes, np.int64))))
-        known = len(self.at)
-        for j, i in enumerate(new):
-            numbers[i] = known + j
-        for i in new[: max(0, UNITS - known)]:
-            self.at[units[i]] = numbers[i]
+        new = dict(zip(new_words + rest, range(known, known + len(sizes)), strict=True))
+        numbers = [self.at[u] if u in self.at else new[u] for u in words + others]
+        self.at.update(islice(new.items(), max(0, UNITS - known)))
         return np.array(numbers, np.int64)
 
     def __call__(self, texts: pa.Array, cuts: bool = False) -> tuple[np.ndarray, np.ndarray]:
