@@ -108,17 +108,17 @@ def mix(
     # the partial epoch: blocks in the order of the permutation, with the tokens before them
     last = F.xxhash64(F.lit(seed), "_source", F.col("whole") + 1, "_b")
     before = F.sum("tokens").over(Window.partitionBy("_source").orderBy(last, "_b")) - F.col("tokens")
-    plan = plan.withColumn("left", F.greatest(F.col("rest") - before, F.lit(0)))
-    plan = scratch.save(plan.select("_source", "_b", "_weight", "whole", "tokens", "left"), "plan")
+    plan = plan.withColumn("__left", F.greatest(F.col("rest") - before, F.lit(0)))
+    plan = scratch.save(plan.select("_source", "_b", "_weight", F.col("whole").alias("__whole"), F.col("tokens").alias("__size"), "__left"), "plan")
     plan = broadcast_if_small(plan, BROADCAST_BLOCKS)
 
     held = rows.join(plan, ["_source", "_b"])
-    cut = (F.col("left") > 0) & (F.col("left") < F.col("tokens"))
-    used = held.withColumn("n", F.col("whole") + (F.col("left") >= F.col("tokens")).cast("long") * (F.col("tokens") > 0).cast("long"))
-    used = used.filter("n > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n")
+    cut = (F.col("__left") > 0) & (F.col("__left") < F.col("__size"))
+    used = held.withColumn("__n", F.col("__whole") + (F.col("__left") >= F.col("__size")).cast("long") * (F.col("__size") > 0).cast("long"))
+    used = used.filter("__n > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(1).cast("long"), "__n"))).drop("__n")
     within = Window.partitionBy("_source", "_b").orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    partial = held.filter(cut).withColumn("so_far", F.sum("_tokens").over(within)).filter("so_far <= left")
-    partial = partial.withColumn("_epoch", F.col("whole") + 1).drop("so_far")
+    partial = held.filter(cut).withColumn("__so_far", F.sum("_tokens").over(within)).filter("__so_far <= __left")
+    partial = partial.withColumn("_epoch", F.col("__whole") + 1).drop("__so_far")
     out = used.unionByName(partial)
     place = F.pmod(F.xxhash64(F.lit(seed), "_source", "_epoch", "_b"), F.lit(2**31)).cast("int").alias("_block")
     return out.select(*docs.columns, "_epoch", place, "_tokens", "_weight")
