@@ -69,7 +69,7 @@ def _hashes(template: Column, length: int) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size(t) - RUN), lambda i: F.xxhash64(*(F.get(t, i + j) for j in range(RUN))))
 
     def windows(r: Column) -> Column:
-        places = F.sequence(F.lit(0), F.size(r) + RUN - length)
+        places = F.sequence(F.lit(0), F.size(r) + RUN - 1 - length)
         return F.transform(places, lambda i: F.xxhash64(F.lit(length), *(F.get(r, i + j) for j in starts)))
 
     return _let(template, lambda t: F.when(F.size(t) >= length, _let(runs(t), windows)))
