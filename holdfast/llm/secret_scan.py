@@ -1,9 +1,10 @@
 """Secret scan: base patterns, and a character convolutional network over every other candidate.
 
-Candidates are long runs of key-like characters with a digit. The network sees the candidate and its surrounding
-characters: embedded characters, one convolution, ReLU, maximum over the positions, and a logistic layer, all in
-numpy. It is trained on labelled findings; Platt scaling on findings held out calibrates it, and the threshold is
-the highest one that keeps the wanted recall on them.
+Candidates are long runs of key-like characters with a digit. The network sees a window of the candidate and its
+surrounding characters: embedded characters, one convolution, ReLU, maximum over the positions, and a logistic layer,
+all in numpy. Overlapping windows cover a run to its end, and one more starts at each part between '=' and '/'; the
+highest score counts. The network is trained on labelled findings; Platt scaling on findings held out, cut into
+windows as a scan cuts them, calibrates it, and the threshold is the highest one that keeps the wanted recall on them.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +26,12 @@ KINDS = ("assign", "access", "hex", "model")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _DIGIT = re.compile("[0-9]")
+_PART = re.compile("[^=/]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 
+LEAST = 16  #: characters of a candidate
 BEFORE, INSIDE, AFTER = 24, 40, 8
+STEP = INSIDE // 2  #: between the windows of a long run
 WIDTH = BEFORE + INSIDE + AFTER
 CHARS, EMBED, FILTERS, KERNEL = 98, 8, 24, 5
 
@@ -48,6 +53,41 @@ def window(text: str, start: int, end: int) -> bytes:
     return (before + inside + text[end : end + AFTER].ljust(AFTER, "\0")).encode("latin-1", "replace")
 
 
+def cuts(text: str, start: int, end: int) -> list[tuple[int, int, int, int]]:
+    """Windows of a run: (start and end of what the network sees, start and end of the parts that it touches)."""
+    parts = [m.span() for m in _PART.finditer(text, start, end)]
+    heads, tails = [p[0] for p in parts], [p[1] for p in parts]
+    seen = {(s, min(s + INSIDE, end)) for s in (*range(start, max(start + 1, end - INSIDE + STEP), STEP), *heads)}
+    seen.update((s, e) for s, e in parts if LEAST <= e - s < INSIDE)
+    out = []
+    for s, e in sorted(seen):
+        head, tail = bisect_right(heads, s) - 1, bisect_left(tails, e)
+        first = heads[head] if head >= 0 and s < tails[head] else s
+        out.append((s, e, first, tails[tail] if tail < len(parts) and heads[tail] < e else e))
+    return out
+
+
+def candidates(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """The windows of all candidates of a text with these base spans."""
+    out = []
+    for m in CANDIDATE.finditer(text):
+        s, e = m.span()
+        if _DIGIT.search(m[0]) and not any(s < f[2] and f[0] < e for f in found):
+            out += cuts(text, s, e)
+    return out
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 _CODE = np.full(256, 97, np.int64)
 _CODE[0], _CODE[10] = 0, 96
 _CODE[32:127] = np.arange(1, 96)
@@ -57,6 +97,10 @@ def codes(windows: list[bytes]) -> np.ndarray:
     return _CODE[np.frombuffer(b"".join(windows), np.uint8)].reshape(len(windows), WIDTH)
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 + np.tanh(z / 2))
+
+
 class CharNet:
     """embedding (characters + inside/outside flag) -> convolution -> ReLU -> max -> logistic."""
 
@@ -105,21 +149,26 @@ class CharNet:
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([self._forward(x[i : i + 512])[3] for i in range(0, len(x), 512)] or [np.zeros(0)])
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Platt scaling by Newton steps, then the highest threshold that keeps the recall."""
-        z = self.logits(x).astype(float)
+    def calibrate(self, z: np.ndarray, y: np.ndarray, recall: float) -> None:
+        """Platt scaling by Newton steps, then the highest threshold that keeps the recall. z: -inf where nothing was scored."""
+        every, scored = z[y == 1], np.isfinite(z)
+        z, y = z[scored].astype(float), y[scored]
         target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+        loss = lambda q: (np.logaddexp(0, q[0] * z + q[1]) - target * (q[0] * z + q[1])).sum()
+        at = np.array([self.scale, self.offset])
         for _ in range(50):
-            p = 1 / (1 + np.exp(-(self.scale * z + self.offset)))
+            p = _sigmoid(at[0] * z + at[1])
             g, w = p - target, np.maximum(p * (1 - p), 1e-6)
             hess = np.array([[w @ (z * z) + 1e-3, w @ z], [w @ z, w.sum() + 1e-3]])
             step = np.linalg.solve(hess, [g @ z, g.sum()])
-            self.scale, self.offset = self.scale - step[0], self.offset - step[1]
-        ranked = np.sort(self.scores(x)[y == 1])
+            # well separated findings make whole steps overshoot
+            at = next((q for q in (at - step / 2**i for i in range(20)) if loss(q) < loss(at)), at)
+        self.scale, self.offset = float(at[0]), float(at[1])
+        ranked = np.sort(_sigmoid(self.scale * every + self.offset))
         self.threshold = float(ranked[int((1 - recall) * len(ranked))])
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.scale * self.logits(x) + self.offset)))
+        return _sigmoid(self.scale * self.logits(x) + self.offset)
 
 
 _BASE62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -148,6 +197,10 @@ def generated_findings(n: int = 4000, seed: int = 5) -> list[tuple[str, int, int
         else:
             value = r.choice((body("0123456789abcdef", 20, 40), "_".join((word(), word(), word())) + body("0123456789", 1, 3), "-".join((word(), word(), body("0123456789", 4, 8), word())), body("0123456789", 16, 24), word() + word().title() + word().title() + body("0123456789", 1, 2) + word()))
             line = r.choice(HARMLESS_FORMS)
+        if r.random() < 0.3:  # in one run with a path or a name before it, or a path after it
+            path = "/".join(r.choice((word, word, lambda: body(_BASE62[26:36] + _BASE62[52:], 4, 9)))() for _ in range(r.randint(1, 9)))
+            named = "_".join(word().upper() for _ in range(r.randint(2, 7)))
+            line = line.replace("{}", r.choice((f"https://{word()}.com/{path}/{{}}", f"/{path}/{{}}", f"{path}/{{}}/{word()}/{word()}", f"{named}={{}}")))
         text = " ".join(word() for _ in range(r.randint(0, 5))) + r.choice((" ", "\n", ". ", "")) + line
         start = text.index("{}")
         if r.random() < 0.2:
@@ -159,12 +212,30 @@ def generated_findings(n: int = 4000, seed: int = 5) -> list[tuple[str, int, int
 
 def train(findings: list[tuple[str, int, int, int]], recall: float = 0.98) -> CharNet:
     """findings: a bounded list; every fifth is held out for the calibration and the threshold."""
-    x = codes([window(t, s, e) for t, s, e, _ in findings])
     y = np.array([f[3] for f in findings], np.float32)
     held = np.arange(len(y)) % 10 < 2
+    windows, labels = [], []
+    for text, start, end, secret in (f for f, h in zip(findings, held, strict=True) if not h):
+        windows.append(window(text, start, end))
+        labels.append(secret)
+        for s, e, *_ in candidates(text, []):
+            shared = min(e, end) - max(s, start)
+            # a window that holds but a little of the value is neither
+            if (shared <= 0 or not secret or shared >= min(end - start, STEP)) and (s, e) != (start, end):
+                windows.append(window(text, s, e))
+                labels.append(secret if shared > 0 else 0)
     net = CharNet()
-    net.fit(x[~held], y[~held])
-    net.calibrate(x[held], y[held], recall)
+    net.fit(codes(windows), np.array(labels, np.float32))
+    best, known = np.full(len(y), -np.inf), np.zeros(len(y), bool)
+    for i in np.flatnonzero(held):
+        text, start, end, _ = findings[i]
+        found = base_spans(text)
+        known[i] = any(f[0] <= start and end <= f[2] for f in found)
+        own = [window(text, s, e) for s, e, *_ in candidates(text, found) if s < end and start < e]
+        if own:
+            best[i] = net.logits(codes(own)).max()
+    # secrets that a base pattern finds are not the network's; those that no candidate holds count as missed
+    net.calibrate(best[held & ~known], y[held & ~known], recall)
     return net
 
 
@@ -174,17 +245,16 @@ def scan(texts: list[str], net: CharNet) -> list[list[tuple[int, int, int]]]:
     for i, text in enumerate(texts):
         found = base_spans(text)
         spans.append(found)
-        for m in CANDIDATE.finditer(text):
-            s, e = m.span()
-            if _DIGIT.search(m[0]) and not any(s < f[2] and f[0] < e for f in found):
-                windows.append(window(text, s, e))
-                where.append((i, s, e))
+        for s, e, first, last in candidates(text, found):
+            windows.append(window(text, s, e))
+            where.append((i, first, last))
     if windows:
+        hits: dict[int, list[tuple[int, int]]] = {}
         for (i, s, e), p in zip(where, net.scores(codes(windows)), strict=True):
             if p >= net.threshold:
-                spans[i].append((s, 3, e))
-        for i in {w[0] for w in where}:
-            spans[i].sort()
+                hits.setdefault(i, []).append((s, e))
+        for i, found in hits.items():
+            spans[i] = sorted(spans[i] + [(s, 3, e) for s, e in merged(found)])
     return spans
 
 

@@ -50,6 +50,16 @@ def test_secret_model_holds_out(net):
     assert (p & y).sum() / y.sum() > 0.93 and (p & ~y).sum() / (~y).sum() < 0.25
 
 
+def test_secret_behind_a_long_head(net):
+    key = "aB3xQ9LmZ2tR8vWk5YpD1cN7"
+    for text in (f"run AWS_SECRET_ACCESS_KEY_FOR_STAGING_ENVIRONMENT={key} now", f"see com/services/T00000000/B00000000/{key} ok", f"{'archive/' * 12}{key}"):
+        found = secret_scan.scan([text], net)[0]
+        assert any(k == 3 and s <= text.index(key) and text.index(key) + len(key) <= e for s, k, e in found), text
+    run = "".join(random.Random(1).choice("abcdef0123/=") for _ in range(500))
+    seen = [(s, e) for s, e, first, last in secret_scan.cuts(run, 0, len(run)) if first <= s < e <= last]
+    assert all(any(s <= i and i + secret_scan.STEP <= e for s, e in seen) for i in range(len(run) - secret_scan.STEP + 1))
+
+
 # --- URLs ---------------------------------------------------------------------------------------
 
 
