@@ -1,10 +1,13 @@
 """Secret scan: base patterns, and a character convolutional network over every other candidate.
 
-Candidates are long runs of key-like characters with a digit. The network sees a window of the candidate and its
+Candidates are long runs of key-like characters, and whatever follows a key-like name, of any length; what a base
+span covers is cut from them. The network sees a window of the candidate and its
 surrounding characters: embedded characters, one convolution, ReLU, maximum over the positions, and a logistic layer,
 all in numpy. Overlapping windows cover a run to its end, and one more starts at each part between '=' and '/'; the
 highest score counts. The network is trained on labelled findings; Platt scaling on findings held out, cut into
-windows as a scan cuts them, calibrates it, and the threshold is the highest one that keeps the wanted recall on them.
+windows as a scan cuts them, calibrates it, and the threshold is the highest one that keeps the wanted recall on those
+that no base pattern covers, so that the recall of the whole scan is that at least. Shorter runs without such a name
+are not looked at.
 """
 
 from __future__ import annotations
@@ -25,7 +28,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 KINDS = ("assign", "access", "hex", "model")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_DIGIT = re.compile("[0-9]")
+# names are searched by their stem and then read on, each character once
+_STEM = re.compile(r"pass(?:word|wd|phrase|code)?|pwd|secret|token|key|bearer|credential|auth(?:orization)?", re.IGNORECASE)
+_REST = re.compile(r"(s?)([A-Za-z0-9_-]*)")
+_ASSIGNED = re.compile(r"""["'\])]*[ \t]*(?:[:=]|->)[:=>]?[ \t]*(?:(?:bearer|basic)[ \t]+)?""", re.IGNORECASE)
+_SPACED = re.compile(r"[ \t]+(?:(?:is|was)[ \t]+)?", re.IGNORECASE)
+_LOGIN = re.compile(r"://[^\s/:@]{0,256}:([^\s/@]+)@")
+_VALUE = re.compile(r"""(["'`])((?:(?!\1)[^\n])+)\1|\S+""")
 _PART = re.compile("[^=/]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 
@@ -67,14 +76,45 @@ def cuts(text: str, start: int, end: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def values(text: str) -> list[tuple[int, int]]:
+    """What follows key-like names, and passwords inside URLs: quoted text, or a whole word without the marks around it."""
+    out, at = [m.span(1) for m in _LOGIN.finditer(text)], 0
+    while m := _STEM.search(text, at):
+        rest = _REST.match(text, m.end())
+        at = rest.end()
+        link = _ASSIGNED.match(text, at) or (None if rest[2] else _SPACED.match(text, at))
+        if link and (value := _VALUE.match(text, link.end())):
+            s, e = value.span(2) if value[1] else value.span()
+            if not value[1]:
+                e -= len(value[0]) - len(value[0].rstrip("\"'`()[]{}<>,;."))
+                s += len(value[0]) - len(value[0].lstrip("\"'`()[]{}<>"))
+            if s < e:
+                out.append((s, e))
+    return out
+
+
+def without(start: int, end: int, found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What is left of a span outside sorted base spans."""
+    out = []
+    for s, _, e in found:
+        if s < end and start < e:
+            if start < s:
+                out.append((start, s))
+            start = e
+    return [*out, (start, end)] if start < end else out
+
+
 def candidates(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """The windows of all candidates of a text with these base spans."""
     out = []
     for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        if _DIGIT.search(m[0]) and not any(s < f[2] and f[0] < e for f in found):
+        for s, e in without(*m.span(), found):
+            if e - s >= LEAST:
+                out += cuts(text, s, e)
+    for value in values(text):
+        for s, e in without(*value, found):
             out += cuts(text, s, e)
-    return out
+    return list(dict.fromkeys(out))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -190,20 +230,28 @@ def generated_findings(n: int = 4000, seed: int = 5) -> list[tuple[str, int, int
     word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9)))
     body = lambda letters, low, high: "".join(r.choice(letters) for _ in range(r.randint(low, high)))
     for i in range(n):
-        secret = i % 2
+        secret, short = i % 2, False
         if secret:
             value = r.choice((body(_BASE62, 18, 44), body(_BASE62 + "+/", 22, 60) + "=", body("0123456789abcdef", 24, 64), "ghp_" + body(_BASE62, 30, 36), "sk_live_" + body(_BASE62, 20, 30), "xoxb-" + body("0123456789", 10, 12) + "-" + body(_BASE62, 18, 24)))
             line = r.choice(SECRET_FORMS)
+            if r.random() < 0.15:
+                value = body(_BASE62[:52], 16, 24)
+            elif short := r.random() < 0.2:  # beside its name only, without which it is no secret
+                value = r.choice((body(_BASE62 + "!#$%&*", 6, 15), word() + body("0123456789", 1, 3) + body("xyz!_", 1, 2)))
         else:
             value = r.choice((body("0123456789abcdef", 20, 40), "_".join((word(), word(), word())) + body("0123456789", 1, 3), "-".join((word(), word(), body("0123456789", 4, 8), word())), body("0123456789", 16, 24), word() + word().title() + word().title() + body("0123456789", 1, 2) + word()))
             line = r.choice(HARMLESS_FORMS)
-        if r.random() < 0.3:  # in one run with a path or a name before it, or a path after it
+            if r.random() < 0.4:  # long words, names and rules, and plain words after a key-like name
+                value = r.choice((lambda: body(_BASE62[26:52], 2, 6) + word() + word() + word(), lambda: "-".join((word(), word(), word(), word())), lambda: word().title() + word().title() + word().title() + word().title(), lambda: r.choice("-=_x*") * r.randint(16, 80)))()
+                if r.random() < 0.3:
+                    line, value = r.choice(("the token {} was", "password is {}", "a key {} in", "secret: {}", "pass {}", "auth {}")), word()
+        if r.random() < 0.3 and not short:  # in one run with a path or a name before it, or a path after it
             path = "/".join(r.choice((word, word, lambda: body(_BASE62[26:36] + _BASE62[52:], 4, 9)))() for _ in range(r.randint(1, 9)))
             named = "_".join(word().upper() for _ in range(r.randint(2, 7)))
             line = line.replace("{}", r.choice((f"https://{word()}.com/{path}/{{}}", f"/{path}/{{}}", f"{path}/{{}}/{word()}/{word()}", f"{named}={{}}")))
         text = " ".join(word() for _ in range(r.randint(0, 5))) + r.choice((" ", "\n", ". ", "")) + line
         start = text.index("{}")
-        if r.random() < 0.2:
+        if r.random() < 0.2 and not short:
             text = text.upper().replace(" ", "!! ")
             start = text.index("{}")
         out.append((text.replace("{}", value) + r.choice(("", "\n", " ", ", ")) + " ".join(word() for _ in range(r.randint(0, 4))), start, start + len(value), secret))
