@@ -6,6 +6,9 @@ compared in full; a match counts if the slots agree: within the window one bench
 document value of the same type and the reverse, so "Tom has 3 apples and Tom eats 3" meets "Ann has 7 pears ..."
 only where its own values repeat alike. Only DataFrame functions are used.
 
+What is a name can't be told for sure, so texts are typed in several ways (TYPINGS), and a match in any of them counts:
+without names, with capitalised words inside sentences, with capitalised words anywhere.
+
 The benchmark's windows are broadcast behind a check of their number; beyond it the join shuffles hashes (24 bytes
 a window). Texts are not shuffled by the search.
 """
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, broadcast_if_small
 
 WINDOW = 13  #: template words; a shorter item is one window of its own length
-MIN_WORDS = 4  #: words of a window that are no placeholders, and of an item to be looked for at all
+MIN_WORDS = 4  #: words of a window that are no placeholders, below which its values must agree; tokens of an item to be looked for at all
 RUN = 4  #: words of a run; MIN_WORDS at most
 BROADCAST_WINDOWS = 200_000  #: windows (24 bytes each) that may be broadcast
 BROADCAST_MATCHES = 500_000  #: doc_ids of matches (8 bytes each) that may be broadcast
@@ -32,24 +35,29 @@ UNITS = ["%", "percent", "km", "m", "cm", "mm", "kg", "g", "mg", "lb", "lbs", "o
 _NUM, _NAME, _UNIT = "\u0001", "\u0002", "\u0003"
 
 
-def _marked(text: Column) -> Column:
+#: What becomes a name: nothing, capitalised words inside sentences, capitalised words anywhere.
+TYPINGS = {"none": None, "inside": r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}[\p{L}'-]*)", "capital": r"(?<![\p{L}\p{N}])(\p{Lu}\p{Ll}[\p{L}'-]*)"}
+
+
+def _marked(text: Column, typing: str) -> Column:
     """The whole text as lower-case tokens between single spaces; placeholders carry their type's mark before their value."""
     units = "|".join(UNITS[1:])
     t = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), "[\\x00-\\x08]", " ")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}[\p{L}'-]*)", _NAME + "$1")
+    if TYPINGS[typing]:
+        t = F.regexp_replace(t, TYPINGS[typing], _NAME + "$1")
     t = F.regexp_replace(t, r"[$€£]?(?<![\p{L}\p{N}])(\p{N}+(?:[.,]\p{N}+)*)", f" {_NUM}$1 ")
     t = F.regexp_replace(t, rf"({_NUM}\S+) *(%|(?i:{units})\b)", f"$1 {_UNIT}$2 ")
     return F.trim(F.lower(F.regexp_replace(t, rf"[^\p{{L}}\p{{N}}\p{{M}}{_NUM}{_NAME}{_UNIT}%.]+|(?<!\p{{N}})\.|\.(?!\p{{N}})", " ")))
 
 
-def tokens_of(text: Column) -> Column:
+def tokens_of(text: Column, typing: str = "inside") -> Column:
     """Tokens with the placeholders' values; an empty text has one empty token."""
-    return F.split(_marked(text), " +")
+    return F.split(_marked(text, typing), " +")
 
 
-def template_of(text: Column) -> Column:
+def template_of(text: Column, typing: str = "inside") -> Column:
     """Tokens without the placeholders' values."""
-    return F.split(F.regexp_replace(_marked(text), rf"([{_NUM}{_NAME}{_UNIT}])\S*", "$1"), " +")
+    return F.split(F.regexp_replace(_marked(text, typing), rf"([{_NUM}{_NAME}{_UNIT}])\S*", "$1"), " +")
 
 
 def _is_slot(w: Column) -> Column:
@@ -81,7 +89,7 @@ def _windows(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("id", "pos", "h", F.slice("template", "pos", length).alias("window"), F.slice("tokens", "pos", length).alias("values"))
 
 
-def _literal(window: str) -> Column:
+def _literal(window: str | Column) -> Column:
     return F.size(F.array_distinct(F.filter(window, lambda w: ~_is_slot(w)))) >= MIN_WORDS
 
 
@@ -92,37 +100,47 @@ def consistent(left: str, right: str) -> Column:
     return (F.size(pairs) == side(left)) & (F.size(pairs) == side(right))
 
 
-def _prepared(df: DataFrame, key: str) -> DataFrame:
+def _prepared(df: DataFrame, key: str, typing: str, plain: bool) -> DataFrame:
     text = F.col("text")
-    return df.select(F.col(key).cast("long").alias("id"), tokens_of(text).alias("tokens"), template_of(text).alias("template"))
+    tokens = tokens_of(text, typing)
+    return df.select(F.col(key).cast("long").alias("id"), tokens.alias("tokens"), (tokens if plain else template_of(text, typing)).alias("template"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per doc_id with a consistent match: doc_id, item_ids (sorted), n_windows (matched places).
+    """One row per doc_id with a match: doc_id, item_ids (sorted), n_windows (matched places).
 
     Reads ``doc_id``/``text`` and ``item_id``/``text`` only. Null and empty texts match nothing, nor do rows with a
-    null id; an item of fewer than MIN_WORDS different words is too short to look for. Repeated rows count once a
-    place. An empty table on either side gives no rows.
+    null id; an item of fewer than MIN_WORDS words, numbers included, is too short to look for. Repeated rows count
+    once a place. An empty table on either side gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    items = scratch.save(_prepared(benchmark.filter("item_id IS NOT NULL"), "item_id").filter(F.size("template") >= MIN_WORDS), "items")
-    short = items.filter(F.size("template") < window).select(F.size("template").alias("n")).distinct()
-    lengths = [window, *sorted(r["n"] for r in short.collect())]  # fewer than ``window`` different lengths
     docs = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    found = None
-    for length in lengths:
-        own = items if length == window else items.filter(F.size("template") == length)
-        own = _windows(own, length).filter(_literal("window"))
-        own = scratch.save(own.select(F.col("id").alias("item_id"), "h", F.col("window").alias("item_window"), F.col("values").alias("item_values")), f"windows-{length}")
-        keys = broadcast_if_small(own.select("h").distinct(), BROADCAST_WINDOWS)
-        hashes = docs.select(F.col("doc_id").cast("long").alias("id"), F.posexplode(_hashes(template_of(F.col("text")), length)).alias("at", "h"))
-        hits = hashes.join(keys, "h", "left_semi").select("id", (F.col("at") + 1).alias("pos"), "h")
-        hits = scratch.save(hits.distinct(), f"hits-{length}")
-        # only texts with a hit are canonicalised again, to compare windows in full
-        ids = broadcast_if_small(hits.select("id").distinct(), BROADCAST_MATCHES)
-        again = _prepared(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), "doc_id")
-        again = again.join(hits, "id").select("id", "pos", "h", F.slice("template", "pos", length).alias("window"), F.slice("tokens", "pos", length).alias("values"))
-        same = again.join(own, "h").filter((F.col("window") == F.col("item_window")) & consistent("item_values", "values"))
-        same = same.select("id", "item_id", "pos")
-        found = same if found is None else found.union(same)
+    found = docs.sparkSession.createDataFrame([], "id long, item_id long, pos int")
+    # tokens stand at the same places in all typings
+    for typing, plain in ((t, False) for t in TYPINGS):
+        mode = "plain" if plain else typing
+        items = _prepared(benchmark.filter("item_id IS NOT NULL"), "item_id", typing, plain).filter(F.size("template") >= MIN_WORDS)
+        items = scratch.save(items, f"items-{mode}")
+        short = items.filter(F.size("template") < window).select(F.size("template").alias("n")).distinct()
+        for length in [window, *sorted(r["n"] for r in short.collect())]:  # fewer than ``window`` different lengths
+            own = items if length == window else items.filter(F.size("template") == length)
+            own = _windows(own, length)
+            if plain:  # what the templates leave out
+                own = own.filter(~_literal(F.transform("window", lambda w: F.regexp_replace(w, rf"([{_NUM}{_NAME}{_UNIT}])\S*", "$1"))))
+            else:  # windows without names are those of the first typing
+                own = own.filter(_literal("window") & (F.array_contains("window", _NAME) if TYPINGS[typing] else F.lit(True)))
+            own = scratch.save(own.select(F.col("id").alias("item_id"), "h", F.col("window").alias("item_window"), F.col("values").alias("item_values")), f"windows-{mode}-{length}")
+            if own.isEmpty():
+                continue
+            keys = broadcast_if_small(own.select("h").distinct(), BROADCAST_WINDOWS)
+            words = (tokens_of if plain else template_of)(F.col("text"), typing)
+            hashes = docs.select(F.col("doc_id").cast("long").alias("id"), F.posexplode(_hashes(words, length)).alias("at", "h"))
+            hits = hashes.join(keys, "h", "left_semi").select("id", (F.col("at") + 1).alias("pos"), "h")
+            hits = scratch.save(hits.distinct(), f"hits-{mode}-{length}")
+            # only texts with a hit are canonicalised again, to compare windows in full
+            ids = broadcast_if_small(hits.select("id").distinct(), BROADCAST_MATCHES)
+            again = _prepared(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), "doc_id", typing, plain)
+            again = again.join(hits, "id").select("id", "pos", "h", F.slice("template", "pos", length).alias("window"), F.slice("tokens", "pos", length).alias("values"))
+            same = again.join(own, "h").filter((F.col("window") == F.col("item_window")) & consistent("item_values", "values"))
+            found = found.union(same.select("id", "item_id", "pos"))
     return found.groupBy(F.col("id").alias("doc_id")).agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.count_distinct("pos").alias("n_windows"))

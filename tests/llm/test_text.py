@@ -157,6 +157,14 @@ def test_decontamination(spark):
     assert D.contaminated(table(spark, []), bench).collect() == [] == D.contaminated(table(spark, rows), bench.limit(0)).collect()
 
 
+def test_decontamination_names_at_any_place(spark):
+    items = [(1, "Maria has 12 plums. Maria buys 5 more. How many plums does Maria have now?"), (2, "Tom likes to eat green apples in the old garden"), (3, "Tom has 3 apples and Tom eats 3 of them before the very long school day ends")]
+    docs = [(1, "Olga has 7 plums. Olga buys 9 more. How many plums does Olga have now?"), (2, "he said Tom likes to eat green apples in the old garden"), (3, "MARIA HAS 8 PLUMS. MARIA BUYS 4 MORE. HOW MANY PLUMS DOES MARIA HAVE NOW?"),
+            (4, "Ann has 7 apples and Ann eats 7 of them before the very long school day ends"), (5, "Olga has 7 plums. Ann buys 9 more. How many plums does Eve have now?"), (6, items[2][1].lower().replace("3", "4"))]
+    got = D.contaminated(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert [r[:2] for r in tuples(got, "doc_id", "item_ids")] == [(1, [1]), (2, [2]), (3, [1]), (4, [3]), (6, [3])]
+
+
 LONG_FILL = " ".join(random.Random(2).choice(["river", "stone", "cloud", "paper"]) for _ in range(3000))
 
 
