@@ -7,7 +7,8 @@ document value of the same type and the reverse, so "Tom has 3 apples and Tom ea
 only where its own values repeat alike. Only DataFrame functions are used.
 
 What is a name can't be told for sure, so texts are typed in several ways (TYPINGS), and a match in any of them counts:
-without names, with capitalised words inside sentences, with capitalised words anywhere.
+without names, with capitalised words inside sentences, with capitalised words anywhere. Windows with too few words
+beside their placeholders are looked for with all their values, word by word.
 
 The benchmark's windows are broadcast behind a check of their number; beyond it the join shuffles hashes (24 bytes
 a window). Texts are not shuffled by the search.
@@ -117,7 +118,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     docs = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     found = docs.sparkSession.createDataFrame([], "id long, item_id long, pos int")
     # tokens stand at the same places in all typings
-    for typing, plain in ((t, False) for t in TYPINGS):
+    for typing, plain in (*((t, False) for t in TYPINGS), ("none", True)):
         mode = "plain" if plain else typing
         items = _prepared(benchmark.filter("item_id IS NOT NULL"), "item_id", typing, plain).filter(F.size("template") >= MIN_WORDS)
         items = scratch.save(items, f"items-{mode}")

@@ -165,6 +165,13 @@ def test_decontamination_names_at_any_place(spark):
     assert [r[:2] for r in tuples(got, "doc_id", "item_ids")] == [(1, [1]), (2, [2]), (3, [1]), (4, [3]), (6, [3])]
 
 
+def test_decontamination_few_words(spark):
+    items = [(1, "What is 17 + 25 * 3 - 40 / 8 + 12 * 6 - 91 + 14 * 2"), (2, "3 7 12 19 44 51"), (3, "Paris Rome Oslo"), (4, "5 km and 7 kg of 9 oz")]
+    docs = [(1, "Solve: " + items[0][1] + " today"), (2, items[0][1].replace("25", "26").replace("91", "90")), (3, "list 3, 7, 12, 19, 44, 51 end"), (4, "3 7 12 19 44 52"), (5, items[3][1].upper())]
+    got = D.contaminated(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert [r[:2] for r in tuples(got, "doc_id", "item_ids")] == [(1, [1]), (3, [2]), (5, [4])]
+
+
 LONG_FILL = " ".join(random.Random(2).choice(["river", "stone", "cloud", "paper"]) for _ in range(3000))
 
 
