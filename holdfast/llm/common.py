@@ -17,10 +17,13 @@ _own_roots: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a folder of our own only where it is unset and the
+    executors are threads of this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_roots:
         _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="holdfast-")
@@ -81,7 +84,7 @@ _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BYTE = np.random.default_rng(20240131).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -95,6 +98,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_place_keys = np.zeros(0, np.uint64)
+
+
+def place_keys(n: int) -> np.ndarray:
+    """Odd pseudo-random factors of the places of a word, n at least; no powers of one base, whose sums collide by design."""
+    global _place_keys
+    if len(_place_keys) < n:
+        _place_keys = mix64(np.arange(1, max(n, 256) + 1, dtype=np.uint64) * _GOLDEN) | np.uint64(1)
+    return _place_keys
+
+
 def hash_words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words between white space of all texts at once.
 
@@ -115,8 +129,8 @@ def hash_words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.n
     letters = buf[~space]
     first = np.concatenate(([0], np.cumsum(length)[:-1]))
     at = np.arange(len(letters)) - np.repeat(first, length)
-    powers = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(int(length.max()), _BASE))))
-    return mix64(np.add.reduceat(_BYTE[letters] * powers[at], first) + length.astype(np.uint64)), text_of, start, end
+    factors = place_keys(int(length.max()))
+    return mix64(np.add.reduceat(_BYTE[letters] * factors[at], first) + length.astype(np.uint64)), text_of, start, end
 
 
 def as_bytes(column) -> list[bytes]:
@@ -124,7 +138,7 @@ def as_bytes(column) -> list[bytes]:
     return [b"" if t is None else t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") for t in column]
 
 
-def chunks(texts: list[bytes], limit: int = 1 << 20):
+def chunks(texts: list[bytes], limit: int = 1 << 18):
     """Slices of consecutive texts of about ``limit`` bytes; one longer text makes a slice of its own."""
     at, size = 0, 0
     for i, t in enumerate(texts):
