@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 
@@ -79,58 +80,71 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
 
 # --- numpy tokenisation -------------------------------------------------------------------------
 
+_U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BYTE = np.random.default_rng(20240131).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_GOLDEN = _U(0x9E3779B97F4A7C15)
+#: The first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers with good avalanche."""
     x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(33)
-    x *= np.uint64(0xFF51AFD7ED558CCD)
-    x ^= x >> np.uint64(33)
-    x *= np.uint64(0xC4CEB9FE1A85EC53)
-    x ^= x >> np.uint64(33)
+    x ^= x >> _U(33)
+    x *= _U(0xFF51AFD7ED558CCD)
+    x ^= x >> _U(33)
+    x *= _U(0xC4CEB9FE1A85EC53)
+    x ^= x >> _U(33)
     return x
 
 
-_place_keys = np.zeros(0, np.uint64)
+class Words:
+    """Words between white space of several texts: hash, the text's index, and the bytes from start to end of data.
 
-
-def place_keys(n: int) -> np.ndarray:
-    """Odd pseudo-random factors of the places of a word, n at least; no powers of one base, whose sums collide by design."""
-    global _place_keys
-    if len(_place_keys) < n:
-        _place_keys = mix64(np.arange(1, max(n, 256) + 1, dtype=np.uint64) * _GOLDEN) | np.uint64(1)
-    return _place_keys
-
-
-def hash_words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words between white space of all texts at once.
-
-    Returns (64-bit hash of each word, index of its text, byte offset of its start and end in the texts
-    joined by one line feed each).
+    data holds the texts, lower-cased (A-Z), each with one line feed behind it. Hashes take eight bytes of a word at a
+    time; those of two words of the same length of eight bytes at most never collide.
     """
-    buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-    if lower:
-        buf = _LOWER[buf]
-    space = _IS_SPACE[buf]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).astype(np.int8)))
-    start, end = edge[0::2], edge[1::2]
-    sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
-    text_of = np.searchsorted(np.cumsum(sizes), start, side="right")
-    if not len(start):
-        return np.zeros(0, np.uint64), text_of, start, end
-    length = end - start
-    letters = buf[~space]
-    first = np.concatenate(([0], np.cumsum(length)[:-1]))
-    at = np.arange(len(letters)) - np.repeat(first, length)
-    factors = place_keys(int(length.max()))
-    return mix64(np.add.reduceat(_BYTE[letters] * factors[at], first) + length.astype(np.uint64)), text_of, start, end
+
+    def __init__(self, texts: list[bytes], lower: bool = True):
+        raw = np.frombuffer(b"\n".join(texts) + b"\n" + bytes(8), dtype=np.uint8)
+        self.data = _LOWER[raw] if lower else raw
+        self.space = _IS_SPACE[self.data[:-8]]
+        edge = np.flatnonzero(self.space[1:] != self.space[:-1]) + 1
+        if len(self.space) and not self.space[0]:
+            edge = np.concatenate(([0], edge))
+        self.start, self.end = edge[0::2], edge[1::2]
+        sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
+        self.owner = np.searchsorted(np.cumsum(sizes), self.start, side="right")
+        length = self.end - self.start
+        eights = np.ndarray((len(self.data) - 7,), "<u8", self.data, strides=(1,))
+        h = mix64(length.astype(_U) * _GOLDEN)
+        h = mix64(h ^ (eights[self.start] & _FIRST[np.minimum(length, 8)]))
+        left, at = np.flatnonzero(length > 8), 8
+        while len(left):
+            more = np.minimum(length[left] - at, 8)
+            h[left] = mix64(h[left] * _GOLDEN + (eights[self.start[left] + at] & _FIRST[more]))
+            at += 8
+            left = left[length[left] > at]
+        self.hashes = h
+
+    def digests(self, texts: int) -> np.ndarray:
+        """128 bits of each text's words in order, cryptographic."""
+        keep = ~self.space
+        keep[1:] |= ~self.space[:-1]
+        place = np.cumsum(keep)
+        joined = np.where(self.space, np.uint8(32), self.data[:-8])[keep].tobytes()
+        count = np.bincount(self.owner, minlength=texts)
+        last = np.cumsum(count)
+        begin, stop = np.zeros(texts, np.int64), np.zeros(texts, np.int64)
+        full = np.flatnonzero(count)
+        begin[full] = place[self.start[last[full] - count[full]]] - 1
+        stop[full] = place[self.end[last[full] - 1] - 1]
+        of = memoryview(joined)
+        made = [hashlib.blake2b(of[b:e], digest_size=16).digest() for b, e in zip(begin.tolist(), stop.tolist(), strict=True)]
+        return np.frombuffer(b"".join(made), np.int64).reshape(-1, 2)
 
 
 def as_bytes(column) -> list[bytes]:

@@ -4,7 +4,8 @@ A document's set holds its distinct k-word shingles. One permutation scatters sh
 second permutation of the slots, read circularly from slot + 0, slot + 1, ..., gives all signature coordinates:
 the coordinates of one shingle are neighbours in memory. Coordinates are banded; each band is a bucket key.
 
-Documents with the same set are one class from the start, so copies never meet pair by pair. In a bucket, members
+Documents with the same words in the same order are one class from the start, found by a 128-bit cryptographic digest,
+so copies never meet pair by pair. In a bucket, members
 are first held against one pivot (a star), then, in a second round, members still apart against a pivot picked
 anew per bucket, and at last all members of different components that a signature sketch doesn't rule out; a big
 component meets others block by block, so that no pairs of its members are listed.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, broadcast_if_small, chunks, hash_words, mix64
+from .common import Scratch, Words, as_bytes, broadcast_if_small, chunks, mix64
 
 SLOT_BITS = 22
 BANDS, ROWS = 48, 6  #: a pair at Jaccard 0.8 shares no band with a chance of 5e-7
@@ -32,15 +33,16 @@ SKETCH_APART = 88
 SKETCH_SHINGLES = 8_000  #: in larger sets a slot serves several coordinates, so bits are no longer independent: no sketch
 BIG = 64  #: classes of a component from which on it is compared block by block
 BLOCK, AGAINST = 128, 512  #: classes of a big component, and others, that meet in one group, about
+MOST_TASKS = 10_000
 BROADCAST_IDS = 1_000_000  #: class ids (8 bytes each) that may be broadcast
 
 _U = np.uint64
 
 
-def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(found: Words, texts: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 64-bit shingle hashes of each text and the index of their text, sorted by text."""
-    words, text_of, _, _ = hash_words(texts)
-    count = np.bincount(text_of, minlength=len(texts))
+    words, text_of = found.hashes, found.owner
+    count = np.bincount(text_of, minlength=texts)
     parts, owners = [], []
     if len(words) >= k:
         h = np.zeros(len(words) - k + 1, _U)
@@ -65,18 +67,8 @@ def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return sets[new], owner[new]
 
 
-def fingerprints(sets: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for each set, the same for equal sets in any order; n: the sets' sizes."""
-    ends = np.concatenate(([0], np.cumsum(n)))
-    out = []
-    for salt in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB):
-        total = np.concatenate((np.zeros(1, _U), np.cumsum(mix64(sets ^ _U(salt)))))
-        out.append((total[ends[1:]] - total[ends[:-1]]).view(np.int64))
-    return out[0], out[1]
-
-
 class Signatures:
-    """Band keys, sketches and set fingerprints of batches of texts."""
+    """Set sizes, band keys, sketches and digests of batches of texts."""
 
     def __init__(self, k: int):
         self.k, self.size = k, max(BANDS * ROWS, SKETCH)
@@ -84,7 +76,8 @@ class Signatures:
         self.view = np.lib.stride_tricks.sliding_window_view(np.concatenate((slots, slots[: self.size])), self.size)
 
     def __call__(self, texts: list[bytes]):
-        sets, owner = shingle_sets(texts, self.k)
+        words = Words(texts)
+        sets, owner = shingle_sets(words, len(texts), self.k)
         n = np.bincount(owner, minlength=len(texts))
         bounds = np.concatenate(([0], np.cumsum(n)))
         slots = (mix64(sets ^ _U(0x5851F42D4C957F2D)) >> _U(64 - SLOT_BITS)).astype(np.int64)
@@ -99,36 +92,24 @@ class Signatures:
         for j in range(ROWS):
             keys = mix64(keys * _U(0x9E3779B97F4A7C15) + sig[:, j : BANDS * ROWS : ROWS])
         sketch = np.packbits((sig[:, :SKETCH] & 1).astype(np.uint8), axis=1).view(np.int64)
-        return n, *fingerprints(sets, n), keys.view(np.int64), sketch
+        return n, keys.view(np.int64), sketch, words.digests(len(texts))
+
+
+SIGNED = "doc_id long, text_key long, n long, f1 long, f2 long, bands array<long>, sketch array<long>"
 
 
 def _signed(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+    names = [x.split()[0] for x in SIGNED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = Signatures(k)
+        rows = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32)), pa.array(a.ravel()))
         for batch in batches:
-            texts, ids = as_bytes(batch.column(1).to_pylist()), batch.column(0)
-            for part in chunks(texts):
-                n, f1, f2, keys, sketch = sign(texts[part])
-                rows = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32)), pa.array(a.ravel()))
-                yield pa.RecordBatch.from_arrays([ids[part.start : part.stop], pa.array(n), pa.array(f1), pa.array(f2), rows(keys), rows(sketch)], schema=schema)
-
-    return run
-
-
-def _of_class(k: int):
-    """Rows whose text has the fingerprint of its class: tells repeated doc_ids with other texts apart."""
-
-    def run(batches):
-        for batch in batches:
-            texts = as_bytes(batch.column(3).to_pylist())
+            texts = as_bytes(batch.column(2).to_pylist())
             for part in chunks(texts):
-                sets, owner = shingle_sets(texts[part], k)
-                rows = batch.slice(part.start, part.stop - part.start)
-                f1, f2 = fingerprints(sets, np.bincount(owner, minlength=len(texts[part])))
-                same = (f1 == rows.column(1).to_numpy()) & (f2 == rows.column(2).to_numpy())
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(3)], names=["node", "text"]).filter(pa.array(same))
+                n, keys, sketch, f = sign(texts[part])
+                ids = batch.slice(part.start, part.stop - part.start)
+                yield pa.RecordBatch.from_arrays([ids.column(0), ids.column(1), pa.array(n), pa.array(f[:, 0]), pa.array(f[:, 1]), rows(keys), rows(sketch)], names=names)
 
     return run
 
@@ -243,26 +224,35 @@ def against_big(scratch: Scratch, open_: DataFrame, labels: DataFrame, texts: Da
     right = labels.withColumnRenamed("label", "big").join(parts, "big").select("node", "big", dealt(F.col("blocks")).alias("block"), upto("salts").alias("salt"))
     left = left.join(texts, "node").select("node", "text", "big", "block", "salt").toDF("node", "text", "x", "y", "z")
     right = right.join(texts, "node").select("node", "text", "big", "block", "salt")
+    # a group is little to read and much to compare, so groups are dealt to tasks by their number
+    groups = parts.agg(F.sum(F.col("blocks") * F.col("salts"))).first()[0] or 1
+    n = min(int(groups), MOST_TASKS)
+    left, right = left.repartition(n, "x", "y", "z"), right.repartition(n, "big", "block", "salt")
     return left.groupBy("x", "y", "z").cogroup(right.groupBy("big", "block", "salt")).applyInPandas(_block_links(k, percent), "a long, b long")
 
 
+NO_ID = (1 << 63) - 1  #: stands for a null doc_id where rows are found again
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+    """One row per input row: doc_id, n_shingles, component_id, kept, group, text_key.
 
     Reads ``doc_id`` and ``text`` only. Null, empty and blank texts have an empty set and link with nothing: each
-    is its own component. Repeated rows have equal sets and share a component; a null doc_id is never the smallest
-    unless a component has no other (component_id is then null and kept false). An empty table gives no rows.
+    is its own component, and group is null. group is one number for each component, whatever its doc_ids; text_key is
+    a hash of the row's text, by which rows under one doc_id are told apart. Rows with equal texts share a component, and
+    rows without doc_id link like others; a null doc_id is never the smallest unless a component has no other
+    (component_id is then null and kept false). Texts of any length are taken whole. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "minhash")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n long, f1 long, f2 long, bands array<long>, sketch array<long>"
-    signed = scratch.save(texts.mapInArrow(_signed(k), schema), "signed")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    signed = scratch.save(texts.select("doc_id", "text_key", "text").mapInArrow(_signed(k), SIGNED), "signed")
 
-    classes = signed.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("first_id"))
-    classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    # the row that stands for a class; a class without any doc_id is whole without links to others only by its set
-    heads = signed.filter("n > 0").join(classes.withColumnRenamed("first_id", "doc_id"), ["f1", "f2", "doc_id"])
-    heads = scratch.save(heads.select("node", "doc_id", "n", "f1", "f2", "bands", "sketch"), "heads")
+    row = [F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("text_key")]
+    classes = signed.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("first_id"), F.min(F.struct(*row)).alias("row"))
+    classes = scratch.save(classes.select("f1", "f2", "first_id", "row.*").withColumn("node", F.monotonically_increasing_id()), "classes")
+    # the row that stands for a class
+    heads = signed.select(*row, "n", "f1", "f2", "bands", "sketch").join(classes.drop("first_id"), ["f1", "f2", "id", "text_key"])
+    heads = scratch.save(heads.select("node", "id", "text_key", "n", "bands", "sketch"), "heads")
 
     entries = heads.select("node", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).filter("pivot != most")
@@ -271,10 +261,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     met = scratch.save(members.select("node").distinct(), "met")
     met_heads = heads.join(broadcast_if_small(met, BROADCAST_IDS), "node", "left_semi")
     met_heads = scratch.save(met_heads.dropDuplicates(["node"]), "met-heads")
-    names = met_heads.select("node", "doc_id", "f1", "f2")
-    whole = texts.join(broadcast_if_small(names, BROADCAST_IDS), "doc_id").select("node", "f1", "f2", "text")
-    whole = scratch.save(whole.mapInArrow(_of_class(k), "node long, text string"), "texts")
-    names = names.select("node", "doc_id")
+    names = met_heads.select("node", "id", "text_key")
+    whole = texts.select(*row, "text").join(broadcast_if_small(names, BROADCAST_IDS), ["id", "text_key"])
+    whole = scratch.save(whole.select("node", "text").dropDuplicates(["node"]), "texts")
 
     def labelled(labels: DataFrame) -> DataFrame:
         out = members.join(labels, "node", "left")
@@ -308,16 +297,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         links = links.union(scratch.save(confirm(pairs, whole, k, percent), "links-3"))
         labels = components(scratch, links, "c3")
 
-    linked = labels.join(names, "node")
-    least = linked.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    linked = linked.join(scratch.save(least, "least"), "label").select("node", "component_id")
+    linked = labels.join(classes.select("node", "first_id"), "node")
+    least = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    linked = linked.join(scratch.save(least, "least"), "label").select("node", "label", "component_id")
     ids = classes.join(scratch.save(linked, "linked"), "node", "left")
-    ids = scratch.save(ids.select("f1", "f2", F.coalesce("component_id", "first_id").alias("component_id"), F.lit(True).alias("of_class")), "ids")
-    out = signed.select("doc_id", "n", *(F.when(F.col("n") > 0, F.col(f)).alias(f) for f in ("f1", "f2"))).join(ids, ["f1", "f2"], "left")
-    own = F.when(F.col("of_class"), F.col("component_id")).otherwise(F.col("doc_id"))
+    ids = ids.select("f1", "f2", F.when(F.col("label").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("label", "node").alias("group"))
+    ids = scratch.save(ids, "ids")
+    out = signed.select("doc_id", "text_key", "n", *(F.when(F.col("n") > 0, F.col(f)).alias(f) for f in ("f1", "f2"))).join(ids, ["f1", "f2"], "left")
+    own = F.when(F.col("group").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         own.alias("component_id"),
         F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"),
+        "group",
+        "text_key",
     )
