@@ -1,17 +1,19 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, names and units of a text become typed placeholders that keep their value beside them; everything else is
-lower-cased words without punctuation. Windows of template words of benchmark and documents are joined by hash and
-compared in full; a match counts if the slots agree: within the window one benchmark value always maps to one
-document value of the same type and the reverse, so "Tom has 3 apples and Tom eats 3" meets "Ann has 7 pears ..."
-only where its own values repeat alike. Only DataFrame functions are used.
-
-What is a name can't be told for sure, so texts are typed in several ways (TYPINGS), and a match in any of them counts:
-without names, with capitalised words inside sentences, with capitalised words anywhere. Windows with too few words
-beside their placeholders are looked for with all their values, word by word.
-
-The benchmark's windows are broadcast behind a check of their number; beyond it the join shuffles hashes (24 bytes
-a window). Texts are not shuffled by the search.
+Numbers, units after numbers, and names of a text become typed placeholders that keep their value beside them;
+everything else is lower-cased words without punctuation. Windows of template words of benchmark and documents are
+joined by hash and then compared in full with their slots: in its window each placeholder carries the place where its
+value first stood, so two windows are equal only if their words are and if one benchmark value always stands for one
+document value of the same type and the reverse. "Tom has 3 apples and Tom eats 3" meets "Ann has 7 apples and Ann eats
+7", and not "Ann has 7 apples and Eve eats 7". Only DataFrame functions are used.
+
+What is a name can't be told for sure, so windows are looked for in three modes, in one pass over the texts: without
+names (finds verbatim copies and changed numbers, in any case and at any place), with capitalised words anywhere as names
+(finds renamed questions), and, for windows with too few words beside their placeholders, with all values as words.
+
+The benchmark's keys are broadcast behind a check of their number; beyond it the join shuffles keys (24 bytes each).
+Texts are not shuffled by the search. Equal windows of several items are one class, and items meet documents only in the
+result.
 """
 
 from __future__ import annotations
@@ -24,45 +26,46 @@ from pyspark.sql import functions as F
 from .common import Scratch, broadcast_if_small
 
 WINDOW = 13  #: template words; a shorter item is one window of its own length
-MIN_WORDS = 4  #: words of a window that are no placeholders, below which its values must agree; tokens of an item to be looked for at all
-RUN = 4  #: words of a run; MIN_WORDS at most
-BROADCAST_WINDOWS = 200_000  #: windows (24 bytes each) that may be broadcast
+KEY = 8  #: first words of a window, by whose hash windows meet
+MIN_WORDS = 4  #: different words of a window that are no placeholders, below which its values must agree; tokens of an item to be looked for at all
+BROADCAST_KEYS = 200_000  #: keys (8 bytes each) that may be broadcast
 BROADCAST_MATCHES = 500_000  #: doc_ids of matches (8 bytes each) that may be broadcast
 
 #: Units, as whole words after a number: fixed values.
 UNITS = ["%", "percent", "km", "m", "cm", "mm", "kg", "g", "mg", "lb", "lbs", "oz", "l", "ml", "miles", "mile", "meters", "feet", "foot", "inches", "inch", "hours", "hour", "minutes", "minute", "seconds", "second", "days", "day", "weeks", "week", "months", "month", "years", "year", "dollars", "dollar", "cents", "euros", "euro", "pounds", "usd", "eur"]
 
-# marks of placeholders inside the token stream; control characters don't survive the punctuation rule below
-_NUM, _NAME, _UNIT = "\u0001", "\u0002", "\u0003"
+# marks of placeholders at the start of a token, all below _MARKS in order; texts lose them first
+_NUM, _NAME, _UNIT, _MARKS = "\u0001", "\u0002", "\u0003", "\u0004"
 
+WITHOUT_NAMES, WITH_NAMES, PLAIN = MODES = range(3)
 
-#: What becomes a name: nothing, capitalised words inside sentences, capitalised words anywhere.
-TYPINGS = {"none": None, "inside": r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}[\p{L}'-]*)", "capital": r"(?<![\p{L}\p{N}])(\p{Lu}\p{Ll}[\p{L}'-]*)"}
 
+def tokens_of(text: Column) -> Column:
+    """The whole text as lower-case tokens; placeholders carry their type's mark before their value.
 
-def _marked(text: Column, typing: str) -> Column:
-    """The whole text as lower-case tokens between single spaces; placeholders carry their type's mark before their value."""
-    units = "|".join(UNITS[1:])
-    t = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), "[\\x00-\\x08]", " ")
-    if TYPINGS[typing]:
-        t = F.regexp_replace(t, TYPINGS[typing], _NAME + "$1")
-    t = F.regexp_replace(t, r"[$€£]?(?<![\p{L}\p{N}])(\p{N}+(?:[.,]\p{N}+)*)", f" {_NUM}$1 ")
-    t = F.regexp_replace(t, rf"({_NUM}\S+) *(%|(?i:{units})\b)", f"$1 {_UNIT}$2 ")
-    return F.trim(F.lower(F.regexp_replace(t, rf"[^\p{{L}}\p{{N}}\p{{M}}{_NUM}{_NAME}{_UNIT}%.]+|(?<!\p{{N}})\.|\.(?!\p{{N}})", " ")))
-
-
-def tokens_of(text: Column, typing: str = "inside") -> Column:
-    """Tokens with the placeholders' values; an empty text has one empty token."""
-    return F.split(_marked(text, typing), " +")
+    A text without words, and one that begins or ends with other characters, has empty tokens at its ends.
+    """
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    marks = _NUM + _NAME + _UNIT
+    t = F.when(F.contains(t, F.lit(_NUM)) | F.contains(t, F.lit(_NAME)) | F.contains(t, F.lit(_UNIT)), F.translate(t, marks, "   ")).otherwise(t)
+    # each pattern begins with the class that most characters fail
+    t = F.regexp_replace(t, r"(\p{Lu}(?<![\p{L}\p{N}]\p{Lu})(?=\p{Ll}))", _NAME + "$1")
+    t = F.regexp_replace(t, r"(\p{N}(?<![\p{L}\p{N}]\p{N})\p{N}*(?:[.,]\p{N}+)*)", f" {_NUM}$1 ")
+    t = F.regexp_replace(t, rf"({_NUM}\S+) *(%|(?i:{'|'.join(UNITS[1:])})\b)", f"$1 {_UNIT}$2 ")
+    return F.split(F.lower(t), rf"(?:[^\p{{L}}\p{{N}}\p{{M}}{marks}%.,]|[.,](?!\p{{N}})|[.,](?<!\p{{N}}[.,]))+")
 
 
-def template_of(text: Column, typing: str = "inside") -> Column:
-    """Tokens without the placeholders' values."""
-    return F.split(F.regexp_replace(_marked(text, typing), rf"([{_NUM}{_NAME}{_UNIT}])\S*", "$1"), " +")
+def _value(token: Column, mode: int) -> Column:
+    """The token as a mode sees it, with its value: names are words but in WITH_NAMES."""
+    return token if mode == WITH_NAMES else F.when(F.startswith(token, F.lit(_NAME)), F.substring(token, 2, 1 << 30)).otherwise(token)
 
 
-def _is_slot(w: Column) -> Column:
-    return w.isin(_NUM, _NAME, _UNIT)
+def _word(token: Column, mode: int) -> Column:
+    """The token's template word in a mode: placeholders without their values but in PLAIN."""
+    bare = token if mode == PLAIN else F.substring(token, 1, 1)
+    if mode != WITH_NAMES:
+        bare = F.when(F.startswith(token, F.lit(_NAME)), F.substring(token, 2, 1 << 30)).otherwise(bare)
+    return F.when(token < _MARKS, bare).otherwise(token)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -70,78 +73,84 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _hashes(template: Column, length: int) -> Column:
-    """A hash of each window of template words, from the hashes of the runs of RUN words that cover it; null if none."""
-    starts = [*range(0, length - RUN, RUN), length - RUN]
-
-    def runs(t: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(t) - RUN), lambda i: F.xxhash64(*(F.get(t, i + j) for j in range(RUN))))
-
-    def windows(r: Column) -> Column:
-        places = F.sequence(F.lit(0), F.size(r) + RUN - 1 - length)
-        return F.transform(places, lambda i: F.xxhash64(F.lit(length), *(F.get(r, i + j) for j in starts)))
+def _keys(tokens: Column, lengths: dict[int, list[int]]) -> Column:
+    """For each mode and key length, the array of hashes of that many template words from each place on."""
 
-    return _let(template, lambda t: F.when(F.size(t) >= length, _let(runs(t), windows)))
+    def of_mode(mode: int) -> Column:
+        def runs(h: Column, n: int) -> Column:
+            places = F.sequence(F.lit(0), F.size(h) - n)
+            return F.when(F.size(h) >= n, F.transform(places, lambda i: F.xxhash64(F.lit(mode), F.lit(n), *(F.get(h, i + j) for j in range(n)))))
 
+        words = F.transform(tokens, lambda w: F.xxhash64(_word(w, mode)))
+        return _let(words, lambda h: F.array(*(runs(h, n) for n in lengths[mode])))
 
-def _windows(rows: DataFrame, length: int) -> DataFrame:
-    """rows: id, tokens, template. A row for each window: id, pos (from 1), h, window, values."""
-    rows = rows.select("id", "tokens", "template", F.posexplode(_hashes(F.col("template"), length)).alias("at", "h")).withColumn("pos", F.col("at") + 1)
-    return rows.select("id", "pos", "h", F.slice("template", "pos", length).alias("window"), F.slice("tokens", "pos", length).alias("values"))
+    return F.flatten(F.array(*(of_mode(m) for m in lengths)))
 
 
-def _literal(window: str | Column) -> Column:
-    return F.size(F.array_distinct(F.filter(window, lambda w: ~_is_slot(w)))) >= MIN_WORDS
+def _shaped(values: Column) -> Column:
+    """A window with slots: placeholders as their type and the place where their value first stands."""
+    slot = lambda w: F.concat(F.substring(w, 1, 1), F.array_position(values, w).cast("string"))
+    return F.transform(values, lambda w: F.when((w < _MARKS) & (w != ""), slot(w)).otherwise(w))
 
 
-def consistent(left: str, right: str) -> Column:
-    """The pairs of slot values at the same place are a one-to-one mapping."""
-    pairs = F.array_distinct(F.filter(F.arrays_zip(left, right), lambda p: p[left].rlike(f"^[{_NUM}{_NAME}{_UNIT}]")))
-    side = lambda c: F.size(F.array_distinct(F.transform(pairs, lambda p: p[c])))
-    return (F.size(pairs) == side(left)) & (F.size(pairs) == side(right))
+def _window(tokens: str | Column, pos: Column, length: Column, mode: Column) -> Column:
+    """The window of ``length`` tokens from ``pos`` (from 1) on as its mode compares it."""
+    cut = F.slice(tokens, pos, length)
+    plain = F.transform(cut, lambda w: _value(w, PLAIN))
+    return _let(plain, lambda v: F.when(mode == WITH_NAMES, _let(cut, _shaped)).when(mode == WITHOUT_NAMES, _shaped(v)).otherwise(v))
 
 
-def _prepared(df: DataFrame, key: str, typing: str, plain: bool) -> DataFrame:
-    text = F.col("text")
-    tokens = tokens_of(text, typing)
-    return df.select(F.col(key).cast("long").alias("id"), tokens.alias("tokens"), (tokens if plain else template_of(text, typing)).alias("template"))
+def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """item_id, mode, length, h (of the first KEY words at most), window: all windows of all items to be looked for."""
+    items = benchmark.filter("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.filter(tokens_of(F.col("text")), lambda w: w != "").alias("tokens"))
+    items = items.filter(F.size("tokens") >= MIN_WORDS).withColumn("length", F.least(F.size("tokens"), F.lit(window)))
+    places = items.withColumn("pos", F.explode(F.sequence(F.lit(1), F.size("tokens") - F.col("length") + 1)))
+    held = places.withColumn("cut", F.slice("tokens", F.col("pos"), F.col("length")))
+    literal = lambda mode: F.array_distinct(F.filter(F.transform("cut", lambda w: _word(w, mode)), lambda w: w >= _MARKS))
+    enough = lambda mode: F.size(literal(mode)) >= MIN_WORDS
+    named = F.exists("cut", lambda w: F.startswith(w, F.lit(_NAME)))
+    of = F.array_compact(F.array(F.when(enough(WITHOUT_NAMES), WITHOUT_NAMES).otherwise(PLAIN), F.when(named & enough(WITH_NAMES), WITH_NAMES)))
+    held = held.withColumn("mode", F.explode(of))
+    key = None
+    first = lambda mode: F.transform(F.slice("cut", 1, KEY), lambda w: F.xxhash64(_word(w, mode)))
+    for mode in MODES:
+        words = first(mode)
+        for n in range(MIN_WORDS, KEY + 1):
+            fits = (F.col("mode") == mode) & (F.least("length", F.lit(KEY)) == n)
+            h = F.xxhash64(F.lit(mode), F.lit(n), *(F.get(words, F.lit(j)) for j in range(n)))
+            key = F.when(fits, h) if key is None else key.when(fits, h)
+    return held.select("item_id", "mode", "length", key.alias("h"), _window("tokens", F.col("pos"), F.col("length"), F.col("mode")).alias("window"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per doc_id with a match: doc_id, item_ids (sorted), n_windows (matched places).
 
     Reads ``doc_id``/``text`` and ``item_id``/``text`` only. Null and empty texts match nothing, nor do rows with a
-    null id; an item of fewer than MIN_WORDS words, numbers included, is too short to look for. Repeated rows count
-    once a place. An empty table on either side gives no rows.
+    null id; an item of fewer than MIN_WORDS tokens, numbers included, is too short to look for. Texts of any length are
+    read whole. Repeated rows count once a place. An empty table on either side gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    docs = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    found = docs.sparkSession.createDataFrame([], "id long, item_id long, pos int")
-    # tokens stand at the same places in all typings
-    for typing, plain in (*((t, False) for t in TYPINGS), ("none", True)):
-        mode = "plain" if plain else typing
-        items = _prepared(benchmark.filter("item_id IS NOT NULL"), "item_id", typing, plain).filter(F.size("template") >= MIN_WORDS)
-        items = scratch.save(items, f"items-{mode}")
-        short = items.filter(F.size("template") < window).select(F.size("template").alias("n")).distinct()
-        for length in [window, *sorted(r["n"] for r in short.collect())]:  # fewer than ``window`` different lengths
-            own = items if length == window else items.filter(F.size("template") == length)
-            own = _windows(own, length)
-            if plain:  # what the templates leave out
-                own = own.filter(~_literal(F.transform("window", lambda w: F.regexp_replace(w, rf"([{_NUM}{_NAME}{_UNIT}])\S*", "$1"))))
-            else:  # windows without names are those of the first typing
-                own = own.filter(_literal("window") & (F.array_contains("window", _NAME) if TYPINGS[typing] else F.lit(True)))
-            own = scratch.save(own.select(F.col("id").alias("item_id"), "h", F.col("window").alias("item_window"), F.col("values").alias("item_values")), f"windows-{mode}-{length}")
-            if own.isEmpty():
-                continue
-            keys = broadcast_if_small(own.select("h").distinct(), BROADCAST_WINDOWS)
-            words = (tokens_of if plain else template_of)(F.col("text"), typing)
-            hashes = docs.select(F.col("doc_id").cast("long").alias("id"), F.posexplode(_hashes(words, length)).alias("at", "h"))
-            hits = hashes.join(keys, "h", "left_semi").select("id", (F.col("at") + 1).alias("pos"), "h")
-            hits = scratch.save(hits.distinct(), f"hits-{mode}-{length}")
-            # only texts with a hit are canonicalised again, to compare windows in full
-            ids = broadcast_if_small(hits.select("id").distinct(), BROADCAST_MATCHES)
-            again = _prepared(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), "doc_id", typing, plain)
-            again = again.join(hits, "id").select("id", "pos", "h", F.slice("template", "pos", length).alias("window"), F.slice("tokens", "pos", length).alias("values"))
-            same = again.join(own, "h").filter((F.col("window") == F.col("item_window")) & consistent("item_values", "values"))
-            found = found.union(same.select("id", "item_id", "pos"))
-    return found.groupBy(F.col("id").alias("doc_id")).agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.count_distinct("pos").alias("n_windows"))
+    docs = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text")
+    own = scratch.save(item_windows(benchmark, window), "item-windows")
+    classes = own.select("mode", "length", "h", "window").distinct()
+    classes = scratch.save(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    members = scratch.save(own.join(classes, ["mode", "length", "h", "window"]).select("class", "item_id").distinct(), "members")
+    # MODES times KEY rows at most
+    lengths: dict[int, list[int]] = {}
+    for r in classes.select("mode", F.least("length", F.lit(KEY)).alias("n")).distinct().orderBy("mode", "n").collect():
+        lengths.setdefault(r["mode"], []).append(r["n"])
+    if not lengths:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_ids array<long>, n_windows long")
+    shapes = scratch.save(classes.select("h", "mode", "length").distinct(), "shapes")
+    keys = broadcast_if_small(shapes.select("h").distinct(), BROADCAST_KEYS)
+    tokens = tokens_of(F.col("text"))
+    hashes = docs.select("id", F.explode(_let(tokens, lambda t: _keys(t, lengths))).alias("keys")).select("id", F.posexplode("keys").alias("at", "h"))
+    hits = scratch.save(hashes.join(keys, "h", "left_semi").select("id", (F.col("at") + 1).alias("pos"), "h").distinct(), "hits")
+    # only texts with a hit are canonicalised again, to compare windows in full
+    ids = broadcast_if_small(hits.select("id").distinct(), BROADCAST_MATCHES)
+    again = docs.join(ids, "id", "left_semi").select("id", tokens.alias("tokens")).join(hits, "id").join(broadcast_if_small(shapes, BROADCAST_KEYS), "h")
+    again = again.select("id", "pos", "h", "mode", "length", _window("tokens", F.col("pos"), F.col("length"), F.col("mode")).alias("window"))
+    same = scratch.save(again.join(classes, ["h", "mode", "length", "window"]).select("id", "pos", "class").distinct(), "same")
+    places = same.groupBy("id").agg(F.count_distinct("pos").alias("n_windows"))
+    found = same.select("id", "class").distinct().join(members, "class").groupBy("id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+    return found.join(places, "id").select(F.col("id").alias("doc_id"), "item_ids", "n_windows")
