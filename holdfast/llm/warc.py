@@ -2,8 +2,14 @@
 
 A response record's bytes hold its WARC headers, the HTTP header and the payload. Of each come two records that refer
 to it: ``metadata`` (application/warc-fields: title, language, numbers of links and characters, HTTP status and
-headers) and ``conversion`` (text/plain: the page's visible text). Both preserve the response's target URI, date and
-digests; record ids are derived from the response's, so that a retried task writes the same bytes.
+headers, and the response's WARC headers) and ``conversion`` (text/plain: the page's visible text). Both preserve the
+response's target URI, date and digests; record ids are derived from the response's, so that a retried task writes the
+same bytes.
+
+Reading is total: header names count in any case, with or without a space after the colon, and may go on in the next
+line; a record without a sound length, or cut short, is skipped and reading goes on at the next one. Bodies lose their
+chunks and their gzip, deflate or zstd coding and are read in the character set that HTTP header or page name; what
+can't be undone stays as it is.
 """
 
 from __future__ import annotations
@@ -14,9 +20,11 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,20 +60,95 @@ def serialised(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return f"{VERSION}\r\n{head}\r\n".encode() + block + b"\r\n\r\n"
 
 
-def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of every record in uncompressed bytes; stops at a record that is cut short."""
+def fields_of(head: str) -> list[tuple[str, str]]:
+    """Name and value of header lines; a line that begins with white space goes on with the value before it."""
+    out: list[tuple[str, str]] = []
+    for line in head.splitlines():
+        name, colon, value = line.partition(":")
+        if line[:1] in (" ", "\t") and out:
+            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}")
+        elif colon and name.strip():
+            out.append((name.strip(), value.strip()))
+    return out
+
+
+def by_name(fields: list[tuple[str, str]]) -> dict[str, str]:
+    """The first value of each lower-cased name."""
+    out: dict[str, str] = {}
+    for name, value in fields:
+        out.setdefault(name.lower(), value)
+    return out
+
+
+_START = re.compile(rb"(?:\A|(?<=\n))WARC/[0-9]")
+
+
+def parsed(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """Headers and block of every sound record in uncompressed bytes; a damaged one is skipped."""
     at = 0
-    while (end := data.find(b"\r\n\r\n", at)) >= 0:
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            return
-        headers = dict(line.split(": ", 1) for line in lines[1:] if ": " in line)
-        size = int(headers.get("Content-Length", 0))
-        block = data[end + 4 : end + 4 + size]
-        if len(block) < size:
+    while start := _START.search(data, at):
+        end = data.find(b"\r\n\r\n", start.start())
+        if end < 0:
             return
-        yield headers, block
-        at = end + 4 + size + 4
+        fields = fields_of(data[start.start() : end].decode("utf-8", "replace").partition("\n")[2])
+        size = by_name(fields).get("content-length", "")
+        body = end + 4
+        if size.isascii() and size.isdigit() and body + int(size) <= len(data):
+            at = body + int(size)
+            yield fields, data[body:at]
+        else:
+            at = body
+
+
+def unchunked(body: bytes) -> bytes:
+    """The chunks of a chunked body; a body that isn't sound stays as it is from there on."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        size = body[at:end].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size):
+            break
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+    return b"".join(out) + body[at:]
+
+
+def decoded(body: bytes, coding: str) -> bytes:
+    """The body without its content codings, last one first; from an unknown or damaged coding on it stays as it is."""
+    for name in reversed([c.strip().lower() for c in coding.split(",") if c.strip()]):
+        try:
+            if name in ("gzip", "x-gzip"):
+                body = zlib.decompressobj(47).decompress(body)
+            elif name == "deflate":
+                body = zlib.decompressobj(15 if body[:1] == b"\x78" else -15).decompress(body)
+            elif name == "zstd":
+                body = zstandard.ZstdDecompressor().decompressobj().decompress(body)
+            elif name != "identity":
+                return body
+        except (zlib.error, zstandard.ZstdError):
+            return body
+    return body
+
+
+_CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.IGNORECASE)
+
+
+def page_of(block: bytes) -> tuple[str, list[tuple[str, str]], str]:
+    """Status line, header fields and text of an HTTP response."""
+    head, _, body = block.partition(b"\r\n\r\n")
+    status, _, rest = head.decode("utf-8", "replace").partition("\r\n")
+    fields = fields_of(rest)
+    named = by_name(fields)
+    if named.get("transfer-encoding", "").lower().split(",")[-1].strip() == "chunked":
+        body = unchunked(body)
+    body = decoded(body, named.get("content-encoding", ""))
+    found = _CHARSET.search(named.get("content-type", "")) or _CHARSET.search(body[:2048].decode("latin-1"))
+    try:
+        return status, fields, body.decode(found[1] if found else "utf-8", "replace")
+    except (LookupError, UnicodeError):  # no such set, or none of text
+        return status, fields, body.decode("utf-8", "replace")
 
 
 def _one_line(value: str) -> str:
@@ -85,26 +168,25 @@ def response(url: str | None, page: str | None, date: str) -> bytes:
     return serialised(headers, block)
 
 
-def derived(headers: dict[str, str], block: bytes) -> list[tuple[list[tuple[str, str]], bytes]]:
+def derived(fields: list[tuple[str, str]], block: bytes) -> list[tuple[list[tuple[str, str]], bytes]]:
     """The metadata and the conversion record of a response record."""
-    http, _, payload = block.partition(b"\r\n\r\n")
-    page = payload.decode("utf-8", "replace")
-    source, url = headers.get("WARC-Record-ID", ""), headers.get("WARC-Target-URI", "")
+    headers = by_name(fields)
+    status, http, page = page_of(block)
+    source, url = headers.get("warc-record-id", ""), headers.get("warc-target-uri", "")
     text = visible_text(page)
     title, lang = _TITLE.search(page), _LANG.search(page)
-    status, *fields = http.decode("utf-8", "replace").split("\r\n")
     facts = [
         ("title", _one_line(html.unescape(_TAG.sub("", title[1]))) if title else ""), ("language", lang[1].lower() if lang else ""),
         ("links", str(len(_LINK.findall(page)))), ("characters", str(len(text))), ("http-status", status),
-        *((f"http-{k.strip().lower()}", v.strip()) for k, _, v in (f.partition(":") for f in fields)),
+        *((f"http-{k.lower()}", v) for k, v in http), *((f"source-{k.lower()}", v) for k, v in fields),
     ]
     out = []
     for kind, content_type, data in (
-        ("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in facts).encode()),
-        ("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "surrogatepass")),
+        ("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in facts).encode("utf-8", "replace")),
+        ("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace")),
     ):
-        own = [("WARC-Type", kind), ("WARC-Record-ID", record_id(kind, source)), ("WARC-Date", headers.get("WARC-Date", "")), ("WARC-Target-URI", url), ("WARC-Refers-To", source)]
-        kept = [("WARC-Refers-To-Date", "WARC-Date"), ("WARC-Refers-To-Target-URI", "WARC-Target-URI"), ("WARC-Source-Block-Digest", "WARC-Block-Digest"), ("WARC-Source-Payload-Digest", "WARC-Payload-Digest")]
+        own = [("WARC-Type", kind), ("WARC-Record-ID", record_id(kind, source)), ("WARC-Date", headers.get("warc-date", "")), ("WARC-Target-URI", url), ("WARC-Refers-To", source)]
+        kept = [("WARC-Refers-To-Date", "warc-date"), ("WARC-Refers-To-Target-URI", "warc-target-uri"), ("WARC-Source-Block-Digest", "warc-block-digest"), ("WARC-Source-Payload-Digest", "warc-payload-digest")]
         own += [(k, headers[h]) for k, h in kept if h in headers]
         out.append(([*own, ("Content-Type", content_type), ("WARC-Block-Digest", digest(data))], data))
     return out
@@ -129,7 +211,8 @@ def derivatives(records: DataFrame) -> DataFrame:
     """Two rows for each response record in page_id, record (bytes): its metadata and its conversion.
 
     Bytes that hold several records give two rows for each response among them; other types, null and damaged
-    records give none. Repeated rows give repeated records. An empty table gives no rows.
+    records give none, and don't keep those after them from being read. Records of any length are read whole. Repeated
+    rows give repeated records. An empty table gives no rows.
     """
     names = [x.split()[0] for x in RECORDS.split(", ")]
 
@@ -137,10 +220,10 @@ def derivatives(records: DataFrame) -> DataFrame:
         for batch in batches:
             columns: list[list] = [[] for _ in names]
             for page, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for headers, block in parsed(data or b""):
-                    if headers.get("WARC-Type") != "response":
+                for fields, block in parsed(data or b""):
+                    if by_name(fields).get("warc-type", "").lower() != "response":
                         continue
-                    for own, out in derived(headers, block):
+                    for own, out in derived(fields, block):
                         h = dict(own)
                         row = (page, h["WARC-Type"], h["WARC-Record-ID"], h["WARC-Refers-To"], h["WARC-Target-URI"], h["WARC-Date"], h["Content-Type"], len(out), h["WARC-Block-Digest"], h.get("WARC-Source-Block-Digest"), h.get("WARC-Source-Payload-Digest"), "".join(f"{k}: {v}\r\n" for k, v in own), out.decode("utf-8", "replace"))
                         for c, v in zip(columns, row, strict=True):
@@ -187,7 +270,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
             for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = list(parsed(gzip.decompress(data)))
                 kinds = pa.map_(pa.string(), pa.string())
-                columns = [pa.array([file] * len(found), pa.string()), pa.array([list(h.items()) for h, _ in found], kinds), pa.array([b for _, b in found], pa.binary())]
+                columns = [pa.array([file] * len(found), pa.string()), pa.array([list(dict(h).items()) for h, _ in found], kinds), pa.array([b for _, b in found], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["file", "headers", "block"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
