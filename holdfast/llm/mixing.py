@@ -3,10 +3,12 @@
 A source's weight is its share of all tokens to the power of an exponent, normalised. The exponent is bisected to
 reach a target entropy or a limit on how often a source repeats. The weights are then realised within a token
 budget: a source's texts fall into a fixed number of blocks by hash; each epoch is a permutation of the blocks,
-whole epochs take all of them, and the last one takes blocks in order until the source's budget is used, cutting
-only its last block, text by text in hash order.
+whole epochs take all of them, and the last one takes blocks in that order until the source's budget is used, cutting
+only its last block. The block that is cut falls into smaller ones, of which again whole ones are taken in order, and
+the last of these is cut text by text, in hash order.
 
-Only block totals (BLOCKS rows a source) are ordered in one place; a hot source's rows stay spread.
+Only block totals (BLOCKS rows a source and epoch) and the texts of one small block of a source (a BLOCKS * BLOCKS-th
+of it) are ordered in one place; a hot source's rows stay spread.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[^{SPACE}]+")).cast("long")
 
 
-def exponent_for(shares: DataFrame, budget_ratio: float, entropy_share: float | None, max_repeats: float | None) -> float:
-    """The largest exponent in [0, 1] whose entropy reaches entropy_share of the maximum, raised if need be to the
-    smallest one at which no source repeats more than max_repeats times. shares: column p, positive, of sum 1.
+def exponent_for(shares: DataFrame, budget_ratio: float, entropy_gain: float | None, max_repeats: float | None) -> float:
+    """The largest exponent in [0, 1] whose entropy closes the share entropy_gain of the gap between the corpus' own and
+    the greatest possible one, raised if need be to the smallest one at which no source repeats more than max_repeats
+    times. shares: column p, positive, of sum 1.
 
     Both measures fall with the exponent or its opposite, so either is bisected; a step is one aggregate over the
     sources, however many there are.
@@ -63,62 +66,71 @@ def exponent_for(shares: DataFrame, budget_ratio: float, entropy_share: float |
         return low if take_low else high
 
     exponent = 1.0
-    if entropy_share is not None:
-        exponent = bisect(lambda h, _: h >= entropy_share * math.log(n), True)
+    if entropy_gain is not None:
+        own = measured([1.0])[0][0]
+        target = own + entropy_gain * (math.log(n) - own)
+        exponent = bisect(lambda h, _: h >= target, True)
     if max_repeats is not None:
-        exponent = max(exponent, bisect(lambda _, r: r <= max_repeats, False)) if entropy_share is not None else bisect(lambda _, r: r <= max_repeats, False)
+        within = bisect(lambda _, r: r <= max_repeats, False)
+        exponent = within if entropy_gain is None else max(exponent, within)
     return exponent
 
 
+def _ordered(blocks: DataFrame, within: list[str], epoch: Column, number: str, seed: int) -> DataFrame:
+    """blocks with their place (from 0) in the epoch's permutation, and the tokens before them in it."""
+    order = Window.partitionBy(*within).orderBy(F.xxhash64(F.lit(seed), *within, epoch, number), number)
+    return blocks.withColumns({"place": F.row_number().over(order) - 1, "before": F.sum("tokens").over(order) - F.col("tokens")})
+
+
 def mix(
     docs: DataFrame,
     budget: float = 1.0,
-    entropy_share: float | None = 0.9,
+    entropy_gain: float | None = 0.5,
     max_repeats: float | None = 4.0,
     seed: int = 17,
 ) -> DataFrame:
-    """The columns of docs and _epoch (from 1), _block (the block's place in the epoch's permutation), _tokens, _weight.
+    """row (a struct of the columns of docs), epoch (from 1), block (its place in the epoch's permutation, from 0),
+    n_tokens, weight (the source's).
 
     A row for each time that a text is used. budget: tokens to use as a multiple of the corpus' (words of whole
-    texts). Reads doc_id, text and source besides passing all columns through. A null source counts as the empty
-    one. A text without words has no tokens and is used with its block. Repeated rows are used each; an empty table
-    gives no rows.
+    texts). Reads doc_id, text and source besides passing all columns through; no name clashes with them. A null
+    source counts as the empty one. A text without words has no tokens and is used with its block; a source without
+    any words is used once, at weight 0. Repeated rows are used each. An empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    rows = docs.withColumns(
-        {
-            "_source": source,
-            "_tokens": n_words(F.col("text").cast("string")),
-            "_order": F.xxhash64(F.lit(seed), "doc_id", "text"),
-        }
-    ).withColumn("_b", F.pmod("_order", F.lit(BLOCKS)).cast("int"))
-    blocks = rows.groupBy("_source", "_b").agg(F.sum("_tokens").alias("tokens"))
-    blocks = scratch.save(blocks, "blocks")
-    totals = scratch.save(blocks.groupBy("_source").agg(F.sum("tokens").alias("total")), "sources")
+    order = F.xxhash64(F.lit(seed), "doc_id", "text")
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), order.alias("order"))
+    rows = rows.withColumn("b", F.pmod("order", F.lit(BLOCKS)).cast("int"))
+    counted = lambda df: df.withColumn("n_tokens", n_words(F.col("row.text").cast("string")))
+    blocks = scratch.save(counted(rows).groupBy("source", "b").agg(F.sum("n_tokens").alias("tokens")), "blocks")
+    totals = scratch.save(blocks.groupBy("source").agg(F.sum("tokens").alias("total")), "sources")
     corpus = totals.agg(F.sum("total")).first()[0] or 0
     shares = totals.filter("total > 0").withColumn("p", F.col("total") / F.lit(float(max(corpus, 1))))
-    exponent = exponent_for(shares, budget, entropy_share, max_repeats)
+    exponent = exponent_for(shares, budget, entropy_gain, max_repeats)
     norm = shares.agg(F.sum(F.pow("p", F.lit(exponent)))).first()[0] or 1.0
-    quota = shares.withColumn("_weight", F.pow("p", F.lit(exponent)) / F.lit(norm))
-    quota = quota.withColumn("quota", F.round(F.col("_weight") * F.lit(budget * corpus)).cast("long"))
-    quota = quota.select("_source", "_weight", F.expr("quota div total").alias("whole"), F.expr("quota % total").alias("rest"))
-    plan = blocks.join(quota, "_source")
-    # the partial epoch: blocks in the order of the permutation, with the tokens before them
-    last = F.xxhash64(F.lit(seed), "_source", F.col("whole") + 1, "_b")
-    before = F.sum("tokens").over(Window.partitionBy("_source").orderBy(last, "_b")) - F.col("tokens")
-    plan = plan.withColumn("__left", F.greatest(F.col("rest") - before, F.lit(0)))
-    plan = scratch.save(plan.select("_source", "_b", "_weight", F.col("whole").alias("__whole"), F.col("tokens").alias("__size"), "__left"), "plan")
-    plan = broadcast_if_small(plan, BROADCAST_BLOCKS)
-
-    held = rows.join(plan, ["_source", "_b"])
-    cut = (F.col("__left") > 0) & (F.col("__left") < F.col("__size"))
-    used = held.withColumn("__n", F.col("__whole") + (F.col("__left") >= F.col("__size")).cast("long") * (F.col("__size") > 0).cast("long"))
-    used = used.filter("__n > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(1).cast("long"), "__n"))).drop("__n")
-    within = Window.partitionBy("_source", "_b").orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    partial = held.filter(cut).withColumn("__so_far", F.sum("_tokens").over(within)).filter("__so_far <= __left")
-    partial = partial.withColumn("_epoch", F.col("__whole") + 1).drop("__so_far")
-    out = used.unionByName(partial)
-    place = F.pmod(F.xxhash64(F.lit(seed), "_source", "_epoch", "_b"), F.lit(2**31)).cast("int").alias("_block")
-    return out.select(*docs.columns, "_epoch", place, "_tokens", "_weight")
+    weight = F.pow("p", F.lit(exponent)) / F.lit(norm)
+    quota = F.round(weight * F.lit(budget * corpus)).cast("long")
+    quotas = shares.select("source", weight.alias("weight"), quota.alias("quota"), "total")
+    quotas = quotas.select("source", "weight", F.expr("quota div total").alias("whole"), F.expr("quota % total").alias("rest"))
+    wordless = totals.filter("total = 0").select("source", F.lit(0.0).alias("weight"), F.lit(1).cast("long").alias("whole"), F.lit(0).cast("long").alias("rest"))
+    epochs = quotas.unionByName(wordless).withColumn("last", F.col("whole") + (F.col("rest") > 0).cast("long")).filter("last > 0")
+    epochs = epochs.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), "last")))
+    plan = _ordered(blocks.join(epochs, "source"), ["source", "epoch"], F.lit(0), "b", seed)
+    # tokens that the last epoch may still take from a block; whole epochs take all
+    left = F.when(F.col("epoch") <= F.col("whole"), F.col("tokens")).otherwise(F.least(F.col("rest") - F.col("before"), "tokens"))
+    plan = plan.select("source", "b", "epoch", F.col("place").alias("block"), "weight", left.alias("left"), (left < F.col("tokens")).alias("cut")).filter("left >= 0")
+    plan = scratch.save(plan.filter("NOT cut OR left > 0"), "plan")
+
+    out = ["row", "epoch", "block", "n_tokens", "weight"]
+    whole = plan.filter("NOT cut").select("source", "b", "epoch", "block", "weight")
+    used = counted(rows.join(broadcast_if_small(whole, BROADCAST_BLOCKS), ["source", "b"])).select(*out)
+    cut = broadcast_if_small(plan.filter("cut").drop("cut"), BROADCAST_BLOCKS)  # one block a source
+    held = counted(rows.join(cut, ["source", "b"])).withColumn("sub", F.pmod(F.shiftright("order", 20), F.lit(BLOCKS)).cast("int"))
+    parts = scratch.save(held.groupBy("source", "epoch", "left", "sub").agg(F.sum("n_tokens").alias("tokens")), "parts")
+    parts = _ordered(parts, ["source", "epoch"], F.lit(1), "sub", seed).withColumn("part_left", F.col("left") - F.col("before")).filter("part_left >= 0")
+    parts = scratch.save(parts.select("source", "sub", "part_left", (F.col("part_left") < F.col("tokens")).alias("part_cut")), "small-parts")
+    held = held.join(broadcast_if_small(parts, BROADCAST_BLOCKS), ["source", "sub"])
+    within = Window.partitionBy("source", "sub").orderBy("order", "row.doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    few = held.filter("part_cut").withColumn("so_far", F.sum("n_tokens").over(within)).filter("so_far <= part_left")
+    return used.unionByName(held.filter("NOT part_cut").select(*out)).unionByName(few.select(*out))

@@ -22,13 +22,13 @@ def op1_exact_dedup(spark, sf_dir):
 
 
 def op2_minhash(spark, sf_dir):
-    return near_duplicates(read(spark, sf_dir, "documents"), k=2, percent=80)
+    return near_duplicates(read(spark, sf_dir, "documents"), k=2, percent=80).drop("group", "text_key")
 
 
 def op3_mixing(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    used = mix(docs, budget=1.0, entropy_share=0.9, max_repeats=4.0)
-    return used.select("doc_id", "source", F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"))
+    used = mix(docs, budget=1.0, entropy_gain=0.5, max_repeats=4.0)
+    return used.select("row.doc_id", "row.source", "epoch", "block", "n_tokens", "weight")
 
 
 def op4_secret_scan(spark, sf_dir):
