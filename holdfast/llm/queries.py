@@ -10,7 +10,7 @@ from .exact_dedup import exact_dedup
 from .line_dedup import duplicate_lines
 from .minhash import near_duplicates
 from .mixing import mix
-from .secret_scan import generated_findings, scan_secrets, train
+from .secret_scan import generated_findings, sampled_findings, scan_secrets, train
 from .token_output import token_digests, write_tokens
 from .toxicity import toxicity
 from .url_filter import HOST_RULES, METHOD_RULES, filter_urls
@@ -32,7 +32,8 @@ def op3_mixing(spark, sf_dir):
 
 
 def op4_secret_scan(spark, sf_dir):
-    return scan_secrets(read(spark, sf_dir, "documents"), train(generated_findings(), recall=0.98))
+    docs = read(spark, sf_dir, "documents")
+    return scan_secrets(docs, train(generated_findings() + sampled_findings(docs), recall=0.98))
 
 
 def op5_url_filter(spark, sf_dir):

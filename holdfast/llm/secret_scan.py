@@ -4,10 +4,11 @@ Candidates are long runs of key-like characters, and whatever follows a key-like
 span covers is cut from them. The network sees a window of the candidate and its
 surrounding characters: embedded characters, one convolution, ReLU, maximum over the positions, and a logistic layer,
 all in numpy. Overlapping windows cover a run to its end, and one more starts at each part between '=' and '/'; the
-highest score counts. The network is trained on labelled findings; Platt scaling on findings held out, cut into
-windows as a scan cuts them, calibrates it, and the threshold is the highest one that keeps the wanted recall on those
-that no base pattern covers, so that the recall of the whole scan is that at least. Shorter runs without such a name
-are not looked at.
+highest score counts. The network is trained on labelled findings: some made by rule, and those of a bounded sample of
+the documents, where base spans are secrets and other candidates are not. Platt scaling on findings held out, cut into
+windows as a scan cuts them, calibrates it; each kind of candidate (long runs, values of key-like names) has a threshold
+of its own, the highest one that keeps the wanted recall on those that no base pattern covers, so that the recall of the
+whole scan is that at least. Shorter runs without such a name are not looked at.
 """
 
 from __future__ import annotations
@@ -62,8 +63,11 @@ def window(text: str, start: int, end: int) -> bytes:
     return (before + inside + text[end : end + AFTER].ljust(AFTER, "\0")).encode("latin-1", "replace")
 
 
-def cuts(text: str, start: int, end: int) -> list[tuple[int, int, int, int]]:
-    """Windows of a run: (start and end of what the network sees, start and end of the parts that it touches)."""
+RUN, VALUE = 0, 1  #: kinds of candidates
+
+
+def cuts(text: str, start: int, end: int, kind: int = RUN) -> list[tuple[int, int, int, int, int]]:
+    """Windows of a run: (start and end of what the network sees, start and end of the parts that it touches, kind)."""
     parts = [m.span() for m in _PART.finditer(text, start, end)]
     heads, tails = [p[0] for p in parts], [p[1] for p in parts]
     seen = {(s, min(s + INSIDE, end)) for s in (*range(start, max(start + 1, end - INSIDE + STEP), STEP), *heads)}
@@ -72,7 +76,7 @@ def cuts(text: str, start: int, end: int) -> list[tuple[int, int, int, int]]:
     for s, e in sorted(seen):
         head, tail = bisect_right(heads, s) - 1, bisect_left(tails, e)
         first = heads[head] if head >= 0 and s < tails[head] else s
-        out.append((s, e, first, tails[tail] if tail < len(parts) and heads[tail] < e else e))
+        out.append((s, e, first, tails[tail] if tail < len(parts) and heads[tail] < e else e, kind))
     return out
 
 
@@ -104,8 +108,8 @@ def without(start: int, end: int, found: list[tuple[int, int, int]]) -> list[tup
     return [*out, (start, end)] if start < end else out
 
 
-def candidates(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """The windows of all candidates of a text with these base spans."""
+def candidates(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """The windows of all candidates of a text with these base spans; one that is of both kinds is there twice."""
     out = []
     for m in CANDIDATE.finditer(text):
         for s, e in without(*m.span(), found):
@@ -113,7 +117,7 @@ def candidates(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int,
                 out += cuts(text, s, e)
     for value in values(text):
         for s, e in without(*value, found):
-            out += cuts(text, s, e)
+            out += cuts(text, s, e, VALUE)
     return list(dict.fromkeys(out))
 
 
@@ -151,7 +155,7 @@ class CharNet:
         self.bias = np.zeros(FILTERS, np.float32)
         self.out = r.normal(0, 0.2, FILTERS).astype(np.float32)
         self.shift = np.zeros(1, np.float32)
-        self.scale, self.offset, self.threshold = 1.0, 0.0, 0.5
+        self.scale, self.offset, self.thresholds = 1.0, 0.0, np.full(2, 0.5)
 
     def _forward(self, x: np.ndarray):
         flag = np.zeros((len(x), WIDTH, 1), np.float32)
@@ -189,9 +193,11 @@ class CharNet:
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([self._forward(x[i : i + 512])[3] for i in range(0, len(x), 512)] or [np.zeros(0)])
 
-    def calibrate(self, z: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Platt scaling by Newton steps, then the highest threshold that keeps the recall. z: -inf where nothing was scored."""
-        every, scored = z[y == 1], np.isfinite(z)
+    def calibrate(self, z: np.ndarray, y: np.ndarray, kinds: np.ndarray, recall: float) -> None:
+        """Platt scaling by Newton steps, then for each kind the highest threshold that keeps the recall. z: -inf where
+        nothing was scored."""
+        every, scored = z, np.isfinite(z)
+        secret = y == 1
         z, y = z[scored].astype(float), y[scored]
         target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
         loss = lambda q: (np.logaddexp(0, q[0] * z + q[1]) - target * (q[0] * z + q[1])).sum()
@@ -204,8 +210,10 @@ class CharNet:
             # well separated findings make whole steps overshoot
             at = next((q for q in (at - step / 2**i for i in range(20)) if loss(q) < loss(at)), at)
         self.scale, self.offset = float(at[0]), float(at[1])
-        ranked = np.sort(_sigmoid(self.scale * every + self.offset))
-        self.threshold = float(ranked[int((1 - recall) * len(ranked))])
+        for kind in (RUN, VALUE):
+            ranked = np.sort(_sigmoid(self.scale * every[secret & (kinds == kind)] + self.offset))
+            if len(ranked):
+                self.thresholds[kind] = ranked[int((1 - recall) * len(ranked))]
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return _sigmoid(self.scale * self.logits(x) + self.offset)
@@ -224,8 +232,8 @@ HARMLESS_FORMS = [
 ]
 
 
-def generated_findings(n: int = 4000, seed: int = 5) -> list[tuple[str, int, int, int]]:
-    """Labelled findings (text, start, end, is_secret), half of them secrets, made by rule from the fixed forms."""
+def generated_findings(n: int = 4000, seed: int = 5, forms: list[str] = SECRET_FORMS) -> list[tuple[str, int, int, int]]:
+    """Labelled findings (text, start, end, is_secret), half of them secrets, made by rule from forms."""
     r, out = random.Random(seed), []
     word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9)))
     body = lambda letters, low, high: "".join(r.choice(letters) for _ in range(r.randint(low, high)))
@@ -233,7 +241,7 @@ def generated_findings(n: int = 4000, seed: int = 5) -> list[tuple[str, int, int
         secret, short = i % 2, False
         if secret:
             value = r.choice((body(_BASE62, 18, 44), body(_BASE62 + "+/", 22, 60) + "=", body("0123456789abcdef", 24, 64), "ghp_" + body(_BASE62, 30, 36), "sk_live_" + body(_BASE62, 20, 30), "xoxb-" + body("0123456789", 10, 12) + "-" + body(_BASE62, 18, 24)))
-            line = r.choice(SECRET_FORMS)
+            line = r.choice(forms)
             if r.random() < 0.15:
                 value = body(_BASE62[:52], 16, 24)
             elif short := r.random() < 0.2:  # beside its name only, without which it is no secret
@@ -258,32 +266,65 @@ def generated_findings(n: int = 4000, seed: int = 5) -> list[tuple[str, int, int
     return out
 
 
+SAMPLE_ROWS = 1500  #: documents whose findings are learned from, at most
+A_ROW = 4  #: findings of each kind and document that are learned from, at most
+AROUND = 200  #: characters kept on either side of a finding
+
+
+def sampled_findings(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, int, int, int]]:
+    """Labelled findings of a bounded sample of documents, chosen by a hash of their ids: base spans are secrets (of an
+    assignment its value), other candidates are none. The scan itself reads all documents."""
+    columns = "text string, start int, stop int, secret int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[str, int, int, int]] = []
+            for text in batch.column(0).to_pylist():
+                text = text or ""
+                found = base_spans(text)
+                own = [(s if k else ASSIGN.match(text, s).start(2), e, 1) for s, k, e in found]
+                for spans in (own, [(s, e, 0) for s, e, *_ in candidates(text, found)]):
+                    for s, e, secret in spans[:A_ROW]:
+                        low = max(0, s - AROUND)
+                        out.append((text[low : e + AROUND], s - low, e - low, secret))
+            data = [list(c) for c in zip(*out, strict=True)] or [[], [], [], []]
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(data, kinds, strict=True)], names=["text", "start", "stop", "secret"])
+
+    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    found = chosen.select("text").mapInArrow(run, columns).collect()  # rows * 2 * A_ROW at most
+    return sorted((r["text"], r["start"], r["stop"], r["secret"]) for r in found)
+
+
 def train(findings: list[tuple[str, int, int, int]], recall: float = 0.98) -> CharNet:
-    """findings: a bounded list; every fifth is held out for the calibration and the threshold."""
+    """findings: a bounded list; every fifth is held out for the calibration and the thresholds."""
     y = np.array([f[3] for f in findings], np.float32)
     held = np.arange(len(y)) % 10 < 2
     windows, labels = [], []
     for text, start, end, secret in (f for f, h in zip(findings, held, strict=True) if not h):
         windows.append(window(text, start, end))
         labels.append(secret)
+        others = [f for f in base_spans(text) if not (f[0] < end and start < f[2])]
         for s, e, *_ in candidates(text, []):
             shared = min(e, end) - max(s, start)
-            # a window that holds but a little of the value is neither
-            if (shared <= 0 or not secret or shared >= min(end - start, STEP)) and (s, e) != (start, end):
+            # a window that holds but a little of the value is neither, nor is one that holds another secret
+            if (shared <= 0 or not secret or shared >= min(end - start, STEP)) and (s, e) != (start, end) and not any(f[0] < e and s < f[2] for f in others):
                 windows.append(window(text, s, e))
                 labels.append(secret if shared > 0 else 0)
     net = CharNet()
     net.fit(codes(windows), np.array(labels, np.float32))
-    best, known = np.full(len(y), -np.inf), np.zeros(len(y), bool)
+    best, known, kinds = np.full(len(y), -np.inf), np.zeros(len(y), bool), np.zeros(len(y), int)
     for i in np.flatnonzero(held):
         text, start, end, _ = findings[i]
         found = base_spans(text)
         known[i] = any(f[0] <= start and end <= f[2] for f in found)
-        own = [window(text, s, e) for s, e, *_ in candidates(text, found) if s < end and start < e]
+        own = [(window(text, s, e), kind) for s, e, _, _, kind in candidates(text, found) if s < end and start < e]
         if own:
-            best[i] = net.logits(codes(own)).max()
+            best[i] = net.logits(codes([w for w, _ in own])).max()
+            kinds[i] = max(kind for _, kind in own)
     # secrets that a base pattern finds are not the network's; those that no candidate holds count as missed
-    net.calibrate(best[held & ~known], y[held & ~known], recall)
+    mine = held & ~known
+    net.calibrate(best[mine], y[mine], kinds[mine], recall)
     return net
 
 
@@ -293,13 +334,13 @@ def scan(texts: list[str], net: CharNet) -> list[list[tuple[int, int, int]]]:
     for i, text in enumerate(texts):
         found = base_spans(text)
         spans.append(found)
-        for s, e, first, last in candidates(text, found):
+        for s, e, first, last, kind in candidates(text, found):
             windows.append(window(text, s, e))
-            where.append((i, first, last))
+            where.append((i, first, last, kind))
     if windows:
         hits: dict[int, list[tuple[int, int]]] = {}
-        for (i, s, e), p in zip(where, net.scores(codes(windows)), strict=True):
-            if p >= net.threshold:
+        for (i, s, e, kind), p in zip(where, net.scores(codes(windows)), strict=True):
+            if p >= net.thresholds[kind]:
                 hits.setdefault(i, []).append((s, e))
         for i, found in hits.items():
             spans[i] = sorted(spans[i] + [(s, 3, e) for s, e in merged(found)])
