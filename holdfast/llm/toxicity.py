@@ -9,6 +9,7 @@ posteriors; it alone scores.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -18,15 +19,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import Scratch, broadcast_if_small
 
 FIT_ROWS = 20_000  #: labelled rows the label model and the classifier are fitted on, about; mining reads all
 BROADCAST_LABELS = 2_000_000  #: label rows (12 bytes each) that may be broadcast
-MAX_TERMS = 1_500
 FAMILIES = 40
 PREFIX = 5
-MIN_TOXIC = 4  #: toxic training texts that hold a term at least
+#: A term is mined if so many toxic training texts hold it, and this share of them. The share bounds the lexicon by the
+#: terms of a text divided by it, however many texts there are; no term that passes is left out.
+MIN_TOXIC, MIN_SHARE = 4, 0.004
 MIN_PRECISION = 0.6
 FLUSH = 200_000
 
@@ -133,7 +136,7 @@ def _fit_linear(rows: list[dict[str, int]], target: np.ndarray, names: list[str]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
         w, b = w - step[:-1], b - step[-1]
-    return {t: float(w[i]) for t, i in at.items() if w[i] > 0}, float(b)
+    return {t: float(w[i]) for t, i in at.items() if w[i] != 0}, float(b)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -151,8 +154,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     mined = texts.select("text", "toxic").mapInArrow(_mined, "term string, neg long, pos long")
     mined = mined.groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     sure = F.col("pos") / (F.col("pos") + F.col("neg"))
-    mined = mined.filter((F.col("pos") >= MIN_TOXIC) & (sure >= MIN_PRECISION)).withColumn("sure", sure)
-    top = mined.orderBy(F.desc(F.col("pos") * (sure - 0.5)), "term").limit(MAX_TERMS).collect()  # MAX_TERMS rows at most
+    support = max(MIN_TOXIC, math.ceil(MIN_SHARE * known.filter("toxic = 1").count()))
+    mined = mined.filter((F.col("pos") >= support) & (sure >= MIN_PRECISION)).withColumn("sure", sure)
+    top = mined.orderBy(F.desc(F.col("pos") * (sure - 0.5)), "term").collect()  # bounded by MIN_SHARE
     lexicon = {r["term"] for r in top} | set(SEED_WORDS)
     strength: dict[str, float] = defaultdict(float)
     for r in top:
@@ -179,16 +183,21 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(weights, bias, families, accuracies, together, discount)
 
 
-def scored(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
-    """The columns named in keep, and the score; reads text besides. Null and empty texts get the model's bias."""
-    schema = docs.select(*keep).schema
+def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """row (a struct of the columns named in keep) and score; reads text besides. Null and empty texts get the score of
+    a text without any term."""
+    text = F.col("text").cast("string")
+    held = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in keep]
+    source = docs.select(F.struct(*held).alias("row"), *([] if "text" in keep else [text.alias("text")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = pa.array([model.score(t) for t in batch.column(len(keep)).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], score], names=[*keep, name])
+            rows = batch.column(0)
+            texts = rows.field(keep.index("text")) if "text" in keep else batch.column(1)
+            score = pa.array([model.score(t) for t in texts.to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([rows, score], names=["row", "score"])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema.add(name, "double"))
+    return source.mapInArrow(run, StructType([source.schema["row"], StructField("score", DoubleType())]))
 
 
 def held_out(doc_id) -> F.Column:
@@ -203,7 +212,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     null counts as true). Repeated rows score alike; an empty table gives no rows.
     """
     model = train(docs.filter(~held_out("doc_id")), labels)
-    out = scored(docs, model, ["doc_id"])
+    out = scored(docs, model, ["doc_id"]).select("row.doc_id", "score")
     return out.select(
         "doc_id",
         F.coalesce(held_out("doc_id"), F.lit(True)).alias("held_out"),
