@@ -4,7 +4,7 @@ Format of a folder. ``code``: one row per id that occurs: id, count, length; can
 lengths. ``blocks``: rows in files, a shard being a range of doc_ids and its blocks consecutive texts in ascending
 order. A block has its texts' doc_ids and token numbers, the number of tokens before it in its shard, a payload in
 which each text starts at a byte, and the bit offset of every CHECKPOINT-th token of a text. Any block can be
-decoded alone, and its checkpoints decode side by side through one table of 2**LIMIT entries.
+decoded alone, and its checkpoints decode side by side through one table with an entry for each code of full length.
 """
 
 from __future__ import annotations
@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-LIMIT = 16  #: bits of the longest code
+LIMIT = 16  #: bits of the longest code; two more than their number takes if ids are too many for that
 CHECKPOINT = 256  #: tokens between bit offsets
 BLOCK_TOKENS = 1 << 18  #: tokens of a block, or one text
 SHARD_TOKENS = 1 << 23  #: tokens of a shard, about; one task writes a shard
-SHARDS, PER_CUT = 8192, 200  #: shards at most, beyond which they grow; sampled doc_ids for each bound between two
+SHARDS, PER_CUT = 65_536, 200  #: shards at most, beyond which they grow; sampled doc_ids for each bound between two
 UNITS = 400_000  #: words and other units of text whose ids a worker remembers
 PART = 1 << 22  #: characters tokenised at once
 CODED = 1 << 20  #: tokens coded at once
@@ -193,11 +193,15 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     return tokens.select("ids").mapInArrow(run, "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
 
 
-def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
-    """Optimal lengths of at most ``limit`` bits for positive counts, by package-merge."""
+def limit_for(n: int) -> int:
+    """Bits of the longest code for n ids; LIMIT where that leaves room."""
+    return LIMIT if n <= 1 << LIMIT else n.bit_length() + 2
+
+
+def code_lengths(counts: np.ndarray) -> np.ndarray:
+    """Optimal lengths of at most ``limit_for`` bits for positive counts, by package-merge."""
     n = len(counts)
-    if n > 1 << limit:
-        raise ValueError(f"{n} ids don't fit codes of {limit} bits")
+    limit = limit_for(n)
     if n == 1:
         return np.ones(1, np.int64)
     order = np.argsort(counts, kind="stable")
@@ -222,16 +226,16 @@ class Code:
     """Canonical code: ids by (length, id) get consecutive codes. ids ascend."""
 
     def __init__(self, ids: np.ndarray, lengths: np.ndarray):
-        top = int(ids.max()) + 1
+        top, self.limit = int(ids.max()) + 1, max(LIMIT, int(lengths.max()))
         order = np.lexsort((ids, lengths))
-        size = np.left_shift(1, LIMIT - lengths[order])  # table entries of each code
+        size = np.left_shift(1, self.limit - lengths[order])  # table entries of each code
         first = np.concatenate(([0], np.cumsum(size)[:-1]))
         self.length = np.zeros(top, np.int64)
         self.code = np.zeros(top, np.int64)
         self.length[ids] = lengths
-        self.code[ids[order]] = first >> (LIMIT - lengths[order])
-        self.table_id = np.zeros(1 << LIMIT, np.uint32)
-        self.table_length = np.ones(1 << LIMIT, np.int64)
+        self.code[ids[order]] = first >> (self.limit - lengths[order])
+        self.table_id = np.zeros(1 << self.limit, np.uint32)
+        self.table_length = np.ones(1 << self.limit, np.int64)
         used = int(size.sum())
         self.table_id[:used] = np.repeat(ids[order], size)
         self.table_length[:used] = np.repeat(lengths[order], size)
@@ -248,10 +252,11 @@ class Code:
         bits = np.add.reduceat(length, ends - sizes)
         starts = np.concatenate(([0], np.cumsum((bits + 7) // 8)))
         at = before - np.repeat(base, sizes) + np.repeat(starts[:-1] * 8, sizes)
-        byte, word = at >> 3, code << (24 - length - (at & 7))
-        payload = np.zeros(starts[-1] + 3, np.int64)
-        for j in range(3):  # a code touches three bytes at most, and no bit twice
-            payload += np.bincount(byte + j, weights=(word >> (16 - 8 * j)) & 255, minlength=len(payload)).astype(np.int64)
+        touched = (self.limit + 14) // 8  # bytes that a code touches at most, no bit of them twice
+        byte, word = at >> 3, code << (8 * touched - length - (at & 7))
+        payload = np.zeros(starts[-1] + touched, np.int64)
+        for j in range(touched):
+            payload += np.bincount(byte + j, weights=(word >> (8 * (touched - 1 - j))) & 255, minlength=len(payload)).astype(np.int64)
         return payload[: starts[-1]].astype(np.uint8), starts, at
 
     def decode(self, payload: bytes, marks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -263,7 +268,8 @@ class Code:
         lanes = np.argsort(-left, kind="stable")
         left, to, at = left[lanes], to[lanes], marks[lanes].astype(np.int64)
         b = np.frombuffer(payload + b"\0\0\0\0", np.uint8).astype(np.int64)
-        windows = (b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:]
+        windows = (b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:]  # 25 bits from any place in a byte on
+        shift, mask = 32 - self.limit, (1 << self.limit) - 1
         active = np.searchsorted(-left, -np.arange(CHECKPOINT), side="left")  # lanes with more than t tokens
         out = np.zeros(int(sizes.sum()), np.uint32)
         for t in range(CHECKPOINT):
@@ -271,7 +277,7 @@ class Code:
             if not n:
                 break
             p = at[:n]
-            key = (windows[p >> 3] >> (16 - (p & 7))) & 0xFFFF
+            key = (windows[p >> 3] >> (shift - (p & 7))) & mask
             out[to[:n] + t] = self.table_id[key]
             at[:n] = p + self.table_length[key]
         return out
@@ -280,16 +286,19 @@ class Code:
 BLOCKS = "shard int, block int, first_token long, n_tokens long, doc_ids array<long>, sizes array<long>, marks array<long>, payload binary"
 
 
-def _coded(code: Code, cuts: np.ndarray):
+def _coded(code: Code, cuts: np.ndarray, nameless: int):
     """doc_id, n_tokens, ids -> shard, doc_id, n_tokens, marks within the text, payload of each text.
 
-    The shard is the number of cuts below doc_id; rows without doc_id go to the first.
+    The shard is the number of cuts below doc_id; rows without doc_id go to ``nameless`` shards before the first, by
+    their ids' checksum.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column(1).to_numpy()
-            shards = np.searchsorted(cuts, batch.column(0).fill_null(-(1 << 63)).to_numpy(), side="left")
+            shards = np.searchsorted(cuts, batch.column(0).fill_null(0).to_numpy(), side="left")
+            for i in np.flatnonzero(batch.column(0).is_null().to_numpy(zero_copy_only=False)):
+                shards[i] = -1 - zlib.crc32(batch.column(2)[i].as_buffer()) % nameless
             for part in _parts(sizes.tolist(), CODED):
                 n = sizes[part]
                 rows = batch.slice(part.start, part.stop - part.start)
@@ -335,7 +344,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     """Encodes every whole text and writes the folder's ``code`` and ``blocks``.
 
     Reads ``doc_id`` and ``text`` only. Null counts as empty; every text has its end id at least. Rows without
-    doc_id come first; repeated doc_ids stand side by side, ordered by their tokens. An empty table writes no rows.
+    doc_id come first; repeated doc_ids stand side by side, ordered by their tokens. Texts of any length are encoded
+    whole. An empty table writes no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
@@ -353,10 +363,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     n = min(SHARDS, max(1, -(-int(counts.sum()) // shard_tokens)))
     every = max(1, int(counts[ids == end_id].sum()) // (n * PER_CUT))
     sample = tokens.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)  # balance only: each row finds its shard by the bounds
-    cuts = sample.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else []
+    cuts = sample.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else []
     cuts = sorted(set(cuts or []))
-    coded = tokens.select("doc_id", "n_tokens", "ids").mapInArrow(_coded(Code(ids, lengths), np.array(cuts, np.int64)), "shard int, doc_id long, n_tokens long, marks array<long>, payload binary")
-    dealt = coded.repartition("shard").sortWithinPartitions("shard", "doc_id", "n_tokens", "payload")
+    lost = tokens.filter("doc_id IS NULL").agg(F.sum("n_tokens")).first()[0] or 0
+    nameless = min(SHARDS, 1 + lost // shard_tokens)
+    coded = tokens.select("doc_id", "n_tokens", "ids").mapInArrow(_coded(Code(ids, lengths), np.array(cuts, np.int64), nameless), "shard int, doc_id long, n_tokens long, marks array<long>, payload binary")
+    dealt = coded.repartition(n + nameless, "shard").sortWithinPartitions("shard", "doc_id", "n_tokens", "payload")
     dealt.mapInArrow(_assembled, BLOCKS).write.mode("overwrite").parquet(f"{folder}/blocks")
     scratch.close()
 
