@@ -33,6 +33,11 @@ def mapped(key: Column, table: dict) -> Column:
     return F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[key]
 
 
+def label(c: Column, labels: dict[str, str]) -> Column:
+    """The label of a member; other values pass through."""
+    return F.coalesce(mapped(c, labels), c)
+
+
 def strip(c: Column) -> Column:
     """Without leading and trailing white space of any script; NULL counts as empty."""
     return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")

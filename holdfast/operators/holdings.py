@@ -14,6 +14,9 @@ from ..functions import vocabulary as V
 
 KEY = ["user_id", "printing_id", "merge_condition"]
 MAX_QUANTITY = 10_000
+SETS_A_BLOCK = 1000
+#: What else a row of holdings has; those that a state has are carried through merges and edits.
+ATTRIBUTES = ["grader", "grade", "acquired_on", "acquired_unit_price_cents", "acquired_currency", "storage_location", "notes", "is_for_trade", "created_at", "updated_at"]
 
 
 def keyed(items: DataFrame) -> DataFrame:
@@ -26,17 +29,25 @@ def split_valid(items: DataFrame, conditions: list[str] = V.CONDITIONS) -> tuple
     return items.filter(ok), items.filter(~ok)
 
 
+def _carried(df: DataFrame) -> list[str]:
+    return [c for c in ATTRIBUTES if c in df.columns]
+
+
 def merged(items: DataFrame) -> DataFrame:
-    """item_id, user_id, printing_id, condition, is_graded, merge_condition, quantity, first_seq, last_seq.
+    """item_id, user_id, printing_id, condition, is_graded, merge_condition, quantity, first_seq, last_seq, and those of
+    ATTRIBUTES that items has.
 
-    The first row in ``seq`` order survives with its id; quantities add up. One shuffle, combined map-side.
+    The first row in ``seq`` order survives with its id and attributes; quantities add up, and updated_at is the latest.
+    One shuffle, combined map-side.
     """
-    rows = keyed(items)
+    rows, held = keyed(items), _carried(items)
+    latest = [F.max("updated_at").alias("updated_at")] if "updated_at" in held else []
     folded = rows.filter("merge_condition IS NOT NULL").groupBy(*KEY).agg(
-        F.min(F.struct("seq", "item_id")).alias("first"), F.max("seq").alias("last_seq"), F.sum("quantity").cast("long").alias("quantity")
+        F.min(F.struct("seq", "item_id", *held)).alias("first"), F.max("seq").alias("last_seq"), F.sum("quantity").cast("long").alias("quantity"), *latest
     )
-    folded = folded.select(F.col("first.item_id").alias("item_id"), *KEY[:2], F.col("merge_condition").alias("condition"), F.lit(False).alias("is_graded"), "merge_condition", "quantity", F.col("first.seq").alias("first_seq"), "last_seq")
-    graded = rows.filter("merge_condition IS NULL").select("item_id", *KEY[:2], "condition", "is_graded", "merge_condition", F.col("quantity").cast("long").alias("quantity"), F.col("seq").alias("first_seq"), F.col("seq").alias("last_seq"))
+    own = [F.col("updated_at") if c == "updated_at" else F.col(f"first.{c}").alias(c) for c in held]
+    folded = folded.select(F.col("first.item_id").alias("item_id"), *KEY[:2], F.col("merge_condition").alias("condition"), F.lit(False).alias("is_graded"), "merge_condition", "quantity", F.col("first.seq").alias("first_seq"), "last_seq", *own)
+    graded = rows.filter("merge_condition IS NULL").select("item_id", *KEY[:2], "condition", "is_graded", "merge_condition", F.col("quantity").cast("long").alias("quantity"), F.col("seq").alias("first_seq"), F.col("seq").alias("last_seq"), *held)
     return folded.unionByName(graded)
 
 
@@ -50,21 +61,27 @@ def merged_flag(items: DataFrame) -> DataFrame:
 
 
 def edited(state: DataFrame, patches: DataFrame) -> DataFrame:
-    """state: item_id, user_id, printing_id, condition, is_graded, quantity; patches: item_id and new values, NULL keeps.
+    """state: item_id, user_id, printing_id, condition, is_graded, quantity and ATTRIBUTES; patches: item_id and new values
+    of any of these but the owner and the printing. NULL keeps, so a value can't be cleared.
 
-    An edited row whose new key another row holds is absorbed by that row; of several edited rows that meet with no
-    row there before, the smallest id stays.
+    An edited row whose new key another row holds is absorbed by that row, which keeps its own attributes; of several
+    edited rows that meet with no row there before, the smallest id stays.
     """
-    new = patches.select("item_id", *(F.col(c).alias(f"_{c}") for c in ("condition", "is_graded", "quantity")))
-    rows = state.join(new, "item_id", "left")
-    touched = F.col("_condition").isNotNull() | F.col("_is_graded").isNotNull() | F.col("_quantity").isNotNull()
-    rows = rows.withColumn("_edited", touched).withColumns({c: F.coalesce(f"_{c}", c) for c in ("condition", "is_graded", "quantity")})
-    rows = keyed(rows.drop("_condition", "_is_graded", "_quantity"))
+    held = _carried(state)
+    fields = [c for c in ("condition", "is_graded", "quantity", *held) if c in patches.columns]
+    new = patches.select("item_id", *(F.col(c).alias(f"_{c}") for c in fields))
+    touched = F.lit(False)
+    for c in fields:
+        touched = touched | F.col(f"_{c}").isNotNull()
+    rows = state.join(new, "item_id", "left").withColumn("_edited", touched).withColumns({c: F.coalesce(f"_{c}", c) for c in fields})
+    rows = keyed(rows.drop(*(f"_{c}" for c in fields)))
+    latest = [F.max("updated_at").alias("updated_at")] if "updated_at" in held else []
     folded = rows.filter("merge_condition IS NOT NULL").groupBy(*KEY).agg(
-        F.min(F.struct("_edited", "item_id")).alias("stays"), F.sum("quantity").cast("long").alias("quantity")
+        F.min(F.struct("_edited", "item_id", *held)).alias("stays"), F.sum("quantity").cast("long").alias("quantity"), *latest
     )
-    folded = folded.select(F.col("stays.item_id").alias("item_id"), "user_id", "printing_id", F.col("merge_condition").alias("condition"), F.lit(False).alias("is_graded"), "quantity")
-    graded = rows.filter("merge_condition IS NULL").select("item_id", "user_id", "printing_id", "condition", "is_graded", F.col("quantity").cast("long").alias("quantity"))
+    own = [F.col("updated_at") if c == "updated_at" else F.col(f"stays.{c}").alias(c) for c in held]
+    folded = folded.select(F.col("stays.item_id").alias("item_id"), "user_id", "printing_id", F.col("merge_condition").alias("condition"), F.lit(False).alias("is_graded"), "quantity", *own)
+    graded = rows.filter("merge_condition IS NULL").select("item_id", "user_id", "printing_id", "condition", "is_graded", F.col("quantity").cast("long").alias("quantity"), *held)
     return folded.unionByName(graded)
 
 
@@ -113,10 +130,14 @@ def completion(state: DataFrame, printings: DataFrame, cards: DataFrame, sets: D
 def rebuilt(users: DataFrame, state: DataFrame, printings: DataFrame, cards: DataFrame, sets: DataFrame) -> DataFrame:
     """Every user against every set, zeros included.
 
-    The product of users and the registered sets is the result asked for; the set list goes along inside each row.
+    The product of users and the registered sets is the result asked for. Sets come in blocks of SETS_A_BLOCK, which
+    users are joined with by number, so that no task and no broadcast holds the whole list if it is long.
     """
-    listed = sets.agg(F.collect_list(F.struct("set_code", F.col("card_count").alias("declared"))).alias("listed"))
-    grid = users.select("user_id").distinct().join(F.broadcast(listed)).select("user_id", F.explode("listed").alias("s")).select("user_id", "s.*")
+    blocks = max(1, -(-sets.count() // SETS_A_BLOCK))
+    listed = sets.select(F.pmod(F.xxhash64("set_code"), F.lit(blocks)).alias("block"), F.struct("set_code", F.col("card_count").alias("declared")).alias("s"))
+    listed = listed.groupBy("block").agg(F.collect_list("s").alias("listed"))
+    asked = users.select("user_id").distinct().withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    grid = asked.join(listed, "block").select("user_id", F.explode("listed").alias("s")).select("user_id", "s.*")
     rows = grid.join(measured(state, printings, cards), ["user_id", "set_code"], "left").fillna(0, ["owned", "quantity"])
     return rows.withColumn("ratio", S.ratio(F.col("owned"), F.col("declared")))
 

@@ -1,7 +1,8 @@
 """Catalog ingest: raw rows to cards with printings or one rejection each, fingerprints, diff and upsert, run report.
 
 Raw rows: set_code, file, line, source_ref and string columns. A card is emitted whole or rejected whole with the
-first reason in a fixed precedence; one expression over the card's line-ordered rows decides it.
+first reason in a fixed precedence. What decides it are minima over the card's rows, which combine map-side, so that a
+card with very many rows is no single task's.
 """
 
 from __future__ import annotations
@@ -20,10 +21,20 @@ REQUIRED = ["collector_number", "name", "card_type", "rarity"]
 PRINTING_FIELDS = ["rarity", "finish", "language", "edition", "image_url", "is_tracked_for_price"]
 RAW = list(dict.fromkeys(["collector_number", *CARD_FIELDS, *PRINTING_FIELDS]))
 VERSION = "1"
+CARD_KEY = ["set_code", "collector_number"]
+
+
+def _record(row) -> Column:
+    """The raw row as JSON, sensitive texts scrubbed."""
+    return S.scrub_text(F.to_json(F.struct(*(row(c).alias(c) for c in RAW))))
+
 
+def _reject(code: str, field: str, ref: Column, message: Column, record: Column) -> Column:
+    return F.struct(F.lit(code).alias("reason_code"), F.lit(field).alias("field"), ref.alias("source_ref"), message.alias("message"), record.alias("raw_record"))
 
-def _reject(code: str, field: str, ref: Column, message: Column) -> Column:
-    return F.struct(F.lit(code).alias("reason_code"), F.lit(field).alias("field"), ref.alias("source_ref"), message.alias("message"))
+
+def _missing(field: str) -> Column:
+    return F.lit(f"A value for `{field}` must be given.")
 
 
 def _first(*cases: tuple[Column, Column]) -> Column:
@@ -39,90 +50,96 @@ def with_columns(raw: DataFrame) -> DataFrame:
 
 
 def normalised(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cards, rejections). cards have nested printings; rejections have set_code, collector_number, reason, field, ref."""
+    """(cards, rejections). cards have nested printings; rejections have set_code, collector_number, reason_code, field,
+    source_ref, message and raw_record (the row at fault as JSON)."""
     rows = with_columns(raw)
     unnumbered = rows.filter("collector_number = ''").select(
         "set_code", "collector_number",
-        _reject("missing_required_field", "collector_number", F.col("source_ref"), F.lit("`collector_number` is required and was empty.")).alias("r"),
+        _reject("missing_required_field", "collector_number", F.col("source_ref"), _missing("collector_number"), _record(F.col)).alias("r"),
     )
-    rows = rows.filter("collector_number != ''")
-    item = F.struct(
-        "line", "source_ref", *RAW,
-        V.rarity(F.col("rarity")).alias("_rarity"), V.finish(F.col("finish")).alias("_finish"), V.edition(F.col("edition")).alias("_edition"),
-        F.lower(F.when(F.col("language") == "", "en").otherwise(F.col("language"))).alias("_language"),
-        S.is_tracked(F.col("is_tracked_for_price")).alias("_tracked"),
+    rows = rows.filter("collector_number != ''").withColumns(
+        {
+            "_rarity": V.rarity(F.col("rarity")), "_finish": V.finish(F.col("finish")), "_edition": V.edition(F.col("edition")),
+            "_language": F.lower(F.when(F.col("language") == "", "en").otherwise(F.col("language"))), "_tracked": S.is_tracked(F.col("is_tracked_for_price")),
+        }
     )
-    groups = rows.groupBy("set_code", "collector_number").agg(F.array_sort(F.collect_list(item)).alias("rows"))
-    groups = groups.withColumn("h", F.col("rows")[0])
+    place = F.struct("line", "source_ref")
+    bad = lambda c: _reject(f"unknown_{c}", c, F.col("source_ref"), F.concat(F.lit(f"Unrecognised {c} "), F.col(c)), _record(F.col))
+    unknown = _first(*((F.col(f"_{c}").isNull(), bad(c)) for c in ("rarity", "finish", "edition")))
+    # what a card's rows hold combines map-side: its first row, whether its rows agree, and the first row with a fault of its own
+    spans = [F.struct(F.min(c).alias("low"), F.max(c).alias("high")).alias(f"s_{c}") for c in CARD_FIELDS]
+    groups = rows.groupBy(*CARD_KEY).agg(F.min(F.struct("line", "source_ref", *RAW)).alias("h"), F.min(F.when(unknown.isNotNull(), F.struct("line", "source_ref", unknown.alias("r")))).alias("_fault"), *spans)
+    disagree = F.array_contains(F.array(*(F.col(f"s_{c}.low") != F.col(f"s_{c}.high") for c in CARD_FIELDS)), True)
+    groups = groups.withColumn("_apart", disagree).drop(*(f"s_{c}" for c in CARD_FIELDS))
+    # rows are looked at one by one only where a card's rows disagree or give a printing twice
+    odd = groups.filter("_apart").select(*CARD_KEY, "h")
+    sides = lambda c: F.struct(F.lit(c).alias("name"), F.col(f"h.{c}").alias("one"), F.col(c).alias("two"))
+    at = _first(*((F.col(c) != F.col(f"h.{c}"), sides(c)) for c in CARD_FIELDS))
+    other = rows.join(odd, CARD_KEY).withColumn("at", at).filter("at IS NOT NULL").groupBy(*CARD_KEY).agg(F.min(F.struct("line", "source_ref", "at", _record(F.col).alias("record"))).alias("_other"))
+    printing_key = [*CARD_KEY, "_rarity", "_finish", "_language", "_edition"]
+    first = rows.groupBy(*printing_key).agg(F.min(place).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    twice = _reject("duplicate_printing_key", "rarity", F.col("source_ref"), F.lit("Two rows give the same printing."), _record(F.col))
+    twice = rows.join(first, printing_key).filter(place > F.col("_first")).groupBy(*CARD_KEY).agg(F.min(F.struct("line", "source_ref", twice.alias("r"))).alias("_twice"))
+    groups = groups.join(other, CARD_KEY, "left").join(twice, CARD_KEY, "left")
     h = lambda c: F.col(f"h.{c}")
     folded = {"_type": V.card_type(h("card_type")), "_element": V.element(h("element")), "_rune": V.rune_type(h("rune_type")), "_attack": S.as_int(h("attack")), "_defence": S.as_int(h("defence"))}
     cost, cost_ok = S.spirit_cost(h("spirit_cost"))
     groups = groups.withColumns(folded | {"_cost": cost, "_cost_ok": cost_ok})
 
-    ref = h("source_ref")
-    cases = [(h(c) == "", _reject("missing_required_field", c, ref, F.lit(f"`{c}` is required and was empty."))) for c in REQUIRED]
-    differs = lambda r: F.array_contains(F.array(*(r[c] != F.col("h")[c] for c in CARD_FIELDS)), True)
-    other = F.get(F.filter("rows", differs), F.lit(0))
-    field = _first(*((other[c] != F.col("h")[c], F.lit(c)) for c in CARD_FIELDS))
+    ref, head = h("source_ref"), _record(h)
+    cases = [(h(c) == "", _reject("missing_required_field", c, ref, _missing(c), head)) for c in REQUIRED]
+    at, later = F.col("_other.at"), F.col("_other.source_ref")
     conflict = F.struct(
-        F.lit("conflicting_card_fields").alias("reason_code"), field.alias("field"), other["source_ref"].alias("source_ref"),
-        F.concat(F.lit("Rows at "), ref, F.lit(" and "), other["source_ref"], F.lit(" disagree.")).alias("message"),
+        F.lit("conflicting_card_fields").alias("reason_code"), at["name"].alias("field"), later.alias("source_ref"),
+        F.format_string("`%s` is \"%s\" at %s and \"%s\" at %s.", at["name"], at["one"], ref, at["two"], later).alias("message"), F.col("_other.record").alias("raw_record"),
     )
-    cases.append((other.isNotNull(), conflict))
+    cases.append((later.isNotNull(), conflict))
     unknown = lambda c: F.concat(F.lit(f"Unrecognised {c} "), h(c))
-    mismatch = lambda c, m: _reject("type_field_mismatch", c, ref, F.lit(m))
+    mismatch = lambda c, m: _reject("type_field_mismatch", c, ref, F.lit(m), head)
     kind, fights = F.col("_type"), F.col("_attack").isNotNull() | F.col("_defence").isNotNull()
     bearer = kind.isin("elestral", "spirit")
     cases += [
-        (kind.isNull(), _reject("missing_required_field", "card_type", ref, unknown("card_type"))),
-        ((h("element") != "") & F.col("_element").isNull(), _reject("type_field_mismatch", "element", ref, unknown("element"))),
-        ((h("rune_type") != "") & F.col("_rune").isNull(), _reject("type_field_mismatch", "rune_type", ref, unknown("rune_type"))),
+        (kind.isNull(), _reject("missing_required_field", "card_type", ref, unknown("card_type"), head)),
+        ((h("element") != "") & F.col("_element").isNull(), _reject("type_field_mismatch", "element", ref, unknown("element"), head)),
+        ((h("rune_type") != "") & F.col("_rune").isNull(), _reject("type_field_mismatch", "rune_type", ref, unknown("rune_type"), head)),
         ((h("attack") != "") & F.col("_attack").isNull(), mismatch("attack", "`attack` must be an integer.")),
         ((h("defence") != "") & F.col("_defence").isNull(), mismatch("defence", "`defence` must be an integer.")),
         (bearer & F.col("_element").isNull(), mismatch("element", "This type of card must have an element.")),
         (bearer & F.col("_rune").isNotNull(), mismatch("rune_type", "Only runes have a `rune_type`.")),
         ((kind == "rune") & F.col("_rune").isNull(), mismatch("rune_type", "A rune must have a `rune_type`.")),
         (kind.isin("spirit", "rune") & fights, mismatch("attack", "This type of card has no `attack` or `defence`.")),
-        (~F.col("_cost_ok"), _reject("invalid_spirit_cost", "spirit_cost", ref, F.concat(F.lit("Invalid cost "), h("spirit_cost")))),
+        (~F.col("_cost_ok"), _reject("invalid_spirit_cost", "spirit_cost", ref, F.concat(F.lit("Invalid cost "), h("spirit_cost")), head)),
     ]
 
-    # rows in file order: each row's own first fault, a repeated key being one; the earliest row's fault counts
-    key = lambda r: F.struct(r["_rarity"], r["_finish"], r["_language"], r["_edition"])
-    repeated = lambda r, i: F.exists(F.slice("rows", 1, i), lambda o: key(o) == key(r))
-
-    def fault(r: Column, i: Column) -> Column:
-        bad = lambda c: _reject(f"unknown_{c}", c, r["source_ref"], F.concat(F.lit(f"Unrecognised {c} "), r[c]))
-        return _first(
-            *((r[f"_{c}"].isNull(), bad(c)) for c in ("rarity", "finish", "edition")),
-            (repeated(r, i), _reject("duplicate_printing_key", "rarity", r["source_ref"], F.lit("Two rows give the same printing."))),
-        )
-
-    row_fault = F.get(F.filter(F.transform("rows", fault), lambda f: f.isNotNull()), F.lit(0))
+    # rows in file order: the earliest row's fault counts, a value that is unknown before a printing given twice
+    row_fault = F.when(F.col("_twice").isNull() | (F.struct("_fault.line", "_fault.source_ref") <= F.struct("_twice.line", "_twice.source_ref")), F.col("_fault.r")).otherwise(F.col("_twice.r"))
+    row_fault = F.when(F.col("_fault").isNull(), F.col("_twice.r")).otherwise(row_fault)
     groups = groups.withColumn("r", F.coalesce(_first(*cases), row_fault))
     rejections = groups.filter("r IS NOT NULL").select("set_code", "collector_number", "r").unionByName(unnumbered)
-    printing = lambda r: F.struct(
-        r["_rarity"].alias("rarity"), r["_finish"].alias("finish"), r["_language"].alias("language"), r["_edition"].alias("edition"),
-        F.nullif(r["image_url"], F.lit("")).alias("image_url"), r["_tracked"].alias("is_tracked_for_price"),
+    printing = F.struct(
+        "line", "source_ref", F.col("_rarity").alias("rarity"), F.col("_finish").alias("finish"), F.col("_language").alias("language"), F.col("_edition").alias("edition"),
+        F.nullif(F.col("image_url"), F.lit("")).alias("image_url"), F.col("_tracked").alias("is_tracked_for_price"),
     )
+    # a good card has each printing once
+    good = groups.filter("r IS NULL")
+    held = rows.join(good.select(*CARD_KEY), CARD_KEY, "left_semi").groupBy(*CARD_KEY).agg(F.array_sort(F.collect_list(printing)).alias("_printings"))
     text = lambda c: F.nullif(h(c), F.lit("")).alias(c)
-    cards = groups.filter("r IS NULL").select(
+    cards = good.join(held, CARD_KEY).select(
         "set_code", "collector_number", h("name").alias("name"), F.col("_type").alias("card_type"), F.col("_element").alias("element"),
         F.col("_rune").alias("rune_type"), text("subtype"), F.col("_attack").alias("attack"), F.col("_defence").alias("defence"),
         F.col("_cost").alias("spirit_cost"), text("rules_text"), text("flavour_text"), text("artist"),
-        F.transform("rows", printing).alias("printings"),
+        F.transform("_printings", lambda p: p.dropFields("line", "source_ref")).alias("printings"),
     )
     return cards, rejections.select("set_code", "collector_number", "r.*")
 
 
-CARD_KEY = ["set_code", "collector_number"]
 PRINTING_KEY = [*CARD_KEY, "rarity", "finish", "language", "edition"]
-CARD_VALUES = ["name", "card_type", "element", "rune_type", "subtype", "attack", "defence", "spirit_cost", "rules_text", "flavour_text", "artist"]
 
 
 def card_rows(cards: DataFrame) -> DataFrame:
     """Cards without printings, with their fingerprint."""
     value = lambda c: F.array_sort(F.map_entries(c)) if c == "spirit_cost" else F.col(c)
-    return cards.drop("printings").withColumn("fingerprint", S.fingerprint(VERSION, *map(F.col, CARD_KEY), *map(value, CARD_VALUES)))
+    return cards.drop("printings").withColumn("fingerprint", S.fingerprint(VERSION, *map(F.col, CARD_KEY), *map(value, CARD_FIELDS)))
 
 
 def printing_rows(cards: DataFrame) -> DataFrame:

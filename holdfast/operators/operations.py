@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import vocabulary as V
 
+BINS = 4096  #: ranges of a group's values, by which ranks are found
+
 
 def latest_with_ties(runs: DataFrame) -> DataFrame:
     """Every run that started last in its source: joined to the map-side combined maximum, so no source is sorted."""
@@ -77,12 +79,26 @@ def metered(usage: DataFrame) -> DataFrame:
 def latency(samples: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, median, p95 (element int(n * 0.95) - 1 of the sorted samples) and maximum by group.
 
-    Ranks come from a sort of each group on its own executor, not from a collected list.
+    Equal values are counted first, so a group's rows combine map-side. What is left of a group is its distinct values;
+    those fall into BINS ranges, of which only running totals are ordered in one place, and the wanted ranks are
+    looked up inside the ranges that hold them.
     """
-    w = Window.partitionBy(*by)
-    ranked = samples.withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
-    at = F.greatest(F.floor(F.col("_n") * 0.95).cast("int"), F.lit(1))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.median(value).alias("median"), F.max(F.when(F.col("_r") == at, F.col(value))).alias("p95"), F.max(value).alias("max"))
+    counts = samples.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    ends = counts.groupBy(*by).agg(F.min("_v").alias("_low"), F.max("_v").alias("max"), F.sum("_c").alias("n"))
+    width = (F.col("max") - F.col("_low")) / BINS
+    binned = counts.join(ends, by).withColumn("_bin", F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_low")) / width), F.lit(BINS - 1))).otherwise(F.lit(0)))
+    totals = binned.groupBy(*by, "_bin").agg(F.sum("_c").alias("_t"))
+    before = F.sum("_t").over(Window.partitionBy(*by).orderBy("_bin")) - F.col("_t")
+    totals = totals.withColumn("_before", before).join(ends.select(*by, "n"), by)
+    # ranks from 1: the two middle ones, and that of p95
+    ranks = F.array(F.expr("(n + 1) div 2"), F.expr("n div 2 + 1"), F.greatest(F.floor(F.col("n") * 0.95), F.lit(1)))
+    wanted = totals.withColumn("_rank", F.explode(F.array_distinct(ranks))).filter("_rank > _before AND _rank <= _before + _t")
+    held = binned.drop("n").join(wanted.select(*by, "_bin", "_before", "_rank", "n"), [*by, "_bin"])
+    upto = F.sum("_c").over(Window.partitionBy(*by, "_bin", "_rank").orderBy("_v")) + F.col("_before")
+    found = held.withColumn("_upto", upto).filter("_upto >= _rank").groupBy(*by, "_rank", "n", "max").agg(F.min("_v").alias("_v"))
+    at = lambda rank: F.max(F.when(F.col("_rank") == rank, F.col("_v")))
+    median = (at(F.expr("(n + 1) div 2")) + at(F.expr("n div 2 + 1"))) / 2
+    return found.groupBy(*by, "n", "max").agg(median.alias("median"), at(F.greatest(F.floor(F.col("n") * 0.95), F.lit(1))).alias("p95"))
 
 
 def taken_handles(profiles: DataFrame) -> DataFrame:

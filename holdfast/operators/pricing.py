@@ -31,6 +31,21 @@ def within_spread(observations: DataFrame, by: list[str], spread: float = SPREAD
     return rows.filter(F.col("price").between(F.col("_q1") - room, F.col("_q3") + room)).select(*observations.columns)
 
 
+def rollup(observations: DataFrame, by: list[str], spread: float = SPREAD) -> DataFrame:
+    """low, median, high, mean, n and sources of each group, with the confidence of its sold observations. Outliers beyond
+    ``spread`` interquartile ranges count everywhere but in the median."""
+    q = observations.groupBy(*by).agg(F.percentile("price", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    room = spread * (F.col("_q")[1] - F.col("_q")[0])
+    usual = F.col("price").between(F.col("_q")[0] - room, F.col("_q")[1] + room)
+    sold = F.col("kind") == "sold"
+    rows = observations.join(q, by).groupBy(*by).agg(
+        F.min("price").alias("low"), F.median(F.when(usual, F.col("price"))).alias("median"), F.max("price").alias("high"), F.avg("price").alias("mean"),
+        F.count("*").alias("n"), F.count_distinct("source_id").alias("sources"), F.count_if(~usual).alias("outliers"),
+        F.count_if(sold).alias("_sold"), F.count_distinct(F.when(sold, F.col("source_id"))).alias("_from"),
+    )
+    return rows.withColumn("confidence", confidence(F.col("_sold"), F.col("_from"))).drop("_sold", "_from")
+
+
 def confidence(sold: Column, sources: Column) -> Column:
     return F.when((sold >= 5) & (sources >= 2), "high").when(sold >= 2, "medium").otherwise("low")
 

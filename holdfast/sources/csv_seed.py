@@ -5,6 +5,7 @@ Lines starting with ``#`` and blank lines are comments; every row keeps its file
 
 from __future__ import annotations
 
+import csv
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,7 @@ def numbered_rows(spark: SparkSession, paths: str | list[str], columns: list[str
     options = {"escape": '"', "mode": "PERMISSIVE"}
     frames = []
     for head in [r["head"] for r in heads.select("head").distinct().collect()]:  # a few kinds of header
-        names = [_column_name(n) for n in head.split(",")]
+        names = [n.strip() for n in next(csv.reader([head]))]
         rows = kept.join(F.broadcast(heads.filter(F.col("head") == head)), "file").filter(F.col("line") > F.col("head_line"))
         parsed = F.from_csv("raw", F.lit(", ".join(f"`{n}` string" for n in names)), options)
         rows = rows.select("file", "line", parsed.alias("p"))
@@ -46,10 +47,6 @@ def numbered_rows(spark: SparkSession, paths: str | list[str], columns: list[str
     return out
 
 
-def _column_name(name: str) -> str:
-    return name.strip().strip('"')
-
-
 @dataclass
 class CsvSeed:
     """A folder with ``sets.csv`` and ``<set code>.csv`` files."""

@@ -38,13 +38,24 @@ def deduplicated(events: DataFrame, key: list[str], late: str) -> DataFrame:
     return events.dropDuplicates(key)
 
 
-def merge_adds(adds: DataFrame, read_state: Callable[[], DataFrame], write_state: Callable[[DataFrame], None]) -> DataStreamWriter:
-    """Each micro-batch of adds folds into the state. One writer: a batch holds each key once after its own merge."""
+def merge_adds(adds: DataFrame, read_state: Callable[[], DataFrame], read_last: Callable[[], int], write_state: Callable[[DataFrame, int], None]) -> DataStreamWriter:
+    """Each micro-batch of adds folds into the state once. One writer: a batch holds each key once after its own merge.
 
-    def fold(batch: DataFrame, _: int) -> None:
+    read_last gives the number of the last batch that the state holds (-1: none); write_state must keep state and
+    number together, so that a batch that is replayed after a failure is known and left alone. Only keys that the batch
+    touches are merged again; other rows pass as they are.
+    """
+
+    def fold(batch: DataFrame, number: int) -> None:
+        if number <= read_last():
+            return
         state = read_state()
         new = batch.select(*state.columns)
-        write_state(holdings.merged(state.unionByName(new)).select(*(c if c != "seq" else F.col("first_seq").alias("seq") for c in state.columns)))
+        key = ["user_id", "printing_id"]
+        touched = new.select(*key).distinct()
+        both = state.join(touched, key, "left_semi").select(*state.columns).unionByName(new)
+        merged = holdings.merged(both).select(*(c if c != "seq" else F.col("first_seq").alias("seq") for c in state.columns))
+        write_state(state.join(touched, key, "left_anti").select(*state.columns).unionByName(merged), number)
 
     return adds.writeStream.foreachBatch(fold)
 

@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from holdfast.plans.queries import ORACLES, QUERIES
+from holdfast.plans import ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -26,7 +26,7 @@ def _sorted(rows):
     return sorted(tuple("" if v is None else f"{v:.5f}" if isinstance(v, float) else str(v) for v in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, oracle, name):
     df = QUERIES[name](spark, str(DATA))
     columns = sorted(df.columns)
