@@ -263,7 +263,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     met_heads = scratch.save(met_heads.dropDuplicates(["node"]), "met-heads")
     names = met_heads.select("node", "id", "text_key")
     whole = texts.select(*row, "text").join(broadcast_if_small(names, BROADCAST_IDS), ["id", "text_key"])
-    whole = scratch.save(whole.select("node", "text").dropDuplicates(["node"]), "texts")
+    whole = whole.select("node", "text")
+    again = scratch.save(heads.groupBy("node").count().filter("count > 1").select("node"), "again")
+    if not again.isEmpty():  # rows that stand for a class and are repeated
+        few = broadcast_if_small(again, BROADCAST_IDS)
+        whole = whole.join(few, "node", "left_anti").unionByName(whole.join(few, "node", "left_semi").dropDuplicates(["node"]))
+    whole = scratch.save(whole, "texts")
 
     def labelled(labels: DataFrame) -> DataFrame:
         out = members.join(labels, "node", "left")
