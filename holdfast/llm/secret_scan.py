@@ -266,8 +266,8 @@ def generated_findings(n: int = 4000, seed: int = 5, forms: list[str] = SECRET_F
     return out
 
 
-SAMPLE_ROWS = 1500  #: documents whose findings are learned from, at most
-A_ROW = 4  #: findings of each kind and document that are learned from, at most
+SAMPLE_ROWS = 400  #: documents whose findings are learned from, at most
+A_ROW = 2  #: findings of each kind and document that are learned from, at most
 AROUND = 200  #: characters kept on either side of a finding
 
 
