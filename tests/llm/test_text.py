@@ -153,6 +153,20 @@ def test_toxicity_held_out(spark):
     assert tuples(toxicity.toxicity(docs, turned), "doc_id", "score") == tuples(got, "doc_id", "score")
 
 
+def test_label_model_overrules_labels_where_voters_disagree():
+    """Ten voters that mostly agree with the truth; a few labels are wrong, and some voters copy another one."""
+    r = np.random.default_rng(0)
+    truth = r.random(2000) < 0.3
+    fired = np.stack([np.where(truth, r.random(2000) < 0.8, r.random(2000) < 0.05) for _ in range(8)] + [np.zeros(2000, bool)] * 2, axis=1).astype(float)
+    fired[:, 8] = fired[:, 9] = fired[:, 7]
+    wrong = r.random(2000) < 0.1
+    labels = np.where(wrong, ~truth, truth).astype(float)
+    posterior, accuracies, together, discount = toxicity.label_model(fired, 0.1 + 0.8 * labels)
+    assert ((posterior > 0.5) == truth)[wrong].mean() > 0.95 and ((posterior > 0.5) == truth).mean() > 0.99
+    assert (accuracies[1][:7] > 0.7).all() and (accuracies[0][:7] < 0.1).all()
+    assert together[7, 8] > 0.99 and (discount[7:] < 0.4).all() and (discount[:7] > 0.6).all()
+
+
 def test_toxicity_awkward(spark):
     labels = spark.createDataFrame([(4, 0), (4, 1), (5, None), (None, 1), (9, 0)], "doc_id long, toxic int")
     got = toxicity.toxicity(table(spark, AWKWARD), labels).collect()
