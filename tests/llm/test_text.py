@@ -1,5 +1,6 @@
 """Secrets, URLs, toxicity, decontamination, WARC, mixing and token output against plain versions."""
 
+import functools
 import gzip
 import hashlib
 import random
@@ -202,10 +203,20 @@ def brute_matches(docs, items, window):
 
     def shape(tokens, slots):
         values = [("word", v) if k == "name" and "name" not in slots else (k, v) for k, v in tokens]
-        return [(k, values.index((k, v))) if k in slots else (k, v) for k, v in values]
+        return tuple((k, values.index((k, v))) if k in slots else (k, v) for k, v in values)
 
     found = defaultdict(lambda: (set(), set()))
     texts = [(d, plain_tokens(t)) for d, t in docs if d is not None]
+
+    @functools.cache
+    def places(way, n):
+        """All windows of n tokens of all texts, by their shape."""
+        out = defaultdict(list)
+        for doc, other in texts:
+            for j in range(len(other) - n + 1):
+                out[shape(other[j : j + n], way)].append((doc, j))
+        return out
+
     for item, tokens in ((i, plain_tokens(t)) for i, t in items if i is not None):
         n = min(window, len(tokens))
         for i in range(len(tokens) - n + 1 if n >= D.MIN_WORDS else 0):
@@ -214,11 +225,10 @@ def brute_matches(docs, items, window):
             ways = [("number", "unit") if words(("number", "unit")) else ()]
             if words(("number", "unit", "name")) and any(k == "name" for k, _ in own):
                 ways.append(("number", "unit", "name"))
-            for doc, other in texts:
-                for j in range(len(other) - n + 1):
-                    if any(shape(own, w) == shape(other[j : j + n], w) for w in ways):
-                        found[doc][0].add(item)
-                        found[doc][1].add(j)
+            for way in ways:
+                for doc, j in places(way, n).get(shape(own, way), ()):
+                    found[doc][0].add(item)
+                    found[doc][1].add(j)
     return sorted(((d, sorted(a), len(b)) for d, (a, b) in found.items()), key=str)
 
 
