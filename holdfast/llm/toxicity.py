@@ -154,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     mined = texts.select("text", "toxic").mapInArrow(_mined, "term string, neg long, pos long")
     mined = mined.groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     sure = F.col("pos") / (F.col("pos") + F.col("neg"))
-    support = max(MIN_TOXIC, math.ceil(MIN_SHARE * known.filter("toxic = 1").count()))
+    support = max(MIN_TOXIC, math.ceil(MIN_SHARE * texts.filter("toxic = 1").count()))  # of docs alone: labels of other rows are not read
     mined = mined.filter((F.col("pos") >= support) & (sure >= MIN_PRECISION)).withColumn("sure", sure)
     top = mined.orderBy(F.desc(F.col("pos") * (sure - 0.5)), "term").collect()  # bounded by MIN_SHARE
     lexicon = {r["term"] for r in top} | set(SEED_WORDS)
