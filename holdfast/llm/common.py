@@ -6,6 +6,7 @@ import atexit
 import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -108,10 +109,11 @@ class Words:
     time; those of two words of the same length of eight bytes at most never collide.
     """
 
-    def __init__(self, texts: list[bytes], lower: bool = True):
+    def __init__(self, texts: list[bytes], lower: bool = True, space: Callable[[np.ndarray], np.ndarray] = _IS_SPACE.__getitem__):
+        """space: which of the bytes stand between words; the line feed must be one."""
         raw = np.frombuffer(b"\n".join(texts) + b"\n" + bytes(8), dtype=np.uint8)
         self.data = _LOWER[raw] if lower else raw
-        self.space = _IS_SPACE[self.data[:-8]]
+        self.space = space(self.data[:-8])
         edge = np.flatnonzero(self.space[1:] != self.space[:-1]) + 1
         if len(self.space) and not self.space[0]:
             edge = np.concatenate(([0], edge))
@@ -130,6 +132,31 @@ class Words:
             left = left[length[left] > at]
         self.hashes = h
 
+    def same(self, one: np.ndarray, two: np.ndarray) -> bool:
+        """Whether the words at one are, byte for byte, those at two."""
+        length = self.end - self.start
+        if (length[one] != length[two]).any():
+            return False
+        eights, at, left = np.ndarray((len(self.data) - 7,), "<u8", self.data, strides=(1,)), 0, length[one]
+        while len(one):
+            mask = _FIRST[np.minimum(left, 8)]
+            if ((eights[self.start[one] + at] ^ eights[self.start[two] + at]) & mask).any():
+                return False
+            more = left > 8
+            one, two, left, at = one[more], two[more], left[more] - 8, at + 8
+        return True
+
+    def numbered(self, known: dict[bytes, int], at: np.ndarray) -> np.ndarray:
+        """The numbers of the words at ``at``; words not known get the next ones. Equal hashes are verified on the bytes."""
+        if not len(at):
+            return np.zeros(0, np.int64)
+        _, first, of = np.unique(self.hashes[at], return_index=True, return_inverse=True)
+        if not self.same(at, at[first][of]):  # two words share a hash
+            first = of = np.arange(len(at))
+        data, begin, stop = memoryview(self.data.tobytes()), self.start[at[first]].tolist(), self.end[at[first]].tolist()
+        own = np.fromiter((known.setdefault(bytes(data[b:e]), len(known)) for b, e in zip(begin, stop, strict=True)), np.int64, len(first))
+        return own[of]
+
     def digests(self, texts: int) -> np.ndarray:
         """128 bits of each text's words in order, cryptographic."""
         keep = ~self.space

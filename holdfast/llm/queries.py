@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, read
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
+from .lexical_search import ranked
 from .line_dedup import duplicate_lines
 from .minhash import near_duplicates
 from .mixing import mix
@@ -75,6 +76,10 @@ def op9_warc(spark, sf_dir):
     return derivatives(responses(read(spark, sf_dir, "pages"), CRAWL_DATE))
 
 
+def op11_lexical_search(spark, sf_dir):
+    return ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_minhash": op2_minhash,
@@ -86,6 +91,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_warc": op9_warc,
     "op10_token_output": op10_token_output,
+    "op11_lexical_search": op11_lexical_search,
 }
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
@@ -97,6 +103,9 @@ _HOST_SQL = " ".join(
 _RULE_VERDICT_SQL = " ".join(f"WHEN rule = '{r.name}' THEN '{r.verdict}'" for r in HOST_RULES)
 _METHOD_SQL = " OR ".join(f"regexp_matches(host || path, '{r.pattern}')" for r in METHOD_RULES)
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 ORACLES = {
     "op1_exact_dedup": f"""
         SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
@@ -108,4 +117,16 @@ ORACLES = {
              r AS (SELECT *, CASE {_HOST_SQL} END AS rule FROM u)
         SELECT page_id, host, path, rule,
                CASE {_RULE_VERDICT_SQL} WHEN {_METHOD_SQL} THEN 'block' ELSE 'allow' END AS verdict FROM r""",
+    "op11_lexical_search": rf"""
+        WITH t AS (SELECT r, doc_id, unnest({_TERMS}) AS term FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)),
+             tf AS (SELECT r, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM t GROUP BY r, term),
+             d AS (SELECT r, sum(tf)::BIGINT AS n FROM tf GROUP BY r),
+             s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM d),
+             w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY term, docs),
+             q AS (SELECT i, item_id, unnest(list_distinct({_TERMS})) AS term FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark)),
+             scored AS (SELECT i, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id,
+                               sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))))::BIGINT AS score
+                        FROM q JOIN tf USING (term) JOIN w USING (term) JOIN d USING (r), s GROUP BY i, r),
+             placed AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS place FROM scored WHERE score > 0)
+        SELECT item_id, place::INT AS rank, doc_id, score FROM placed WHERE place <= 10""",
 }
