@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, Words, as_bytes, chunks, small
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-SHARD_TERMS = 4_000_000  #: terms of a shard, about; a longer text makes a shard of its own
+SHARD_TERMS = 2_000_000  #: terms of a shard, about; a longer text makes a shard of its own
 QUERIES = 256  #: queries of a block
 BROADCAST_TERMS = 100_000  #: terms asked for, of all blocks, that may be broadcast
 SALTS = 64  #: into so many parts a term's shards are dealt where its queries aren't broadcast

@@ -6,8 +6,8 @@ cut into ranges of BLOCK; a block has the maxima and minima of each component (i
 vectors. A query's bound for a block is the sum over components of the query's value times the maximum, or, where the
 value is negative, the minimum. Blocks are scored in descending order of bounds, until these fall below the kth score.
 
-Each query first searches the shard it stands in, which gives a kth score that prunes in all others. Then blocks of
-queries meet all shards. What a shard finds for a query is at most k rows; a window merges them.
+Each query first searches the shard it stands in, which gives a kth score that prunes in all others. Then batches
+of queries meet all shards. What a shard finds for a query is at most k rows; a window merges them.
 """
 
 from __future__ import annotations
@@ -24,13 +24,13 @@ from .common import Scratch
 
 SHARD_VALUES = 1 << 18  #: components of a shard's vectors
 BLOCK = 32  #: vectors of a block
-QUERIES = 1024  #: queries of a block, about
+QUERIES = 1024  #: queries of a batch, about
 BROADCAST_BYTES = 64 << 20  #: queries that may be broadcast
-SALTS = 64  #: into so many parts the shards of a block of queries are dealt where queries aren't broadcast
+SALTS = 64  #: into so many parts the shards of a batch of queries are dealt where queries aren't broadcast
 EXACT = 1 << 53  #: below this, sums of products in doubles are exact
 LIMIT = (1 << 63) - 1
 
-SHARD = "shard long, dims int, kind string, ids array<long>, vectors binary, tops binary, lows binary"
+SHARD = "shard long, block int, dims int, kind string, ids array<long>, vectors binary, tops binary, lows binary"
 QUERY = "shard long, n long, dims int, kind string, ids array<long>, rows array<long>, floors array<long>, vectors binary"
 FOUND = "query long, query_id long, vec_id long, score long"
 
@@ -61,17 +61,17 @@ def alike(vectors: np.ndarray, size: int) -> np.ndarray:
     return order
 
 
-def _sharded(values: int):
+def _sharded(values: int, block: int):
     def shard(number: int, ids: list, lists: list[np.ndarray]) -> pa.RecordBatch:
         dims = max(map(len, lists))
         vectors = np.zeros((len(lists), dims), np.int64)  # a shorter vector's other components are 0
         for row, v in zip(vectors, lists, strict=True):
             row[: len(v)] = v
-        order = alike(vectors, BLOCK)
-        vectors, at = vectors[order], np.arange(0, len(lists), BLOCK)
+        order = alike(vectors, block)
+        vectors, at = vectors[order], np.arange(0, len(lists), block)
         kind = _kind(vectors)
         data = [x.astype(kind).tobytes() for x in (vectors, np.maximum.reduceat(vectors, at), np.minimum.reduceat(vectors, at))]
-        columns = [pa.array([number]), pa.array([dims], pa.int32()), pa.array([kind]), pa.array([[ids[i] for i in order]], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in data)]
+        columns = [pa.array([number]), *(pa.array([x], pa.int32()) for x in (block, dims)), pa.array([kind]), pa.array([[ids[i] for i in order]], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in data)]
         return pa.RecordBatch.from_arrays(columns, names=_names(SHARD))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,20 +93,20 @@ def _sharded(values: int):
     return run
 
 
-def build_index(vectors: DataFrame, shard_values: int = SHARD_VALUES) -> DataFrame:
+def build_index(vectors: DataFrame, shard_values: int = SHARD_VALUES, block: int = BLOCK) -> DataFrame:
     """One row for each shard of the vectors that take part: see SHARD. Reads ``vec_id`` and ``embedding`` only."""
     found = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     found = found.filter(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    return found.select("vec_id", F.transform("v", lambda x: F.floor(256 * x)).alias("v")).mapInArrow(_sharded(shard_values), SHARD)
+    return found.select("vec_id", F.transform("v", lambda x: F.floor(256 * x)).alias("v")).mapInArrow(_sharded(shard_values, block), SHARD)
 
 
 class Shard:
-    def __init__(self, shard, dims, kind, ids, vectors, tops, lows):
-        self.dims = dims
+    def __init__(self, shard, block, dims, kind, ids, vectors, tops, lows):
+        self.dims, self.block = dims, block
         self.none = np.array([i is None for i in ids])
         self.ids = np.array([i or 0 for i in ids], np.int64)
         self.rows = (shard << 20) + np.arange(len(ids))
-        sizes = len(ids), -(-len(ids) // BLOCK), -(-len(ids) // BLOCK)
+        sizes = len(ids), -(-len(ids) // block), -(-len(ids) // block)
         self.vectors, self.tops, self.lows = (np.frombuffer(x, kind).astype(np.int64).reshape(n, dims) for x, n in zip((vectors, tops, lows), sizes, strict=True))
 
     def search(self, queries: np.ndarray, rows: np.ndarray, floors: list, k: int) -> Iterator[tuple[np.ndarray, list[int]]]:
@@ -125,7 +125,7 @@ class Shard:
                 blocks = order[at : at + step]
                 if kth is not None:
                     blocks = blocks[bound[at : at + step] >= kth]
-                places = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+                places = (blocks[:, None] * self.block + np.arange(self.block)).ravel()
                 places = places[(places < len(v)) & (self.rows[np.minimum(places, len(v) - 1)] != own)]
                 new = v[places] @ one if dims else np.zeros(len(places))
                 if kth is not None:
@@ -159,7 +159,7 @@ def _asked(every: int, k: int):
 
 
 def _met(k: int):
-    """What each shard finds for a block of queries."""
+    """What each shard finds for a batch of queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,17 +191,17 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     n, size = queries.agg(F.sum("n"), F.sum(F.length("vectors") + 24 * F.col("n"))).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    blocks = -(-n // QUERIES)
+    batches = -(-n // QUERIES)
     parts = F.struct(*(c for c in queries.columns if c not in ("shard", "n")))
-    queries = queries.groupBy(F.pmod(F.xxhash64("shard"), F.lit(blocks)).alias("block")).agg(F.collect_list(parts).alias("queries"))
-    queries = scratch.save(queries, "query-blocks")
-    # all queries meet all shards, block by block
-    met = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    queries = queries.groupBy(F.pmod(F.xxhash64("shard"), F.lit(batches)).alias("batch")).agg(F.collect_list(parts).alias("queries"))
+    queries = scratch.save(queries, "query-batches")
+    # all queries meet all shards, batch by batch
+    met = index.withColumn("batch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batches - 1).cast("long"))))
     if size <= BROADCAST_BYTES:
-        met = met.join(F.broadcast(queries), "block").drop("block")
+        met = met.join(F.broadcast(queries), "batch").drop("batch")
     else:
         salted = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = met.withColumn("salt", F.pmod(F.xxhash64("shard"), F.lit(SALTS)).cast("int")).join(salted, ["block", "salt"]).drop("block", "salt")
+        met = met.withColumn("salt", F.pmod(F.xxhash64("shard"), F.lit(SALTS)).cast("int")).join(salted, ["batch", "salt"]).drop("batch", "salt")
     found = met.mapInArrow(_met(k), FOUND)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
