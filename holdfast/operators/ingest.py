@@ -1,8 +1,8 @@
 """Catalog ingest: raw rows to cards with printings or one rejection each, fingerprints, diff and upsert, run report.
 
 Raw rows: set_code, file, line, source_ref and string columns. A card is emitted whole or rejected whole with the
-first reason in a fixed precedence. What decides it are minima over the card's rows, which combine map-side, so that a
-card with very many rows is no single task's.
+first reason in a fixed precedence. Judging carries small numbers of problems; messages and records are made at the end,
+of the rows at fault only.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import vocabulary as V
+from ..scratch import Scratch
 
 # The fields that all rows of a card must agree on, in the order of report, and the required ones.
 CARD_FIELDS = ["name", "card_type", "element", "rune_type", "subtype", "attack", "defence", "spirit_cost", "rules_text", "flavour_text", "artist"]
@@ -24,113 +25,131 @@ VERSION = "1"
 CARD_KEY = ["set_code", "collector_number"]
 
 
-def _record(row) -> Column:
-    """The raw row as JSON, sensitive texts scrubbed."""
-    return S.scrub_text(F.to_json(F.struct(*(row(c).alias(c) for c in RAW))))
-
-
-def _reject(code: str, field: str, ref: Column, message: Column, record: Column) -> Column:
-    return F.struct(F.lit(code).alias("reason_code"), F.lit(field).alias("field"), ref.alias("source_ref"), message.alias("message"), record.alias("raw_record"))
-
-
-def _missing(field: str) -> Column:
-    return F.lit(f"A value for `{field}` must be given.")
-
-
-def _first(*cases: tuple[Column, Column]) -> Column:
-    """The value of the first condition that holds."""
-    return reduce(lambda acc, c: acc.when(F.coalesce(c[0], F.lit(False)), c[1]), cases[1:], F.when(F.coalesce(cases[0][0], F.lit(False)), cases[0][1]))
+def _first(cases: list[tuple[int, Column]]) -> Column:
+    """The number of the first condition that holds; NULL if none does."""
+    return F.coalesce(*(F.when(condition, n) for n, condition in cases))
+
+
+# Reasons and fields of rejections, in the order in which they count. A message that ends in a space is
+# followed by the value.
+PROBLEMS = [
+    *(("missing_required_field", c, f"A value for `{c}` must be given.") for c in REQUIRED),
+    ("conflicting_card_fields", "", ""),
+    ("missing_required_field", "card_type", "Unrecognised card_type "),
+    ("type_field_mismatch", "element", "Unrecognised element "),
+    ("type_field_mismatch", "rune_type", "Unrecognised rune_type "),
+    ("type_field_mismatch", "attack", "`attack` must be an integer."),
+    ("type_field_mismatch", "defence", "`defence` must be an integer."),
+    ("type_field_mismatch", "element", "This type of card must have an element."),
+    ("type_field_mismatch", "rune_type", "Only runes have a `rune_type`."),
+    ("type_field_mismatch", "rune_type", "A rune must have a `rune_type`."),
+    ("type_field_mismatch", "attack", "This type of card has no `attack` or `defence`."),
+    ("invalid_spirit_cost", "spirit_cost", "Invalid cost "),
+    ("unknown_rarity", "rarity", "Unrecognised rarity "),
+    ("unknown_finish", "finish", "Unrecognised finish "),
+    ("unknown_edition", "edition", "Unrecognised edition "),
+    ("duplicate_printing_key", "rarity", "Two rows give the same printing."),
+]
+CONFLICT, RARITY, TWICE = (next(i for i, p in enumerate(PROBLEMS, 1) if p[0] == code) for code in ("conflicting_card_fields", "unknown_rarity", "duplicate_printing_key"))
 
 
 def with_columns(raw: DataFrame) -> DataFrame:
     """Raw rows with every known column present and stripped; NULL counts as empty."""
-    for c in RAW:
-        raw = raw.withColumn(c, V.strip(F.col(c).cast("string")) if c in raw.columns else F.lit(""))
-    return raw
+    return raw.withColumns({c: V.strip(F.col(c).cast("string")) if c in raw.columns else F.lit("") for c in RAW})
 
 
-def normalised(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cards, rejections). cards have nested printings; rejections have set_code, collector_number, reason_code, field,
-    source_ref, message and raw_record (the row at fault as JSON)."""
-    rows = with_columns(raw)
-    unnumbered = rows.filter("collector_number = ''").select(
-        "set_code", "collector_number",
-        _reject("missing_required_field", "collector_number", F.col("source_ref"), _missing("collector_number"), _record(F.col)).alias("r"),
-    )
-    rows = rows.filter("collector_number != ''").withColumns(
+def _folded(raw: DataFrame) -> DataFrame:
+    """Raw rows with a number of their own, their folded printing, the number of a fault of their own, and two hashes of
+    what a card's rows must agree on."""
+    rows = with_columns(raw).withColumns(
         {
-            "_rarity": V.rarity(F.col("rarity")), "_finish": V.finish(F.col("finish")), "_edition": V.edition(F.col("edition")),
+            "row": F.monotonically_increasing_id(), "_rarity": V.rarity(F.col("rarity")), "_finish": V.finish(F.col("finish")), "_edition": V.edition(F.col("edition")),
             "_language": F.lower(F.when(F.col("language") == "", "en").otherwise(F.col("language"))), "_tracked": S.is_tracked(F.col("is_tracked_for_price")),
+            "_one": F.xxhash64(*CARD_FIELDS), "_two": F.xxhash64(F.lit(1), *reversed(CARD_FIELDS)),
         }
     )
-    place = F.struct("line", "source_ref")
-    bad = lambda c: _reject(f"unknown_{c}", c, F.col("source_ref"), F.concat(F.lit(f"Unrecognised {c} "), F.col(c)), _record(F.col))
-    unknown = _first(*((F.col(f"_{c}").isNull(), bad(c)) for c in ("rarity", "finish", "edition")))
-    # what a card's rows hold combines map-side: its first row, whether its rows agree, and the first row with a fault of its own
-    spans = [F.struct(F.min(c).alias("low"), F.max(c).alias("high")).alias(f"s_{c}") for c in CARD_FIELDS]
-    groups = rows.groupBy(*CARD_KEY).agg(F.min(F.struct("line", "source_ref", *RAW)).alias("h"), F.min(F.when(unknown.isNotNull(), F.struct("line", "source_ref", unknown.alias("r")))).alias("_fault"), *spans)
-    disagree = F.array_contains(F.array(*(F.col(f"s_{c}.low") != F.col(f"s_{c}.high") for c in CARD_FIELDS)), True)
-    groups = groups.withColumn("_apart", disagree).drop(*(f"s_{c}" for c in CARD_FIELDS))
+    return rows.withColumn("fault", _first([(RARITY + i, F.col(f"_{c}").isNull()) for i, c in enumerate(("rarity", "finish", "edition"))]))
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """One row a card: h (its first raw row), problem (a number, NULL for a good card), at (the row at fault), the
+    conflict's field and values, and the card's own columns folded.
+
+    What decides are minima and maxima, which combine map-side, so a card with very many rows is no single task's.
+    """
+    place = F.struct("line", "source_ref", "row")
+    groups = rows.groupBy(*CARD_KEY).agg(
+        F.min(F.struct("line", "source_ref", "row", *RAW)).alias("h"), F.min(F.when(F.col("fault").isNotNull(), F.struct(place.alias("place"), "fault"))).alias("bad"),
+        ((F.min("_one") != F.max("_one")) | (F.min("_two") != F.max("_two"))).alias("apart"),
+    )
     # rows are looked at one by one only where a card's rows disagree or give a printing twice
-    odd = groups.filter("_apart").select(*CARD_KEY, "h")
-    sides = lambda c: F.struct(F.lit(c).alias("name"), F.col(f"h.{c}").alias("one"), F.col(c).alias("two"))
-    at = _first(*((F.col(c) != F.col(f"h.{c}"), sides(c)) for c in CARD_FIELDS))
-    other = rows.join(odd, CARD_KEY).withColumn("at", at).filter("at IS NOT NULL").groupBy(*CARD_KEY).agg(F.min(F.struct("line", "source_ref", "at", _record(F.col).alias("record"))).alias("_other"))
-    printing_key = [*CARD_KEY, "_rarity", "_finish", "_language", "_edition"]
-    first = rows.groupBy(*printing_key).agg(F.min(place).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    twice = _reject("duplicate_printing_key", "rarity", F.col("source_ref"), F.lit("Two rows give the same printing."), _record(F.col))
-    twice = rows.join(first, printing_key).filter(place > F.col("_first")).groupBy(*CARD_KEY).agg(F.min(F.struct("line", "source_ref", twice.alias("r"))).alias("_twice"))
-    groups = groups.join(other, CARD_KEY, "left").join(twice, CARD_KEY, "left")
     h = lambda c: F.col(f"h.{c}")
-    folded = {"_type": V.card_type(h("card_type")), "_element": V.element(h("element")), "_rune": V.rune_type(h("rune_type")), "_attack": S.as_int(h("attack")), "_defence": S.as_int(h("defence"))}
+    differs = F.coalesce(*(F.when(F.col(c) != h(c), F.struct(F.lit(c).alias("name"), h(c).alias("one"), F.col(c).alias("two"))) for c in CARD_FIELDS))
+    other = rows.join(groups.filter("apart").select(*CARD_KEY, "h"), CARD_KEY).select(*CARD_KEY, place.alias("place"), differs.alias("differs")).filter("differs IS NOT NULL")
+    other = other.groupBy(*CARD_KEY).agg(F.min(F.struct("place", "differs")).alias("other"))
+    printing_key = [*CARD_KEY, "_rarity", "_finish", "_language", "_edition"]
+    given = rows.groupBy(*printing_key).agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    twice = rows.join(given, printing_key).filter(place > F.col("first")).groupBy(*CARD_KEY).agg(F.min(place).alias("twice"))
+    groups = groups.drop("apart").join(other, CARD_KEY, "left").join(twice, CARD_KEY, "left")
+
     cost, cost_ok = S.spirit_cost(h("spirit_cost"))
-    groups = groups.withColumns(folded | {"_cost": cost, "_cost_ok": cost_ok})
-
-    ref, head = h("source_ref"), _record(h)
-    cases = [(h(c) == "", _reject("missing_required_field", c, ref, _missing(c), head)) for c in REQUIRED]
-    at, later = F.col("_other.at"), F.col("_other.source_ref")
-    conflict = F.struct(
-        F.lit("conflicting_card_fields").alias("reason_code"), at["name"].alias("field"), later.alias("source_ref"),
-        F.format_string("`%s` is \"%s\" at %s and \"%s\" at %s.", at["name"], at["one"], ref, at["two"], later).alias("message"), F.col("_other.record").alias("raw_record"),
-    )
-    cases.append((later.isNotNull(), conflict))
-    unknown = lambda c: F.concat(F.lit(f"Unrecognised {c} "), h(c))
-    mismatch = lambda c, m: _reject("type_field_mismatch", c, ref, F.lit(m), head)
-    kind, fights = F.col("_type"), F.col("_attack").isNotNull() | F.col("_defence").isNotNull()
-    bearer = kind.isin("elestral", "spirit")
-    cases += [
-        (kind.isNull(), _reject("missing_required_field", "card_type", ref, unknown("card_type"), head)),
-        ((h("element") != "") & F.col("_element").isNull(), _reject("type_field_mismatch", "element", ref, unknown("element"), head)),
-        ((h("rune_type") != "") & F.col("_rune").isNull(), _reject("type_field_mismatch", "rune_type", ref, unknown("rune_type"), head)),
-        ((h("attack") != "") & F.col("_attack").isNull(), mismatch("attack", "`attack` must be an integer.")),
-        ((h("defence") != "") & F.col("_defence").isNull(), mismatch("defence", "`defence` must be an integer.")),
-        (bearer & F.col("_element").isNull(), mismatch("element", "This type of card must have an element.")),
-        (bearer & F.col("_rune").isNotNull(), mismatch("rune_type", "Only runes have a `rune_type`.")),
-        ((kind == "rune") & F.col("_rune").isNull(), mismatch("rune_type", "A rune must have a `rune_type`.")),
-        (kind.isin("spirit", "rune") & fights, mismatch("attack", "This type of card has no `attack` or `defence`.")),
-        (~F.col("_cost_ok"), _reject("invalid_spirit_cost", "spirit_cost", ref, F.concat(F.lit("Invalid cost "), h("spirit_cost")), head)),
+    groups = groups.withColumns({"_type": V.card_type(h("card_type")), "_element": V.element(h("element")), "_rune": V.rune_type(h("rune_type")), "_attack": S.as_int(h("attack")), "_defence": S.as_int(h("defence")), "_cost": cost, "_cost_ok": cost_ok})
+    kind, bearer = F.col("_type"), F.col("_type").isin("elestral", "spirit")
+    conditions = [
+        *(h(c) == "" for c in REQUIRED), F.col("other").isNotNull(), kind.isNull(),
+        *((h(c) != "") & F.col(f).isNull() for c, f in (("element", "_element"), ("rune_type", "_rune"), ("attack", "_attack"), ("defence", "_defence"))),
+        bearer & F.col("_element").isNull(), bearer & F.col("_rune").isNotNull(), (kind == "rune") & F.col("_rune").isNull(),
+        kind.isin("spirit", "rune") & (F.col("_attack").isNotNull() | F.col("_defence").isNotNull()), ~F.col("_cost_ok"),
     ]
-
     # rows in file order: the earliest row's fault counts, a value that is unknown before a printing given twice
-    row_fault = F.when(F.col("_twice").isNull() | (F.struct("_fault.line", "_fault.source_ref") <= F.struct("_twice.line", "_twice.source_ref")), F.col("_fault.r")).otherwise(F.col("_twice.r"))
-    row_fault = F.when(F.col("_fault").isNull(), F.col("_twice.r")).otherwise(row_fault)
-    groups = groups.withColumn("r", F.coalesce(_first(*cases), row_fault))
-    rejections = groups.filter("r IS NOT NULL").select("set_code", "collector_number", "r").unionByName(unnumbered)
+    earlier = F.col("bad").isNotNull() & (F.col("twice").isNull() | (F.col("bad.place") <= F.col("twice")))
+    fault = F.when(earlier, F.col("bad.fault")).when(F.col("twice").isNotNull(), TWICE)
+    groups = groups.withColumn("problem", F.coalesce(_first(list(enumerate(conditions, 1))), fault))
+    late = F.when(F.col("problem") == CONFLICT, F.col("other.place.row")).when(F.col("problem") == TWICE, F.col("twice.row")).when(F.col("problem") >= RARITY, F.col("bad.place.row"))
+    return groups.withColumn("at", F.coalesce(late, h("row"))).select(*CARD_KEY, "h", "problem", "at", "other.differs", "_type", "_element", "_rune", "_attack", "_defence", "_cost")
+
+
+def _rejections(judged: DataFrame, rows: DataFrame) -> DataFrame:
+    """Messages and records, made of the rows at fault only."""
+    of = lambda i: F.element_at(F.array(*(F.lit(p[i]) for p in PROBLEMS)), F.col("problem"))
+    unnumbered = rows.filter("collector_number = ''").select(F.lit(1).alias("problem"), F.lit(None).cast("string").alias("first_ref"), F.lit(None).cast(judged.schema["differs"].dataType).alias("differs"), F.struct(*CARD_KEY, "source_ref", *RAW[1:]).alias("f"))
+    found = judged.filter("problem IS NOT NULL").select("problem", F.col("h.source_ref").alias("first_ref"), "differs", F.col("at").alias("row"))
+    found = found.join(rows.select("row", F.struct(*CARD_KEY, "source_ref", *RAW[1:]).alias("f")), "row").drop("row").unionByName(unnumbered)
+    field = F.when(F.col("problem") == CONFLICT, F.col("differs.name")).otherwise(of(1))
+    value = F.coalesce(*(F.when(F.col("field") == c, F.col(f"f.{c}")) for c in RAW), F.lit(""))
+    conflict = F.format_string('`%s` is "%s" at %s and "%s" at %s.', "differs.name", "differs.one", "first_ref", "differs.two", "f.source_ref")
+    message = F.when(F.col("problem") == CONFLICT, conflict).when(of(2).endswith(" "), F.concat(of(2), value)).otherwise(of(2))
+    record = S.scrub_text(F.to_json(F.struct(*(F.col(f"f.{c}").alias(c) for c in RAW))))
+    return found.withColumn("field", field).select("f.set_code", "f.collector_number", of(0).alias("reason_code"), "field", "f.source_ref", message.alias("message"), record.alias("raw_record"))
+
+
+def normalised(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cards, rejections). cards have nested printings; rejections have set_code, collector_number, reason_code, field,
+    source_ref, message and raw_record (the row at fault as JSON).
+
+    The folded rows and the judged cards are written to the shared folder, so that raw is read once.
+    """
+    scratch = Scratch(raw.sparkSession, "normalise")
+    rows = scratch.save(_folded(raw), "rows")
+    numbered = rows.filter("collector_number != ''")
+    judged = scratch.save(_judged(numbered), "judged")
+    h = lambda c: F.col(f"h.{c}")
+    text = lambda c: F.nullif(h(c), F.lit("")).alias(c)
+    good = judged.filter("problem IS NULL").select(
+        *CARD_KEY,
+        F.struct(
+            h("name").alias("name"), F.col("_type").alias("card_type"), F.col("_element").alias("element"), F.col("_rune").alias("rune_type"), text("subtype"), F.col("_attack").alias("attack"),
+            F.col("_defence").alias("defence"), F.col("_cost").alias("spirit_cost"), text("rules_text"), text("flavour_text"), text("artist"),
+        ).alias("card"),
+    )
     printing = F.struct(
         "line", "source_ref", F.col("_rarity").alias("rarity"), F.col("_finish").alias("finish"), F.col("_language").alias("language"), F.col("_edition").alias("edition"),
         F.nullif(F.col("image_url"), F.lit("")).alias("image_url"), F.col("_tracked").alias("is_tracked_for_price"),
     )
     # a good card has each printing once
-    good = groups.filter("r IS NULL")
-    held = rows.join(good.select(*CARD_KEY), CARD_KEY, "left_semi").groupBy(*CARD_KEY).agg(F.array_sort(F.collect_list(printing)).alias("_printings"))
-    text = lambda c: F.nullif(h(c), F.lit("")).alias(c)
-    cards = good.join(held, CARD_KEY).select(
-        "set_code", "collector_number", h("name").alias("name"), F.col("_type").alias("card_type"), F.col("_element").alias("element"),
-        F.col("_rune").alias("rune_type"), text("subtype"), F.col("_attack").alias("attack"), F.col("_defence").alias("defence"),
-        F.col("_cost").alias("spirit_cost"), text("rules_text"), text("flavour_text"), text("artist"),
-        F.transform("_printings", lambda p: p.dropFields("line", "source_ref")).alias("printings"),
-    )
-    return cards, rejections.select("set_code", "collector_number", "r.*")
+    cards = numbered.select(*CARD_KEY, printing.alias("p")).join(good, CARD_KEY).groupBy(*CARD_KEY).agg(F.first("card").alias("card"), F.array_sort(F.collect_list("p")).alias("printings"))
+    cards = cards.select(*CARD_KEY, "card.*", F.transform("printings", lambda p: p.dropFields("line", "source_ref")).alias("printings"))
+    return cards, _rejections(judged, rows)
 
 
 PRINTING_KEY = [*CARD_KEY, "rarity", "finish", "language", "edition"]

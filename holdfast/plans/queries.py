@@ -453,8 +453,9 @@ def set_upsert_changes(d: Domain) -> DataFrame:
     return I.changed_sets(new, old).select("set_code")
 
 
-def _raw(d: Domain) -> DataFrame:
-    """Raw rows with faults by the supplier's and the part's number: one row a printing, two printings a card at most."""
+def _raw(d: Domain, apart: bool = False) -> DataFrame:
+    """Raw rows with faults by the part's number: one row a printing, two printings a card at most. apart: some second
+    rows have another attack than the first."""
     part = d.table("part")
     n = F.col("p_partkey")
     base = part.select(
@@ -465,6 +466,8 @@ def _raw(d: Domain) -> DataFrame:
     )
     first = base.withColumns({"rarity": F.lit("Holo Rare"), "finish": F.lit("Holofoil"), "edition": F.lit("1st"), "line": F.col("n") * 2})
     second = base.filter("n % 2 = 0").withColumns({"rarity": F.when(F.col("n") % 37 == 0, "mythic").otherwise("common"), "finish": F.lit("normal"), "edition": F.lit("first"), "line": F.col("n") * 2 + 1})
+    if apart:
+        second = second.withColumn("attack", F.when(F.col("n") % 43 == 0, "999").otherwise(F.col("attack")))
     third = base.filter("n % 41 = 0").withColumns({"rarity": F.lit("holo"), "finish": F.lit("foil"), "edition": F.lit("first"), "line": F.col("n") * 2 + 2})
     return first.unionByName(second).unionByName(third).withColumn("source_ref", F.concat_ws(":", "set_code", "line")).drop("n")
 
@@ -486,6 +489,20 @@ def normalise_cards(d: Domain) -> DataFrame:
     return cards.select("collector_number", "name", "card_type", "element", "attack", F.col("spirit_cost")["fire"].cast("int").alias("fire_cost"), F.size("printings").alias("printings"))
 
 
+@query(f"""WITH f AS (SELECT p_partkey AS n, p_brand AS b, p_name, p_size::VARCHAR AS size, CASE WHEN p_partkey % 13 <> 0 AND p_partkey % 86 = 0 THEN 'conflicting_card_fields/attack' ELSE {_FAULT.replace('n %', 'p_partkey %')} END AS f FROM part),
+    a AS (SELECT *, split_part(f, '/', 1) AS reason_code, split_part(f, '/', 2) AS field, 2 * n + CASE WHEN reason_code IN ('conflicting_card_fields', 'unknown_rarity') THEN 1 WHEN reason_code = 'duplicate_printing_key' THEN 2 ELSE 0 END AS line,
+          CASE WHEN n % 23 = 0 THEN 'lots' ELSE size END AS first_attack, CASE WHEN n % 29 = 0 THEN '{{"fire": -1}}' WHEN n % 31 = 0 THEN '{{"Fire": 2}}' ELSE '' END AS cost FROM f WHERE f IS NOT NULL)
+    SELECT reason_code, field, b || ':' || line AS source_ref,
+        CASE WHEN reason_code = 'conflicting_card_fields' THEN '`attack` is "' || first_attack || '" at ' || b || ':' || 2 * n || ' and "999" at ' || b || ':' || line || '.' WHEN field = 'name' THEN 'A value for `name` must be given.' WHEN field = 'card_type' THEN 'Unrecognised card_type Gadget'
+             WHEN field = 'element' THEN 'Unrecognised element plasma' WHEN field = 'attack' THEN '`attack` must be an integer.' WHEN field = 'spirit_cost' THEN 'Invalid cost ' || cost WHEN reason_code = 'unknown_rarity' THEN 'Unrecognised rarity mythic' ELSE 'Two rows give the same printing.' END AS message,
+        to_json({{'collector_number': lpad(n::VARCHAR, 8, '0'), 'name': CASE WHEN n % 13 = 0 THEN '' ELSE p_name END, 'card_type': CASE WHEN n % 17 = 0 THEN 'Gadget' ELSE 'Elestrals' END, 'element': CASE WHEN n % 19 = 0 THEN 'plasma' ELSE 'Fire' END, 'rune_type': '', 'subtype': '',
+            'attack': CASE WHEN reason_code = 'conflicting_card_fields' THEN '999' ELSE first_attack END, 'defence': '', 'spirit_cost': cost, 'rules_text': '', 'flavour_text': '', 'artist': '',
+            'rarity': CASE WHEN line % 2 = 0 THEN CASE WHEN line > 2 * n THEN 'holo' ELSE 'Holo Rare' END WHEN n % 37 = 0 THEN 'mythic' ELSE 'common' END, 'finish': CASE WHEN line % 2 = 1 THEN 'normal' WHEN line > 2 * n THEN 'foil' ELSE 'Holofoil' END,
+            'language': '', 'edition': CASE WHEN line = 2 * n THEN '1st' ELSE 'first' END, 'image_url': '', 'is_tracked_for_price': ''}})::VARCHAR AS raw_record FROM a""")
+def normalise_messages(d: Domain) -> DataFrame:
+    return I.normalised(_raw(d, apart=True))[1].drop("set_code", "collector_number")
+
+
 @query("SELECT p_type, CASE WHEN p_type = 'PROMO' THEN 'promo' END AS rarity, count(*) AS rows FROM part GROUP BY ALL")
 def vocabulary_fold(d: Domain) -> DataFrame:
     return d.table("part").groupBy("p_type", V.rarity(F.concat(F.lit(" "), "p_type", F.lit("-"))).alias("rarity")).agg(F.count("*").alias("rows"))

@@ -48,6 +48,23 @@ def test_every_rejection_by_precedence(spark):
     assert cards.count() == 0
 
 
+def test_messages_name_both_values_and_records_are_those_of_the_row_at_fault(spark):
+    rows = raw(spark, {}, {"rarity": "rare", "attack": "11"}, {"set_code": "X", "rarity": "mythic Bearer abc.def"}, {"collector_number": "", "name": "lost"}, {"set_code": "Y"}, {"set_code": "Y"})
+    got = {r["source_ref"]: r for r in I.normalised(rows)[1].collect()}
+    assert got["BS1.csv:3"]["message"] == '`attack` is "10" at BS1.csv:2 and "11" at BS1.csv:3.' and '"attack":"11"' in got["BS1.csv:3"]["raw_record"]
+    assert got["BS1.csv:4"]["message"].startswith("Unrecognised rarity mythic") and "Bearer [redacted]" in got["BS1.csv:4"]["raw_record"]
+    assert got["BS1.csv:5"]["message"] == "A value for `collector_number` must be given." and '"name":"lost"' in got["BS1.csv:5"]["raw_record"]
+    assert (got["BS1.csv:7"]["reason_code"], got["BS1.csv:7"]["set_code"]) == ("duplicate_printing_key", "Y") and len(got) == 4
+
+
+def test_the_plan_reads_its_input_once_in_five_joins_at_most(spark):
+    rows = raw(spark, {}, {"rarity": "rare"})
+    judged = I._judged(I._folded(rows))._jdf.queryExecution().optimizedPlan().toString()
+    cards, rejections = (x._jdf.queryExecution().optimizedPlan().toString() for x in I.normalised(rows))
+    assert judged.count("Join ") <= 4 and cards.count("Join ") == 1 == rejections.count("Join ")
+    assert max(map(len, (judged, cards, rejections))) < 60_000
+
+
 def test_a_good_card_with_two_printings_and_folded_spellings(spark):
     cards, rejections = I.normalised(raw(spark, {"rarity": "Holo Rare", "finish": "Holofoil", "edition": "1st"}, {"rarity": "rare"}, {"collector_number": ""}))
     card = cards.first()
