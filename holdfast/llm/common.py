@@ -1,69 +1,20 @@
-"""Shared helpers: tables in the cluster's shared folder, and numpy tokenisation of Arrow batches."""
+"""Shared helpers: bounded broadcasts, and numpy tokenisation of Arrow batches."""
 
 from __future__ import annotations
 
-import atexit
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of the contracts, as a Java regular expression class body.
-SPACE = r"\x20\x09-\x0D"
-
-_own_roots: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a folder of our own only where it is unset and the
-    executors are threads of this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_roots:
-        _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="holdfast-")
-    return _own_roots[app]
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
+from ..scratch import Scratch, shared_root
 
-class Scratch:
-    """Tables written to the shared folder to cut lineage; they survive lost executors.
-
-    What a returned DataFrame still reads stays until the Python process ends; ``drop`` frees a
-    table earlier once nothing lazy refers to it.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.base = spark, f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-        atexit.register(self.close)
-
-    def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
-        path = f"{self.base}/{name}"
-        df.write.options(**options).mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            _delete(self.spark, f"{self.base}/{name}")
-
-    def close(self) -> None:
-        atexit.unregister(self.close)
-        try:
-            _delete(self.spark, self.base)
-        except Exception:  # the session may be gone when the process ends
-            return
+__all__ = ["Scratch", "Words", "as_bytes", "broadcast_if_small", "chunks", "mix64", "read", "shared_root", "small"]
 
+#: White space of the contracts, as a Java regular expression class body.
+SPACE = r"\x20\x09-\x0D"
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
