@@ -12,6 +12,8 @@ from ..operators import ingest as I
 from ..operators import operations as O
 from ..operators import pricing as P
 from ..operators import search as R
+from ..scratch import Scratch
+from ..sources.csv_seed import CsvSeed, write_seed
 from ..streaming import streams as T
 from .domain import CONDITIONS, LOGS_NOW, RANKED, RUNS_NOW, Domain, with_views
 
@@ -517,6 +519,18 @@ def spirit_cost_validate(d: Domain) -> DataFrame:
     return rows.groupBy(kind.alias("kind"), S.spirit_cost(text)[1].alias("valid")).agg(F.count("*").alias("rows"))
 
 
+@query("""SELECT p_brand AS set_code, count(*) AS rows, min(collector_number) AS first, max(line)::INT AS last_line, max(CASE WHEN line = 2 THEN p_brand || '.csv:2' END) AS source_ref FROM
+    (SELECT p_brand, lpad(p_partkey::VARCHAR, 8, '0') AS collector_number, 1 + row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS line FROM part WHERE substr(p_brand, 7, 1) IN ('1', '2')) GROUP BY p_brand""")
+def seed_files(d: Domain) -> DataFrame:
+    """Sets written as files, one a set, and some of them read back."""
+    root = Scratch(d.spark, "seed").base
+    rows = d.table("part").select(F.col("p_brand").alias("set_code"), F.lpad(F.col("p_partkey").cast("string"), 8, "0").alias("collector_number"), F.col("p_name").alias("name"))
+    write_seed(rows, root)
+    read = CsvSeed(d.spark, root).fetch([f"Brand#{i}{j}" for i in (1, 2) for j in ("", *range(10))])
+    first = F.min(F.when(F.col("line") == 2, F.col("source_ref")))
+    return read.groupBy("set_code").agg(F.count("*").alias("rows"), F.min("collector_number").alias("first"), F.max("line").alias("last_line"), first.alias("source_ref"))
+
+
 # --- pricing ------------------------------------------------------------------------------------
 
 

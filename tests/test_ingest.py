@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from holdfast.operators import ingest as I
-from holdfast.sources.csv_seed import CsvSeed, SeedNotFound, numbered_rows
+from holdfast.sources.csv_seed import CsvSeed, SeedNotFound, seed, write_seed
 
 BASE = {"set_code": "BS1", "collector_number": "BS1-001", "name": "Atlas", "card_type": "elestral", "element": "earth", "rune_type": "", "attack": "10", "defence": "5", "spirit_cost": '{"earth": 2}', "rarity": "common", "finish": "normal", "language": "en", "edition": "unlimited"}
 
@@ -114,16 +114,43 @@ def test_coverage_names_gaps_only_where_they_are_sure(spark, numbers, declared,
 def test_files_keep_line_numbers_and_fill_defaults(spark, tmp_path):
     (tmp_path / "sets.csv").write_text("set_code,name,series,released_on,card_count\n# note\nFE01,Base,,2023-05-01,126\n,x,,,\nBS1,,Main,soon,many\n")
     (tmp_path / "FE01.csv").write_text('﻿# head\n\nset_code,collector_number,name,spirit_cost,rarity,finish\r\nFE01,BS1-001,"A, B","{""earth"":2}",rare\n  # no\nFE01,BS1-002,C,,common,foil\n', encoding="utf-8")
-    seed = CsvSeed(spark, str(tmp_path))
-    sets = {r["set_code"]: r for r in seed.sets().collect()}
+    source = CsvSeed(spark, str(tmp_path))
+    sets = {r["set_code"]: r for r in source.sets().collect()}
     assert (sets["FE01"]["card_count"], str(sets["FE01"]["released_on"]), sets["BS1"]["name"], sets["BS1"]["card_count"], sets["BS1"]["released_on"]) == (126, "2023-05-01", "BS1", 0, None)
-    assert [r[0] for r in seed.available_sets().collect()] == ["BS1", "FE01"]
-    assert seed.set_meta("fe01").first()["set_code"] == "FE01"
+    assert [r[0] for r in source.available_sets().collect()] == ["BS1", "FE01"]
+    assert source.set_meta("fe01").first()["set_code"] == "FE01"
     with pytest.raises(SeedNotFound):
-        seed.set_meta("ZZ")
-    rows = sorted(seed.fetch(["FE01"]).collect(), key=lambda r: r["line"])
+        source.set_meta("ZZ")
+    rows = sorted(source.fetch(["FE01"]).collect(), key=lambda r: r["line"])
     assert [(r["source_ref"], r["name"], r["spirit_cost"], r["finish"], r["language"], r["edition"]) for r in rows] == [
         ("FE01.csv:4", "A, B", '{"earth":2}', "normal", "en", "first"), ("FE01.csv:6", "C", "", "foil", "en", "first"),
     ]
     (tmp_path / "none.csv").write_text("# nothing\n")
-    assert numbered_rows(spark, str(tmp_path / "none.csv"), ["a"]).count() == 0
+    assert seed(spark, str(tmp_path / "none.csv"), ["a"]).count() == 0 == source.fetch(["FE01", "ZZ"]).filter("set_code = 'ZZ'").count()
+
+
+def test_choosing_a_set_opens_its_file_only(spark, tmp_path):
+    (tmp_path / "A1.csv").write_text('"collector_number","na""me",extra\n1,x,y\n2\n', encoding="utf-8")
+    (tmp_path / "B1.csv").write_bytes(b"collector_number,name\n1,\xff\xfe\n")  # no UTF-8: raises if read
+    names = ["collector_number", 'na"me']
+    chosen = seed(spark, str(tmp_path), names, ["A1", "none"])
+    assert [(r["source_ref"], r["collector_number"], r['na"me']) for r in chosen.orderBy("line").collect()] == [("A1.csv:2", "1", "x"), ("A1.csv:3", "2", "")]
+    assert chosen.rdd.getNumPartitions() == 1
+    both = seed(spark, str(tmp_path), ["collector_number"], ["A1"])
+    assert both.filter("line = 2").unionByName(both.filter("line = 3")).count() == 2
+    assert seed(spark, str(tmp_path / "A1.csv"), ["*"]).columns == ["set_code", "file", "line", "source_ref", "collector_number", 'na"me', "extra"]
+    with pytest.raises(Exception, match="decode"):
+        seed(spark, str(tmp_path)).count()
+
+
+def test_written_sets_come_back_and_a_failed_write_leaves_no_file(spark, tmp_path):
+    rows = spark.createDataFrame([("A", "2", 'q"1, 2'), ("A", "1", " # é"), ("B", "1", None)], "set_code string, collector_number string, name string")
+    root = tmp_path / "seed"
+    write_seed(rows, str(root))
+    got = sorted((r["source_ref"], r["name"]) for r in seed(spark, f"file://{root}").collect())
+    assert got == [("A.csv:2", " # é"), ("A.csv:3", 'q"1, 2'), ("B.csv:2", "")]
+    with pytest.raises(Exception, match="name a file"):
+        write_seed(spark.createDataFrame([("C", "1", ""), ("x/y", "1", "")], rows.schema).coalesce(1), str(root))
+    assert sorted(p.name for p in root.glob("*.csv")) == ["A.csv", "B.csv"]
+    write_seed(rows.filter("set_code = 'B'"), str(root), "overwrite")
+    assert sorted(p.name for p in root.glob("*.csv")) == ["B.csv"]
