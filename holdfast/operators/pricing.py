@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,20 +101,51 @@ def against_market(listings: DataFrame, day_prices: DataFrame, days: int = 30) -
     return rows.withColumn("below", 1 - F.col("price") / F.col("market"))
 
 
+def fired(times: Sequence, last, cooldown) -> list:
+    """Of ascending times those that fire: the first, or the first a cooldown after ``last``, and then each first one a
+    cooldown after the one before."""
+    out, at = [], 0
+    while True:
+        if last is not None:
+            at = bisect_left(times, last + cooldown, at)
+        if at >= len(times):
+            return out
+        out.append(last := times[at])
+
+
+def _walked(cooldown: int):
+    """Rows (alert_id, at in microseconds) ordered by both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alert = last = None
+        for batch in batches:
+            ids, at = batch.column(0), batch.column(1).to_numpy()
+            if not len(at):
+                continue
+            # runs of one alert; only the first can go on from the batch before
+            new = np.flatnonzero(pc.not_equal(ids.slice(1), ids.slice(0, len(at) - 1)).fill_null(True).to_numpy(zero_copy_only=False)) + 1
+            where, times = [], []
+            for b, e in zip([0, *new.tolist()], [*new.tolist(), len(at)], strict=True):
+                own = ids[b].as_py()
+                found = fired(at[b:e], last if own == alert else None, cooldown)
+                alert, last = own, found[-1] if found else last if own == alert else None
+                where += [b] * len(found)
+                times += [int(t) for t in found]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(where, pa.int64())), pa.array(times, pa.int64())], names=["alert_id", "at"])
+
+    return run
+
+
 def alerts(crossings: DataFrame, cooldown_hours: int) -> DataFrame:
     """Of crossings (alert_id, at, confidence), those that fire: never on low confidence, once in a cooldown.
 
-    A cooldown starts at the last alert fired, so each alert's crossings are walked in order: an aggregate over its
-    time-ordered array.
+    A cooldown starts at the last alert fired, so each alert's crossings are walked in order, as a sorted stream of
+    which only the last time fired is kept. Crossings without a time or an alert don't fire.
     """
-    ordered = crossings.filter("confidence != 'low'").groupBy("alert_id").agg(F.array_sort(F.collect_list("at")).alias("times"))
-    start = F.struct(F.lit(None).cast("timestamp").alias("last"), F.expr("cast(array() as array<timestamp>)").alias("fired"))
-
-    def step(acc, at):
-        due = acc["last"].isNull() | (at >= acc["last"] + F.make_dt_interval(F.lit(0), F.lit(cooldown_hours)))
-        return F.struct(F.when(due, at).otherwise(acc["last"]).alias("last"), F.when(due, F.concat(acc["fired"], F.array(at))).otherwise(acc["fired"]).alias("fired"))
-
-    return ordered.select("alert_id", F.explode(F.aggregate("times", start, step)["fired"]).alias("at"))
+    rows = crossings.filter("confidence != 'low' AND alert_id IS NOT NULL AND at IS NOT NULL").select("alert_id", F.unix_micros(F.col("at").cast("timestamp")).alias("at"))
+    ordered = rows.repartition("alert_id").sortWithinPartitions("alert_id", "at")
+    walked = ordered.mapInArrow(_walked(cooldown_hours * 3_600_000_000), ordered.schema)
+    return walked.select("alert_id", F.timestamp_micros("at").alias("at"))
 
 
 def order_status(events: DataFrame) -> DataFrame:

@@ -343,11 +343,13 @@ def dashboard_last_changes(d: Domain) -> DataFrame:
     return P.ranked_windows(d.adds, "user_id", F.struct("seq", "item_id").desc(), 10).select("user_id", "item_id")
 
 
-@query()
+@query("""WITH RECURSIVE crossing AS (SELECT DISTINCT user_id AS alert_id, ts AS t FROM events WHERE value >= 20),
+    fire AS (SELECT alert_id, min(t) AS t FROM crossing GROUP BY alert_id
+             UNION ALL SELECT f.alert_id, (SELECT min(c.t) FROM crossing c WHERE c.alert_id = f.alert_id AND c.t >= f.t + INTERVAL 24 HOUR) FROM fire f WHERE f.t IS NOT NULL)
+    SELECT alert_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS fired_at FROM fire WHERE t IS NOT NULL""")
 def price_alerts(d: Domain) -> DataFrame:
-    """Walks each alert's crossings in order; SQL has no such form."""
     crossings = d.table("events").select(F.col("user_id").alias("alert_id"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("value") < 20, "low").otherwise("high").alias("confidence"))
-    return P.alerts(crossings, 24).select("alert_id", _time("at"))
+    return P.alerts(crossings, 24).select("alert_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("fired_at"))
 
 
 # --- a collector's CSV --------------------------------------------------------------------------
