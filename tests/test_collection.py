@@ -12,15 +12,15 @@ from holdfast.operators import operations as O
 from holdfast.sources import collection_csv
 
 
-@pytest.mark.parametrize(("mark", "encoding"), [(",", "UTF-8"), (";", "UTF-8"), ("\t", "ISO-8859-1")])
+@pytest.mark.parametrize(("mark", "encoding"), [(",", "utf-8"), (";", "utf-8-sig"), ("\t", "cp1252"), (",", "utf-16")])
 def test_csv_is_read_matched_and_judged(spark, tmp_path, mark, encoding):
     rows = [
         ["Set_Code", "Collector_Number", "NAME", "Rarity", "Finish", "Language", "Edition", "Condition", "Quantity"],
         ["BS1", "001", "Flàme", "Holo", "Holofoil", "EN", "1st", "Near Mint", "2"], ["BS1", "002", f'"Two{mark} parts"', "", "", "", "", "", ""],
-        ["BS1", "", "Flàmme", "", "", "", "", "mint", "1"], ["BS1", "009", "nothing like it", "", "", "", "", "mint", "1"], ["BS1", "001", "Flàme", "Holo", "Holofoil", "EN", "1st", "nm?", "1"],
+        ["BS1", "", "Flàm’e", "", "", "", "", "mint", "1"], ["BS1", "009", "nothing like it", "", "", "", "", "mint", "1"], ["BS1", "001", "Flàme", "Holo", "Holofoil", "EN", "1st", "nm?", "1"],
     ]
     (tmp_path / "c.csv").write_bytes("\n".join(mark.join(r) for r in rows).encode(encoding))
-    read = collection_csv.read(spark, str(tmp_path / "c.csv"), encoding)
+    read = collection_csv.read(spark, str(tmp_path / "c.csv"))
     printings = spark.createDataFrame([("p1", "BS1", "001", "Flàme", "holo_rare", "foil", "en", "first"), ("p2", "BS1", "002", "Two", "common", "normal", "en", "first")], "printing_id string, set_code string, collector_number string, name string, rarity string, finish string, language string, edition string")
     found = collection_csv.matched(read, printings)
     got = [(r["match"], r["rung"]) for r in found.orderBy("line").collect()]
@@ -30,6 +30,44 @@ def test_csv_is_read_matched_and_judged(spark, tmp_path, mark, encoding):
     assert said == {"update": (1, 2), "add": (2, 2), "reject": (2, 2)}
 
 
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_near_names_meet_at_every_length_and_only_they(spark):
+    r = random.Random(5)
+
+    def edited(name):
+        letters = list(name)
+        for _ in range(r.choice((0, 1, 2, 2, 3))):
+            at = r.randrange(len(letters) + 1)
+            letters[at : at + r.randint(0, 1)] = r.choice(("", "a", "b"))
+        return "".join(letters)
+
+    bases = ["".join(r.choice("abc") for _ in range(n)) for n in (1, 2, 5, 9, 20, 30, 31, 32, 33, 34, 35, 50, 200)]
+    known = sorted({("S", edited(b)) for b in bases for _ in range(4)} | {("T", b) for b in bases[:3]})
+    asked = sorted({("S", edited(b)) for b in bases for _ in range(8)} | {("S", ""), ("U", "abc")})
+    df = lambda rows: spark.createDataFrame(rows, "set_code string, name string")
+    got = sorted(map(tuple, collection_csv.near_names(df(asked), df(known)).collect()))
+    assert got == sorted((s, a, b) for s, a in asked for t, b in known if s == t and _distance(a, b) <= 2) and len(got) > 100
+
+
+def test_candidates_of_a_large_set_grow_in_proportion(spark):
+    def candidates(n):
+        names = spark.range(n).select(F.lit("S").alias("set_code"), F.md5(F.col("id").cast("string")).alias("name")).withColumn("name", F.substring("name", 1, 12))
+        asked = names.filter(F.xxhash64("name") % 20 == 0).select("set_code", F.concat(F.substring("name", 1, 6), F.lit("x"), F.substring("name", 7, 6)).alias("name"))
+        plan = collection_csv.near_names(asked, names)
+        assert plan.count() == asked.count()
+        return "CartesianProduct" in plan._jdf.queryExecution().executedPlan().toString() or "NestedLoop" in plan._jdf.queryExecution().executedPlan().toString()
+
+    assert not candidates(5_000)
+
+
 def test_latency_ranks_equal_a_sort(spark, monkeypatch):
     monkeypatch.setattr(O, "BINS", 7)
     r = random.Random(3)
