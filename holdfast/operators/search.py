@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -12,6 +12,9 @@ from ..functions import vocabulary as V
 
 KINDS = {1: "exact_name", 2: "name_prefix", 3: "word_prefix", 4: "collector_number", 5: "set_code", 6: "infix"}
 MIN_TERM = 2
+COLLATION = "UNICODE_CI_AI"
+GRAM = 3  #: letters of a posting's key; a term of MIN_TERM letters has a key of its own length
+BUCKETS, SALTS = 64, 16
 NO_DATE = "1900-01-01"
 
 
@@ -24,14 +27,18 @@ class Search:
     rarities: list[str] = field(default_factory=list)
     limit: int = 25
     offset: int = 0
+    any_accent: bool = False
 
 
-def tier(term: str) -> Column:
-    """How a card matches, best first; NULL if it does not. Wildcards in the term are literals."""
-    name, number, code = F.lower("name"), F.lower("collector_number"), F.lower("set_code")
+def tier(term: str, any_accent: bool = False) -> Column:
+    """How a card matches, best first; NULL if it does not. Wildcards in the term are literals. any_accent: letters count
+    as equal whatever their case and accents."""
+    fold = (lambda c: F.collate(c, COLLATION)) if any_accent else F.lower
+    name, number, code = (fold(F.col(c)) for c in ("name", "collector_number", "set_code"))
+    own = lambda t: F.collate(F.lit(t), COLLATION) if any_accent else F.lit(t)
     return (
-        F.when(name == term, 1).when(name.startswith(term), 2).when(name.contains(" " + term), 3)
-        .when(number.startswith(term), 4).when(code == term, 5).when(name.contains(term), 6)
+        F.when(name == own(term), 1).when(F.startswith(name, own(term)), 2).when(F.contains(name, own(" " + term)), 3)
+        .when(F.startswith(number, own(term)), 4).when(code == own(term), 5).when(F.contains(name, own(term)), 6)
     )
 
 
@@ -49,10 +56,65 @@ def matches(cards: DataFrame, sets: DataFrame, q: Search, printings: DataFrame |
     """Columns of cards, released_on, tier and match_kind. A term under two characters finds nothing."""
     term = q.term.strip().lower()
     dated = filtered(cards, q, printings).join(sets.select("set_code", "released_on"), "set_code")
-    found = dated.withColumn("tier", tier(term) if len(term) >= MIN_TERM else F.lit(None).cast("int"))
+    found = dated.withColumn("tier", tier(term, q.any_accent) if len(term) >= MIN_TERM else F.lit(None).cast("int"))
     return found.filter("tier IS NOT NULL").withColumn("match_kind", V.mapped(F.col("tier"), KINDS))
 
 
+def _grams(c: Column) -> Column:
+    """Each run of MIN_TERM to GRAM letters of a text, in lower case."""
+    text = F.lower(c)
+
+    def of(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.length(text) - (n - 1))
+        return F.when(F.length(text) >= n, F.transform(places, lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*(of(n) for n in range(MIN_TERM, GRAM + 1)))
+
+
+@dataclass
+class GramIndex:
+    """Postings of the runs of three letters in names, numbers and set codes, each with its card's columns, in buckets by
+    the run. A search reads the postings of the term's rarest run and verifies the cards there: the catalog itself is not
+    read. Results are those of a scan; with any_accent only a scan serves.
+    """
+
+    spark: SparkSession
+    path: str
+
+    def write(self, cards: DataFrame) -> GramIndex:
+        texts = F.concat(*(F.coalesce(_grams(F.col(c)), F.array().cast("array<string>")) for c in ("name", "collector_number", "set_code")))
+        rows = cards.withColumn("gram", F.explode(F.array_distinct(texts))).withColumn("bucket", self._bucket(F.col("gram")))
+        # a frequent run is dealt to several tasks; files are ordered by run, so that readers skip the others
+        dealt = rows.repartition("bucket", F.pmod(F.xxhash64("card_id"), F.lit(SALTS))).sortWithinPartitions("bucket", "gram")
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
+        self._postings().groupBy("gram").agg(F.count("*").alias("n")).repartitionByRange(1, "gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{self.path}/grams")
+        return self
+
+    @staticmethod
+    def _bucket(gram: Column) -> Column:
+        return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
+
+    def _postings(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/postings")
+
+    def rarest(self, term: str) -> str | None:
+        """The term's run with the fewest postings; None if one of them has none. As many rows as the term has runs."""
+        runs = {term[i : i + GRAM] for i in range(max(1, len(term) - GRAM + 1))}
+        known = self.spark.read.parquet(f"{self.path}/grams").filter(F.col("gram").isin(list(runs))).orderBy("n", "gram").collect()
+        return known[0]["gram"] if len(known) == len(runs) else None
+
+    def candidates(self, q: Search) -> DataFrame:
+        """The cards that may match: ``cards`` for matches."""
+        term = q.term.strip().lower()
+        if q.any_accent:
+            raise ValueError("the index has letters as they are; search the catalog itself for any accent")
+        gram = self.rarest(term) if len(term) >= MIN_TERM else None
+        if gram is None:
+            return self._postings().limit(0).drop("gram", "bucket")
+        bucket = self.spark.range(1).select(self._bucket(F.lit(gram))).first()[0]
+        return self._postings().filter((F.col("bucket") == bucket) & (F.col("gram") == gram)).drop("gram", "bucket")
+
+
 def page(found: DataFrame, q: Search) -> DataFrame:
     """A total order: tier, newest set, number, id. Sorts only what it returns (top-k)."""
     order = [F.asc("tier"), F.desc(F.coalesce("released_on", F.lit(NO_DATE).cast("date"))), F.asc("collector_number"), F.asc("card_id")]

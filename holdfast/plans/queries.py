@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,6 +124,26 @@ def search_wildcards(d: Domain) -> DataFrame:
     return R.matches(d.cards, d.sets, R.Search("%%")).select(*_FOUND)
 
 
+_TERMS = ["red", "bolt", "ol", "brand#7", "b000000", "ed b", "zz", "red bolt", "x"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS term, card_id, set_code, collector_number, name, tier FROM ({_search_sql(t) if len(t) > 1 else _search_sql(t, where='false')})" for t in _TERMS))
+def search_indexed(d: Domain) -> DataFrame:
+    """Searches of postings, as the scans find them."""
+    index = R.GramIndex(d.spark, Scratch(d.spark, "grams").base).write(d.cards)
+    found = [R.matches(index.candidates(q), d.sets, q).select(F.lit(q.term).alias("term"), *_FOUND) for q in map(R.Search, _TERMS)]
+    return reduce(DataFrame.unionByName, found)
+
+
+_ACCENTS = "SELECT card_id, set_code, name, CASE WHEN n = 'red' THEN 1 WHEN starts_with(n, 'red') THEN 2 WHEN contains(n, ' red') THEN 3 ELSE 6 END AS tier FROM (SELECT *, strip_accents(lower(name)) AS n FROM (SELECT card_id, set_code, CASE WHEN card_id % 2 = 0 THEN translate(name, 'eou', 'éÖü') ELSE upper(name) END AS name FROM cards)) WHERE contains(n, 'red')"
+
+
+@query(_ACCENTS)
+def search_any_accent(d: Domain) -> DataFrame:
+    cards = d.cards.withColumn("name", F.when(F.col("card_id") % 2 == 0, F.translate("name", "eou", "éÖü")).otherwise(F.upper("name")))
+    return R.matches(cards, d.sets, R.Search("Rêd", any_accent=True)).select("card_id", "set_code", "name", "tier")
+
+
 _FILTERS = {"set_codes": ["Brand#1", "Brand#2", "Brand#3"], "card_types": ["PROMO", "SMALL"], "elements": ["red", "blue"]}
 
 

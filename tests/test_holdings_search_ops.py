@@ -41,6 +41,26 @@ def test_search_ranks_tiers_and_treats_wildcards_as_text(spark):
     assert rows[1] == ("p2", 2) and rows[5] == (None, 0)
 
 
+def test_an_index_finds_what_a_scan_does_and_reads_one_bucket(spark, tmp_path):
+    cards, sets, printings = catalog(spark)
+    index = R.GramIndex(spark, str(tmp_path / "grams")).write(cards.unionByName(spark.createDataFrame([(7, "FE1", None, None, "rune", None), (8, "FE1", "Z", "İé%_", "rune", None)], cards.schema)))
+    for q in (R.Search(" ATLAS "), R.Search("at"), R.Search("%%"), R.Search("é%"), R.Search("bs1"), R.Search("fe1-00"), R.Search("s p"), R.Search("none"), R.Search("a"), R.Search(), R.Search("atlas", elements=["earth"], rarities=["rare"])):
+        scan = R.matches(index._postings().drop("gram", "bucket").distinct(), sets, q, printings)
+        found = R.matches(index.candidates(q), sets, q, printings)
+        assert sorted((r["card_id"], r["tier"]) for r in found.collect()) == sorted((r["card_id"], r["tier"]) for r in scan.collect())
+    plan = index.candidates(R.Search("atlas"))
+    assert len({f.rsplit("/", 2)[1] for f in plan.inputFiles()}) > 1  # all buckets before pruning
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in text and "EqualTo(gram," in text
+
+
+def test_a_search_for_any_accent(spark):
+    cards = spark.createDataFrame([(1, "S", "1", "Ätlas"), (2, "S", "2", "great ATLÁS"), (3, "S", "3", "other")], "card_id long, set_code string, collector_number string, name string")
+    sets = spark.createDataFrame([("S", None)], "set_code string, released_on date")
+    assert {(r["card_id"], r["match_kind"]) for r in R.matches(cards, sets, R.Search("atlàs", any_accent=True)).collect()} == {(1, "exact_name"), (2, "word_prefix")}
+    assert R.matches(cards, sets, R.Search("atlàs")).count() == 0
+
+
 def items(spark, rows):
     return spark.createDataFrame(rows, "item_id string, user_id string, printing_id string, condition string, is_graded boolean, quantity int, seq int")
 
