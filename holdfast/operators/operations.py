@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import vocabulary as V
+from ..scratch import Scratch, broadcast_if_small
 
-BINS = 4096  #: ranges of a group's values, by which ranks are found
+RANGE = 1_000_000  #: rows of a range of values that are ordered in one place
+GRID = 100  #: steps of a sketch that narrows a range
+BROADCAST_RANKS = 100_000  #: ranges that may be broadcast
 
 
 def latest_with_ties(runs: DataFrame) -> DataFrame:
@@ -76,29 +79,62 @@ def metered(usage: DataFrame) -> DataFrame:
     return usage.filter(F.col("feature").isin(V.FEATURES) & (F.col("quantity") > 0))
 
 
-def latency(samples: DataFrame, by: list[str], value: str) -> DataFrame:
-    """n, median, p95 (element int(n * 0.95) - 1 of the sorted samples) and maximum by group.
+def at_ranks(samples: DataFrame, by: list[str], value: str, ranks: Column) -> DataFrame:
+    """by, rank, n and v: the exact element at each rank (from 1) of a group's sorted values; NULL values don't count.
 
-    Equal values are counted first, so a group's rows combine map-side. What is left of a group is its distinct values;
-    those fall into BINS ranges, of which only running totals are ordered in one place, and the wanted ranks are
-    looked up inside the ranges that hold them.
+    ranks: an array by ``n``, the group's count. Each rank has a range of values that surely holds it, at first the whole
+    group. Quantile sketches, which combine map-side, narrow the ranges until none holds more than RANGE rows; what lies
+    in a range is then counted by value and ordered. So no task orders more than that, whatever the values are.
     """
-    counts = samples.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
-    ends = counts.groupBy(*by).agg(F.min("_v").alias("_low"), F.max("_v").alias("max"), F.sum("_c").alias("n"))
-    width = (F.col("max") - F.col("_low")) / BINS
-    binned = counts.join(ends, by).withColumn("_bin", F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_low")) / width), F.lit(BINS - 1))).otherwise(F.lit(0)))
-    totals = binned.groupBy(*by, "_bin").agg(F.sum("_c").alias("_t"))
-    before = F.sum("_t").over(Window.partitionBy(*by).orderBy("_bin")) - F.col("_t")
-    totals = totals.withColumn("_before", before).join(ends.select(*by, "n"), by)
-    # ranks from 1: the two middle ones, and that of p95
-    ranks = F.array(F.expr("(n + 1) div 2"), F.expr("n div 2 + 1"), F.greatest(F.floor(F.col("n") * 0.95), F.lit(1)))
-    wanted = totals.withColumn("_rank", F.explode(F.array_distinct(ranks))).filter("_rank > _before AND _rank <= _before + _t")
-    held = binned.drop("n").join(wanted.select(*by, "_bin", "_before", "_rank", "n"), [*by, "_bin"])
-    upto = F.sum("_c").over(Window.partitionBy(*by, "_bin", "_rank").orderBy("_v")) + F.col("_before")
-    found = held.withColumn("_upto", upto).filter("_upto >= _rank").groupBy(*by, "_rank", "n", "max").agg(F.min("_v").alias("_v"))
-    at = lambda rank: F.max(F.when(F.col("_rank") == rank, F.col("_v")))
-    median = (at(F.expr("(n + 1) div 2")) + at(F.expr("n div 2 + 1"))) / 2
-    return found.groupBy(*by, "n", "max").agg(median.alias("median"), at(F.greatest(F.floor(F.col("n") * 0.95), F.lit(1))).alias("p95"))
+    scratch = Scratch(samples.sparkSession, "ranks")
+    rows = samples.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
+    ends = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    wanted = ends.select(*by, "n", F.explode(F.array_distinct(ranks.cast("array<bigint>"))).alias("rank"), "low", "high", F.lit(0).cast("long").alias("before"), F.col("n").alias("inside"))
+    wanted, step = scratch.save(wanted.filter("rank BETWEEN 1 AND n"), "wanted-0"), 0
+    key = [*by, "rank"]
+
+    def within(wanted: DataFrame) -> DataFrame:
+        return rows.join(broadcast_if_small(wanted, BROADCAST_RANKS), by).filter(F.col("v").between(F.col("low"), F.col("high")))
+
+    while not (wide := wanted.filter((F.col("inside") > RANGE) & (F.col("low") < F.col("high")))).isEmpty():
+        # the rank's place in its range, and cuts one step of the grid aside of it; the sketch errs by far less
+        cuts = within(wide).groupBy(*key).agg(F.percentile_approx("v", [i / GRID for i in range(GRID + 1)], 50 * GRID).alias("cuts"))
+        place = (F.col("rank") - F.col("before")) / F.col("inside") * GRID
+        aside = lambda i: F.get("cuts", F.greatest(F.least(i, F.lit(GRID)), F.lit(0)).cast("int"))
+        narrow = wide.join(cuts, key).withColumns({"lower": aside(F.floor(place) - 1), "upper": aside(F.ceil(place) + 1)}).drop("cuts")
+        narrow = scratch.save(narrow, f"narrow-{step}")
+        counted = within(narrow).groupBy(*key).agg(F.count_if(F.col("v") < F.col("lower")).alias("less"), F.count_if(F.col("v").between(F.col("lower"), F.col("upper"))).alias("now"))
+        narrow = narrow.join(counted, key)
+        sure = (F.col("rank") > F.col("before") + F.col("less")) & (F.col("rank") <= F.col("before") + F.col("less") + F.col("now")) & (F.col("now") < F.col("inside"))
+        pick = lambda new, old: F.when(sure, new).otherwise(old)
+        moved = narrow.select(
+            *by, "n", "rank", pick(F.col("lower"), F.col("low")).alias("low"), pick(F.col("upper"), F.col("high")).alias("high"),
+            pick(F.col("before") + F.col("less"), F.col("before")).alias("before"), F.when(sure, F.col("now")).otherwise(0).alias("inside"),
+        )
+        rest = wanted.join(wide.select(*key), key, "left_anti").select(*moved.columns)
+        step += 1
+        wanted = scratch.save(rest.unionByName(moved), f"wanted-{step}")
+    counts = within(wanted).groupBy(*key, "n", "before", "v").agg(F.count("*").alias("c"))
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy(*key).orderBy("v"))
+    return counts.withColumn("upto", upto).filter("upto >= rank").groupBy(*key, "n").agg(F.min("v").alias("v"))
+
+
+def latency(samples: DataFrame, by: list[str], value: str) -> DataFrame:
+    """n, median, p95 (element int(n * 0.95) - 1 of the sorted samples) and maximum by group."""
+    one, two, late = F.expr("(n + 1) div 2"), F.expr("n div 2 + 1"), F.greatest(F.floor(F.col("n") * 0.95), F.lit(1))
+    found = at_ranks(samples, by, value, F.array(one, two, late, F.col("n")))
+    at = lambda rank: F.max(F.when(F.col("rank") == rank, F.col("v")))
+    return found.groupBy(*by, "n").agg(at(F.col("n")).alias("max"), ((at(one) + at(two)) / 2).alias("median"), at(late).alias("p95"))
+
+
+def quantiles(samples: DataFrame, by: list[str], value: str, fractions: list[float]) -> DataFrame:
+    """by and q: the exact quantiles, between two elements in proportion, for groups of any size."""
+    places = [(F.col("n") - 1) * f for f in fractions]
+    ranks = F.array(*(end(p).cast("long") + 1 for p in places for end in (F.floor, F.ceil)))
+    found = at_ranks(samples, by, value, ranks)
+    at = lambda rank: F.max(F.when(F.col("rank") == rank, F.col("v")))
+    between = lambda p: at(F.floor(p) + 1) + (at(F.ceil(p) + 1) - at(F.floor(p) + 1)) * F.max(p - F.floor(p))
+    return found.groupBy(*by, "n").agg(F.array(*map(between, places)).alias("q")).drop("n")
 
 
 def taken_handles(profiles: DataFrame) -> DataFrame:
@@ -109,16 +145,24 @@ def taken_handles(profiles: DataFrame) -> DataFrame:
 def patched_profiles(profiles: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(profiles after the patches, refused patches). patches: user_id, handle, currency; NULL keeps.
 
-    A patch is refused if a value is malformed, if another profile holds the handle, or if a smaller user_id asks for it.
+    A patch is refused if a value is malformed, if another profile holds the handle, or if a smaller user_id asks for it
+    in a patch that is not malformed. Of several patches of one user those count in order of ``seq``, if there is such a
+    column: of each value the last that is given and not refused; so each profile stays one row.
     """
-    asked = patches.select("user_id", S.handle(F.col("handle")).alias("_handle"), S.currency(F.col("currency")).alias("_currency"), F.col("handle").isNotNull().alias("_h"), F.col("currency").isNotNull().alias("_c"))
-    held = profiles.select(F.col("handle").alias("_handle"), F.col("user_id").alias("_owner")).filter("_handle IS NOT NULL")
-    first = F.min("user_id").over(Window.partitionBy("_handle"))
-    asked = asked.withColumn("_first", F.when(F.col("_handle").isNotNull(), first)).join(held, "_handle", "left")
+    seq = F.col("seq") if "seq" in patches.columns else F.lit(0)
+    asked = patches.select("user_id", seq.alias("_seq"), S.handle(F.col("handle")).alias("_handle"), S.currency(F.col("currency")).alias("_currency"), F.col("handle").isNotNull().alias("_h"), F.col("currency").isNotNull().alias("_c"))
     bad = (F.col("_h") & F.col("_handle").isNull()) | (F.col("_c") & F.col("_currency").isNull())
-    taken = (F.col("_owner").isNotNull() & (F.col("_owner") != F.col("user_id"))) | (F.col("_first") != F.col("user_id"))
-    judged = asked.withColumn("refused", bad | F.coalesce(taken, F.lit(False)))
-    good = judged.filter("NOT refused").select("user_id", "_handle", "_currency")
+    asked = asked.withColumn("bad", bad)
+    held = profiles.select(F.col("handle").alias("_handle"), F.col("user_id").alias("_owner")).filter("_handle IS NOT NULL")
+    # minima over the handles asked for combine map-side; patches without a handle go round the joins
+    first = asked.filter("NOT bad AND _handle IS NOT NULL").groupBy("_handle").agg(F.min("user_id").alias("_first"))
+    named = asked.filter("_handle IS NOT NULL").join(first, "_handle", "left").join(held, "_handle", "left")
+    taken = (F.col("_owner") != F.col("user_id")) | (F.col("_first") != F.col("user_id"))
+    columns = ["user_id", "_seq", "_handle", "_currency", "refused"]
+    named = named.withColumn("refused", F.col("bad") | F.coalesce(taken, F.lit(False))).select(*columns)
+    judged = named.unionByName(asked.filter("_handle IS NULL").withColumn("refused", F.col("bad")).select(*columns))
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("_seq", c)))[c].alias(c)
+    good = judged.filter("NOT refused").groupBy("user_id").agg(last("_handle"), last("_currency"))
     out = profiles.join(good, "user_id", "left")
     out = out.withColumn("handle", F.coalesce("_handle", "handle")).withColumn("currency", F.coalesce("_currency", "currency"))
     return out.select(*profiles.columns), judged.filter("refused").select("user_id")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import broadcast_if_small
+from . import operations as O
+
+HOT = 1_000_000  #: rows of a group whose values are no longer held in one buffer
+BROADCAST_GROUPS = 100_000  #: keys of such groups that may be broadcast
 SPREAD = 3.0  #: observations beyond this many interquartile ranges are outliers
 
 
@@ -21,34 +26,57 @@ def deduplicated(observations: DataFrame) -> DataFrame:
     return best.select("source_id", "external_id", "o.*")
 
 
+def _by_size(rows: DataFrame, by: list[str], small: Callable[[DataFrame], DataFrame], large: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """small over groups whose values fit into a buffer, large over the others, which are few: one has HOT rows."""
+    hot = rows.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT).select(*by)
+    if hot.isEmpty():
+        return small(rows)
+    hot = broadcast_if_small(hot, BROADCAST_GROUPS)
+    usual = small(rows.join(hot, by, "left_anti"))
+    return usual.unionByName(large(rows.join(hot, by, "left_semi")))
+
+
+def _summed(rows: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    return rows.groupBy(*by).agg(
+        F.min("price").alias("low"), F.max("price").alias("high"), F.avg("price").alias("mean"), F.count("*").alias("n"), F.count_distinct("source_id").alias("sources"), *more
+    )
+
+
+def _with_median(summed: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
+    middle = O.quantiles(rows, by, "price", [0.5]).select(*by, F.col("q")[0].alias("median"))
+    return summed.join(middle, by, "left")
+
+
 def daily(observations: DataFrame) -> DataFrame:
     """low, median, high, mean, observations and sources by (printing_id, day)."""
-    return observations.groupBy("printing_id", "day").agg(
-        F.min("price").alias("low"), F.median("price").alias("median"), F.max("price").alias("high"), F.avg("price").alias("mean"),
-        F.count("*").alias("n"), F.count_distinct("source_id").alias("sources"),
-    )
+    by, columns = ["printing_id", "day"], ["printing_id", "day", "low", "median", "high", "mean", "n", "sources"]
+    return _by_size(observations, by, lambda r: _summed(r, by, F.median("price").alias("median")).select(*columns), lambda r: _with_median(_summed(r, by), r, by).select(*columns))
+
+
+def _quartiles(observations: DataFrame, by: list[str]) -> DataFrame:
+    in_buffer = lambda r: r.groupBy(*by).agg(F.percentile("price", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    return _by_size(observations, by, in_buffer, lambda r: O.quantiles(r, by, "price", [0.25, 0.75]).withColumnRenamed("q", "_q"))
+
+
+def _usual(spread: float) -> Column:
+    room = spread * (F.col("_q")[1] - F.col("_q")[0])
+    return F.col("price").between(F.col("_q")[0] - room, F.col("_q")[1] + room)
 
 
 def within_spread(observations: DataFrame, by: list[str], spread: float = SPREAD) -> DataFrame:
     """Without observations beyond ``spread`` interquartile ranges of their group."""
-    q = observations.groupBy(*by).agg(F.percentile("price", F.lit(0.25)).alias("_q1"), F.percentile("price", F.lit(0.75)).alias("_q3"))
-    room = spread * (F.col("_q3") - F.col("_q1"))
-    rows = observations.join(q, by)
-    return rows.filter(F.col("price").between(F.col("_q1") - room, F.col("_q3") + room)).select(*observations.columns)
+    return observations.join(_quartiles(observations, by), by).filter(_usual(spread)).select(*observations.columns)
 
 
 def rollup(observations: DataFrame, by: list[str], spread: float = SPREAD) -> DataFrame:
     """low, median, high, mean, n and sources of each group, with the confidence of its sold observations. Outliers beyond
     ``spread`` interquartile ranges count everywhere but in the median."""
-    q = observations.groupBy(*by).agg(F.percentile("price", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-    room = spread * (F.col("_q")[1] - F.col("_q")[0])
-    usual = F.col("price").between(F.col("_q")[0] - room, F.col("_q")[1] + room)
     sold = F.col("kind") == "sold"
-    rows = observations.join(q, by).groupBy(*by).agg(
-        F.min("price").alias("low"), F.median(F.when(usual, F.col("price"))).alias("median"), F.max("price").alias("high"), F.avg("price").alias("mean"),
-        F.count("*").alias("n"), F.count_distinct("source_id").alias("sources"), F.count_if(~usual).alias("outliers"),
-        F.count_if(sold).alias("_sold"), F.count_distinct(F.when(sold, F.col("source_id"))).alias("_from"),
-    )
+    more = [F.count_if(~F.col("_usual")).alias("outliers"), F.count_if(sold).alias("_sold"), F.count_distinct(F.when(sold, F.col("source_id"))).alias("_from")]
+    columns = [*by, "low", "median", "high", "mean", "n", "sources", "outliers", "_sold", "_from"]
+    marked = observations.join(_quartiles(observations, by), by).withColumn("_usual", _usual(spread))
+    middle = F.median(F.when(F.col("_usual"), F.col("price"))).alias("median")
+    rows = _by_size(marked, by, lambda r: _summed(r, by, middle, *more).select(*columns), lambda r: _with_median(_summed(r, by, *more), r.filter("_usual"), by).select(*columns))
     return rows.withColumn("confidence", confidence(F.col("_sold"), F.col("_from"))).drop("_sold", "_from")
 
 

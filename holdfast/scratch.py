@@ -1,4 +1,4 @@
-"""Tables in the folder that all executors share, to cut lineage."""
+"""Tables in the folder that all executors share, to cut lineage, and broadcasts behind a check of the size."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_roots: dict[str, str] = {}
 
@@ -56,3 +57,13 @@ class Scratch:
             delete(self.spark, self.base)
         except Exception:  # the session may be gone when the process ends
             return
+
+
+def small(df: DataFrame, rows: int) -> bool:
+    """True if df has at most ``rows`` rows; looks at one row more than that, never at all of them."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """A broadcast hint behind a check of the size; beyond it the join shuffles."""
+    return F.broadcast(df) if small(df, rows) else df

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from holdfast.operators import collection as C
 from holdfast.operators import holdings as H
 from holdfast.operators import operations as O
+from holdfast.operators import pricing as P
 from holdfast.sources import collection_csv
 
 
@@ -68,14 +69,50 @@ def test_candidates_of_a_large_set_grow_in_proportion(spark):
     assert not candidates(5_000)
 
 
-def test_latency_ranks_equal_a_sort(spark, monkeypatch):
-    monkeypatch.setattr(O, "BINS", 7)
+@pytest.mark.parametrize("most", [1_000_000, 40])
+def test_latency_ranks_equal_a_sort(spark, monkeypatch, most):
+    monkeypatch.setattr(O, "RANGE", most)
     r = random.Random(3)
-    rows = [("a", r.choice([1.0, 2.5, r.random() * 9])) for _ in range(501)] + [("b", 4.0)] * 40 + [("c", -1.0), ("d", 1.0), ("d", 2.0), ("e", None)]
+    rows = [("a", r.choice([1.0, 2.5, r.random() * 9])) for _ in range(501)] + [("b", 4.0)] * 90 + [("c", -1.0), ("d", 1.0), ("d", 2.0), ("e", None)]
+    rows += [("f", float(i)) for i in range(3000)] + [("f", 1e300), ("f", -1e300)]
     got = {x["level"]: (x["n"], x["median"], x["p95"], x["max"]) for x in O.latency(spark.createDataFrame(rows, "level string, ms double"), ["level"], "ms").collect()}
-    for level in "abcd":
-        v = sorted(m for lv, m in rows if lv == level)
+    for level in "abcdf":
+        v = sorted(m for lv, m in rows if lv == level and m is not None)
         assert got[level] == (len(v), pytest.approx(statistics.median(v)), v[max(int(len(v) * 0.95) - 1, 0)], v[-1])
+    assert len(got) == 5
+
+
+def test_an_outlier_leaves_no_wide_range(spark, monkeypatch):
+    monkeypatch.setattr(O, "RANGE", 1000)
+    seen = []
+    save = O.Scratch.save
+    monkeypatch.setattr(O.Scratch, "save", lambda self, df, name, **o: seen.append((name, save(self, df, name, **o))) or seen[-1][1])
+    values = spark.range(100_000).select(F.lit("x").alias("g"), F.when(F.col("id") == 5, 1e12).otherwise(F.col("id").cast("double") / 7).alias("v"))
+    assert O.quantiles(values, ["g"], "v", [0.5]).first()["q"][0] == pytest.approx(50000.5 / 7)
+    last = [df for name, df in seen if name.startswith("wanted")][-1]
+    assert last.agg(F.max("inside")).first()[0] <= 1000
+
+
+def test_prices_of_groups_too_large_for_a_buffer(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(p, "2026-01-01", r.randrange(4), r.choice((1.0, 2.0, r.random() * 50, 900.0)), r.choice(("sold", "listed"))) for p in [1] * 400 + [2] * 7 + [3] for _ in range(1)]
+    df = spark.createDataFrame(rows, "printing_id int, day string, source_id int, price double, kind string")
+    usual = [P.daily(df), P.rollup(df, ["printing_id"]), P.within_spread(df, ["printing_id"], 0.5)]
+    want = [sorted(map(tuple, x.collect())) for x in usual]
+    monkeypatch.setattr(P, "HOT", 6)
+    monkeypatch.setattr(O, "RANGE", 30)
+    hot = [P.daily(df), P.rollup(df, ["printing_id"]), P.within_spread(df, ["printing_id"], 0.5)]
+    for a, b, w in zip(hot, usual, want, strict=True):
+        got = sorted(map(tuple, a.select(*b.columns).collect()))
+        assert [tuple(pytest.approx(y) if isinstance(y, float) else y for y in x) for x in w] == got
+
+
+def test_patches_are_refused_before_handles_are_dealt_and_profiles_stay_one_row(spark):
+    profiles = spark.createDataFrame([(i, f"old_{i}", "USD") for i in range(1, 6)], "user_id long, handle string, currency string")
+    patches = [(1, "wanted", "euros", 1), (2, "wanted", None, 1), (3, "first", "EUR", 1), (3, "second", None, 2), (4, None, "JPY", 1), (4, None, "GBP", 2), (5, "old_1", None, 1), (5, "x", "EUR", 2)]
+    after, refused = O.patched_profiles(profiles, spark.createDataFrame(patches, "user_id long, handle string, currency string, seq int"))
+    assert sorted(map(tuple, after.collect())) == [(1, "old_1", "USD"), (2, "wanted", "USD"), (3, "second", "EUR"), (4, "old_4", "GBP"), (5, "old_5", "USD")]
+    assert sorted(r["user_id"] for r in refused.collect()) == [1, 5, 5]
 
 
 def test_completion_grid_in_blocks_of_sets(spark, monkeypatch):
