@@ -58,11 +58,15 @@ def rejection_rollup(rejections: DataFrame) -> DataFrame:
     return rows.orderBy(F.desc("count"), "reason_code")
 
 
+def stays(now: Column, short_days: int = 30, long_days: int = 365) -> Column:
+    """False for debug and info rows older than short_days and others older than long_days."""
+    age = lambda days: F.coalesce(F.col("at") < now - F.make_dt_interval(F.lit(days)), F.lit(False))
+    minor = F.coalesce(F.col("level").isin("debug", "info"), F.lit(False))
+    return ~((minor & age(short_days)) | (~minor & age(long_days)))
+
+
 def kept_logs(logs: DataFrame, now: Column, short_days: int = 30, long_days: int = 365) -> DataFrame:
-    """Without debug and info rows older than short_days and others older than long_days."""
-    age = lambda days: F.col("at") < now - F.make_dt_interval(F.lit(days))
-    minor = F.col("level").isin("debug", "info")
-    return logs.filter(~((minor & age(short_days)) | (~minor & age(long_days))))
+    return logs.filter(stays(now, short_days, long_days))
 
 
 def recent(logs: DataFrame, limit: int, level: str | None = None) -> DataFrame:

@@ -13,10 +13,11 @@ from ..operators import ingest as I
 from ..operators import operations as O
 from ..operators import pricing as P
 from ..operators import search as R
-from ..sources import collection_csv, sinks
+from ..scratch import Scratch
+from ..sources import collection_csv, sinks, snapshot
 from ..streaming import streams as T
-from .domain import RANKED, Domain
-from .queries import _MEASURED, _RATIO, _catalog, _time, query
+from .domain import LOGS_NOW, RANKED, Domain
+from .queries import _FAULT, _MEASURED, _RATIO, _catalog, _raw, _time, query
 
 # --- holdings with all columns ------------------------------------------------------------------
 
@@ -352,6 +353,43 @@ def price_alerts(d: Domain) -> DataFrame:
     return P.alerts(crossings, 24).select("alert_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("fired_at"))
 
 
+# --- transactions -------------------------------------------------------------------------------
+
+_KEPT = f"NOT ((level IN ('debug', 'info') AND \"at\" < TIMESTAMP '{LOGS_NOW}' - INTERVAL 10 DAY) OR (level NOT IN ('debug', 'info') AND \"at\" < TIMESTAMP '{LOGS_NOW}' - INTERVAL 20 DAY))"
+
+
+@query(f"SELECT count(*) FILTER ({_KEPT}) AS kept, count(*) FILTER (NOT {_KEPT}) AS removed, count(*) FILTER ({_KEPT}) AS rows_left FROM logs")
+def log_sweep(d: Domain) -> DataFrame:
+    path = f"{Scratch(d.spark, 'sweep').base}/logs"
+    counts = snapshot.sweep(d.logs, path, F.lit(LOGS_NOW).cast("timestamp"), 10, 20)
+    return d.spark.read.parquet(path).agg(F.lit(counts["kept"]).cast("long").alias("kept"), F.lit(counts["removed"]).cast("long").alias("removed"), F.count("*").alias("rows_left"))
+
+
+@query(f"""WITH f AS (SELECT n, n % 3 <> 0 AS early, {_FAULT} AS f, 1 + (n % 2 = 0)::INT AS p FROM (SELECT p_partkey AS n FROM part)),
+    c AS (SELECT count(*) FILTER (f IS NULL AND early) AS good, count(*) FILTER (f IS NULL AND NOT early) AS rest, sum(p) FILTER (f IS NULL AND early) AS p1, sum(p) FILTER (f IS NULL AND NOT early) AS p2, count(*) FILTER (f IS NOT NULL AND early) AS bad, count(*) FILTER (f IS NOT NULL) AS all_bad FROM f)
+    SELECT 1 AS run, 1 AS version, good AS cards_added, 0::BIGINT AS cards_updated, 0::BIGINT AS cards_unchanged, p1::BIGINT AS printings_added, bad AS rejected, good AS cards FROM c UNION ALL
+    SELECT 2, 2, rest, 0, good, p2::BIGINT, all_bad, good + rest FROM c UNION ALL SELECT 3, 2, 0, 0, good + rest, 0, all_bad, good + rest FROM c""")
+def import_transactions(d: Domain) -> DataFrame:
+    """Three imports, of which the last brings nothing new."""
+    root = Scratch(d.spark, "catalog").base
+    catalog, raw = snapshot.Snapshot(d.spark, f"{root}/snapshot"), _raw(d)
+    rows = []
+    for n, part in enumerate((raw.filter(F.col("collector_number").cast("long") % 3 != 0), raw, raw), 1):
+        r = snapshot.import_catalog(catalog, part, "csv_seed", f"{root}/runs")
+        rows.append((n, r["version"], *(r[c] for c in ("cards_added", "cards_updated", "cards_unchanged", "printings_added", "rejected")), catalog.read("cards").count()))
+    return d.spark.createDataFrame(rows, "run int, version int, cards_added long, cards_updated long, cards_unchanged long, printings_added long, rejected long, cards long")
+
+
+@query("""SELECT 2 AS version, count(DISTINCT item) AS items, sum(quantity) FILTER (late)::BIGINT AS copies_added FROM
+    (SELECT quantity, user_id % 2 = 0 AS late, CASE WHEN is_graded THEN item_id || seq || quantity ELSE user_id || '/' || printing_id || '/' || condition END AS item FROM adds)""")
+def holdings_committed(d: Domain) -> DataFrame:
+    """Two collectors' files, each imported in one transaction."""
+    held = snapshot.Snapshot(d.spark, Scratch(d.spark, "holdings").base)
+    for late in (1, 0):
+        done = snapshot.import_holdings(held, d.adds.filter(F.col("user_id") % 2 == late))
+    return d.spark.createDataFrame([(done["version"], done["items"], done["copies_added"])], "version int, items long, copies_added long")
+
+
 # --- a collector's CSV --------------------------------------------------------------------------
 
 def _printings_of_parts(d: Domain) -> DataFrame:
