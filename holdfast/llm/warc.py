@@ -21,7 +21,7 @@ import html
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 VERSION = "WARC/1.1"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  #: RFC 4122's name space for URLs
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.DOTALL | re.IGNORECASE)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.DOTALL | re.IGNORECASE)
-_LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", re.IGNORECASE)
-_LINK = re.compile(r"<a\b[^>]*\bhref\s*=", re.IGNORECASE)
-_BREAK = re.compile(r"<(?:/?(?:p|div|li|ul|ol|table|tr|h[1-6]|section|article|header|footer|nav|main|title|head|body|blockquote|pre|dd|dt|dl|form|figure)\b|br\b|hr\b)[^>]*>", re.IGNORECASE)
-_TAG = re.compile(r"<[a-zA-Z/!?](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|<[a-zA-Z/!?][^>]*+>")
+_HIDDEN = re.compile(r"<!--|<(script|style|noscript|template)\b", re.IGNORECASE)
+_TITLE, _HTML, _LINK = (re.compile(rf"<{name}\b", re.IGNORECASE) for name in ("title", "html", "a"))
+_LANG, _HREF = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z-]+)", re.IGNORECASE), re.compile(r"\bhref\s*=", re.IGNORECASE)
+_BREAK = re.compile(r"(?=<(?:/?(?:p|div|li|ul|ol|table|tr|h[1-6]|section|article|header|footer|nav|main|title|head|body|blockquote|pre|dd|dt|dl|form|figure)\b|br\b|hr\b))", re.IGNORECASE)
+_TAG = re.compile(r"<[a-zA-Z/!?](?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+>")
+_OPEN, _SPECIAL = re.compile(r"<[a-zA-Z/!?]"), re.compile(r"[>\"']")
 _BLANK = re.compile(r"[ \t\r\f\v ]+")
 
 
@@ -48,9 +48,88 @@ def record_id(*names: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, chr(10).join(names))}>"
 
 
+def _tag_end(page: str, at: int, dead: set[int]) -> int:
+    """The place behind the first > outside of quotes; -1 if there is none. dead: quotes from which none was found."""
+    seen = []
+    while (found := _SPECIAL.search(page, at)) and (p := found.start()) not in dead:
+        if page[p] == ">":
+            return p + 1
+        seen.append(p)
+        at = page.find(page[p], p + 1) + 1
+        if not at:
+            break
+    dead.update(seen)
+    return -1
+
+
+def without_tags(page: str) -> str:
+    """The page without tags: each goes to the first > outside of quotes, or else to the first one. In time in proportion
+    to the page, whatever it holds."""
+    cut = page.rfind(">") + 1
+    page, rest = page[:cut], page[cut:]
+    plain = _TAG.sub("", page)
+    if not _OPEN.search(plain):
+        return plain + rest
+    out, at, dead = [], 0, set()  # some tag has a < in it
+    while start := _OPEN.search(page, at):
+        out.append(page[at : start.start()])
+        end = _tag_end(page, start.end(), dead)
+        at = end if end > 0 else page.find(">", start.end()) + 1
+    return "".join(out) + page[at:] + rest
+
+
+def without_hidden(page: str) -> str:
+    """The page with a blank for each comment, script, style and the like; one without an end goes to the page's end."""
+    out, at, ends = [], 0, page.rfind(">")
+    look = 0
+    while start := _HIDDEN.search(page, look):
+        if not start[1]:
+            end = page.find("-->", start.end()) + 3
+            end = end if end > 2 else len(page)
+        elif start.end() > ends:  # no tag ends here any more
+            look = start.end()
+            continue
+        else:
+            close = re.compile(rf"</{start[1]}\s*>", re.IGNORECASE).search(page, page.index(">", start.end()) + 1)
+            end = close.end() if close else len(page)
+        out += [page[at : start.start()], " "]
+        at = look = end
+    return "".join(out) + page[at:]
+
+
+def tags(page: str, kind: re.Pattern) -> Iterator[tuple[int, str]]:
+    """The end and the attributes of each tag of a kind."""
+    page = page[: page.rfind(">") + 1]  # no tag ends behind that
+    at, dead = 0, set()
+    while start := kind.search(page, at):
+        end = _tag_end(page, start.end(), dead)
+        at = end if end > 0 else page.find(">", start.end()) + 1
+        yield at, page[start.end() : at]
+
+
+def title_of(page: str) -> str:
+    """The text between the first title tag and the first end tag behind it."""
+    start = next(tags(page, _TITLE), None)
+    end = re.compile(r"</title\s*>", re.IGNORECASE).search(page, start[0]) if start else None
+    return page[start[0] : end.start()] if end else ""
+
+
+def language_of(page: str) -> str:
+    for _, attributes in tags(page, _HTML):
+        if found := _LANG.findall(attributes):
+            return found[-1].lower()
+    return ""
+
+
+def links_of(page: str) -> int:
+    return sum(1 for _, attributes in tags(page, _LINK) if _HREF.search(attributes))
+
+
 def visible_text(page: str) -> str:
     """Lines of visible text: no comments, scripts, styles or tags; entities resolved, blank lines left out."""
-    page = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", page)))
+    page = without_hidden(page)
+    cut = page.rfind(">") + 1
+    page = without_tags(_BREAK.sub("\n", page[:cut])) + page[cut:]
     lines = (_BLANK.sub(" ", line).strip() for line in html.unescape(page).split("\n"))
     return "\n".join(line for line in lines if line)
 
@@ -120,7 +199,7 @@ def decoded(body: bytes, coding: str) -> bytes:
     for name in reversed([c.strip().lower() for c in coding.split(",") if c.strip()]):
         try:
             if name in ("gzip", "x-gzip"):
-                body = zlib.decompressobj(47).decompress(body)
+                body = b"".join(members([body]))
             elif name == "deflate":
                 body = zlib.decompressobj(15 if body[:1] == b"\x78" else -15).decompress(body)
             elif name == "zstd":
@@ -132,6 +211,41 @@ def decoded(body: bytes, coding: str) -> bytes:
     return body
 
 
+def members(chunks: Iterable[bytes], skip: bool = False) -> Iterator[bytes]:
+    """What each gzip member holds, the last one up to where it is cut short. skip: goes on behind a damaged member at
+    the next mark of one, else raises zlib.error."""
+    rest, chunks = b"", iter(chunks)
+    unpack, out, whole = zlib.decompressobj(31), [], 0
+
+    def more() -> bool:
+        nonlocal rest
+        chunk = next(chunks, None)
+        rest += chunk or b""
+        return chunk is not None
+
+    while rest or more():
+        try:
+            out.append(unpack.decompress(rest))
+            rest = unpack.unused_data
+        except zlib.error:
+            if not skip:
+                if whole and not out and rest[:2] != b"\x1f\x8b":
+                    return  # other bytes behind the last member
+                raise
+            out = []
+            while (at := rest.find(b"\x1f\x8b\x08", 1)) < 0:
+                rest = rest[-2:]
+                if not more():
+                    return
+            rest, unpack = rest[at:], zlib.decompressobj(31)
+            continue
+        if unpack.eof:
+            yield b"".join(out)
+            unpack, out, whole = zlib.decompressobj(31), [], whole + 1
+    if out:
+        yield b"".join(out)
+
+
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.IGNORECASE)
 
 
@@ -174,10 +288,9 @@ def derived(fields: list[tuple[str, str]], block: bytes) -> list[tuple[list[tupl
     status, http, page = page_of(block)
     source, url = headers.get("warc-record-id", ""), headers.get("warc-target-uri", "")
     text = visible_text(page)
-    title, lang = _TITLE.search(page), _LANG.search(page)
     facts = [
-        ("title", _one_line(html.unescape(_TAG.sub("", title[1]))) if title else ""), ("language", lang[1].lower() if lang else ""),
-        ("links", str(len(_LINK.findall(page)))), ("characters", str(len(text))), ("http-status", status),
+        ("title", _one_line(html.unescape(without_tags(title_of(page))))), ("language", language_of(page)),
+        ("links", str(links_of(page))), ("characters", str(len(text))), ("http-status", status),
         *((f"http-{k.lower()}", v) for k, v in http), *((f"source-{k.lower()}", v) for k, v in fields),
     ]
     out = []
@@ -263,15 +376,24 @@ def write_warc(records: DataFrame, folder: str) -> None:
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """file, headers (map), block (bytes) of all records in a folder's ``*.warc.gz`` files."""
+    """file, headers (map), block (bytes) of all sound records in a folder's ``*.warc.gz`` files.
+
+    Files are read member by member, so memory is that of a member; a damaged member is left out, and one cut short has
+    the records that are whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         for batch in batches:
-            for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = list(parsed(gzip.decompress(data)))
-                kinds = pa.map_(pa.string(), pa.string())
-                columns = [pa.array([file] * len(found), pa.string()), pa.array([list(dict(h).items()) for h, _ in found], kinds), pa.array([b for _, b in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["file", "headers", "block"])
+            for file in batch.column(0).to_pylist():
+                store, path = fs.FileSystem.from_uri(file)
+                with store.open_input_stream(path, compression=None) as stream:
+                    for data in members(iter(lambda: stream.read(1 << 20) or None, None), skip=True):
+                        found = list(parsed(data))
+                        kinds = pa.map_(pa.string(), pa.string())
+                        columns = [pa.array([file] * len(found), pa.string()), pa.array([list(dict(h).items()) for h, _ in found], kinds), pa.array([b for _, b in found], pa.binary())]
+                        yield pa.RecordBatch.from_arrays(columns, names=["file", "headers", "block"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
-    return files.select("path", "content").mapInArrow(run, "file string, headers map<string,string>, block binary")
+    return files.select("path").mapInArrow(run, "file string, headers map<string,string>, block binary")

@@ -3,10 +3,13 @@
 import functools
 import gzip
 import hashlib
+import html
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -335,6 +338,78 @@ def test_warc_reads_what_is_valid_and_skips_what_is_damaged(spark):
     assert all(texts[20 + i] == ["good"] * 2 for i in range(len(damaged))) and texts[40] == texts[41] == ["good"]
 
 
+class Plain(HTMLParser):
+    """Visible text by the standard library's parser."""
+
+    BLOCKS = set("p div li ul ol table tr h1 h2 h3 h4 h5 h6 section article header footer nav main title head body blockquote pre dd dt dl form figure br hr".split())
+
+    def __init__(self, page):
+        super().__init__()
+        self.out, self.hidden, self.title, self.links, self.lang, self.within = [], [], [], 0, "", False
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += [tag] * (tag in ("script", "style", "noscript", "template"))
+        self.out.append("\n" * (tag in self.BLOCKS))
+        self.within = tag == "title"
+        self.links += tag == "a" and any(k == "href" for k, _ in attrs)
+        self.lang = self.lang or (dict(attrs).get("lang") or "").lower() if tag == "html" else self.lang
+
+    def handle_endtag(self, tag):
+        if self.hidden and self.hidden[-1] == tag:
+            self.out.append(" ")
+            self.hidden.pop()
+        self.out.append("\n" * (tag in self.BLOCKS))
+        self.within = False
+
+    def handle_comment(self, _):
+        self.out.append(" ")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.out.append(data)
+        if self.within:
+            self.title.append(data)
+
+    def text(self):
+        lines = (re.sub(r"[ \t\r\f\v ]+", " ", line).strip() for line in "".join(self.out).split("\n"))
+        return "\n".join(line for line in lines if line)
+
+
+def test_pages_are_read_as_the_standard_parser_reads_them(spark):
+    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    pages += ['<html class="x" lang=DE><body><a title="a<b>c" href=x>one</a><a name=y>two</a><p class=\'>\'>three &amp; four<br/>five<script>if (a < b) "</p>"</script>six<!-- > -->seven</body></html>']
+    for page in filter(None, pages):
+        want = Plain(page)
+        assert warc.visible_text(page) == want.text()
+        assert (warc.links_of(page), warc.language_of(page)) == (want.links, want.lang) and html.unescape(warc.title_of(page)).split() == "".join(want.title).split()
+
+
+@pytest.mark.parametrize("part", ["<title>", "<html ", "<a ", '<a ">"', "<script ", "<script>", "<!-- ", "</title ", "<p \"'><", "<br "])
+def test_large_pages_of_odd_tags_take_time_in_proportion(part):
+    page = part * (2_000_000 // len(part))
+    began = time.process_time()
+    for f in (warc.title_of, warc.language_of, warc.links_of, warc.visible_text):
+        f(page), f(page + ">")
+    assert time.process_time() - began < 20  # hours where a pattern looks ahead from each place
+
+
+def test_damaged_and_joined_gzip_members(spark, tmp_path):
+    record = lambda n: warc.serialised([("WARC-Record-ID", f"<{n}>")], b"block %d" % n)
+    zipped = [gzip.compress(record(n)) for n in range(4)]
+    bent = bytearray(zipped[1])
+    bent[12:20] = b"\xff" * 8
+    (tmp_path / "a.warc.gz").write_bytes(zipped[0] + bytes(bent) + zipped[2])
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(record(4) + record(5)) + zipped[3][:-20])
+    (tmp_path / "c.warc.gz").write_bytes(b"")
+    (tmp_path / "d.warc.gz").write_bytes(b"no gzip at all")
+    got = warc.read_warc(spark, f"file://{tmp_path}").select(F.col("headers")["WARC-Record-ID"]).collect()
+    assert sorted(r[0] for r in got) == ["<0>", "<2>", "<4>", "<5>"]
+    page = gzip.compress(b"one ") + gzip.compress(b"two")
+    assert warc.decoded(page, "gzip") == b"one two" == warc.decoded(page + b"junk", "x-gzip") and warc.decoded(b"junk", "gzip") == b"junk"
+
+
 # --- mixing -------------------------------------------------------------------------------------
 
 
