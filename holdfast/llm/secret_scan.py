@@ -34,12 +34,16 @@ _STEM = re.compile(r"pass(?:word|wd|phrase|code)?|pwd|secret|token|key|bearer|cr
 _REST = re.compile(r"(s?)([A-Za-z0-9_-]*)")
 _ASSIGNED = re.compile(r"""["'\])]*[ \t]*(?:[:=]|->)[:=>]?[ \t]*(?:(?:bearer|basic)[ \t]+)?""", re.IGNORECASE)
 _SPACED = re.compile(r"[ \t]+(?:(?:is|was)[ \t]+)?", re.IGNORECASE)
-_LOGIN = re.compile(r"://[^\s/:@]{0,256}:([^\s/@]+)@")
+_LOGIN = re.compile(r"://[^\s/:@]*+:([^\s/@]++)@")
 _VALUE = re.compile(r"""(["'`])((?:(?!\1)[^\n])+)\1|\S+""")
 _PART = re.compile("[^=/]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 
+#: Words of letters, short numbers and repeats of one character, joined by marks: what a second rule calls harmless.
+_HARMLESS = re.compile(r"[-_/=+]*+(?:(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]{1,8}+|([^-_/=+])\1*+)(?:[-_/=+]++|$))*+")
+
 LEAST = 16  #: characters of a candidate
+SLICE = 4096  #: windows that are scored at a time
 BEFORE, INSIDE, AFTER = 24, 40, 8
 STEP = INSIDE // 2  #: between the windows of a long run
 WIDTH = BEFORE + INSIDE + AFTER
@@ -194,8 +198,8 @@ class CharNet:
         return np.concatenate([self._forward(x[i : i + 512])[3] for i in range(0, len(x), 512)] or [np.zeros(0)])
 
     def calibrate(self, z: np.ndarray, y: np.ndarray, kinds: np.ndarray, recall: float) -> None:
-        """Platt scaling by Newton steps, then for each kind the highest threshold that keeps the recall. z: -inf where
-        nothing was scored."""
+        """Platt scaling by Newton steps, then for each kind the highest threshold that keeps the recall, and asks for no more
+        than even odds: lines differ from those of the findings. z: -inf where nothing was scored."""
         every, scored = z, np.isfinite(z)
         secret = y == 1
         z, y = z[scored].astype(float), y[scored]
@@ -213,7 +217,7 @@ class CharNet:
         for kind in (RUN, VALUE):
             ranked = np.sort(_sigmoid(self.scale * every[secret & (kinds == kind)] + self.offset))
             if len(ranked):
-                self.thresholds[kind] = ranked[int((1 - recall) * len(ranked))]
+                self.thresholds[kind] = min(0.5, ranked[int((1 - recall) * len(ranked))])
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return _sigmoid(self.scale * self.logits(x) + self.offset)
@@ -273,7 +277,8 @@ AROUND = 200  #: characters kept on either side of a finding
 
 def sampled_findings(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, int, int, int]]:
     """Labelled findings of a bounded sample of documents, chosen by a hash of their ids: base spans are secrets (of an
-    assignment its value), other candidates are none. The scan itself reads all documents."""
+    assignment its value), and candidates that a second rule calls harmless are none. What neither rule knows has no
+    label and is not learned from. The scan itself reads all documents."""
     columns = "text string, start int, stop int, secret int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +288,7 @@ def sampled_findings(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str
                 text = text or ""
                 found = base_spans(text)
                 own = [(s if k else ASSIGN.match(text, s).start(2), e, 1) for s, k, e in found]
-                for spans in (own, [(s, e, 0) for s, e, *_ in candidates(text, found)]):
+                for spans in (own, [(s, e, 0) for s, e, *_ in candidates(text, found) if _HARMLESS.fullmatch(text, s, e)]):
                     for s, e, secret in spans[:A_ROW]:
                         low = max(0, s - AROUND)
                         out.append((text[low : e + AROUND], s - low, e - low, secret))
@@ -308,7 +313,8 @@ def train(findings: list[tuple[str, int, int, int]], recall: float = 0.98) -> Ch
         for s, e, *_ in candidates(text, []):
             shared = min(e, end) - max(s, start)
             # a window that holds but a little of the value is neither, nor is one that holds another secret
-            if (shared <= 0 or not secret or shared >= min(end - start, STEP)) and (s, e) != (start, end) and not any(f[0] < e and s < f[2] for f in others):
+            # what lies beside the finding has no label of its own, unless it is harmless by rule
+            if (_HARMLESS.fullmatch(text, s, e) if shared <= 0 else not secret or shared >= min(end - start, STEP)) and (s, e) != (start, end) and not any(f[0] < e and s < f[2] for f in others):
                 windows.append(window(text, s, e))
                 labels.append(secret if shared > 0 else 0)
     net = CharNet()
@@ -330,20 +336,26 @@ def train(findings: list[tuple[str, int, int, int]], recall: float = 0.98) -> Ch
 
 def scan(texts: list[str], net: CharNet) -> list[list[tuple[int, int, int]]]:
     """All spans of each text: (start, kind, end)."""
-    spans, windows, where = [], [], []
+    spans, windows, where, hits = [], [], [], {}
+
+    def score() -> None:
+        for (i, s, e, kind), p in zip(where, net.scores(codes(windows)), strict=True):
+            if p >= net.thresholds[kind]:
+                hits.setdefault(i, []).append((s, e))
+        windows.clear(), where.clear()
+
     for i, text in enumerate(texts):
         found = base_spans(text)
         spans.append(found)
         for s, e, first, last, kind in candidates(text, found):
             windows.append(window(text, s, e))
             where.append((i, first, last, kind))
+            if len(windows) == SLICE:
+                score()
     if windows:
-        hits: dict[int, list[tuple[int, int]]] = {}
-        for (i, s, e, kind), p in zip(where, net.scores(codes(windows)), strict=True):
-            if p >= net.thresholds[kind]:
-                hits.setdefault(i, []).append((s, e))
-        for i, found in hits.items():
-            spans[i] = sorted(spans[i] + [(s, 3, e) for s, e in merged(found)])
+        score()
+    for i, found in hits.items():
+        spans[i] = sorted(spans[i] + [(s, 3, e) for s, e in merged(found)])
     return spans
 
 

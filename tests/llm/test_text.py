@@ -111,6 +111,36 @@ def test_secret_query_keeps_all_base_spans(spark):
             assert s < e <= len(texts[r["doc_id"]]) and not any(s < b[2] and b[0] < e for b in base)
 
 
+def test_secrets_that_no_base_pattern_fits_are_found_beside_sampled_ones(spark):
+    r = random.Random(12)
+    key = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    rows, planted = [], []
+    for i in range(80):
+        value = r.choice(("ghp_" + key(34), key(24), key(40)))
+        text = f"some words here password={key(12)} and more\nclient uses {value} for it, see src/lib/module-name and {'=' * 30} or www/static/css"
+        rows.append((i, text))
+        planted.append((text, text.index(value), len(value)))
+    sampled = secret_scan.sampled_findings(table(spark, rows), rows=60)
+    assert {s for *_, s in sampled} == {0, 1} and not any(s == 0 and any(v in t[a:b] for v in ("ghp_",)) for t, a, b, s in sampled)
+    net = secret_scan.train(secret_scan.generated_findings() + sampled)
+    found = secret_scan.scan([t for t, _, _ in planted], net)
+    hit = sum(any(k == 3 and s < at + n and at < e for s, k, e in spans) for (_, at, n), spans in zip(planted, found, strict=True))
+    assert hit >= 0.8 * len(planted)  # a form of line that no finding has; none were found where they counted as harmless
+    assert sum(k == 3 for spans in found for _, k, _ in spans) < 1.5 * len(planted)
+
+
+def test_harmless_runs_and_long_logins_take_time_in_proportion(net, monkeypatch):
+    began = time.process_time()
+    for text in ("-" * 200_000 + "!", "aB" * 100_000, "://" + "u" * 300_000, "://x" * 100_000, "a-" * 100_000 + "aB9"):
+        secret_scan._HARMLESS.fullmatch(text), list(secret_scan._LOGIN.finditer(text))
+    assert time.process_time() - began < 5
+    long = "https://" + "u" * 400 + ":p4ss!w0rd@db.internal"
+    spans = secret_scan.scan([long], net)[0]
+    assert any(s <= long.index("p4ss") < e for s, _, e in spans)
+    monkeypatch.setattr(secret_scan, "SLICE", 3)
+    assert secret_scan.scan([long, "x", long], net) == [spans, [], spans]
+
+
 def test_secret_forms_that_training_never_saw(net):
     """Recall of the whole scan on secrets in forms that are held out of the training."""
     net = secret_scan.train(secret_scan.generated_findings(1500, forms=secret_scan.SECRET_FORMS[::2]))
