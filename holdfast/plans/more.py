@@ -14,7 +14,7 @@ from ..operators import operations as O
 from ..operators import pricing as P
 from ..operators import search as R
 from ..scratch import Scratch
-from ..sources import collection_csv, sinks, snapshot
+from ..sources import bucketed, collection_csv, sinks, snapshot
 from ..streaming import streams as T
 from .domain import LOGS_NOW, RANKED, Domain
 from .queries import _FAULT, _MEASURED, _RATIO, _catalog, _raw, _time, query
@@ -353,6 +353,27 @@ def price_alerts(d: Domain) -> DataFrame:
     return P.alerts(crossings, 24).select("alert_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("fired_at"))
 
 
+# --- bucketed tables ----------------------------------------------------------------------------
+
+
+@query("SELECT count(*) AS rows, sum(attack)::BIGINT AS attack, count(DISTINCT collector_number) AS numbers FROM (SELECT CASE WHEN card_id % 3 = 0 THEN attack + 1 ELSE attack END AS attack, collector_number FROM cards WHERE card_id % 7 <> 0 OR card_id % 3 = 0)")
+def catalog_upsert_bucketed(d: Domain) -> DataFrame:
+    """Two upserts of a table in buckets by card."""
+    old = bucketed.bucketed(I.card_rows(_catalog(d.cards.filter("card_id % 7 != 0"))), "cards", I.CARD_KEY)
+    changed = d.cards.filter("card_id % 3 = 0").withColumn("attack", F.col("attack") + 1)
+    for part in (0, 1):
+        old = bucketed.upserted(I.card_rows(_catalog(changed.filter(F.col("card_id") % 2 == part))), old, "cards")
+    return old.agg(F.count("*").alias("rows"), F.sum("attack").cast("long").alias("attack"), F.count_distinct("collector_number").alias("numbers"))
+
+
+@query(f"SELECT user_id, set_code, owned, quantity, card_count AS declared, {_RATIO.replace('declared', 'card_count')} FROM ({_MEASURED}) JOIN sets USING (set_code)")
+def set_completion_bucketed(d: Domain) -> DataFrame:
+    """Completion over tables in buckets: holdings and printings by printing, cards by card."""
+    held = bucketed.bucketed(d.adds, "held", ["printing_id"])
+    printings, cards = bucketed.bucketed(d.printings, "printings", ["printing_id"]), bucketed.bucketed(d.cards, "cards", ["card_id"])
+    return H.completion(held, printings, cards, d.sets).withColumn("ratio", F.round("ratio", 6))
+
+
 # --- transactions -------------------------------------------------------------------------------
 
 _KEPT = f"NOT ((level IN ('debug', 'info') AND \"at\" < TIMESTAMP '{LOGS_NOW}' - INTERVAL 10 DAY) OR (level NOT IN ('debug', 'info') AND \"at\" < TIMESTAMP '{LOGS_NOW}' - INTERVAL 20 DAY))"

@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from holdfast.operators import ingest as I
+from holdfast.sources import bucketed as B
 from holdfast.sources import snapshot as N
 
 from .test_ingest import raw
@@ -64,3 +66,24 @@ def test_counts_are_taken_while_rows_are_written(spark, tmp_path):
     held = N.Snapshot(spark, str(tmp_path / "h"))
     assert N.import_holdings(held, adds) == {"version": 1, "items": 1, "copies_added": 5}
     assert N.import_holdings(held, adds.withColumn("printing_id", F.lit("q"))) == {"version": 2, "items": 2, "copies_added": 5}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_joins_of_bucketed_tables_leave_the_catalog_where_it_lies(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ids = spark.range(400)
+        catalog = B.bucketed(ids.select(F.concat(F.lit("S"), F.col("id") % 3).alias("set_code"), F.col("id").cast("string").alias("collector_number"), F.col("id").alias("v")), "t", I.CARD_KEY)
+        new = ids.filter("id % 10 = 0").select(F.concat(F.lit("S"), F.col("id") % 3).alias("set_code"), F.col("id").cast("string").alias("collector_number"), F.lit(-1).cast("long").alias("v"))
+        plan = _plan(I.upserted(new, catalog, I.CARD_KEY))
+        assert plan.count("Exchange hashpartitioning") == 1  # what is new is shuffled to the buckets
+        after = B.upserted(new, catalog, "t")
+        assert after.count() == 400 and after.filter("v = -1").count() == 40
+        assert _plan(I.upserted(new, after, I.CARD_KEY)).count("Exchange hashpartitioning") == 1
+        left, right = (B.bucketed(ids.select("id", F.lit(n).alias(n)), n, ["id"]) for n in ("a", "b"))
+        assert "Exchange hashpartitioning" not in _plan(left.join(right, "id"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
