@@ -17,7 +17,7 @@ from ..scratch import Scratch
 from ..sources import bucketed, collection_csv, sinks, snapshot
 from ..streaming import streams as T
 from .domain import LOGS_NOW, RANKED, Domain
-from .queries import _FAULT, _MEASURED, _RATIO, _catalog, _raw, _time, query
+from .queries import _FAULT, _MEASURED, _RATIO, _catalog, _raw, _search_sql, _time, query
 
 # --- holdings with all columns ------------------------------------------------------------------
 
@@ -353,6 +353,34 @@ def price_alerts(d: Domain) -> DataFrame:
     return P.alerts(crossings, 24).select("alert_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("fired_at"))
 
 
+# --- forms with rows of queries that find none --------------------------------------------------
+
+_WIDE = [f"Brand#{i}" for i in range(1, 13)]
+_WIDE_SQL = f"cards.set_code IN ({', '.join(repr(c) for c in _WIDE)}) AND card_type IN ('PROMO', 'SMALL', 'LARGE') AND element IN ('red', 'blue')"
+
+
+@query(f"SELECT card_id, set_code, collector_number, name, tier FROM ({_search_sql('b0000', where=_WIDE_SQL)})")
+def search_filtered_numbers(d: Domain) -> DataFrame:
+    q = R.Search("B0000", set_codes=_WIDE, card_types=["PROMO", "SMALL", "LARGE"], elements=["red", "blue"])
+    return R.matches(d.cards, d.sets, q).select("card_id", "set_code", "collector_number", "name", "tier")
+
+
+@query("SELECT user_id, left(printing_id, 1) AS printing_id, condition AS merge_condition, count(*) AS rows FROM adds WHERE NOT is_graded GROUP BY ALL HAVING count(*) > 1")
+def holdings_twins_coarse(d: Domain) -> DataFrame:
+    return H.twins(d.adds.withColumn("printing_id", F.substring("printing_id", 1, 1)))
+
+
+@query("""SELECT set_code, count(*) AS rows, sum(p_size)::BIGINT AS copies, count(*) FILTER (p_partkey % 3 = 0) AS quoted, max(CASE WHEN p_partkey % 3 = 0 THEN 'é "' || p_name || '"; new' ELSE p_name END) AS last_name
+    FROM (SELECT *, p_brand AS set_code FROM part) GROUP BY set_code""")
+def csv_read_back(d: Domain) -> DataFrame:
+    """A CSV export, in several files, read as a collector's own file with nothing said about it."""
+    path = f"{Scratch(d.spark, 'export').base}/csv"
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('é "'), "p_name", F.lit('"; new'))).otherwise(F.col("p_name"))
+    sinks.export_csv(d.table("part").select(F.col("p_brand").alias("Set_Code"), F.col("p_partkey").alias("collector_number"), name.alias("NAME"), F.col("p_size").alias("quantity")), path)
+    rows = collection_csv.read(d.spark, path)
+    return rows.groupBy("set_code").agg(F.count("*").alias("rows"), F.sum(F.col("quantity").cast("long")).alias("copies"), F.count_if(F.col("name").contains("; new")).alias("quoted"), F.max("name").alias("last_name"))
+
+
 # --- bucketed tables ----------------------------------------------------------------------------
 
 
