@@ -62,14 +62,18 @@ def merged_flag(items: DataFrame) -> DataFrame:
 
 def edited(state: DataFrame, patches: DataFrame) -> DataFrame:
     """state: item_id, user_id, printing_id, condition, is_graded, quantity and ATTRIBUTES; patches: item_id and new values
-    of any of these but the owner and the printing. NULL keeps, so a value can't be cleared.
+    of any of these but the owner and the printing. NULL keeps, so a value can't be cleared. Of several patches of one
+    item those count in order of ``seq``, if there is such a column: of each value the last that is given (of equal places
+    the largest), so an item stays one row.
 
     An edited row whose new key another row holds is absorbed by that row, which keeps its own attributes; of several
     edited rows that meet with no row there before, the smallest id stays.
     """
     held = _carried(state)
     fields = [c for c in ("condition", "is_graded", "quantity", *held) if c in patches.columns]
-    new = patches.select("item_id", *(F.col(c).alias(f"_{c}") for c in fields))
+    seq = (F.col("seq") if "seq" in patches.columns else F.lit(0)).alias("seq")
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(seq, c)))[c].alias(f"_{c}")
+    new = patches.groupBy("item_id").agg(*map(last, fields))
     touched = F.lit(False)
     for c in fields:
         touched = touched | F.col(f"_{c}").isNotNull()

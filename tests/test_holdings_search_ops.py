@@ -81,6 +81,12 @@ def test_an_edit_that_collides_leaves_the_row_that_was_there(spark):
     assert H.removed(state, gone).count() == 2
 
 
+def test_several_patches_of_an_item_leave_one_row(spark):
+    state = items(spark, [("a", "u", "p", "mint", False, 3, 1), ("b", "u", "q", "mint", True, 1, 2)]).drop("seq")
+    patches = spark.createDataFrame([("a", "near_mint", None, 5, 1), ("a", None, None, 7, 2), ("a", "damaged", None, None, 3), ("b", None, None, 2, 2), ("b", None, None, 4, 1)], "item_id string, condition string, is_graded boolean, quantity int, seq int")
+    assert sorted((r["item_id"], r["condition"], r["quantity"]) for r in H.edited(state, patches).collect()) == [("a", "damaged", 7), ("b", "mint", 2)]
+
+
 def test_completion_counts_cards_not_printings_and_rebuild_has_zero_rows(spark):
     cards, sets, printings = catalog(spark)
     held = items(spark, [("a", "u", "p1", "mint", False, 2, 1), ("b", "u", "p2", "mint", False, 1, 2)])
