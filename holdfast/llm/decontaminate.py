@@ -27,7 +27,7 @@ from .common import Scratch, broadcast_if_small
 
 WINDOW = 13  #: template words; a shorter item is one window of its own length
 KEY = 8  #: first words of a window, by whose hash windows meet
-MIN_WORDS = 4  #: different words of a window that are no placeholders, below which its values must agree; tokens of an item to be looked for at all
+MIN_WORDS = 4  #: different words of a window that are no placeholders, below which its values must agree; items of fewer tokens are looked for as whole sentences
 BROADCAST_KEYS = 200_000  #: keys (8 bytes each) that may be broadcast
 BROADCAST_MATCHES = 500_000  #: doc_ids of matches (8 bytes each) that may be broadcast
 
@@ -122,12 +122,32 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     return held.select("item_id", "mode", "length", key.alias("h"), _window("tokens", F.col("pos"), F.col("length"), F.col("mode")).alias("window"))
 
 
+def _plain(tokens: Column) -> Column:
+    """Tokens without their marks, one blank between."""
+    return F.translate(F.array_join(F.filter(tokens, lambda w: w != ""), " "), _NUM + _NAME + _UNIT, "")
+
+
+def short_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """id, pos (below 0), item_id: sentences of the texts that are, as a whole, an item of fewer than MIN_WORDS tokens.
+
+    Sentences end at a line's end and at full stops, question and exclamation marks before white space. docs: id, text.
+    """
+    items = benchmark.filter("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.filter(tokens_of(F.col("text")), lambda w: w != "").alias("tokens"))
+    items = items.filter(F.size("tokens").between(1, MIN_WORDS - 1)).select("item_id", _plain(F.col("tokens")).alias("words")).distinct()
+    if items.isEmpty():  # no text is looked at
+        return docs.limit(0).select("id", F.lit(0).alias("pos"), F.lit(0).cast("long").alias("item_id"))
+    sentences = docs.select("id", F.posexplode(F.split("text", r"[.!?]+(?=\s|$)|[\r\n]+")).alias("at", "sentence"))
+    # longer sentences can't be such an item; no words of theirs are compared
+    brief = sentences.withColumn("words", _plain(tokens_of(F.col("sentence")))).filter(F.size(F.split("words", " ")) < MIN_WORDS)
+    return brief.join(broadcast_if_small(items, BROADCAST_KEYS), "words").select("id", (-1 - F.col("at")).alias("pos"), "item_id")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per doc_id with a match: doc_id, item_ids (sorted), n_windows (matched places).
 
     Reads ``doc_id``/``text`` and ``item_id``/``text`` only. Null and empty texts match nothing, nor do rows with a
-    null id; an item of fewer than MIN_WORDS tokens, numbers included, is too short to look for. Texts of any length are
-    read whole. Repeated rows count once a place. An empty table on either side gives no rows.
+    null id; an item of fewer than MIN_WORDS tokens, numbers included, is found where a whole sentence is that item.
+    Texts of any length are read whole. Repeated rows count once a place. An empty table on either side gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
     docs = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text")
@@ -139,8 +159,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     lengths: dict[int, list[int]] = {}
     for r in classes.select("mode", F.least("length", F.lit(KEY)).alias("n")).distinct().orderBy("mode", "n").collect():
         lengths.setdefault(r["mode"], []).append(r["n"])
+    short = scratch.save(short_matches(docs, benchmark), "short")
     if not lengths:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_ids array<long>, n_windows long")
+        return _result(short.select("id", "pos"), short.select("id", "item_id"))
     shapes = scratch.save(classes.select("h", "mode", "length").distinct(), "shapes")
     keys = broadcast_if_small(shapes.select("h").distinct(), BROADCAST_KEYS)
     tokens = tokens_of(F.col("text"))
@@ -151,6 +172,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     again = docs.join(ids, "id", "left_semi").select("id", tokens.alias("tokens")).join(hits, "id").join(broadcast_if_small(shapes, BROADCAST_KEYS), "h")
     again = again.select("id", "pos", "h", "mode", "length", _window("tokens", F.col("pos"), F.col("length"), F.col("mode")).alias("window"))
     same = scratch.save(again.join(classes, ["h", "mode", "length", "window"]).select("id", "pos", "class").distinct(), "same")
-    places = same.groupBy("id").agg(F.count_distinct("pos").alias("n_windows"))
-    found = same.select("id", "class").distinct().join(members, "class").groupBy("id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
-    return found.join(places, "id").select(F.col("id").alias("doc_id"), "item_ids", "n_windows")
+    places = same.select("id", "pos").unionByName(short.select("id", "pos"))
+    return _result(places, same.select("id", "class").distinct().join(members, "class").select("id", "item_id").unionByName(short.select("id", "item_id")))
+
+
+def _result(places: DataFrame, pairs: DataFrame) -> DataFrame:
+    counted = places.groupBy("id").agg(F.count_distinct("pos").alias("n_windows"))
+    found = pairs.groupBy("id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+    return found.join(counted, "id").select(F.col("id").alias("doc_id"), "item_ids", "n_windows")

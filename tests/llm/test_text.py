@@ -264,6 +264,12 @@ def brute_matches(docs, items, window):
                 for doc, j in places(way, n).get(shape(own, way), ()):
                     found[doc][0].add(item)
                     found[doc][1].add(j)
+        if 0 < len(tokens) < D.MIN_WORDS:  # whole sentences
+            for doc, text in ((d, t) for d, t in docs if d is not None):
+                for j, sentence in enumerate(re.split(r"[.!?]+(?=\s|$)|[\r\n]+", text or "")):
+                    if [v for _, v in plain_tokens(sentence)] == [v for _, v in tokens]:
+                        found[doc][0].add(item)
+                        found[doc][1].add(-1 - j)
     return sorted(((d, sorted(a), len(b)) for d, (a, b) in found.items()), key=str)
 
 
@@ -313,6 +319,16 @@ def test_decontamination_few_words(spark):
     assert [r[:2] for r in tuples(got, "doc_id", "item_ids")] == [(1, [1]), (3, [2]), (5, [4])]
 
 
+def test_decontamination_of_items_of_a_few_tokens(spark):
+    items = [(1, "Who wrote it?"), (2, "42"), (3, "Yes"), (4, "Tom ran 3 km in the cold wind"), (5, "who wrote it")]
+    docs = [(1, "A play. WHO wrote it? Nobody knows."), (2, "I know who wrote it."), (3, "so:\n42\nis it"), (4, "42 or 43"), (5, "yes! Yes. yes"), (6, "yes, but"), (None, "Yes"), (7, None), (8, " who\twrote   it ")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = D.contaminated(table(spark, docs), bench)
+    assert tuples(got, "doc_id", "item_ids", "n_windows") == brute_matches(docs, items, D.WINDOW) == [(1, [1, 5], 1), (3, [2], 1), (5, [3], 3), (8, [1, 5], 1)]
+    only_short = D.contaminated(table(spark, docs), bench.filter("item_id < 4"))
+    assert tuples(only_short, "doc_id", "item_ids") == [(1, [1]), (3, [2]), (5, [3]), (8, [1])]
+
+
 LONG_FILL = " ".join(random.Random(2).choice(["river", "stone", "cloud", "paper"]) for _ in range(3000))
 
 
