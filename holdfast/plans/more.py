@@ -381,6 +381,34 @@ def csv_read_back(d: Domain) -> DataFrame:
     return rows.groupBy("set_code").agg(F.count("*").alias("rows"), F.sum(F.col("quantity").cast("long")).alias("copies"), F.count_if(F.col("name").contains("; new")).alias("quoted"), F.max("name").alias("last_name"))
 
 
+# --- scalar rules on awkward values -------------------------------------------------------------
+
+_INTS = ["+5", "5.7", "1_000", " 7 ", "99999999999", "-12", "x", ""]
+_DATES = ["2024-1-1", "2024-01-31", "20240101", "2024-02-30", "2024", "2024-12-05", "", "31.12.2024"]
+_FLAGS = [" No ", "0", "FALSE", "yes", "", "none", "false", "1"]
+_CODES = ["FE01", "fe2", "Fe", "BS1", "xFE", "", "F", "feb"]
+
+
+def _picked(values: list, cast: str | None = None) -> str:
+    literal = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+    case = "CASE " + " ".join(f"WHEN k = {i} THEN {literal(v)}" for i, v in enumerate(values)) + " END"
+    return f"({case})::{cast}" if cast else case
+
+
+@query(f"""SELECT n, {_picked([5, None, None, 7, None, -12, None, None], "INT")} AS whole, {_picked([None, "2024-01-31", None, None, None, "2024-12-05", None, None])} AS day, {_picked([False, False, False, True, True, True, False, True])} AS tracked,
+    {_picked(["first", "first", "first", "unlimited", "unlimited", "unlimited", "unlimited", "first"])} AS edition, p_name AS stripped, CASE WHEN n % 3 = 0 THEN NULL ELSE p_name END AS filled, CASE WHEN n % 2 = 0 THEN 'Bearer [redacted] ' || p_name ELSE 'x [redacted] ' || p_name END AS scrubbed, 2048 + length('…[truncated]') AS cut
+    FROM (SELECT p_partkey AS n, p_partkey % 8 AS k, p_name FROM part)""")
+def scalar_traps(d: Domain) -> DataFrame:
+    part = d.table("part").withColumn("k", (F.col("p_partkey") % 8).cast("int") + 1)
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("k"))
+    token = F.when(F.col("p_partkey") % 2 == 0, "bearer aB.c-_9").otherwise("x eyJ" + "h" * 20)
+    return part.select(
+        F.col("p_partkey").alias("n"), S.as_int(of(_INTS)).alias("whole"), S.as_date(of(_DATES)).cast("string").alias("day"), S.is_tracked(of(_FLAGS)).alias("tracked"), V.default_edition(of(_CODES)).alias("edition"),
+        V.strip(F.concat(F.lit("\u00a0\t\u2003"), "p_name", F.lit("\n \u3000"))).alias("stripped"), V.blank_to_null(F.when(F.col("p_partkey") % 3 == 0, "\u00a0 \t").otherwise(F.col("p_name"))).alias("filled"),
+        S.scrub_text(F.concat_ws(" ", token, "p_name")).alias("scrubbed"), F.length(S.scrub_text(F.repeat(F.col("p_name"), 700))).alias("cut"),
+    )
+
+
 # --- bucketed tables ----------------------------------------------------------------------------
 
 

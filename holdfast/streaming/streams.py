@@ -60,13 +60,24 @@ def merge_adds(adds: DataFrame, read_state: Callable[[], DataFrame], read_last:
     return adds.writeStream.foreachBatch(fold)
 
 
-def route_logs(logs: DataFrame, keep: Callable[[DataFrame], None], forward: Callable[[DataFrame], None]) -> DataStreamWriter:
-    """Every log row is kept, those that are severe or of security forwarded as well."""
+def route_logs(logs: DataFrame, keep: Callable[[DataFrame], None], forward: Callable[[DataFrame], None], dropped: Callable[[int, Exception], None] | None = None) -> DataStreamWriter:
+    """Every log row is kept, those that are severe or of security forwarded as well.
+
+    With ``dropped`` a batch that can't be forwarded is given up: dropped gets the number of its rows and the error, and
+    the stream goes on; what is kept is whole either way.
+    """
 
     def split(batch: DataFrame, _: int) -> None:
         rows = batch.withColumn("forwarded", forwarded(F.col("level"), F.col("category"))).persist()
-        keep(rows)
-        forward(rows.filter("forwarded"))
-        rows.unpersist()
+        try:
+            keep(rows)
+            try:
+                forward(rows.filter("forwarded"))
+            except Exception as e:
+                if dropped is None:
+                    raise
+                dropped(rows.filter("forwarded").count(), e)
+        finally:
+            rows.unpersist()
 
     return logs.writeStream.foreachBatch(split)

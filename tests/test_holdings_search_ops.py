@@ -177,3 +177,17 @@ def test_windowed_stream_counts_equal_the_batch(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     T.tumbling(stream).writeStream.outputMode("complete").format("memory").queryName("counted").trigger(availableNow=True).start().awaitTermination(120)
     assert sorted(map(tuple, spark.table("counted").collect())) == sorted(map(tuple, T.tumbling(df).collect()))
+
+
+def test_logs_that_cannot_be_forwarded_are_counted_and_kept(spark, tmp_path):
+    logs = spark.createDataFrame([("info", "http"), ("error", "http"), ("info", "security"), (None, None)], "level string, category string")
+    logs.coalesce(1).write.parquet(str(tmp_path / "in"))
+    kept, lost = [], []
+
+    def forward(rows):
+        raise ConnectionError("no sink")
+
+    stream = spark.readStream.schema(logs.schema).parquet(str(tmp_path / "in"))
+    query = T.route_logs(stream, lambda rows: kept.extend(rows.collect()), forward, lambda n, e: lost.append((n, str(e)))).trigger(availableNow=True)
+    query.option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination(120)
+    assert lost == [(2, "no sink")] and sorted(r["forwarded"] for r in kept) == [False, False, True, True]
