@@ -58,6 +58,17 @@ def rejection_rollup(rejections: DataFrame) -> DataFrame:
     return rows.orderBy(F.desc("count"), "reason_code")
 
 
+def run_detail(runs: DataFrame, rejections: DataFrame) -> DataFrame:
+    """Each run with its rejections: how many, and by reason their count and smallest reference, most frequent first.
+
+    Rejections combine by run and reason before they are gathered, so a run's list has a row for each reason only.
+    """
+    reasons = rejections.groupBy(F.col("import_id").alias("run_id"), "reason_code").agg(F.count("*").alias("count"), F.min("source_ref").alias("example_source_ref"))
+    order = F.struct((-F.col("count")).alias("order"), "reason_code", "count", "example_source_ref")
+    lists = reasons.groupBy("run_id").agg(F.sum("count").alias("rejected"), F.transform(F.array_sort(F.collect_list(order)), lambda r: r.dropFields("order")).alias("reasons"))
+    return runs.join(lists, "run_id", "left").fillna(0, ["rejected"])
+
+
 def stays(now: Column, short_days: int = 30, long_days: int = 365) -> Column:
     """False for debug and info rows older than short_days and others older than long_days."""
     age = lambda days: F.coalesce(F.col("at") < now - F.make_dt_interval(F.lit(days)), F.lit(False))

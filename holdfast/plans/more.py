@@ -409,6 +409,13 @@ def scalar_traps(d: Domain) -> DataFrame:
     )
 
 
+@query("""SELECT run_id, status, coalesce(rejected, 0)::BIGINT AS rejected, reasons FROM runs LEFT JOIN
+    (SELECT import_id, sum(n) AS rejected, string_agg(reason_code || '=' || n || '@' || ref, ',' ORDER BY n DESC, reason_code) AS reasons FROM (SELECT import_id, reason_code, count(*) AS n, min(source_ref) AS ref FROM rejections GROUP BY ALL) GROUP BY import_id) ON import_id = run_id""")
+def run_details(d: Domain) -> DataFrame:
+    text = F.transform("reasons", lambda r: F.concat(r["reason_code"], F.lit("="), r["count"].cast("string"), F.lit("@"), r["example_source_ref"]))
+    return O.run_detail(d.runs, d.rejections).select("run_id", "status", "rejected", F.array_join(text, ",").alias("reasons"))
+
+
 # --- bucketed tables ----------------------------------------------------------------------------
 
 
