@@ -1,4 +1,4 @@
-"""Shared helpers: bounded broadcasts, and numpy tokenisation of Arrow batches."""
+"""Shared helpers: tables, and numpy tokenisation of Arrow batches."""
 
 from __future__ import annotations
 
@@ -7,29 +7,19 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..scratch import Scratch, shared_root
+from ..scratch import Scratch, broadcast_if_small, shared_root, small
 
 __all__ = ["Scratch", "Words", "as_bytes", "broadcast_if_small", "chunks", "mix64", "read", "shared_root", "small"]
 
 #: White space of the contracts, as a Java regular expression class body.
 SPACE = r"\x20\x09-\x0D"
 
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small(df: DataFrame, rows: int) -> bool:
-    """True if df has at most ``rows`` rows; looks at one row more than that, never at all of them."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """A broadcast hint behind a check of the size; beyond it the join shuffles."""
-    return F.broadcast(df) if small(df, rows) else df
-
-
 # --- numpy tokenisation -------------------------------------------------------------------------
 
 _U = np.uint64
