@@ -98,3 +98,20 @@ def test_line_dedup(spark):
     left = {r["doc_id"]: r["text"] for r in without_lines(docs, got).filter("doc_id IN (90, 94, 95)").collect()}
     assert left == {90: None, 94: "very common line of text", 95: ""}
     assert duplicate_lines(table(spark, [])).collect() == []
+
+
+def test_every_link_between_different_lines_counts(spark):
+    """All similar pairs of different lines, chains and groups of near copies too; copies count once."""
+    base = [f"w{i}" for i in range(30)]
+    lines = [t for _, t in near_copies(200, seed=11, words=16)]
+    lines += [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(30)] * 2
+    lines += [" ".join([f"n{i}" for i in range(2 * j)] + [f"c{i}" for i in range(2 * j, 30)]) for j in range(8)]
+    rows = [(i + 1, "\n".join(lines[3 * i : 3 * i + 3])) for i in range(-(-len(lines) // 3))]
+    classes = {tuple(words_of(x)) for x in lines}
+    links = {c: sum(similar(set(c), set(o)) for o in classes if o != c) for c in classes}
+    want = {d: sum(links[tuple(words_of(x))] for x in t.split("\n")) for d, t in rows}
+    got = duplicate_lines(table(spark, rows), percent=80)
+    assert {r["doc_id"]: r["n_links"] for r in got.collect()} == want and sum(want.values()) > 30 * 29
+    assert {r["doc_id"]: r["removed"] for r in got.collect()} == brute_lines(rows)
+    alone = duplicate_lines(table(spark, rows), percent=80, links=False)
+    assert {r["doc_id"]: r["removed"] for r in alone.collect()} == brute_lines(rows)
