@@ -13,7 +13,7 @@ from ..operators import ingest as I
 from ..operators import operations as O
 from ..operators import pricing as P
 from ..operators import search as R
-from ..scratch import Scratch
+from ..scratch import Scratch, spread
 from ..sources import bucketed, collection_csv, sinks, snapshot
 from ..streaming import streams as T
 from .domain import LOGS_NOW, RANKED, Domain
@@ -399,7 +399,7 @@ def _picked(values: list, cast: str | None = None) -> str:
     {_picked(["first", "first", "first", "unlimited", "unlimited", "unlimited", "unlimited", "first"])} AS edition, p_name AS stripped, CASE WHEN n % 3 = 0 THEN NULL ELSE p_name END AS filled, CASE WHEN n % 2 = 0 THEN 'Bearer [redacted] ' || p_name ELSE 'x [redacted] ' || p_name END AS scrubbed, 2048 + length('…[truncated]') AS cut
     FROM (SELECT p_partkey AS n, p_partkey % 8 AS k, p_name FROM part)""")
 def scalar_traps(d: Domain) -> DataFrame:
-    part = d.table("part").withColumn("k", (F.col("p_partkey") % 8).cast("int") + 1)
+    part = spread(d.table("part").select("p_partkey", "p_name"), "p_partkey").withColumn("k", (F.col("p_partkey") % 8).cast("int") + 1)
     of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("k"))
     token = F.when(F.col("p_partkey") % 2 == 0, "bearer aB.c-_9").otherwise("x eyJ" + "h" * 20)
     return part.select(

@@ -67,3 +67,9 @@ def small(df: DataFrame, rows: int) -> bool:
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """A broadcast hint behind a check of the size; beyond it the join shuffles."""
     return F.broadcast(df) if small(df, rows) else df
+
+
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """df dealt by key to as many tasks as the session shuffles to: a file of few row groups is read by few tasks, which
+    would else do all the costly work that follows."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)

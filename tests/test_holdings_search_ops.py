@@ -191,3 +191,17 @@ def test_logs_that_cannot_be_forwarded_are_counted_and_kept(spark, tmp_path):
     query = T.route_logs(stream, lambda rows: kept.extend(rows.collect()), forward, lambda n, e: lost.append((n, str(e)))).trigger(availableNow=True)
     query.option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination(120)
     assert lost == [(2, "no sink")] and sorted(r["forwarded"] for r in kept) == [False, False, True, True]
+
+
+def test_scrub_text_finds_what_its_plain_looks_stand_for(spark):
+    texts = ["BeArEr aB.c-_9 x", "bearer", "eyJ" + "h" * 20, "x eyJ" + "h" * 19, "BEARER\u0130 t", None, "", "bearer a eyJ" + "k" * 30 + " " + "z" * 3000]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", S.scrub_text(F.col("t")).alias("t")).collect()
+    assert {r["i"]: r["t"] for r in got} == {i: None if t is None else S._scrubbed(t) for i, t in enumerate(texts)}
+
+
+def test_costly_work_on_a_small_file_is_spread(spark):
+    """A parquet file with one row group is one task's; what follows is every task's."""
+    from holdfast.plans.queries import QUERIES
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert QUERIES["scalar_traps"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == n
