@@ -14,7 +14,7 @@ from ..operators import ingest as I
 from ..operators import operations as O
 from ..operators import pricing as P
 from ..operators import search as R
-from ..scratch import Scratch
+from ..scratch import Scratch, spread
 from ..sources.csv_seed import CsvSeed, write_seed
 from ..streaming import streams as T
 from .domain import CONDITIONS, LOGS_NOW, RANKED, RUNS_NOW, Domain, with_views
@@ -480,7 +480,7 @@ def set_upsert_changes(d: Domain) -> DataFrame:
 def _raw(d: Domain, apart: bool = False) -> DataFrame:
     """Raw rows with faults by the part's number: one row a printing, two printings a card at most. apart: some second
     rows have another attack than the first."""
-    part = d.table("part")
+    part = spread(d.table("part").select("p_partkey", "p_brand", "p_name", "p_size"), "p_partkey")
     n = F.col("p_partkey")
     base = part.select(
         F.col("p_brand").alias("set_code"), F.lpad(n.cast("string"), 8, "0").alias("collector_number"), F.when(n % 13 == 0, "").otherwise(F.col("p_name")).alias("name"),
