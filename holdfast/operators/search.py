@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import vocabulary as V
+from ..scratch import spread
 
 KINDS = {1: "exact_name", 2: "name_prefix", 3: "word_prefix", 4: "collector_number", 5: "set_code", 6: "infix"}
 MIN_TERM = 2
@@ -82,14 +83,19 @@ class GramIndex:
     path: str
 
     def write(self, cards: DataFrame) -> GramIndex:
-        texts = F.concat(*(F.coalesce(_grams(F.col(c)), F.array().cast("array<string>")) for c in ("name", "collector_number", "set_code")))
-        rows = cards.withColumn("gram", F.explode(F.array_distinct(texts))).withColumn("bucket", self._bucket(F.col("gram")))
+        rows = self.rows(cards)
         # a frequent run is dealt to several tasks; files are ordered by run, so that readers skip the others
         dealt = rows.repartition("bucket", F.pmod(F.xxhash64("card_id"), F.lit(SALTS))).sortWithinPartitions("bucket", "gram")
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
         self._postings().groupBy("gram").agg(F.count("*").alias("n")).repartitionByRange(1, "gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{self.path}/grams")
         return self
 
+    @classmethod
+    def rows(cls, cards: DataFrame) -> DataFrame:
+        """The cards, spread over tasks, once for each run that they hold, with its bucket."""
+        texts = F.concat(*(F.coalesce(_grams(F.col(c)), F.array().cast("array<string>")) for c in ("name", "collector_number", "set_code")))
+        return spread(cards, "card_id").withColumn("gram", F.explode(F.array_distinct(texts))).withColumn("bucket", cls._bucket(F.col("gram")))
+
     @staticmethod
     def _bucket(gram: Column) -> Column:
         return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")

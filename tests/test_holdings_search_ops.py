@@ -205,3 +205,11 @@ def test_costly_work_on_a_small_file_is_spread(spark):
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert QUERIES["scalar_traps"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == n
+
+
+def test_raw_rows_and_postings_are_made_in_all_tasks(spark):
+    from holdfast.plans.domain import Domain
+    from holdfast.plans.queries import _raw
+
+    n, d = int(spark.conf.get("spark.sql.shuffle.partitions")), Domain(spark, "/root/testdata/sf0.001")
+    assert _raw(d).rdd.getNumPartitions() >= 3 * n and R.GramIndex.rows(d.cards).rdd.getNumPartitions() == n
