@@ -55,7 +55,7 @@ def holdings_merge_full(d: Domain) -> DataFrame:
     CASE WHEN quantity % 2 = 0 AND is_graded THEN 9.5 ELSE grade END::DOUBLE AS grade, notes FROM (SELECT DISTINCT * FROM ({_FULL}))""")
 def holdings_edit_attributes(d: Domain) -> DataFrame:
     """Values of a patch replace, NULLs keep what is there."""
-    state = H.merged(_full(d)).drop("merge_condition", "first_seq", "last_seq").distinct()
+    state = bucketed.bucketed(H.merged(_full(d)).drop("merge_condition", "first_seq", "last_seq"), "state", ["item_id"]).distinct()
     even = state.filter("quantity % 2 = 0")
     grade = F.when(F.col("is_graded"), 9.5).cast("decimal(3,1)")
     patches = even.select("item_id", F.lit("attic").alias("storage_location"), F.lit(False).alias("is_for_trade"), grade.alias("grade"), F.lit(None).cast("string").alias("notes")).distinct()

@@ -34,7 +34,7 @@ def bucketed(rows: DataFrame, label: str, key: list[str], buckets: int | None =
     name = f"{label}_{uuid.uuid4().hex}"
     path = f"{Scratch(spark, label).base}/table"
     dealt = rows.repartition(buckets, *key)
-    dealt.write.bucketBy(buckets, *key).sortBy(*key).option("path", path).format("parquet").saveAsTable(name)
+    dealt.write.bucketBy(buckets, *key).sortBy(*key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
     atexit.register(_drop, spark, name)
     return spark.table(name)
 
