@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import vocabulary as V
+from ..scratch import spread
 
 KEY = ["user_id", "printing_id", "merge_condition"]
 MAX_QUANTITY = 10_000
@@ -118,11 +119,12 @@ def delete_owner(tables: dict[str, DataFrame], user_id) -> dict[str, DataFrame]:
 def measured(state: DataFrame, printings: DataFrame, cards: DataFrame) -> DataFrame:
     """Distinct cards and copies owned by (user_id, set_code).
 
-    Holdings first add up by printing, so what is shuffled for the catalog join is one row per user and printing.
+    Holdings go to the catalog as they are: adding them up by printing first would shuffle them once more, and few users
+    have several rows of one printing. What is placed is dealt by user and set, for both counts at once.
     """
-    held = state.groupBy("user_id", "printing_id").agg(F.sum("quantity").alias("quantity"))
+    held = state.select("user_id", "printing_id", "quantity")
     placed = held.join(printings.select("printing_id", "card_id"), "printing_id").join(cards.select("card_id", "set_code"), "card_id")
-    by_card = placed.groupBy("user_id", "set_code", "card_id").agg(F.sum("quantity").alias("quantity"))
+    by_card = spread(placed, "user_id", "set_code").groupBy("user_id", "set_code", "card_id").agg(F.sum("quantity").alias("quantity"))
     return by_card.groupBy("user_id", "set_code").agg(F.count("*").alias("owned"), F.sum("quantity").cast("long").alias("quantity"))
 
 
@@ -148,7 +150,7 @@ def rebuilt(users: DataFrame, state: DataFrame, printings: DataFrame, cards: Dat
 
 def touched_sets(changed: DataFrame, printings: DataFrame, cards: DataFrame) -> DataFrame:
     """(user_id, set_code) whose completion a batch of changes can alter."""
-    ids = changed.select("user_id", "printing_id").distinct()
+    ids = changed.select("user_id", "printing_id")
     return ids.join(printings.select("printing_id", "card_id"), "printing_id").join(cards.select("card_id", "set_code"), "card_id").select("user_id", "set_code").distinct()
 
 
