@@ -15,6 +15,7 @@ from ..operators import operations as O
 from ..operators import pricing as P
 from ..operators import search as R
 from ..scratch import Scratch, spread
+from ..sources import bucketed
 from ..sources.csv_seed import CsvSeed, write_seed
 from ..streaming import streams as T
 from .domain import CONDITIONS, LOGS_NOW, RANKED, RUNS_NOW, Domain, with_views
@@ -245,7 +246,8 @@ _EDITED = f"""SELECT item_id, user_id, printing_id, CASE WHEN quantity % 2 = 0 A
     min(CASE WHEN edited THEN '1' ELSE '0' END || item_id) AS survivor FROM e WHERE NOT is_graded GROUP BY user_id, printing_id, condition""")
 def holdings_edit_collapse(d: Domain) -> DataFrame:
     """Half of the ungraded rows move to condition N; rows that meet there fold into the one that was there before."""
-    state = H.merged(d.adds).select("item_id", "user_id", F.regexp_replace("printing_id", "-[A-Z]$", "").alias("printing_id"), "condition", "is_graded", "quantity").distinct()
+    state = H.merged(d.adds).select("item_id", "user_id", F.regexp_replace("printing_id", "-[A-Z]$", "").alias("printing_id"), "condition", "is_graded", "quantity")
+    state = bucketed.bucketed(state, "state", ["item_id"]).distinct()
     patches = state.filter("NOT is_graded AND quantity % 2 = 0").select("item_id", F.lit("N").alias("condition"), F.lit(None).cast("boolean").alias("is_graded"), F.lit(None).cast("long").alias("quantity"))
     out = H.edited(state, patches).filter("NOT is_graded")
     known = out.join(patches.select("item_id", F.lit(True).alias("edited")), "item_id", "left").withColumn("edited", F.coalesce("edited", F.lit(False)))
