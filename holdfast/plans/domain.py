@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import spread
+
 RANKED = ["N", "A", "R"]  #: rarities here, commonest first
 CONDITIONS = ["N", "A", "R"]
 RUNS_NOW, LOGS_NOW = "2001-08-05 00:00:00", "2024-01-25 00:00:00"
@@ -50,7 +52,8 @@ class Domain:
 
     @property
     def printings(self) -> DataFrame:
-        keys = self.table("lineitem").select("l_partkey", "l_suppkey", "l_returnflag").distinct()
+        # dealt first: a task that reads many rows would hold nearly as many distinct ones
+        keys = spread(self.table("lineitem").select("l_partkey", "l_suppkey", "l_returnflag"), "l_partkey", "l_suppkey").distinct()
         return keys.select(
             F.concat_ws("-", "l_partkey", "l_suppkey", "l_returnflag").alias("printing_id"), F.col("l_partkey").alias("card_id"),
             F.col("l_returnflag").alias("rarity"), F.when(F.col("l_suppkey") % 3 == 0, "foil").otherwise("normal").alias("finish"),
