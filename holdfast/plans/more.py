@@ -432,8 +432,8 @@ def catalog_upsert_bucketed(d: Domain) -> DataFrame:
 @query(f"SELECT user_id, set_code, owned, quantity, card_count AS declared, {_RATIO.replace('declared', 'card_count')} FROM ({_MEASURED}) JOIN sets USING (set_code)")
 def set_completion_bucketed(d: Domain) -> DataFrame:
     """Completion over tables in buckets: holdings and printings by printing, cards by card."""
-    held = bucketed.bucketed(d.adds, "held", ["printing_id"])
-    printings, cards = bucketed.bucketed(d.printings, "printings", ["printing_id"]), bucketed.bucketed(d.cards, "cards", ["card_id"])
+    held = bucketed.bucketed(d.adds.select("user_id", "printing_id", "quantity"), "held", ["printing_id"])
+    printings, cards = bucketed.bucketed(d.printings.select("printing_id", "card_id"), "printings", ["printing_id"]), bucketed.bucketed(d.cards.select("card_id", "set_code"), "cards", ["card_id"])
     return H.completion(held, printings, cards, d.sets).withColumn("ratio", F.round("ratio", 6))
 
 
