@@ -101,10 +101,10 @@ class Transaction:
 def write_counted(rows: DataFrame, path: str, **counts: Column) -> dict:
     """Writes rows and returns aggregates of them that the same job takes."""
     if not counts:
-        rows.write.parquet(path)
+        rows.write.option("compression", "zstd").parquet(path)
         return {}
     seen = Observation()
-    rows.observe(seen, *(c.alias(n) for n, c in counts.items())).write.parquet(path)
+    rows.observe(seen, *(c.alias(n) for n, c in counts.items())).write.option("compression", "zstd").parquet(path)
     return {n: v or 0 for n, v in seen.get.items()}
 
 

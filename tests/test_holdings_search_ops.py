@@ -213,3 +213,34 @@ def test_raw_rows_and_postings_are_made_in_all_tasks(spark):
 
     n, d = int(spark.conf.get("spark.sql.shuffle.partitions")), Domain(spark, "/root/testdata/sf0.001")
     assert _raw(d).rdd.getNumPartitions() >= 3 * n and R.GramIndex.rows(d.cards).rdd.getNumPartitions() == n
+
+
+def test_edits_shuffle_the_state_once_by_item(spark):
+    """What is by item is read from buckets; only the outcome of the collapse is dealt by item once more."""
+    from holdfast.plans import QUERIES
+
+    for name in ("holdings_edit_attributes", "holdings_edit_collapse"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(item_id") <= (name == "holdings_edit_collapse"), plan
+
+
+def test_completion_is_dealt_once_by_user_and_set(spark):
+    """Holdings are shuffled for the two joins and the counts only; distinct printings are made after they are dealt."""
+    from holdfast.plans import QUERIES
+    from holdfast.plans.domain import Domain
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    d = Domain(spark, "/root/testdata/sf0.001")
+    made = plan(H.measured(d.adds, d.printings, d.cards))
+    assert made.count("Exchange hashpartitioning(user_id") == 1 and "printing_id" not in "".join(x for x in made.split("\n") if "Exchange hashpartitioning(user_id" in x).split(", 4)")[0]
+    one = plan(d.printings)
+    assert one.index("HashAggregate") < one.index("Exchange") and "HashAggregate" not in one[one.index("Exchange") :]
+    held = QUERIES["set_completion_bucketed"](spark, "/root/testdata/sf0.001")
+    assert "item_id" not in plan(held) and not any("item_id" in spark.table(t.name).columns for t in spark.catalog.listTables() if t.name.startswith("held_") and spark.table(t.name).inputFiles()[0].split("/table/")[0] in "".join(held.inputFiles()))
+
+
+def test_snapshots_are_packed_tightly(spark, tmp_path):
+    from holdfast.sources import snapshot
+
+    snapshot.write_counted(spark.range(10), f"{tmp_path}/t", n=F.count(F.lit(1)))
+    assert all(".zstd." in f.name for f in (tmp_path / "t").glob("part-*"))
