@@ -14,8 +14,11 @@ all fail ask their buckets for all others, nearest first, more of them each time
 holds another. So a group of n similar classes makes n candidates, not n * n, and no line that must go is left out. A bucket has BLOCK classes at most; buckets of commoner words are cut
 into blocks, each of which meets each other once.
 
-Where the links are asked for, all pairs of a bucket that the filters let through are verified instead, so every pair of
-classes at the similarity is found and counted: as many rows as there are candidates, in batches of about PAIRS.
+Where the links are asked for, all pairs of a bucket that the filters let through are verified instead. A pair counts in
+the bucket of the first word that its sets share, so in one only. A bucket with DENSE pairs a class at most gives these as
+rows. The classes of a fuller one are met with their texts again, in tiles of bounded size, where their pairs are verified
+and counted: a tile gives one row a class, so rows stay in proportion to the postings. The comparisons of n near copies
+that all differ are n * n / 2 all the same.
 """
 
 from __future__ import annotations
@@ -76,86 +79,24 @@ def word_ranks(docs: DataFrame) -> np.ndarray:
     return np.minimum(255, np.floor(STEPS * np.log2(1 + total.reshape(2, COUNTERS)))).astype(np.uint8)
 
 
-def line_sets(found: Words, lines: int, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct word hashes of each line, rarest first, the index of their line, and their rank."""
+def _ordered(found: Words, lines: int, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in found of the distinct words of each line, rarest first, and the ranks of all words."""
     words, owner = found.hashes, found.owner
     one, two = _slots(words)
     rank = np.minimum(ranks[0][one], ranks[1][two])
     order = np.argsort((rank.astype(_U) << _U(56)) | (words & _U((1 << 56) - 1)))
     small = np.uint16 if lines <= 1 << 16 else np.int64
     order = order[np.argsort(owner[order].astype(small), kind="stable")]
-    words, owner, rank = words[order], owner[order], rank[order]
+    words, owner = words[order], owner[order]
     new = np.ones(len(words), bool)
     new[1:] = (words[1:] != words[:-1]) | (owner[1:] != owner[:-1])
-    return words[new], owner[new], rank[new]
-
-
-def parities(words: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-    """128 bits for each set, each word turning one: in two sets' bits no more differ than words do. n: the sets' sizes."""
-    bit, full = (words >> _U(32)) & _U(127), n > 0
-    out = []
-    for half in (0, 1):
-        own = np.where(bit >> _U(6) == half, _U(1) << (bit & _U(63)), _U(0))
-        mask = np.zeros(len(n), _U)
-        if full.any():
-            mask[full] = np.bitwise_xor.reduceat(own, (np.cumsum(n) - n)[full])
-        out.append(mask.view(np.int64))
-    return out
-
-
-LINES = 1_000_000  #: lines (40 bytes each) to be looked up in their texts that may be broadcast
-BROADCAST_KEYS = 1_000_000
-
-SURE = 10  #: differing words up to which parity bits are taken at their word
-
-_U = np.uint64
-
-
-def _slots(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (words & _U(COUNTERS - 1)).astype(np.int64), ((words >> _U(20)) & _U(COUNTERS - 1)).astype(np.int64)
-
-
-def word_ranks(docs: DataFrame) -> np.ndarray:
-    """Two rows of ranks (logarithms of how many words of all texts fall to a counter); PARTS rows reach the driver."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, COUNTERS), np.int64)
-        for batch in batches:
-            texts = as_bytes(batch.column(0).to_pylist())
-            for part in chunks(texts):
-                for row, slots in zip(total, _slots(Words(texts[part]).hashes), strict=True):
-                    row += np.bincount(slots, minlength=COUNTERS)
-        pieces = total.reshape(PARTS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS, dtype=np.int32)), pa.array([p.tobytes() for p in pieces], pa.binary())], names=["part", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(counts, np.int64)
-                sums[part] = sums[part] + own if part in sums else own
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["part", "counts"])
-
-    schema = "part int, counts binary"
-    rows = docs.select("text").mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect()
-    total = np.zeros((PARTS, 2 * COUNTERS // PARTS), np.int64)
-    for r in rows:
-        total[r["part"]] = np.frombuffer(r["counts"], np.int64)
-    return np.minimum(255, np.floor(STEPS * np.log2(1 + total.reshape(2, COUNTERS)))).astype(np.uint8)
+    return order[new], rank
 
 
 def line_sets(found: Words, lines: int, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct word hashes of each line, rarest first, the index of their line, and their rank."""
-    words, owner = found.hashes, found.owner
-    one, two = _slots(words)
-    rank = np.minimum(ranks[0][one], ranks[1][two])
-    order = np.argsort((rank.astype(_U) << _U(56)) | (words & _U((1 << 56) - 1)))
-    small = np.uint16 if lines <= 1 << 16 else np.int64
-    order = order[np.argsort(owner[order].astype(small), kind="stable")]
-    words, owner, rank = words[order], owner[order], rank[order]
-    new = np.ones(len(words), bool)
-    new[1:] = (words[1:] != words[:-1]) | (owner[1:] != owner[:-1])
-    return words[new], owner[new], rank[new]
+    at, rank = _ordered(found, lines, ranks)
+    return found.hashes[at], found.owner[at], rank[at]
 
 
 def parities(words: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
@@ -171,12 +112,6 @@ def parities(words: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def digests(lines: list[bytes]) -> np.ndarray:
-    """128 bits of each line's lower-cased words in order."""
-    joined = b"".join(hashlib.blake2b(b" ".join(line.lower().split()), digest_size=16).digest() for line in lines)
-    return np.frombuffer(joined, np.int64).reshape(-1, 2)
-
-
 LINES = "doc_id long, line int, n int, f1 long, f2 long, m1 long, m2 long, prefix array<long>, common int"
 
 
@@ -215,6 +150,8 @@ def _lines(ranks: np.ndarray, percent: int):
 
 NEAR = "seq long, f1 long, a_seq long, a_f1 long"
 PAIRS = 500_000  #: of a batch of all pairs, about
+DENSE = 4  #: pairs a class from which on a bucket's classes are compared in tiles
+TILE = 1 << 18  #: words of the lines of half a tile, about
 FEW = 4  #: candidates in doubt that a bucket names at first
 
 
@@ -427,19 +364,69 @@ def meeting(key, group, side, n, at, m1, m2, percent: int) -> Iterator[tuple[np.
         yield tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+MET = "seq long, f1 long, a_seq long, a_f1 long, at int, key long, group long, tile long, half int"
+
+
+def tiles(n: np.ndarray, percent: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """n: sizes of the classes of a dense bucket, ascending. Pairs of halves (numbers, rows) whose sizes allow the similarity;
+    a half has TILE words about, and each of two classes is in a half that meets the other's."""
+    half = np.cumsum(n) // TILE
+    names, first = np.unique(half, return_index=True)
+    last = np.append(first[1:], len(n))
+    for x in range(len(names)):
+        for y in range(x, len(names)):
+            if 100 * n[last[x] - 1] >= percent * n[first[y]]:
+                yield x, y, np.arange(first[x], last[x]), np.arange(first[y], last[y])
+
+
 def _meeting(percent: int):
-    """Sorted postings -> rows of NEAR, (a_seq, a_f1) the earlier class."""
+    """Sorted postings -> rows of MET: pairs, (a_seq, a_f1) the earlier class and at the word's place in the later one's set;
+    or, without a_seq, classes of dense buckets that have a pair there, for each tile that they meet others in.
+
+    half: -1 if all classes of the tile meet, else 0 and 1 meet.
+    """
+    names = [x.split()[0] for x in MET.split(", ")]
+
+    def rows(n, **given) -> pa.RecordBatch:
+        kinds = [pa.int32() if c in ("at", "half") else pa.int64() for c in names]
+        return pa.RecordBatch.from_arrays([pa.array(given[c], kind) if c in given else pa.nulls(n, kind) for c, kind in zip(names, kinds, strict=True)], names=names)
 
     def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
         given = {name: c.to_numpy() for name, c in zip(t.column_names, t.columns, strict=True)}
         key, seq, f1, size, m1, m2 = (given[c] for c in POSTED)
         group, side = given.get("group", np.zeros(len(key), np.int64)), given.get("side", np.full(len(key), -1))
-        for j, i in meeting(key, group, side, size >> 32, size & 0xFFFFFFFF, m1, m2, percent):
+        n, at = size >> 32, size & 0xFFFFFFFF
+        bucket = _runs(key, group)
+        most = DENSE * np.bincount(bucket, minlength=len(key))
+        count, met, kept = np.zeros(len(key), np.int64), np.zeros(len(key), bool), []
+        for j, i in meeting(key, group, side, n, at, m1, m2, percent):
+            count += np.bincount(bucket[j], minlength=len(key))
+            met[j] = met[i] = True
+            few = count[bucket[j]] <= most[bucket[j]]
+            kept.append((j[few], i[few]))
+        for j, i in kept:
+            few = count[bucket[j]] <= most[bucket[j]]
+            j, i = j[few], i[few]
             later = (seq[j] > seq[i]) | ((seq[j] == seq[i]) & (f1[j] > f1[i]))
             b, a = np.where(later, j, i), np.where(later, i, j)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seq[b], f1[b], seq[a], f1[a])], names=["seq", "f1", "a_seq", "a_f1"])
-
-    return lambda batches: (pairs for t in _buckets(batches) for pairs in found(t))
+            yield rows(len(b), seq=seq[b], f1=f1[b], a_seq=seq[a], a_f1=f1[a], at=at[b])
+        dense = np.flatnonzero(met & (count > most)[bucket])
+        for own in np.split(dense, np.flatnonzero(np.diff(bucket[dense])) + 1) if len(dense) else []:
+            for x, y, left, right in tiles(n[own], percent):
+                # the sides of a cut bucket meet each other only
+                for one, two in [(0, 1), (1, 0)][: 1 + (x != y)] if side[own[0]] >= 0 else [(None, None)]:
+                    if one is None:
+                        in_tile = own[left] if x == y else np.concatenate((own[left], own[right]))
+                        half = np.full(len(in_tile), -1) if x == y else np.repeat([0, 1], [len(left), len(right)])
+                    else:
+                        a, b = own[left][side[own[left]] == one], own[right][side[own[right]] == two]
+                        in_tile, half = np.concatenate((a, b)), np.repeat([0, 1], [len(a), len(b)])
+                        if not (len(a) and len(b)):
+                            continue
+                    tile = np.full(len(in_tile), 2 * (x * len(own) + y) + (one or 0))
+                    yield rows(len(in_tile), seq=seq[in_tile], f1=f1[in_tile], key=key[in_tile], group=group[in_tile], tile=tile, half=half)
+
+    return lambda batches: (met for t in _buckets(batches) for met in found(t))
 
 
 # --- verification -------------------------------------------------------------------------------
@@ -473,15 +460,19 @@ def _verified(percent: int):
     return run
 
 
-def verified(scratch: Scratch, pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, name: str) -> DataFrame:
-    """pairs (rows of NEAR) and whether the words of both lines reach the similarity."""
-    ends = pairs.select("seq", "f1").union(pairs.select("a_seq", "a_f1")).distinct()
+def lines_of(scratch: Scratch, ends: DataFrame, classes: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    """seq, f1 and text of the lines that stand for the classes in ends (seq, f1)."""
     wanted = classes.select("seq", "f1", "f2", "doc_id", "line").join(ends, ["seq", "f1"], "left_semi")
     wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "seq", "f1", "f2")).alias("wanted"))
     wanted = scratch.save(wanted, f"wanted-{name}")
     few = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= BROADCAST_LINES
     held = texts.join(F.broadcast(wanted) if few else wanted, "doc_id").select("text", "wanted")
-    held = scratch.save(held.mapInArrow(_texts_of, "seq long, f1 long, text string").dropDuplicates(["seq", "f1"]), f"texts-{name}")
+    return scratch.save(held.mapInArrow(_texts_of, "seq long, f1 long, text string").dropDuplicates(["seq", "f1"]), f"texts-{name}")
+
+
+def verified(scratch: Scratch, pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, name: str) -> DataFrame:
+    """pairs (rows of NEAR) and whether the words of both lines reach the similarity."""
+    held = lines_of(scratch, pairs.select("seq", "f1").union(pairs.select("a_seq", "a_f1")).distinct(), classes, texts, name)
     both = pairs.join(held, ["seq", "f1"]).join(held.toDF("a_seq", "a_f1", "a_text"), ["a_seq", "a_f1"])
     return both.select("seq", "f1", "a_seq", "a_f1", "text", "a_text").mapInArrow(_verified(percent), f"{NEAR}, similar boolean")
 
@@ -520,16 +511,153 @@ def first_matches(scratch: Scratch, classes: DataFrame, texts: DataFrame, percen
     return out
 
 
-def linked(scratch: Scratch, classes: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _numbers(found: Words) -> np.ndarray:
+    """A number for each word; equal ones are the same word byte for byte."""
+    _, first, of = np.unique(found.hashes, return_index=True, return_inverse=True)
+    return of if found.same(np.arange(len(of)), first[of]) else found.numbered({}, np.arange(len(of)))
+
+
+def _first_shared(percent: int, ranks: np.ndarray):
+    """seq, f1, a_seq, a_f1, at, text, a_text -> the pairs whose words reach the similarity and first meet at that place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            at, text, other = batch.column(4).to_numpy(), as_bytes(batch.column(5).to_pylist()), as_bytes(batch.column(6).to_pylist())
+            for part in chunks(text):
+                pairs = part.stop - part.start
+                found = Words(text[part] + other[part])
+                picked, _ = _ordered(found, 2 * pairs, ranks)
+                owner, word = found.owner[picked], _numbers(found)[picked]
+                n = np.bincount(owner, minlength=2 * pairs)
+                place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+                own = owner < pairs
+                both = (owner % pairs) * (len(found.hashes) + 1) + word
+                shared = np.flatnonzero(own)[np.isin(both[own], both[~own])]
+                n_shared = np.bincount(owner[shared], minlength=pairs)
+                first = np.full(pairs, -1)
+                first[owner[shared][::-1]] = place[shared][::-1]  # the smallest place is written last
+                keep.append((100 * n_shared >= percent * (n[:pairs] + n[pairs:] - n_shared)) & (first == at[part]))
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["seq", "f1", "a_seq", "a_f1"]).filter(pa.array(np.concatenate(keep) if keep else [], pa.bool_()))
+
+    return run
+
+
+def counted(lines: list[bytes], seq: np.ndarray, f1: np.ndarray, half: np.ndarray, key: int, percent: int, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many others of a tile each line is similar to, and which is its nearest earlier one (-1: none), of the pairs whose
+    first shared word is key. Sets are rows of bits, a column for each word that two lines hold, in the order of words."""
+    total = len(lines)
+    found = Words(lines)
+    picked, rank = _ordered(found, total, ranks)
+    owner, word = found.owner[picked], _numbers(found)[picked]
+    n = np.bincount(owner, minlength=total)
+    names, first, held = np.unique(word, return_index=True, return_counts=True)
+    names, first = names[held > 1], first[held > 1]
+    hashes, rank = found.hashes[picked[first]], rank[picked[first]]
+    order = np.argsort((rank.astype(_U) << _U(56)) | (hashes & _U((1 << 56) - 1)))
+    column = np.full(len(found.hashes) + 1, -1)
+    column[names[order]] = np.arange(len(order))
+    before = np.flatnonzero(hashes[order].view(np.int64) == key)
+    links, best = np.zeros(total, np.int64), np.full(total, -1)
+    if not len(before):  # no two lines share the word
+        return links, best
+    at = column[word]
+    owner, at = owner[at >= 0], at[at >= 0]
+    bits = np.zeros((total, len(order) // 64 + 1), _U)
+    np.bitwise_or.at(bits, (owner, at >> 6), _U(1) << (at & 63).astype(_U))
+    early = bits[:, : before[0] // 64 + 1].copy()
+    early[:, -1] &= (_U(1) << _U(before[0] % 64)) - _U(1)
+    has = (bits[:, before[0] // 64] >> _U(before[0] % 64)) & _U(1) == 1
+    row = np.flatnonzero(has)
+    row = row[np.argsort(n[row], kind="stable")]
+    bits, early, n, half = bits[row], early[row], n[row], half[row]
+    nth = np.empty(total, np.int64)
+    nth[np.lexsort((f1, seq))] = np.arange(total)
+    nth, seq = nth[row], seq[row]
+    line_at, found_links, nearest_ = np.zeros(total, np.int64), np.zeros(len(row), np.int64), np.full(len(row), -1)
+    for i in range(len(row) - 1):
+        stop = np.searchsorted(n, 100 * n[i] // percent, side="right")
+        j = np.arange(i + 1, stop)
+        if half[i] >= 0:
+            j = j[half[j] != half[i]]
+        own = np.flatnonzero(early[i])
+        if len(own):
+            j = j[~(early[j][:, own] & early[i, own]).any(axis=1)]
+        if not len(j):
+            continue
+        own = np.flatnonzero(bits[i])
+        both = np.bitwise_count(bits[j][:, own] & bits[i, own]).sum(axis=1, dtype=np.int64)
+        j = j[100 * both >= percent * (n[i] + n[j] - both)]
+        if len(j):
+            found_links[i] += len(j)
+            found_links[j] += 1
+            later = j[seq[j] > seq[i]]
+            nearest_[later] = np.maximum(nearest_[later], nth[i])
+            nearest_[i] = max(nearest_[i], nth[j[seq[j] < seq[i]]].max(initial=-1))
+    links[row] = found_links
+    line_at[nth] = row  # the line at each place in the order
+    best[row] = np.where(nearest_ >= 0, line_at[nearest_], -1)
+    return links, best
+
+
+COUNTED = "seq long, f1 long, links long, a_seq long, a_f1 long"
+
+
+def _counted(percent: int, ranks: np.ndarray):
+    """Rows (key, group, tile, half, seq, f1, text) sorted by tile -> rows of COUNTED, one for each class with links."""
+
+    def tile(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        seq, f1 = t.column("seq").to_numpy(), t.column("f1").to_numpy()
+        links, best = counted(as_bytes(t.column("text").to_pylist()), seq, f1, t.column("half").to_numpy(), t.column("key")[0].as_py(), percent, ranks)
+        have = np.flatnonzero(links)
+        none, best = best[have] < 0, best[have]
+        columns = [pa.array(seq[have]), pa.array(f1[have]), pa.array(links[have]), pa.array(seq[best], mask=none), pa.array(f1[best], mask=none)]
+        return pa.RecordBatch.from_arrays(columns, names=["seq", "f1", "links", "a_seq", "a_f1"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, name = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, group, number = (batch.column(c).to_numpy() for c in range(3))
+            cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(group) != 0) | (np.diff(number) != 0)) + 1
+            for start, stop in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                own = (key[start], group[start], number[start])
+                if held and own != name:
+                    yield tile(held)
+                    held = []
+                held.append(batch.slice(start, stop - start))
+                name = own
+        if held:
+            yield tile(held)
+
+    return run
+
+
+def linked(scratch: Scratch, classes: DataFrame, texts: DataFrame, ranks: np.ndarray, percent: int) -> tuple[DataFrame, DataFrame]:
     """What first_matches gives, and seq, f1 and links of each class that has links: how many other classes are similar
-    to it. All pairs are verified."""
+    to it. All pairs that the filters let through are verified."""
     bucket = ["key", *(["group"] if "group" in (posted := postings(scratch, classes, "all")).columns else [])]
     ordered = posted.repartition(*bucket).sortWithinPartitions(*bucket, "size")
-    pairs = scratch.save(ordered.mapInArrow(_meeting(percent), NEAR).distinct(), "pairs-all")
-    similar = scratch.save(verified(scratch, pairs, classes, texts, percent, "all").filter("similar").drop("similar"), "similar")
-    first = similar.filter("a_seq < seq").groupBy("seq", "f1").agg(F.max(F.struct("a_seq", "a_f1")).alias("a")).select("seq", "f1", "a.*")
-    ends = similar.select("seq", "f1").union(similar.select("a_seq", "a_f1"))
-    return first, ends.groupBy("seq", "f1").agg(F.count("*").alias("links"))
+    met = scratch.save(ordered.mapInArrow(_meeting(percent), MET), "met")
+    pairs = met.filter("a_seq IS NOT NULL").groupBy("seq", "f1", "a_seq", "a_f1").agg(F.min("at").alias("at"))
+    pairs, dense = scratch.save(pairs, "pairs-all"), met.filter("a_seq IS NULL")
+    ends = pairs.select("seq", "f1").union(pairs.select("a_seq", "a_f1")).union(dense.select("seq", "f1")).distinct()
+    held = lines_of(scratch, ends, classes, texts, "all")
+
+    both = pairs.join(held, ["seq", "f1"]).join(held.toDF("a_seq", "a_f1", "a_text"), ["a_seq", "a_f1"])
+    both = both.select("seq", "f1", "a_seq", "a_f1", "at", "text", "a_text")
+    similar = scratch.save(both.mapInArrow(_first_shared(percent, ranks), NEAR), "similar")
+    tile = ["key", "group", "tile"]
+    whole = dense.join(held, ["seq", "f1"]).select(*tile, "half", "seq", "f1", "text").repartition(*tile).sortWithinPartitions(*tile)
+    counts = scratch.save(whole.mapInArrow(_counted(percent, ranks), COUNTED), "counted")
+
+    earlier = similar.filter("a_seq < seq").unionByName(counts.filter("a_seq IS NOT NULL").drop("links"))
+    first = earlier.groupBy("seq", "f1").agg(F.max(F.struct("a_seq", "a_f1")).alias("a")).select("seq", "f1", "a.*")
+    one = F.lit(1).cast("long").alias("links")
+    ends = similar.select("seq", "f1", one).union(similar.select("a_seq", "a_f1", one)).union(counts.select("seq", "f1", "links"))
+    return first, ends.groupBy("seq", "f1").agg(F.sum("links").alias("links"))
 
 
 def placed(lines: DataFrame, scratch: Scratch) -> DataFrame:
@@ -556,15 +684,16 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, links: bool = True) -> D
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = scratch.save(texts.mapInArrow(_lines(word_ranks(texts), percent), LINES), "all-lines")
-    first = F.min(F.struct("doc_id", "line", "n", "m1", "m2", "prefix", "common")).alias("c")
-    classes = lines.filter("n > 0").groupBy("f1", "f2").agg(first, F.count("*").alias("copies")).select("f1", "f2", "copies", "c.*")
-    classes = scratch.save(placed(scratch.save(classes, "unplaced"), scratch), "classes")
+    ranks = word_ranks(texts)
+    lines = scratch.save(texts.mapInArrow(_lines(ranks, percent), LINES), "all-lines")
+    first = F.min(F.struct("seq", "doc_id", "line", "n", "m1", "m2", "prefix", "common")).alias("c")
+    classes = placed(lines, scratch).filter("n > 0").groupBy("f1", "f2").agg(first, F.count("*").alias("copies")).select("f1", "f2", "copies", "c.*")
+    classes = scratch.save(classes, "classes")
     lines = scratch.save(lines.select("doc_id", "line", "n", "f1", "f2"), "lines")
-    scratch.drop("all-lines", "unplaced")
+    scratch.drop("all-lines")
 
     if links:
-        matches, counts = linked(scratch, classes, texts, percent)
+        matches, counts = linked(scratch, classes, texts, ranks, percent)
         counts = scratch.save(classes.select("seq", "f1", "f2").join(counts, ["seq", "f1"]).select("f1", "f2", "links"), "links")
     else:
         matches = first_matches(scratch, classes, texts, percent)

@@ -3,11 +3,14 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import pytest
 
 from holdfast.llm import line_dedup as L
 from holdfast.llm.common import Words
 
-from .helpers import similar, words_of
+from .helpers import near_copies, similar, words_of
 
 
 def test_a_group_of_near_copies_names_one_candidate_a_class_and_bucket():
@@ -55,3 +58,65 @@ def test_word_hashes_and_digests():
     for t, d in zip(texts, found.digests(len(texts)).tolist(), strict=True):
         assert same.setdefault(tuple(words_of(t)), d) == d
     assert len({tuple(d) for d in same.values()}) == len(same)
+
+
+def _posted(lines, ranks):
+    """The postings of lines, each a class of its own, as a sorted Arrow table."""
+    found = Words([x.encode() for x in lines])
+    words, owner, _ = L.line_sets(found, len(lines), ranks)
+    n = np.bincount(owner, minlength=len(lines))
+    place = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
+    prefix = place < (n - -(-80 * n // 100) + 1)[owner]
+    m1, m2 = L.parities(words, n)
+    seq = owner[prefix]
+    size = (n[seq] << 32) + place[prefix]
+    t = pa.table({"key": words[prefix].view(np.int64), "seq": seq, "f1": seq * 7, "size": size, "m1": m1[seq], "m2": m2[seq]})
+    return t.sort_by([("key", "ascending"), ("size", "ascending")])
+
+
+@pytest.mark.parametrize(("tile", "block"), [(1 << 18, None), (700, None), (700, 2)])
+def test_links_of_near_copies_are_counted_by_class_not_by_pair(monkeypatch, tile, block):
+    """Rows stay in proportion to the postings in a group of near copies, and no link is lost or counted twice, whole
+    buckets or tiles, cut buckets or not."""
+    monkeypatch.setattr(L, "TILE", tile)
+    r = random.Random(8)
+    base = [f"word{i}" for i in range(30)]
+    lines = []
+    for i in range(150):
+        own = list(base)
+        for _ in range(r.choice((1, 2, 3, 5))):
+            own[r.randrange(30)] = f"x{r.randrange(40)}"
+        lines.append(" ".join([*own, f"only{i}"][: r.choice((28, 31))]))
+    lines += [t for t in dict.fromkeys(t for _, t in near_copies(120, seed=4, words=14)) if t not in lines]
+    ranks = np.zeros((2, L.COUNTERS), np.uint8)
+    posted = _posted(lines, ranks)
+    if block:  # each bucket cut into blocks of which each two meet once
+        cut = []
+        for row in posted.to_pylist():
+            own = row["seq"] % block
+            cut += [row | {"group": min(own, o) * block + max(own, o) + 1, "side": -1 if own == o else int(own > o)} for o in range(block)]
+        posted = pa.Table.from_pylist(cut).sort_by([("key", "ascending"), ("group", "ascending"), ("size", "ascending")])
+    met = pa.Table.from_batches(L._meeting(80)(iter(posted.to_batches())))
+    pairs, dense = met.filter(pc.field("a_seq").is_valid()), met.filter(pc.field("a_seq").is_null())
+    assert len(pairs) <= L.DENSE * len(posted) and len(dense) and (tile < 1 << 18 or len(dense) <= len(posted))
+
+    sets = [set(words_of(x)) for x in lines]
+    want = [sum(similar(a, b) for j, b in enumerate(sets) if i != j) for i, a in enumerate(sets)]
+    earlier = [max((j for j in range(i) if similar(sets[i], sets[j])), default=-1) for i in range(len(sets))]
+    links, best = [0] * len(lines), [-1] * len(lines)
+    first = pairs.group_by(["seq", "f1", "a_seq", "a_f1"]).aggregate([("at", "min")])
+    for side in ("seq", "a_seq"):
+        first = first.append_column(f"{side}_text", pa.array([lines[i] for i in first[side].to_pylist()]))
+    batch = first.combine_chunks().to_batches()[0]
+    for b, _, a, _ in zip(*(c.to_pylist() for c in next(L._first_shared(80, ranks)(iter([batch]))).columns), strict=True):
+        links[a] += 1
+        links[b] += 1
+        best[b] = max(best[b], a)
+    dense = dense.select(["key", "group", "tile", "half", "seq", "f1"]).sort_by([(c, "ascending") for c in ("key", "group", "tile")])
+    table = dense.append_column("text", pa.array([lines[i] for i in dense["seq"].to_pylist()]))
+    for out in L._counted(80, ranks)(iter(table.to_batches(max_chunksize=37))):
+        for seq, _, n, a, _ in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            links[seq] += n
+            best[seq] = max(best[seq], -1 if a is None else a)
+    assert links == want and sum(want) > 2000
+    assert best == earlier
