@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import Any
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..scratch import Scratch, broadcast_if_small, shared_root, small
 
-__all__ = ["Scratch", "Words", "as_bytes", "broadcast_if_small", "chunks", "mix64", "read", "shared_root", "small"]
+__all__ = ["Scratch", "Words", "as_bytes", "broadcast_if_small", "chunks", "forget", "give_back", "kept", "mix64", "read", "shared_root", "slices", "small", "small_batches"]
+
+BATCH = 3 << 20  #: bytes of an Arrow batch in small_batches, about
 
 #: White space of the contracts, as a Java regular expression class body.
 SPACE = r"\x20\x09-\x0D"
@@ -130,3 +137,57 @@ def chunks(texts: list[bytes], limit: int = 1 << 18):
         size += len(t) + 1
     if at < len(texts):
         yield slice(at, len(texts))
+
+
+def slices(batch: pa.RecordBatch, *texts: pa.Array, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch that hold about ``limit`` bytes of its texts; a row with more makes a slice of its own.
+
+    Workers go on to other tasks and keep what their largest lists took, so a batch is never a list as a whole."""
+    at, size = 0, 0
+    for i, n in enumerate(sum(pc.fill_null(pc.binary_length(t), 0).to_numpy().astype(np.int64) for t in texts).tolist()):
+        if i > at and size + n > limit:
+            yield batch.slice(at, i - at)
+            at, size = i, 0
+        size += n + 1
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run within send Python workers about BATCH bytes at once, not 10,000 rows of any length, which executor
+    and worker would each hold; a size that the session has already stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is not None:
+        yield
+        return
+    spark.conf.set(key, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+
+
+def give_back() -> None:
+    """Free memory of this Python worker goes back to the system; else an idle worker holds it in later stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
+_kept: dict[Any, Any] = {}
+
+
+def forget(but: Any = None) -> None:
+    """Frees what this worker keeps from other tasks, unless its key is ``but``."""
+    if any(k != but for k in _kept):
+        _kept.clear()
+        give_back()
+
+
+def kept(key: Any, make: Callable[[], Any]) -> Any:
+    """The one object that a worker keeps from task to task; the first task that asks for another frees it."""
+    forget(key)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, as_bytes, broadcast_if_small, chunks, mix64
+from .common import Scratch, Words, as_bytes, broadcast_if_small, forget, give_back, kept, mix64, slices, small_batches
 
 SLOT_BITS = 22
 BANDS, ROWS = 48, 6  #: a pair at Jaccard 0.8 shares no band with a chance of 5e-7
@@ -102,14 +102,13 @@ def _signed(k: int):
     names = [x.split()[0] for x in SIGNED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sign = Signatures(k)
+        sign = kept(("signatures", k), lambda: Signatures(k))
         rows = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32)), pa.array(a.ravel()))
         for batch in batches:
-            texts = as_bytes(batch.column(2).to_pylist())
-            for part in chunks(texts):
-                n, keys, sketch, f = sign(texts[part])
-                ids = batch.slice(part.start, part.stop - part.start)
+            for ids in slices(batch, batch.column(2)):
+                n, keys, sketch, f = sign(as_bytes(ids.column(2).to_pylist()))
                 yield pa.RecordBatch.from_arrays([ids.column(0), ids.column(1), pa.array(n), pa.array(f[:, 0]), pa.array(f[:, 1]), rows(keys), rows(sketch)], names=names)
+        give_back()
 
     return run
 
@@ -124,17 +123,19 @@ def word_set(text: str | None, k: int) -> set:
 
 def _verified(k: int, percent: int):
     def run(batches):
+        forget()
         last, left = None, set()
         for batch in batches:
-            a, b, ta, tb = (c.to_pylist() for c in batch.columns)
-            keep = []
-            for i in range(len(a)):
-                if a[i] != last:
-                    last, left = a[i], word_set(ta[i], k)
-                right = word_set(tb[i], k)
-                both = len(left & right)
-                keep.append(100 * both >= percent * (len(left) + len(right) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for part in slices(batch, batch.column(2), batch.column(3)):
+                a, ta, tb = (part.column(i).to_pylist() for i in (0, 2, 3))
+                keep = []
+                for i in range(len(a)):
+                    if a[i] != last:
+                        last, left = a[i], word_set(ta[i], k)
+                    right = word_set(tb[i], k)
+                    both = len(left & right)
+                    keep.append(100 * both >= percent * (len(left) + len(right) - both))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -243,6 +244,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rows without doc_id link like others; a null doc_id is never the smallest unless a component has no other
     (component_id is then null and kept false). Texts of any length are taken whole. An empty table gives no rows.
     """
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, k, percent)
+
+
+def _near_duplicates(docs: DataFrame, k: int, percent: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "minhash")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     signed = scratch.save(texts.select("doc_id", "text_key", "text").mapInArrow(_signed(k), SIGNED), "signed")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import Scratch, broadcast_if_small
+from .common import Scratch, broadcast_if_small, forget, give_back, slices, small_batches
 
 FIT_ROWS = 20_000  #: labelled rows the label model and the classifier are fitted on, about; mining reads all
 BROADCAST_LABELS = 2_000_000  #: label rows (12 bytes each) that may be broadcast
@@ -48,6 +48,7 @@ def terms_of(text: str) -> dict[str, int]:
 
 
 def _mined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     held: dict[str, list[int]] = {}
 
     def flush():
@@ -56,12 +57,14 @@ def _mined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return rows
 
     for batch in batches:
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for t in terms_of(text or ""):
-                held.setdefault(t, [0, 0])[toxic] += 1
-            if len(held) > FLUSH:
-                yield flush()
+        for part in slices(batch, batch.column(0)):
+            for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for t in terms_of(text or ""):
+                    held.setdefault(t, [0, 0])[toxic] += 1
+                if len(held) > FLUSH:
+                    yield flush()
     yield flush()
+    give_back()
 
 
 @dataclass
@@ -153,7 +156,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     mined = mined.groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     sure = F.col("pos") / (F.col("pos") + F.col("neg"))
     mined = mined.filter((F.col("pos") >= MIN_TOXIC) & (sure >= MIN_PRECISION)).withColumn("sure", sure)
-    top = mined.orderBy(F.desc(F.col("pos") * (sure - 0.5)), "term").limit(MAX_TERMS).collect()  # MAX_TERMS rows at most
+    with small_batches(spark):
+        top = mined.orderBy(F.desc(F.col("pos") * (sure - 0.5)), "term").limit(MAX_TERMS).collect()  # MAX_TERMS rows at most
     lexicon = {r["term"] for r in top} | set(SEED_WORDS)
     strength: dict[str, float] = defaultdict(float)
     for r in top:
@@ -164,11 +168,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * share) + 1)
 
     def read_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, whole.column(0))):
             said = [votes(t or "", lexicon, families) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in said], pa.list_(pa.int8())), pa.array([list(h) for _, h in said], pa.list_(pa.string())), pa.array([list(h.values()) for _, h in said], pa.list_(pa.int32())), batch.column(1)], names=["votes", "terms", "counts", "toxic"])
 
-    rows = chosen.select("text", "toxic").mapInArrow(read_votes, "votes array<tinyint>, terms array<string>, counts array<int>, toxic int").collect()
+    voted = chosen.select("text", "toxic").mapInArrow(read_votes, "votes array<tinyint>, terms array<string>, counts array<int>, toxic int")
+    with small_batches(spark):
+        rows = voted.collect()
     if not rows:
         return Model({w: 4.0 for w in SEED_WORDS}, -3.0)
     fired = np.array([r["votes"] for r in rows], float)
@@ -188,11 +194,13 @@ def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     source = docs.select(F.struct(*held).alias("row"), *([] if "text" in keep else [text.alias("text")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        texts = lambda batch: batch.column(0).field(keep.index("text")) if "text" in keep else batch.column(1)
         for batch in batches:
-            rows = batch.column(0)
-            texts = rows.field(keep.index("text")) if "text" in keep else batch.column(1)
-            score = pa.array([model.score(t) for t in texts.to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([rows, score], names=["row", "score"])
+            for part in slices(batch, texts(batch)):
+                score = pa.array([model.score(t) for t in texts(part).to_pylist()], pa.float64())
+                yield pa.RecordBatch.from_arrays([part.column(0), score], names=["row", "score"])
+        give_back()
 
     return source.mapInArrow(run, StructType([source.schema["row"], StructField("score", DoubleType())]))
 

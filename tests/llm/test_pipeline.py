@@ -2,17 +2,20 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline as P
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from holdfast.llm import toxicity
+from holdfast.llm import common, minhash, toxicity
 from holdfast.llm.decontaminate import WINDOW
+from holdfast.llm.token_output import PieceEncoder
 
 from .helpers import AWKWARD, SF, near_copies, shingles, similar, table
 from .test_text import brute_matches
@@ -142,3 +145,71 @@ def test_run_is_the_stages_in_turn(spark):
     assert [n for n, _ in P.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "token_output"]
     got = P.run(spark, SF).collect()
     assert got and sum(r["n_tokens"] for r in got) == max(r["start"] + r["n_tokens"] for r in got)
+
+
+def most_held(rows) -> int:
+    """Bytes that Python holds at most while rows are made, the first left out."""
+    tracemalloc.start()
+    try:
+        next(rows, None)
+        tracemalloc.reset_peak()
+        for _ in rows:
+            pass
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_workers_hold_a_small_part_of_a_batch_and_free_what_others_kept():
+    """A worker goes on to other tasks and would keep what the lists of a whole batch took."""
+    text = [" ".join(f"w{(i * 7 + j) % 5000}" for j in range(700)) for i in range(5000)]
+    texts, numbers = pa.array(text), pa.array([0] * len(text), pa.int64())
+    del text
+    assert texts.nbytes > 16 << 20
+    docs = pa.RecordBatch.from_arrays([numbers, numbers, texts], names=["doc_id", "text_key", "text"])
+    pairs = pa.RecordBatch.from_arrays([numbers, numbers, texts, texts], names=["a", "b", "ta", "tb"]).slice(0, 4000)
+    labelled = pa.RecordBatch.from_arrays([texts, numbers], names=["text", "toxic"])
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        PieceEncoder.of(f.read(), 1)
+    assert most_held(minhash._signed(5)(iter([docs]))) < 30 << 20  # 17 MB are its slots
+    assert list(common._kept) == [("signatures", 5)]
+    assert most_held(minhash._verified(5, 80)(iter([pairs]))) < 8 << 20
+    assert most_held(toxicity._mined(b for b in [labelled.slice(0, 1), labelled])) < 8 << 20
+    assert not common._kept
+
+
+def test_slices_hold_every_row():
+    texts = pa.array([None, "", "a" * 10, "b" * 300, "c" * 60, None, "é" * 45, "d"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), texts], names=["i", "text"])
+    parts = list(common.slices(batch, batch.column(1), limit=100))
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    assert [p.column(0).to_pylist() for p in parts] == [[0, 1, 2], [3], [4, 5], [6, 7]]
+    assert list(common.slices(batch.slice(0, 0), texts.slice(0, 0))) == []
+
+
+def test_spark_sends_workers_small_batches(spark, monkeypatch):
+    key, signed, most = "spark.sql.execution.arrow.maxBytesPerBatch", minhash._signed, 2 * common.BATCH
+
+    def seen(k):
+        run = signed(k)
+
+        def watched(batches):
+            for batch in batches:
+                assert batch.nbytes < most, batch.nbytes
+                yield from run(iter([batch]))
+
+        return watched
+
+    monkeypatch.setattr(minhash, "_signed", seen)
+    words = F.transform(F.sequence(F.lit(0), F.lit(899)), lambda x: F.concat(F.lit("w"), F.col("id") * 1000 + x))
+    docs = spark.range(0, 1500, 1, 1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", words).alias("text"))
+    assert minhash.near_duplicates(docs).filter("kept").count() == 1500
+    assert spark.conf.get(key, None) is None
+    spark.conf.set(key, "1m")
+    try:
+        with common.small_batches(spark):
+            assert spark.conf.get(key) == "1m"
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
