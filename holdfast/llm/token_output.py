@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, give_back, kept, small_batches
+from .common import Scratch, give_back, kept
 
 LIMIT = 16  #: bits of the longest code; two more than their number takes if ids are too many for that
 CHECKPOINT = 256  #: tokens between bit offsets
@@ -29,7 +29,6 @@ SHARD_TOKENS = 1 << 23  #: tokens of a shard, about; one task writes a shard
 SHARDS, PER_CUT = 65_536, 200  #: shards at most, beyond which they grow; sampled doc_ids for each bound between two
 UNITS = 400_000  #: words and other units of text whose ids a worker remembers
 PART = 1 << 22  #: characters tokenised at once
-PIECES = 1 << 16  #: pieces whose ids are looked up at once
 CODED = 1 << 20  #: tokens coded at once
 
 
@@ -133,7 +132,7 @@ class PieceEncoder:
         of_piece = self.ids[_ragged(self.first[units].ravel(), n.ravel())]
         n = n.sum(axis=1)
         start = np.cumsum(n) - n
-        tokens = np.concatenate([of_piece[_ragged(start[o], n[o])] for o in np.array_split(of, 1 + len(of) // PIECES)])
+        tokens = of_piece[_ragged(start[of], n[of])]
         ends = np.concatenate(([0], np.cumsum(n[of])))[np.cumsum(per_text)]
         tokens = np.insert(tokens, ends, np.uint32(self.end_id))
         known = len(self.at)
@@ -343,11 +342,6 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     doc_id come first; repeated doc_ids stand side by side, ordered by their tokens. Texts of any length are encoded
     whole. An empty table writes no rows.
     """
-    with small_batches(docs.sparkSession):
-        _write_tokens(docs, folder, tokenizer_path, end_id, shard_tokens)
-
-
-def _write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, shard_tokens: int) -> None:
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
     tokens = tokenized(docs, Path(tokenizer_path).read_text(encoding="utf-8"), end_id)
