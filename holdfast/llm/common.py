@@ -67,7 +67,8 @@ class Words:
             edge = np.concatenate(([0], edge))
         self.start, self.end = edge[0::2], edge[1::2]
         sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
-        self.owner = np.searchsorted(np.cumsum(sizes), self.start, side="right")
+        last = np.searchsorted(self.start, np.cumsum(sizes))
+        self.owner = np.repeat(np.arange(len(texts)), np.diff(last, prepend=0))
         length = self.end - self.start
         eights = np.ndarray((len(self.data) - 7,), "<u8", self.data, strides=(1,))
         h = mix64(length.astype(_U) * _GOLDEN)

@@ -120,3 +120,50 @@ def test_links_of_near_copies_are_counted_by_class_not_by_pair(monkeypatch, tile
             best[seq] = max(best[seq], -1 if a is None else a)
     assert links == want and sum(want) > 2000
     assert best == earlier
+
+
+def test_buckets_come_in_any_order_of_sizes():
+    """Spark deals and sorts postings by key only; rows of a bucket need no order, and single ones are left out."""
+    lines = [t for t in dict.fromkeys(t for _, t in near_copies(150, seed=5, words=20))]
+    posted = _posted(lines, np.zeros((2, L.COUNTERS), np.uint8))
+    met = lambda t: {tuple(sorted((a, b))) for a, b in zip(*(pa.Table.from_batches(L._meeting(80)(iter(t.to_batches(max_chunksize=50))))[c].to_pylist() for c in ("seq", "a_seq")), strict=True) if b is not None}
+    want = met(posted)
+    backwards = posted.sort_by([("key", "ascending"), ("size", "descending")])
+    assert met(backwards) == want and len(want) > 100
+    given = L.by_size({c: backwards[c].to_numpy() for c in backwards.column_names})
+    keys = backwards["key"].to_pylist()
+    assert sorted(given["key"].tolist()) == sorted(k for k in keys if keys.count(k) > 1)
+
+
+def test_equal_lines_of_a_slice_have_one_prefix(monkeypatch):
+    texts = ["one two three\nfour five\n\none two  three", "other words\nONE two three", None, "four five\nthree two one"]
+    batch = pa.record_batch([pa.array([7, 3, 4, 5]), pa.array(texts)], names=["doc_id", "text"])
+    rows = pa.Table.from_batches(L._lines(np.zeros((2, L.COUNTERS), np.uint8), 80)(iter([batch]))).to_pylist()
+    assert [(r["doc_id"], r["line"]) for r in rows] == [(d, i) for d, t in zip((7, 3, 4, 5), texts, strict=True) for i in range(len((t or "").split("\n")))]
+    worded = {(r["doc_id"], r["line"]): r["copies"] for r in rows if r["n"]}
+    # the first by (doc_id, line) counts for all that are equal; three two one is another class
+    assert worded == {(3, 1): 3, (7, 0): 0, (7, 3): 0, (3, 0): 1, (5, 0): 2, (7, 1): 0, (5, 1): 1}
+    assert all(bool(r["prefix"]) == (r["copies"] > 0) for r in rows if r["n"])
+
+
+def test_lines_are_digested_a_batch_at_once_not_a_document(monkeypatch):
+    made = []
+    monkeypatch.setattr(L, "Words", lambda lines, **x: made.append(len(lines)) or Words(lines, **x))
+    texts = [f"a b {i}\nc d {i}" for i in range(300)]
+    f = Words([t.split("\n")[1].encode() for t in texts]).digests(300)
+    wanted = [[{"line": 1, "seq": i, "f1": int(f[i, 0])}, {"line": 0, "seq": i, "f1": 1}, {"line": 2, "seq": i, "f1": 1}] for i in range(300)]
+    got = pa.Table.from_batches(L._texts_of(iter([pa.record_batch([pa.array(texts), pa.array(wanted)], names=["text", "wanted"])]))).to_pylist()
+    assert [(r["seq"], r["f1"], r["f2"], r["text"]) for r in got] == [(i, *map(int, f[i]), f"c d {i}") for i in range(300)]
+    assert made == [600]
+
+
+@pytest.mark.parametrize("apart", [3, 1 << 61])
+def test_places_there_and_back(spark, apart):
+    rows = [(-apart, 0), (-apart, 5), (2, 1), (apart, 0), (apart, 1)]
+    lines = spark.createDataFrame(rows, "doc_id long, line int")
+    scratch = L.Scratch(spark, "places")
+    places = L.Places(scratch, lines)
+    assert (places.order is None) == (apart == 3)
+    got = places.of(places.numbered(lines.toDF("doc_id", "line")).select("seq"), "seq").orderBy("seq").collect()
+    assert [tuple(r["place"]) for r in got] == rows and len({r["seq"] for r in got}) == len(rows)
+    scratch.close()
