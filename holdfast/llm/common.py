@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import hashlib
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 from typing import Any
 
 import numpy as np
@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..scratch import Scratch, broadcast_if_small, shared_root, small
 
-__all__ = ["Scratch", "Words", "as_bytes", "broadcast_if_small", "chunks", "forget", "give_back", "kept", "mix64", "read", "shared_root", "slices", "small", "small_batches"]
+__all__ = ["Scratch", "Words", "as_bytes", "broadcast_if_small", "chunks", "forget", "give_back", "kept", "mix64", "read", "shared_root", "slices", "small", "small_batches", "small_reads"]
 
 BATCH = 3 << 20  #: bytes of an Arrow batch in small_batches, about
+ROWS = 256  #: rows of a Parquet batch in small_reads
 
 #: White space of the contracts, as a Java regular expression class body.
 SPACE = r"\x20\x09-\x0D"
@@ -155,20 +156,29 @@ def slices(batch: pa.RecordBatch, *texts: pa.Array, limit: int = 1 << 18) -> Ite
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Jobs that run within send Python workers about BATCH bytes at once, not 10,000 rows of any length, which executor
-    and worker would each hold; a size that the session has already stays."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+def _unless_set(spark: SparkSession, key: str, value: int) -> Iterator[None]:
     if spark.conf.get(key, None) is not None:
         yield
         return
-    spark.conf.set(key, str(BATCH))
+    spark.conf.set(key, str(value))
     try:
         yield
     finally:
         spark.conf.unset(key)
 
 
+def small_batches(spark: SparkSession) -> AbstractContextManager[None]:
+    """Jobs that run within send Python workers about BATCH bytes at once, not 10,000 rows of any length, which executor
+    and worker would each hold; a size that the session has already stays."""
+    return _unless_set(spark, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
+def small_reads(spark: SparkSession) -> AbstractContextManager[None]:
+    """Jobs that run within read ROWS rows of Parquet at once, not 4,096 texts of any length, which each task would hold
+    in one buffer, doubled as it grows; a number that the session has already stays."""
+    return _unless_set(spark, "spark.sql.parquet.columnarReaderBatchSize", ROWS)
+
+
 def give_back() -> None:
     """Free memory of this Python worker goes back to the system; else an idle worker holds it in later stages."""
     pa.default_memory_pool().release_unused()

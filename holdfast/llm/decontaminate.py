@@ -12,8 +12,8 @@ names (finds verbatim copies and changed numbers, in any case and at any place),
 (finds renamed questions), and, for windows with too few words beside their placeholders, with all values as words.
 
 The benchmark's keys are broadcast behind a check of their number; beyond it the join shuffles keys (24 bytes each).
-Texts are not shuffled by the search. Equal windows of several items are one class, and items meet documents only in the
-result.
+Of texts, only those with a hit are shuffled, each once with all its places. Equal windows of several items are one
+class, and items meet documents only in the result.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if_small
+from .common import Scratch, broadcast_if_small, small_reads
 
 WINDOW = 13  #: template words; a shorter item is one window of its own length
 KEY = 8  #: first words of a window, by whose hash windows meet
@@ -159,21 +159,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     lengths: dict[int, list[int]] = {}
     for r in classes.select("mode", F.least("length", F.lit(KEY)).alias("n")).distinct().orderBy("mode", "n").collect():
         lengths.setdefault(r["mode"], []).append(r["n"])
-    short = scratch.save(short_matches(docs, benchmark), "short")
-    if not lengths:
-        return _result(short.select("id", "pos"), short.select("id", "item_id"))
-    shapes = scratch.save(classes.select("h", "mode", "length").distinct(), "shapes")
-    keys = broadcast_if_small(shapes.select("h").distinct(), BROADCAST_KEYS)
-    tokens = tokens_of(F.col("text"))
-    hashes = docs.select("id", F.explode(_let(tokens, lambda t: _keys(t, lengths))).alias("keys")).select("id", F.posexplode("keys").alias("at", "h"))
-    hits = scratch.save(hashes.join(keys, "h", "left_semi").select("id", (F.col("at") + 1).alias("pos"), "h").distinct(), "hits")
-    # only texts with a hit are canonicalised again, to compare windows in full
-    ids = broadcast_if_small(hits.select("id").distinct(), BROADCAST_MATCHES)
-    again = docs.join(ids, "id", "left_semi").select("id", tokens.alias("tokens")).join(hits, "id").join(broadcast_if_small(shapes, BROADCAST_KEYS), "h")
-    again = again.select("id", "pos", "h", "mode", "length", _window("tokens", F.col("pos"), F.col("length"), F.col("mode")).alias("window"))
-    same = scratch.save(again.join(classes, ["h", "mode", "length", "window"]).select("id", "pos", "class").distinct(), "same")
+    with small_reads(docs.sparkSession):
+        short = scratch.save(short_matches(docs, benchmark), "short")
+        if not lengths:
+            return _result(short.select("id", "pos"), short.select("id", "item_id"))
+        shapes = scratch.save(classes.select("h", "mode", "length").distinct(), "shapes")
+        keys = broadcast_if_small(shapes.select("h").distinct(), BROADCAST_KEYS)
+        tokens = tokens_of(F.col("text"))
+        hashes = docs.select("id", F.explode(_let(tokens, lambda t: _keys(t, lengths))).alias("keys")).select("id", F.posexplode("keys").alias("at", "h"))
+        # written as found: an aggregation beside the texts would hold a page of up to 64 MB a task
+        hits = scratch.save(hashes.join(keys, "h", "left_semi").select("id", (F.col("at") + 1).alias("pos"), "h"), "hits")
+        ids = broadcast_if_small(hits.select("id").distinct(), BROADCAST_MATCHES)
+        places = hits.join(broadcast_if_small(shapes, BROADCAST_KEYS), "h").select("id", F.struct("pos", "h", "mode", "length").alias("place")).distinct()
+        gathered = scratch.save(places.groupBy("id").agg(F.collect_list("place").alias("places")), "gathered")
+        # only texts with a hit are canonicalised again, to compare windows in full; a text is one row with all its
+        # places, as a join gives its rows in copies, of which each would hold the whole text
+        again = docs.join(ids, "id", "left_semi").join(gathered, "id")
+        windows = _let(tokens, lambda t: F.transform("places", lambda p: p.withField("window", _window(t, p.pos, p.length, p.mode))))
+        cut = again.select("id", F.explode(windows).alias("cut")).select("id", "cut.*")
+        same = scratch.save(cut.join(classes, ["h", "mode", "length", "window"]).select("id", "pos", "class").distinct(), "same")
     places = same.select("id", "pos").unionByName(short.select("id", "pos"))
-    return _result(places, same.select("id", "class").distinct().join(members, "class").select("id", "item_id").unionByName(short.select("id", "item_id")))
+    pairs = same.select("id", "class").distinct().join(broadcast_if_small(members, BROADCAST_KEYS), "class").select("id", "item_id")
+    return _result(places, pairs.unionByName(short.select("id", "item_id")))
 
 
 def _result(places: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -329,6 +329,24 @@ def test_decontamination_of_items_of_a_few_tokens(spark):
     assert tuples(only_short, "doc_id", "item_ids") == [(1, [1]), (3, [2]), (5, [3]), (8, [1])]
 
 
+def test_decontamination_of_a_long_text_full_of_passages(spark, monkeypatch):
+    """A text is one row with all its places, in none of whose steps each place carries the text along; texts are read
+    few at a time, and the session's own setting is back afterwards."""
+    saved, save, key = {}, D.Scratch.save, "spark.sql.parquet.columnarReaderBatchSize"
+
+    def seen(self, df, name, **options):
+        saved[name] = (df._jdf.queryExecution().optimizedPlan().toString(), spark.conf.get(key, None), out := save(self, df, name, **options))
+        return out
+
+    monkeypatch.setattr(D.Scratch, "save", seen)
+    docs = [(1, (ITEM + ". ") * 300), (2, "none of it"), (3, ITEM)]
+    got = D.contaminated(table(spark, docs), spark.createDataFrame([(1, ITEM)], "item_id long, text string"))
+    assert tuples(got, "doc_id", "item_ids", "n_windows") == [(1, [1], 3300), (3, [1], 11)]
+    assert "Aggregate [id" not in saved["hits"][0] and "tokens" not in saved["same"][0]
+    assert sorted((r["id"], len(r["places"])) for r in saved["gathered"][2].collect()) == [(1, 6300), (3, 21)]
+    assert {saved[name][1] for name in ("hits", "gathered", "same")} == {"256"} and spark.conf.get(key, None) is None
+
+
 LONG_FILL = " ".join(random.Random(2).choice(["river", "stone", "cloud", "paper"]) for _ in range(3000))
 
 
