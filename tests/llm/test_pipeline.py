@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 from holdfast.llm import common, minhash, toxicity
 from holdfast.llm.decontaminate import WINDOW
 from holdfast.llm.token_output import PieceEncoder
+from holdfast.scratch import Scratch
 
 from .helpers import AWKWARD, SF, near_copies, shingles, similar, table
 from .test_text import brute_matches
@@ -100,6 +101,16 @@ def test_texts_with_passages_go(spark, documents):
     assert rows_of(P.decontaminate(spark, twins, SF)) == Counter([(1, "a clean text"), (None, "clean too"), (2, None), (3, "")])
 
 
+def test_decontamination_holds_one_row_a_text(spark, monkeypatch):
+    """A long text full of passages goes, and is one row with its places on the way."""
+    saved, save = {}, Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name, **options: saved.setdefault(name, save(self, df, name, **options)))
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy(F.length("text").desc()).first()["text"]
+    docs = spark.createDataFrame([(1, f"{item} " * 200), (2, "clean")], "doc_id long, text string")
+    assert rows_of(P.decontaminate(spark, docs, SF)) == Counter([(2, "clean")])
+    assert saved["gathered"].count() == 1 and saved["hits"].count() > 200
+
+
 def test_sources_are_mixed(spark, documents):
     got = P.mix_sources(spark, documents, SF)
     assert got.columns == documents.columns
